@@ -53,24 +53,29 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source and any further columns) with each row repeated by its Poisson count.
 
-    Adds mix_rate, mix_copies, mix_copy (from 0) and mix_key (ordering by it is the global shuffle). Rows with equal
+    Adds mix_rate, mix_copies, mix_copy (from 0) and mix_key (a random number that orders the global shuffle). Rows with equal
     id and text draw equal counts. Null ids, texts and sources are values like others. Columns of these names in docs are replaced.
     """
     names = [c for c in docs.columns if c not in ("mix_rate", "mix_copies", "mix_copy", "mix_key")]
     r = rates(docs, weights, alpha, epochs).select(F.col("source_key").alias("__key"), F.col("rate").alias("mix_rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     rows = docs.select(*names).withColumn("__key", F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("n")))
     rows = rows.join(r, "__key").withColumn("__id", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")))))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + F.size(F.filter("__cdf", lambda c: c <= unit(seed, "n", "__id", i.cast("string")))))
-    one = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    rows = rows.withColumn("__u", unit(seed, "n", "__id", F.lit("1"))).withColumn("mix_copies", F.when(F.col("__parts") == 1, one).otherwise(drawn))
+    # the number of cdf entries up to u; u stands in the fold's start, so that it is hashed once
+    below = lambda u: F.aggregate("__cdf", F.struct(u.alias("u"), F.lit(0).alias("n")), lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + (c <= s["u"]).cast("int")).alias("n")), lambda s: s["n"])
+    many = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + below(unit(seed, "n", "__id", i.cast("string"))))
+    rows = rows.withColumn("mix_copies", F.when(F.col("__parts") == 1, below(unit(seed, "n", "__id", F.lit("1")))).otherwise(many))
     rows = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     rows = rows.withColumn("mix_key", unit(seed, "o", "__id", F.col("mix_copy").cast("string")))
     return rows.select(*names, "mix_rate", "mix_copies", "mix_copy", "mix_key")
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
-    """The global shuffle: copies range-partitioned and sorted by their random key (ties by id and copy)."""
-    return mixed.orderBy("mix_key", "doc_id", "mix_copy")
+    """The global shuffle: copies are dealt to partitions by the hash of their random key and sorted by it (ties by id and copy).
+
+    No range boundaries are sampled, so texts are read and moved once.
+    """
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartition(n, "mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
