@@ -1,4 +1,517 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries of the engine and, where SQL can express them, their DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import minhash as M
+from ..functions import text as T
+from ..functions.decay import decay_days, decay_frac
+from ..operators import dedup, evaluation, evidence, extraction, lifecycle, retrieval, supply
+from ..sources import readers
+from .tables import NOW, audit, memories, observations, table, with_sql
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+_STRIP = "regexp_replace(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '[。．.!！?？;；,，:：]+$', '')"
+NORM = _STRIP.format(c="content")
+HASH = f"sha256({NORM})"
+DECAY = "greatest(0.05, least(1.0, least(1.0, greatest(0.0, salience)) * exp(-0.01 * d) + 0.3 * ln(1 + greatest(0, access_count)) / (1.0 + d)))"
+DAYS = f"floor(greatest(0, {NOW} - last_seen_at) / 86400.0)"
+QUERY_WORDS = 6
+_FOLDED = f"translate(lower({{c}}), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+
+
+def query(sql: str | None = None, recursive: bool = False, **extra: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = with_sql(sql, recursive, **extra)
+        return f
+
+    return add
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """The leading words of every benchmark item as a query."""
+    words = F.slice(F.split(F.trim("text"), "\\s+"), 1, QUERY_WORDS)
+    return table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
+
+
+QUESTIONS_SQL = f"SELECT item_id AS qid, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, {QUERY_WORDS}), ' ') AS query FROM benchmark WHERE text IS NOT NULL"
+
+
+def _hashed(mem: DataFrame) -> DataFrame:
+    return mem.withColumn("content_hash", T.content_hash(F.col("content")))
+
+
+# ---- text ------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {HASH} AS content_hash, project, min(id) AS first_id, count(*) AS copies, max(salience) AS salience FROM memories GROUP BY ALL")
+def content_hash_dedup(spark, d):
+    m = _hashed(memories(spark, d))
+    return m.groupBy("content_hash", "project").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("salience").alias("salience"))
+
+
+def _scrub_sql() -> str:
+    c = "coalesce(text, '')"
+    for p, to in T.SCRUB:
+        c = f"regexp_replace({c}, '{p}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return f"SELECT doc_id, md5({c}) AS scrubbed_md5, length({c}) AS n FROM documents"
+
+
+@query(_scrub_sql())
+def secret_scrub(spark, d):
+    t = T.scrub(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("scrubbed_md5"), F.length(t).cast("bigint").alias("n"))
+
+
+_NEG = " + ".join(f"(length(lower(content)) - length(replace(lower(content), '{w.replace(chr(39), chr(39) * 2)}', ''))) // {len(w)}" for w in T.NEGATIONS)
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '[0-9]+'))), ',') AS digit_runs, ({_NEG})::INTEGER AS negations FROM memories")
+def merge_guards(spark, d):
+    c = F.col("content")
+    return memories(spark, d).select("id", F.array_join(F.array_sort(T.digits(c)), ",").alias("digit_runs"), T.negation_count(c).alias("negations"))
+
+
+@query(f"SELECT id, len(regexp_extract_all({_FOLDED.format(c='content')}, '\\p{{Han}}+|[\\p{{L}}\\p{{Nd}}]+'))::INTEGER AS n_terms, len(list_distinct(regexp_extract_all({_FOLDED.format(c='content')}, '\\p{{Han}}+|[\\p{{L}}\\p{{Nd}}]+')))::INTEGER AS n_distinct FROM memories")
+def index_term_counts(spark, d):
+    t = memories(spark, d).select("id", T.index_terms(F.col("content")).alias("t"))
+    return t.select("id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query()
+def query_analysis(spark, d):
+    q = F.col("query")
+    return _questions(spark, d).select("qid", T.query_gate(q).alias("gate"), T.wants_deep(q).alias("deep"), F.array_join(T.identifiers(q), " ").alias("identifiers"), F.array_join(T.query_terms(q), " ").alias("terms"))
+
+
+# ---- retrieval -------------------------------------------------------------------------------------
+
+_TOK = f"regexp_extract_all({_FOLDED.format(c='content')}, '[\\p{{L}}\\p{{Nd}}]+')"
+_BM25 = {
+    "q": QUESTIONS_SQL,
+    "toks": f"SELECT id, {_TOK} AS t FROM memories",
+    "stats": "SELECT count(*)::DOUBLE AS n_docs, avg(len(t)) AS avg_len FROM toks",
+    "ph": f"SELECT qid, unnest(regexp_extract_all({_FOLDED.format(c='query')}, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM q",
+    "posts": "SELECT id, len(t) AS len, unnest(t) AS term FROM toks",
+    "words": "SELECT DISTINCT w FROM ph",
+    "tf": "SELECT w, id, any_value(len) AS len, count(*) AS f FROM posts JOIN words ON starts_with(term, w) GROUP BY w, id",
+    "dfs": "SELECT w, count(*) AS df FROM tf GROUP BY w",
+    "part": "SELECT tf.w, id, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len)) AS s FROM tf JOIN dfs USING (w), stats",
+    "hits": "SELECT qid, id, -sum(s) AS bm25 FROM ph JOIN part USING (w) GROUP BY qid, id",
+}
+
+
+def _chain(name: str, body: str, **more: str) -> None:
+    ctes = {"memories": None} | _BM25 | more
+    from .tables import MEMORIES
+
+    ctes["memories"] = MEMORIES
+    ORACLES[name] = ("WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + " " + body).replace("STRING", "VARCHAR")
+
+
+@query()
+def bm25_topk(spark, d):
+    hits = retrieval.bm25(memories(spark, d).select("id", "content"), _questions(spark, d))
+    return retrieval.top(hits, 10, F.round("bm25", 9), F.col("id")).select("qid", "id", "rank", F.round("bm25", 6).alias("bm25"))
+
+
+_chain("bm25_topk", "SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9), id)::INTEGER AS rank, round(bm25, 6) AS bm25 FROM hits) WHERE rank <= 10")
+
+
+@query()
+def rrf_fused_search(spark, d):
+    m = memories(spark, d)
+    decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
+    out = retrieval.fused(m, _questions(spark, d), decayed, retrieval.visible(NOW))
+    return out.withColumn("score", F.round("score", 9)).drop("precise", "broad", "fuzzy")
+
+
+@query()
+def observation_search(spark, d):
+    q = _questions(spark, d)
+    return retrieval.observation_search(observations(spark, d), q).withColumn("bm25", F.round("bm25", 6))
+
+
+@query()
+def layered_search(spark, d):
+    hits = retrieval.bm25(memories(spark, d).select("id", "content"), _questions(spark, d))
+    return retrieval.interleave(retrieval.top(hits, 10, F.col("bm25"), F.col("id")), retrieval.observation_search(observations(spark, d), _questions(spark, d)), 10)
+
+
+_VISIBLE = f"(expires_at IS NULL OR expires_at > {NOW}) AND superseded_by IS NULL"
+
+
+@query(f"SELECT id, kind, project, salience, last_seen_at FROM memories WHERE {_VISIBLE} AND project IN ('src1', '') ORDER BY salience DESC, last_seen_at DESC, updated_at DESC, id LIMIT 50")
+def scope_visibility_list(spark, d):
+    return retrieval.listing(memories(spark, d), NOW, "current", "src1", "all", 50).select("id", "kind", "project", "salience", "last_seen_at")
+
+
+_TAGS = "SELECT id AS memory_id, 'area' AS key, 'a' || (id % 4) AS value FROM memories UNION ALL SELECT id, 'lang', 'l' || (id % 3) FROM memories"
+
+
+def _tags(m: DataFrame) -> DataFrame:
+    tag = lambda k, p, n: m.select(F.col("id").alias("memory_id"), F.lit(k).alias("key"), F.concat(F.lit(p), (F.col("id") % n).cast("string")).alias("value"))
+    return tag("area", "a", 4).unionByName(tag("lang", "l", 3))
+
+
+@query("SELECT id, kind, project FROM memories WHERE EXISTS (SELECT 1 FROM tags WHERE memory_id = id AND key = 'area' AND value = 'a1') AND EXISTS (SELECT 1 FROM tags WHERE memory_id = id AND key = 'lang' AND value = 'l2')", tags=_TAGS)
+def tag_filtered_list(spark, d):
+    m = memories(spark, d)
+    return retrieval.with_tags(m, _tags(m), {"area": "a1", "lang": "l2"}).select("id", "kind", "project")
+
+
+@query("SELECT p.prefix, count(m.id) AS n, CASE WHEN max((m.id::VARCHAR = p.prefix)::INT) = 1 THEN p.prefix WHEN count(m.id) = 1 THEN min(m.id::VARCHAR) END AS id, CASE WHEN max((m.id::VARCHAR = p.prefix)::INT) = 1 THEN 'exact' WHEN count(m.id) = 1 THEN 'unique' WHEN count(m.id) = 0 THEN 'none' ELSE 'ambiguous' END AS state FROM (SELECT (doc_id % 130)::VARCHAR AS prefix FROM documents UNION SELECT 'x') p LEFT JOIN memories m ON starts_with(m.id::VARCHAR, p.prefix) GROUP BY p.prefix")
+def id_prefix_resolution(spark, d):
+    want = table(spark, d, "documents").select((F.col("doc_id") % 130).cast("string").alias("prefix")).distinct().union(spark.range(1).select(F.lit("x")))
+    return retrieval.resolve_prefix(memories(spark, d), want)
+
+
+@query("SELECT id, file, line FROM (SELECT id, project, created_at, 'f' || (id % 9) || '.md' AS file, CASE WHEN id % 7 <> 0 THEN id % 50 END AS line FROM memories WHERE id % 10 <> 0) WHERE file IN ('f1.md', 'f4.md') ORDER BY project, line NULLS FIRST, created_at DESC, id LIMIT 200")
+def assets_by_file(spark, d):
+    prov = F.when(F.col("id") % 10 == 0, "not json").otherwise(F.to_json(F.struct(F.concat(F.lit("f"), (F.col("id") % 9).cast("string"), F.lit(".md")).alias("file"), F.when(F.col("id") % 7 != 0, F.col("id") % 50).alias("line"))))
+    return retrieval.assets_by_file(memories(spark, d).withColumn("provenance", prov), ["f1.md", "f4.md"]).select("id", "file", "line")
+
+
+@query("SELECT qid, CASE WHEN len(more) > 0 THEN query || ' ' || array_to_string(more, ' ') ELSE query END AS query FROM (SELECT q.qid, q.query, list_sort(list_distinct(list(s.standard) FILTER (WHERE s.standard IS NOT NULL AND NOT contains(lower(q.query), s.standard)))) AS more FROM q LEFT JOIN s ON contains(lower(q.query), s.alias) GROUP BY ALL)", q=QUESTIONS_SQL, s="SELECT * FROM (VALUES ('the', 'article'), ('of', 'origin'), ('de', 'article'), ('zu', 'towards')) t(alias, standard)")
+def synonym_expansion(spark, d):
+    lines = spark.createDataFrame([(0, "# words"), (1, "article = the, de"), (2, "origin = of"), (3, "! off = and"), (4, "towards = zu"), (5, "[other]"), (6, "never = a")], "line int, value string")
+    return retrieval.expand(_questions(spark, d).withColumn("project", F.lit("src1")), readers.parse_synonyms(lines)).select("qid", "query")
+
+
+# ---- lifecycle -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT id, round({DECAY}, 9) AS decayed, round({DECAY.replace('* d)', '* x)').replace('+ d)', '+ x)')}, 9) AS decayed_frac FROM (SELECT *, {DAYS} AS d, greatest(0, {NOW} - last_seen_at) / 86400.0 AS x FROM memories)")
+def decay_ranking(spark, d):
+    args = (F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW)
+    return memories(spark, d).select("id", F.round(decay_days(*args), 9).alias("decayed"), F.round(decay_frac(*args), 9).alias("decayed_frac"))
+
+
+@query(f"SELECT id, CASE WHEN expires_at <= {NOW} THEN 'expired' WHEN last_seen_at < {NOW} - 30 * 86400 AND {DECAY} < 0.2 THEN 'decayed' ELSE 'kept' END AS fate FROM (SELECT *, {DAYS} AS d FROM memories)")
+def gc_memories(spark, d):
+    return lifecycle.gc_memories(memories(spark, d), NOW).select("id", "fate")
+
+
+_REF = "SELECT id AS obs_id FROM observations WHERE id % 9 = 0"
+
+
+@query(f"SELECT id, session_id, created_at FROM observations WHERE id IN (SELECT obs_id FROM refs) UNION ALL SELECT * FROM (SELECT id, session_id, created_at FROM observations WHERE id NOT IN (SELECT obs_id FROM refs) AND created_at >= {NOW} - 40 * 86400 ORDER BY created_at DESC, id DESC LIMIT 300)", refs=_REF)
+def gc_observations(spark, d):
+    o = observations(spark, d)
+    return lifecycle.gc_observations(o, o.where("id % 9 = 0").select(F.col("id").alias("obs_id")), NOW, 40 * 86400, 300).select("id", "session_id", "created_at")
+
+
+_CAND = "SELECT id, CASE id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS status, project, created_at, CASE WHEN id % 3 <> 0 THEN created_at + 86400 END AS decided_at FROM memories"
+
+
+def _cands(m: DataFrame) -> DataFrame:
+    return m.select("id", F.when(F.col("id") % 3 == 0, "pending").when(F.col("id") % 3 == 1, "accepted").otherwise("rejected").alias("status"), "project", "created_at", F.when(F.col("id") % 3 != 0, F.col("created_at") + 86400).alias("decided_at"))
+
+
+@query(f"SELECT id, CASE WHEN status = 'pending' AND created_at < {NOW} - 14 * 86400 THEN 'expired' ELSE status END AS status FROM cand WHERE NOT (status = 'accepted' AND decided_at < {NOW} - 90 * 86400)", cand=_CAND)
+def gc_candidates(spark, d):
+    return lifecycle.gc_candidates(_cands(memories(spark, d)), NOW).select("id", "status")
+
+
+@query("SELECT project, count(*) AS pending, max(count(*)) OVER () AS most FROM cand WHERE status = 'pending' GROUP BY project", cand=_CAND)
+def pending_by_project(spark, d):
+    p = _cands(memories(spark, d)).where("status = 'pending'").groupBy("project").agg(F.count("*").alias("pending"))
+    return p.join(F.broadcast(p.agg(F.max("pending").alias("most"))))
+
+
+_SIDES = {
+    "base": f"SELECT *, {HASH} AS content_hash FROM memories",
+    "loc": "SELECT content_hash, project, min(id) AS id, min(content) AS content, max(salience) AS salience, max(access_count) AS access_count, max(updated_at) AS updated_at, max(last_seen_at) AS last_seen_at, min(created_at) AS created_at, min(kind) AS kind, max(expires_at) AS expires_at FROM base WHERE id % 3 <> 0 GROUP BY 1, 2",
+    "rem": "SELECT content_hash, project, min(id) AS id, min(content) AS content, max(salience) / 2 AS salience, max(access_count) + 1 AS access_count, max(updated_at) + min(id) % 7 - 3 AS updated_at, max(last_seen_at) AS last_seen_at, min(created_at) AS created_at, max(kind) AS kind, max(expires_at) AS expires_at FROM base WHERE id % 3 <> 1 GROUP BY 1, 2",
+}
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    b = _hashed(memories(spark, d))
+    agg = lambda df, sal, acc, upd, kind: df.groupBy("content_hash", "project").agg(F.min("id").alias("id"), F.min("content").alias("content"), sal.alias("salience"), acc.alias("access_count"), upd.alias("updated_at"), F.max("last_seen_at").alias("last_seen_at"), F.min("created_at").alias("created_at"), kind.alias("kind"), F.max("expires_at").alias("expires_at"))
+    return agg(b.where("id % 3 <> 0"), F.max("salience"), F.max("access_count"), F.max("updated_at"), F.min("kind")), agg(b.where("id % 3 <> 1"), F.max("salience") / 2, F.max("access_count") + 1, F.max("updated_at") + F.min("id") % 7 - 3, F.max("kind"))
+
+
+@query("SELECT content_hash, project, arg_min(content, side) AS content, min(kind) AS kind, max(salience) AS salience, max(access_count) AS access_count, max(updated_at) AS updated_at, max(last_seen_at) AS last_seen_at, min(created_at) AS created_at, CASE WHEN count(*) = count(expires_at) THEN max(expires_at) END AS expires_at FROM (SELECT *, 0 AS side FROM loc UNION ALL SELECT *, 1 FROM rem) GROUP BY 1, 2", **_SIDES)
+def import_lattice_merge(spark, d):
+    return lifecycle.import_merge(*_sides(spark, d))
+
+
+@query("SELECT content_hash, project, v AS verdict, CASE WHEN v = 'remote' THEN rc ELSE lc END AS content, CASE WHEN v = 'local' THEN ls ELSE greatest(ls, rs) END AS salience, CASE WHEN v = 'local' THEN la ELSE greatest(la, ra) END AS access_count FROM (SELECT content_hash, project, l.content AS lc, r.content AS rc, l.salience AS ls, r.salience AS rs, l.access_count AS la, r.access_count AS ra, CASE WHEN l.updated_at IS NULL OR r.updated_at - l.updated_at > 2 THEN 'remote' WHEN r.updated_at IS NULL OR r.updated_at - l.updated_at < -2 THEN 'local' ELSE 'conflict' END AS v FROM loc l FULL JOIN rem r USING (content_hash, project))", **_SIDES)
+def sync_three_way(spark, d):
+    return lifecycle.sync_merge(*_sides(spark, d))
+
+
+@query(f"SELECT content_hash, project, coalesce(l.id, r.id) AS id, coalesce(r.content, l.content) AS content, CASE WHEN r.id IS NOT NULL THEN r.expires_at ELSE l.expires_at END AS expires_at, greatest(l.salience, r.salience) AS salience, CASE WHEN r.id IS NULL THEN l.access_count WHEN l.id IS NULL THEN 0 ELSE l.access_count + 1 END AS access_count, CASE WHEN r.id IS NOT NULL THEN {NOW} ELSE l.updated_at END AS updated_at, coalesce(l.kind, r.kind) AS kind FROM loc l FULL JOIN rem r USING (content_hash, project)", **_SIDES)
+def upsert_memories(spark, d):
+    loc, rem = (s.withColumns({c: F.lit("") for c in ("channel", "origin_tool", "source", "provenance")}) for s in _sides(spark, d))
+    return lifecycle.upsert(loc, rem, NOW).select("content_hash", "project", "id", "content", "expires_at", "salience", "access_count", "updated_at", "kind")
+
+
+@query("SELECT m.id, m.content_hash, t.content_hash AS superseded_hash, (SELECT string_agg(key || '=' || value, ';' ORDER BY key, value) FROM tags WHERE memory_id = m.id) AS tag_list FROM base m LEFT JOIN base t ON m.superseded_by = t.id", tags=_TAGS, base=_SIDES["base"])
+def export_records(spark, d):
+    m = _hashed(memories(spark, d))
+    e = lifecycle.export_records(m, _tags(m))
+    flat = F.flatten(F.transform(F.map_entries("tags"), lambda kv: F.transform(kv["value"], lambda v: F.concat(kv["key"], F.lit("="), v))))
+    return e.select("id", "content_hash", F.col("superseded.hash").alias("superseded_hash"), F.array_join(flat, ";").alias("tag_list"))
+
+
+@query("SELECT session_id, id, place FROM (SELECT session_id, id, created_at, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS back, count(*) OVER (PARTITION BY session_id) AS n, (least(n, 3) - back + 1)::INTEGER AS place FROM observations) WHERE back <= 3")
+def newest_observations(spark, d):
+    return lifecycle.newest(observations(spark, d), "session_id", 3).select("session_id", "id", "place")
+
+
+@query()
+def consolidate_survivors(spark, d):
+    return dedup.consolidate(memories(spark, d))
+
+
+@query()
+def minhash_near_pairs(spark, d):
+    return dedup.near_pairs(memories(spark, d))
+
+
+@query("SELECT term, count(*) AS freq FROM (SELECT DISTINCT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM toks) GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 200", toks=_BM25["toks"])
+def lexicon_bigrams(spark, d):
+    return dedup.lexicon_bigrams(memories(spark, d))
+
+
+# ---- evaluation ------------------------------------------------------------------------------------
+
+_LIVE = "NOT suppressed"
+_WRITE = "event IN ('manual-add', 'manual-forget')"
+_SUMMARY = f"""count(*) AS total, count(*) FILTER (empty) AS empty, count(*) FILTER (empty) / count(*) AS empty_rate, avg(ms) AS avg_ms, count(*) FILTER (trim(query) <> '') AS with_query, count(*) FILTER (suppressed) AS suppressed,
+ count(*) FILTER ({_LIVE} AND event NOT IN ('accept', 'reject', 'distill', 'manual-add', 'manual-forget', 'obs-append', 'post-tool-use', 'stop', 'session-end')) AS retrievals, count(*) FILTER ({_LIVE} AND ({_WRITE} OR event = 'accept')) AS writes,
+ count(*) FILTER ({_LIVE} AND event = 'obs-append') AS observations, count(*) FILTER ({_LIVE} AND event = 'distill' AND mode = 'ok') AS distill_ok, count(*) FILTER ({_LIVE} AND event = 'distill' AND mode = 'fail') AS distill_fail,
+ count(*) FILTER ({_LIVE} AND event = 'accept') AS accepts, count(*) FILTER ({_LIVE} AND event = 'reject') AS rejects, count(*) FILTER ({_LIVE} AND (({_WRITE} AND mode = 'create') OR event = 'accept')) AS creates, count(*) FILTER ({_LIVE} AND {_WRITE} AND mode = 'overwrite') AS overwrites"""
+
+
+@query(f"SELECT project, {_SUMMARY} FROM audit GROUP BY project")
+def audit_summary(spark, d):
+    return evaluation.audit_summary(audit(spark, d), "project")
+
+
+_SEEN = "(observations > 0 OR distill_ok > 0 OR distill_fail > 0)"
+
+
+@query(f"SELECT session_id, retrievals, writes, CASE WHEN total = 0 THEN 'unused' WHEN retrievals = 0 AND writes = 0 AND accepts = 0 AND {_SEEN} THEN 'observed_not_accepted' WHEN retrievals = 0 THEN 'write_only' WHEN writes = 0 AND accepts = 0 AND {_SEEN} THEN 'read_only_observed' WHEN writes = 0 THEN 'read_only' ELSE 'both' END AS verdict FROM (SELECT session_id, {_SUMMARY} FROM audit WHERE ts >= TIMESTAMP '2024-01-25' GROUP BY session_id)")
+def activity_verdict(spark, d):
+    recent = evaluation.activity(audit(spark, d), since=F.lit("2024-01-25").cast("timestamp"))
+    return evaluation.activity_verdict(evaluation.audit_summary(recent, "session_id")).select("session_id", "retrievals", "writes", "verdict")
+
+
+@query("SELECT query, min(event_id) AS first FROM audit WHERE empty AND trim(query) <> '' GROUP BY query ORDER BY first LIMIT 10")
+def empty_queries(spark, d):
+    return evaluation.empty_queries(audit(spark, d), 10)
+
+
+@query("SELECT r.rule, r.value, r.status FROM (SELECT unnest([{'rule': 'R1', 'value': n, 'status': CASE WHEN n >= 1 THEN 'PASS' ELSE 'FAIL' END}, {'rule': 'R3', 'value': ms, 'status': CASE WHEN ms IS NULL THEN 'INFO' WHEN ms < 50 THEN 'PASS' WHEN ms <= 200 THEN 'WARN' ELSE 'FAIL' END}, {'rule': 'R4', 'value': adds, 'status': CASE WHEN adds >= 1 THEN 'PASS' ELSE 'WARN' END}, {'rule': 'R5', 'value': obs, 'status': CASE WHEN obs >= 1 THEN 'PASS' ELSE 'WARN' END}, {'rule': 'R12', 'value': fails, 'status': CASE WHEN fails < 1 THEN 'PASS' WHEN fails <= 3 THEN 'WARN' ELSE 'FAIL' END}, {'rule': 'R13', 'value': inject, 'status': CASE WHEN inject IS NULL THEN 'INFO' WHEN inject < 3601 THEN 'PASS' WHEN inject <= 8000 THEN 'WARN' ELSE 'FAIL' END}]) AS r FROM (SELECT count(*) AS n, floor(avg(ms) FILTER (event IN ('prompt-submit', 'session-start')))::BIGINT AS ms, count(*) FILTER (event = 'manual-add') AS adds, count(*) FILTER (event = 'obs-append') AS obs, count(*) FILTER (event = 'distill' AND mode = 'fail') AS fails, (max(inject_bytes) FILTER (event IN ('prompt-submit', 'session-start', 'pre-compact')))::BIGINT AS inject FROM audit))")
+def ops_rules(spark, d):
+    return evaluation.ops_rules(audit(spark, d))
+
+
+@query("SELECT a.project, n, empty, floor((n - empty) * 100 / n)::BIGINT AS rate, CASE WHEN coalesce(size, 0) < 20 THEN 'COLD' WHEN floor((n - empty) * 100 / n) >= 30 THEN 'PASS' WHEN floor((n - empty) * 100 / n) >= 10 THEN 'WARN' ELSE 'FAIL' END AS status FROM (SELECT project, count(*) AS n, count(*) FILTER (empty) AS empty FROM audit WHERE event = 'prompt-submit' GROUP BY project) a LEFT JOIN (SELECT project, count(*) AS size FROM (SELECT 'p' || (id % 9) AS project FROM memories WHERE id % 9 <> 2) GROUP BY project) l ON a.project = l.project")
+def hit_rate_by_project(spark, d):
+    lib = memories(spark, d).where("id % 9 <> 2").select(F.concat(F.lit("p"), (F.col("id") % 9).cast("string")).alias("project"))
+    return evaluation.hit_rate(audit(spark, d), lib)
+
+
+@query(f"SELECT 'total' AS grp, 'total' AS name, count(*) AS n FROM memories UNION ALL SELECT 'total', 'live', count(*) FROM memories WHERE superseded_by IS NULL UNION ALL SELECT 'total', 'superseded', count(*) FROM memories WHERE superseded_by IS NOT NULL UNION ALL SELECT 'total', 'expired', count(*) FROM memories WHERE expires_at <= {NOW} UNION ALL SELECT 'kind', kind, count(*) FROM memories GROUP BY kind UNION ALL SELECT 'project', CASE WHEN project = '' THEN '(global)' ELSE project END, count(*) FROM memories GROUP BY 2")
+def library_stats(spark, d):
+    return evaluation.library_stats(memories(spark, d), NOW)
+
+
+@query("SELECT DISTINCT kind, project FROM memories WHERE adopted_count > 0")
+def adopted_subjects(spark, d):
+    return memories(spark, d).where("adopted_count > 0").select("kind", "project").distinct()
+
+
+def _gold(spark, d) -> DataFrame:
+    """Documents that hold a benchmark passage word for word, by the first 12 marks of their hash."""
+    doc = _hashed(memories(spark, d)).select("content_hash", "content")
+    b = table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), "text")
+    return doc.join(F.broadcast(b) if b.count() <= retrieval.BROADCAST_ROWS else b, F.contains("content", "text")).select("qid", F.substring("content_hash", 1, 12).alias("prefix")).distinct()
+
+
+@query()
+def recall_at_k(spark, d):
+    m = _hashed(memories(spark, d))
+    hits = retrieval.top(retrieval.bm25(m.select("id", "content"), _questions(spark, d)), 10, F.round("bm25", 9), F.col("id"))
+    ranked = hits.join(m.select("id", F.col("content_hash").alias("hash")), "id").select("qid", "hash", "rank")
+    return evaluation.recall_at_k(ranked, _gold(spark, d), 10).withColumns({"recall": F.round("recall", 9), "rr": F.round("rr", 9)})
+
+
+_chain(
+    "recall_at_k",
+    "SELECT g.qid, g.n_gold, coalesce(h.hits, 0) AS hits, round(coalesce(h.hits, 0) / g.n_gold, 9) AS recall, round(coalesce(1.0 / h.first, 0), 9) AS rr, coalesce(h.found, 0) = g.n_gold AS strict FROM (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid) g LEFT JOIN (SELECT r.qid, count(DISTINCT rank) AS hits, min(rank) AS first, count(DISTINCT prefix) AS found FROM ranked r JOIN gold ON r.qid = gold.qid AND starts_with(r.hash, gold.prefix) GROUP BY r.qid) h ON g.qid = h.qid",
+    hashed=f"SELECT id, content, {HASH} AS hash FROM memories",
+    gold="SELECT DISTINCT item_id AS qid, substr(hash, 1, 12) AS prefix FROM hashed JOIN benchmark ON contains(content, text)",
+    ranked="SELECT qid, hash, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9), id) AS rank FROM hits) JOIN hashed USING (id) WHERE rank <= 10",
+)
+
+
+@query()
+def retrieval_quality(spark, d):
+    return evaluation.macro(recall_at_k(spark, d))
+
+
+@query()
+def self_recall(spark, d):
+    """Each benchmark item's text, first 60 % of its characters, as a query for itself among the benchmark items."""
+    b = table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    q = b.select(F.col("id").alias("qid"), F.when(F.length("content") > 12, F.expr("substring(content, 1, cast(length(content) * 0.6 as int))")).otherwise(F.col("content")).alias("query"))
+    return retrieval.top(retrieval.bm25(b, q), 5, F.round("bm25", 9), F.col("id")).select("qid", "id", "rank", (F.col("qid") == F.col("id")).alias("own"))
+
+
+# ---- supply ----------------------------------------------------------------------------------------
+
+
+def _trace(spark, d) -> DataFrame:
+    m, q = memories(spark, d), _questions(spark, d)
+    decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
+    hits = retrieval.fused(m, q, decayed, retrieval.visible(NOW), 24)
+    subjects = m.where("adopted_count > 3").select("kind", "project").distinct().withColumn("subject", F.lit(True))
+    hits = hits.join(m.select("id", "content", "kind", "project"), "id").join(q, "qid").join(subjects, ["kind", "project"], "left")
+    return supply.supply(hits.withColumn("q_project", F.lit("src1")).withColumn("noted", (F.col("kind") == "rule") & (F.col("id") % 4 == 0)))
+
+
+@query()
+def supply_selection(spark, d):
+    return _trace(spark, d).drop("line")
+
+
+@query()
+def supply_outcomes(spark, d):
+    return supply.outcomes(_trace(spark, d), _questions(spark, d))
+
+
+@query("SELECT project, content, id, length(content) + 1 AS cost FROM (SELECT *, sum(length(content) + 1) OVER (ORDER BY project, content, id ROWS UNBOUNDED PRECEDING) AS total FROM memories WHERE kind = 'rule' OR (project = '' AND salience >= 0.8)) WHERE total <= 2048")
+def notes_budget(spark, d):
+    return supply.notes(memories(spark, d)).withColumn("cost", F.col("cost").cast("bigint"))
+
+
+# ---- evidence --------------------------------------------------------------------------------------
+
+_EVID = "SELECT event_id AS ord, user_id AS source_id, 1 AS generation, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 211 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'u' || (event_id // 2) END AS event_uid, 'a' || (event_id % 17) AS archive, (event_id % 3000)::BIGINT AS bytes FROM events"
+
+
+def _evid(spark, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) + F.when(F.col("event_id") % 211 == 0, 1).otherwise(0)
+    uid = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("u"), F.expr("event_id div 2").cast("string")))
+    return e.select(F.col("event_id").alias("ord"), F.col("user_id").alias("source_id"), F.lit(1).alias("generation"), seq.cast("bigint").alias("seq"), uid.alias("event_uid"), F.concat(F.lit("a"), (F.col("event_id") % 17).cast("string")).alias("archive"), (F.col("event_id") % 3000).cast("bigint").alias("bytes"))
+
+
+@query("SELECT ord, source_id, seq, event_uid FROM (SELECT *, row_number() OVER (PARTITION BY source_id, generation, seq ORDER BY ord) AS r FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN event_uid <> '' THEN event_uid ELSE '#' || ord END ORDER BY ord) AS u FROM evid) WHERE u = 1) WHERE r = 1", evid=_EVID)
+def exactly_once_capture(spark, d):
+    return evidence.exactly_once(_evid(spark, d)).select("ord", "source_id", "seq", "event_uid")
+
+
+@query("SELECT ord, source_id, seq, CASE WHEN seq = row_number() OVER (PARTITION BY source_id, generation ORDER BY seq, ord) THEN 'accepted' ELSE 'gap' END AS state FROM (SELECT * FROM evid WHERE ord % 97 <> 0)", evid=_EVID.replace(" + CASE WHEN event_id % 211 = 0 THEN 1 ELSE 0 END", ""))
+def sequence_gaps(spark, d):
+    from pyspark.sql import Window
+
+    e = _evid(spark, d).withColumn("seq", F.row_number().over(Window.partitionBy("source_id").orderBy("ord")).cast("bigint"))
+    return evidence.sequence_check(e.where("ord % 97 <> 0")).select("ord", "source_id", "seq", "state")
+
+
+@query("SELECT source_id, min(seq) AS from_seq, max(seq) AS to_seq, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM (SELECT *, row_number() OVER w AS pos, sum(bytes) OVER w AS total FROM evid WHERE seq > source_id % 5 WINDOW w AS (PARTITION BY source_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE seq - source_id % 5 = pos AND pos <= 50 AND (total <= 65536 OR pos = 1) GROUP BY source_id", evid=_EVID.replace(" + CASE WHEN event_id % 211 = 0 THEN 1 ELSE 0 END", ""))
+def bundle_windows(spark, d):
+    from pyspark.sql import Window
+
+    e = _evid(spark, d).withColumn("seq", F.row_number().over(Window.partitionBy("source_id").orderBy("ord")).cast("bigint"))
+    return evidence.bundles(e.withColumn("cursor", F.col("source_id") % 5))
+
+
+@query("SELECT source_id, list_reduce(list_prepend('', list(event_uid || chr(10) || archive || chr(10) || seq ORDER BY seq, event_uid, archive)), lambda tip, e: sha256(tip || chr(10) || e)) AS tip FROM evid GROUP BY source_id", evid=_EVID)
+def rolling_hash_chain(spark, d):
+    return evidence.hash_chain(_evid(spark, d))
+
+
+@query("SELECT key, unnest(got) AS ts FROM (SELECT key, list_filter(list_reduce(list_prepend([]::BIGINT[], list_transform(list(ts ORDER BY ts), lambda t: [t])), lambda s, t: CASE WHEN len(s) = 0 OR s[-1] < t[1] - 36000 THEN list_concat(s, t) ELSE s END), lambda x: true) AS got FROM (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS ts FROM events) GROUP BY key)")
+def claim_windows(spark, d):
+    return evidence.claims(table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.date_trunc("second", F.col("ts"))).alias("ts")), 36000)
+
+
+_ITEMS = "SELECT id AS candidate_id, CASE WHEN (id + k) % 4 = 0 THEN '' ELSE 'e' || (id + k) END AS event_uid, 'v' || k AS evidence_id, CASE WHEN (id + k) % 3 = 0 THEN '' ELSE 's' || k END AS archive, CASE (id + k) % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'error' WHEN 2 THEN 'resolution' WHEN 3 THEN 'odd' ELSE 'direct' END AS role, k AS seq FROM memories, (VALUES (0), (1), (2)) t(k) WHERE id % 6 <> k * 2"
+_ROLE = "CASE WHEN role IN ('direct', 'error', 'resolution') THEN role ELSE 'context' END"
+_GRADE = "CASE WHEN event_uid <> '' AND archive <> '' THEN 'A' WHEN event_uid <> '' OR archive <> '' THEN 'B' ELSE 'C' END"
+
+
+def _items(m: DataFrame) -> DataFrame:
+    k = m.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("id % 6 <> k * 2")
+    s = F.col("id") + F.col("k")
+    txt = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    role = F.when(s % 5 == 1, "error").when(s % 5 == 2, "resolution").when(s % 5 == 3, "odd").otherwise("direct")
+    return k.select(F.col("id").alias("candidate_id"), F.when(s % 4 == 0, "").otherwise(txt("e", s)).alias("event_uid"), txt("v", F.col("k")).alias("evidence_id"), F.when(s % 3 == 0, "").otherwise(txt("s", F.col("k"))).alias("archive"), role.alias("role"), F.col("k").alias("seq"), s.alias("occurred_at"))
+
+
+@query(
+    f"""SELECT id, action, reasons, coalesce(h, sha256('')) AS evidence_hash, sha256(id || '|' || (id % 3) || '|' || action || '|' || coalesce(h, sha256(''))) AS idempotency_key FROM (SELECT *, split_part(v, ':', 1) AS action, split_part(v, ':', 2) AS reasons FROM (SELECT m.id, h, CASE
+ WHEN kind IN ('decision', 'preference', 'rule') THEN 'human_accept:manual_kind' WHEN m.id % 23 = 0 THEN 'human_accept:global_scope' WHEN kind = 'fact' AND project = '' THEN 'human_accept:project_missing' WHEN kind = 'fact' AND da THEN 'auto_commit:auto_eligible'
+ WHEN kind = 'fact' AND n IS NULL THEN 'defer:missing_evidence' WHEN kind = 'fact' AND NOT di THEN 'defer:missing_direct_evidence' WHEN kind = 'fact' THEN 'defer:grade_below_a'
+ WHEN kind = 'pitfall' AND NOT coalesce(er, false) AND NOT coalesce(re, false) THEN 'defer:pitfall_missing_error,pitfall_missing_resolution' WHEN kind = 'pitfall' AND NOT er THEN 'defer:pitfall_missing_error' WHEN kind = 'pitfall' AND NOT re THEN 'defer:pitfall_missing_resolution'
+ WHEN kind = 'pitfall' AND (NOT eb OR NOT rb) THEN 'defer:pitfall_weak_evidence' WHEN kind = 'pitfall' THEN 'auto_commit:auto_eligible' WHEN kind = 'task' AND m.id % 4 = 3 THEN 'defer:task_state_invalid' ELSE 'auto_commit:auto_eligible' END AS v
+ FROM memories m LEFT JOIN ev ON ev.id = m.id))""",
+    items=_ITEMS,
+    graded=f"SELECT candidate_id, event_uid, evidence_id, archive, seq, {_ROLE} AS role, {_GRADE} AS grade FROM items",
+    ev="SELECT candidate_id AS id, count(*) AS n, bool_or(role = 'direct' AND grade = 'A') AS da, bool_or(role = 'direct') AS di, bool_or(role = 'error') AS er, bool_or(role = 'resolution') AS re, bool_or(role = 'error' AND grade <> 'C') AS eb, bool_or(role = 'resolution' AND grade <> 'C') AS rb, sha256(string_agg(line || chr(10), '' ORDER BY line || chr(10))) AS h FROM (SELECT *, event_uid || '|' || evidence_id || '|' || archive || '|' || grade || '|' || role || '|' || seq AS line FROM graded) GROUP BY 1",
+)
+def commit_matrix(spark, d):
+    m = memories(spark, d)
+    state = F.when(F.col("id") % 4 == 0, "done").when(F.col("id") % 4 == 1, "blocked").when(F.col("id") % 4 == 2, "next").otherwise("halfway")
+    c = m.select("id", (F.col("id") % 3).alias("revision"), "kind", F.when(F.col("id") % 23 == 0, "global").otherwise("project").alias("scope"), "project", state.alias("task_state"))
+    return evidence.commit_matrix(c, _items(m))
+
+
+@query(f"SELECT memory_id, substr('证据' || n || '条·' || g || '级·' || tok || CASE WHEN n > 1 THEN '+' || (n - 1) ELSE '' END, 1, 40) AS line FROM (SELECT candidate_id AS memory_id, count(*) AS n, min({_GRADE}) AS g, arg_min(CASE WHEN event_uid <> '' THEN event_uid ELSE evidence_id END, candidate_id + seq) AS tok FROM items GROUP BY 1)", items=_ITEMS)
+def evidence_provenance(spark, d):
+    return evidence.provenance(_items(memories(spark, d)).withColumnRenamed("candidate_id", "memory_id"))
+
+
+@query("SELECT o.session_id, max(created_at) AS newest, count(*) AS n FROM observations o LEFT JOIN (SELECT session_id, max(created_at) - 10 + session_id % 25 AS done FROM observations WHERE session_id % 3 <> 0 GROUP BY session_id) r ON o.session_id = r.session_id GROUP BY o.session_id, done HAVING max(created_at) > coalesce(done, 0)")
+def sessions_needing_distill(spark, d):
+    o = observations(spark, d)
+    runs = o.where("session_id % 3 <> 0").groupBy("session_id").agg((F.max("created_at") - 10 + F.col("session_id") % 25).alias("finished_at")).withColumn("status", F.lit("ok"))
+    return evidence.sessions_due(o, runs)
+
+
+# ---- extraction and sources ------------------------------------------------------------------------
+
+
+@query("SELECT session_id, min(seq) AS seq, kind, content, 0.6::DOUBLE AS salience FROM (SELECT conv_id AS session_id, turn AS seq, CASE WHEN regexp_matches(text, '踩坑|报错|失败|坑了|不要再|(?i:\\berror\\b)') THEN 'pitfall' WHEN regexp_matches(text, '决策|决定|定为|之所以|拍板') THEN 'decision' WHEN regexp_matches(text, '偏好|默认|禁用|优先用|不要用') THEN 'preference' WHEN regexp_matches(text, '待办|还剩|下次|做到哪|(?i:\\bTODO\\b)') THEN 'task' END AS kind, CASE WHEN length(f) > 240 THEN substr(f, 1, 240) || '…' ELSE f END AS content FROM (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 1 THEN 'TODO ' || coalesce(text, '') WHEN turn % 5 = 2 THEN '决定 ' || coalesce(text, '') ELSE coalesce(text, '') END AS text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 1 THEN 'TODO ' || coalesce(text, '') WHEN turn % 5 = 2 THEN '决定 ' || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM conversations)) WHERE role IN ('user', 'assistant') AND trim(text) <> '') WHERE kind IS NOT NULL GROUP BY ALL".replace("SELECT conv_id, turn, role, CASE WHEN turn % 5 = 1 THEN 'TODO ' || coalesce(text, '') WHEN turn % 5 = 2 THEN '决定 ' || coalesce(text, '') ELSE coalesce(text, '') END AS text, trim", "SELECT conv_id, turn, role, text, trim"))
+def rule_distill(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    marked = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("TODO "), text)).when(F.col("turn") % 5 == 2, F.concat(F.lit("决定 "), text)).otherwise(text)
+    return extraction.rule_distill(table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", marked.alias("summary")))
+
+
+@query("SELECT conv_id AS source_id, turn AS seq, 'text' AS kind, role, 'u' || conv_id || '-' || turn AS uid, trim(coalesce(text, ''), ' ') AS text FROM conversations")
+def transcript_parse(spark, d):
+    c = table(spark, d, "conversations")
+    msg = F.struct("role", F.coalesce("text", F.lit("")).alias("content"))
+    line = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("uuid"), msg.alias("message")))
+    return readers.parse_transcript(c.select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), line.alias("value"))).select("source_id", "seq", "kind", "role", "uid", "text")
+
+
+@query()
+def session_prompts(spark, d):
+    return extraction.prompt(table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("summary")))
+
+
+@query()
+def markdown_ingest(spark, d):
+    return readers.markdown_items(memories(spark, d).select("id", F.col("content").alias("text")))
+
+
+@query()
+def minhash_signatures(spark, d):
+    s = memories(spark, d).select("id", M.minhash("content").alias("sig"))
+    return s.select("id", F.sha2(F.array_join(F.transform("sig", lambda x: x.cast("string")), ","), 256).alias("sig_hash"))
