@@ -58,8 +58,9 @@ def is_han(run: Column) -> Column:
 
 
 def index_terms(c: Column) -> Column:
-    """Index terms of a text: a Han run gives its single characters and then its pairs; a word gives itself."""
-    return F.flatten(F.transform(tokens(c), lambda t: F.when(is_han(t), F.concat(grams(t, 1), grams(t, 2))).otherwise(F.array(t))))
+    """Index terms of a text: a Han run gives its single characters and then its pairs; a word gives itself. Texts without Han take the short way."""
+    mixed = F.flatten(F.transform(tokens(c), lambda t: F.when(is_han(t), F.concat(grams(t, 1), grams(t, 2))).otherwise(F.array(t))))
+    return F.when(c.rlike("\\p{IsHan}"), mixed).otherwise(tokens(c))
 
 
 def query_phrases(c: Column) -> Column:

@@ -23,14 +23,15 @@ def near_pairs(mem: DataFrame, least: float = THRESHOLD) -> DataFrame:
     bands = M.K - math.ceil(M.K * least) + 1
     cls = F.xxhash64("project", "content")
     rep = mem.groupBy(cls.alias("c")).agg(F.min("id").alias("id"), F.first("project").alias("project"), F.first("content").alias("content"))
-    sig = written(rep.withColumn("sig", M.minhash("content")).withColumn("guard", F.xxhash64("project", F.array_join(T.digits(F.col("content")), ","), T.negation_count(F.col("content")))).where(M.n_shingles(F.col("content")) >= M.MIN_SHINGLES), "signatures")
+    sig = written(rep.withColumn("sig", M.minhash("content")).withColumn("n", F.length("content")).withColumn("guard", F.xxhash64("project", F.array_join(T.digits(F.col("content")), ","), T.negation_count(F.col("content")))).where(M.n_shingles(F.col("content")) >= M.MIN_SHINGLES).select("id", "sig", "n", "guard"), "signatures")
     edges = [round(i * M.K / bands) for i in range(bands + 1)]
     band = F.array(*[F.xxhash64(F.lit(i), "guard", F.slice("sig", edges[i] + 1, edges[i + 1] - edges[i])) for i in range(bands)])
-    keys = sig.select("id", F.length("content").alias("n"), F.explode(band).alias("band"))
+    keys = sig.select("id", "n", F.explode(band).alias("band"))
     pairs = keys.toDF("a", "na", "band").join(keys.toDF("b", "nb", "band"), "band").where("a < b and greatest(na, nb) <= 3 * least(na, nb)").select("a", "b").distinct()
-    s = sig.select("id", "content", "sig")
-    both = pairs.join(s.toDF("a", "ca", "sa"), "a").join(s.toDF("b", "cb", "sb"), "b").withColumn("sim", M.estimate(F.col("sa"), F.col("sb")))
-    near = both.where((F.col("sim") >= least) & (M.judge(F.col("ca"), F.col("cb"), F.col("sim"), least) == "")).select("a", "b", "sim")
+    # equal digits and negations are part of the key, the length ratio is checked: of the guards only the estimate is left
+    s = sig.select("id", "sig")
+    both = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").withColumn("sim", M.estimate(F.col("sa"), F.col("sb")))
+    near = both.where(F.col("sim") >= least).select("a", "b", "sim")
     same = mem.select("id", cls.alias("c")).join(rep.where(M.n_shingles(F.col("content")) >= M.MIN_SHINGLES).select("c", F.col("id").alias("low")), "c").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
     return near.unionByName(same)
 

@@ -61,9 +61,12 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     stats = terms.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
     asked = queries.select("qid", F.posexplode(T.query_phrases(F.col("query"))).alias("ph", "p")).select("qid", "ph", "p.grp", "p.term", "p.prefix")
     words = asked.select(F.substring("term", 1, 1).alias("k"), F.col("term").alias("word"), "prefix").distinct()
-    posts = terms.select("id", F.size("terms").alias("len"), F.explode("terms").alias("t")).withColumn("k", F.substring("t", 1, 1))
-    hit = posts.join(small(words), "k").where(F.col("t").startswith(F.col("word")) & (F.col("prefix") | (F.col("t") == F.col("word"))))
-    tf = hit.groupBy("word", "prefix", "id").agg(F.count("*").alias("f"), F.first("len").alias("len"))
+    posts = terms.select("id", F.size("terms").alias("len"), F.explode("terms").alias("t")).groupBy("id", "t").agg(F.first("len").alias("len"), F.count("*").alias("c"))
+    # words meet the vocabulary once, not every posting; postings then join on equal terms
+    vocab = posts.select("t").distinct().withColumn("k", F.substring("t", 1, 1)).join(small(words), "k")
+    vocab = vocab.where(F.col("t").startswith(F.col("word")) & (F.col("prefix") | (F.col("t") == F.col("word")))).select("t", "word", "prefix")
+    hit = posts.join(vocab, "t")
+    tf = hit.groupBy("word", "prefix", "id").agg(F.sum("c").alias("f"), F.first("len").alias("len"))
     df = tf.groupBy("word", "prefix").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.join(F.broadcast(stats)).withColumn("idf", F.when(idf <= 0, LEAST_IDF).otherwise(idf))

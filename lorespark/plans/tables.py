@@ -30,7 +30,14 @@ def _view(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "documents", MEMORIES)
+    """A table of a single file (one row group, so one task) is dealt out first, since every use works on its texts; a folder of files is read as it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f.getPath().getName() for f in fs.listStatus(path)]
+    src = table(spark, sf_dir, "documents")
+    if sum(n.endswith(".parquet") for n in files) == 1:
+        src = src.repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(MEMORIES.replace("FROM documents", "FROM {src}"), src=src)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
