@@ -31,7 +31,9 @@ SLICE_BYTES = 4 << 20
 BYTES_PER_BUCKET = 48 << 20
 STAR_ROUNDS = 3
 KEY_BITS = 40
-SKETCH = 16
+SKETCH = 32
+#: Prefix shingles that a row carries to tell whether a pair met at an earlier one; behind them a pair may be formed more than once.
+CARRIED = 128
 
 
 def _scatter(k: int, bucket_bits: int):
@@ -144,12 +146,19 @@ def _order(num: int, den: int):
     return run
 
 
-def _enough(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Length, positional and suffix filters on pairs (a, b, na, nb, pa, pb, ka, kb): pa, pb the place of their first common prefix shingle."""
-    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den)) - F.lit(1e-9)
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    suffix = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return pairs.where((small * den >= large * num) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need) & (suffix >= need))
+def _may_link(num: int, den: int) -> F.Column:
+    """Length, first-meeting, positional and suffix filters of a pair (a, b) that meets at a prefix shingle.
+
+    n: set sizes; p: the shingle's place in either set; e: the prefix shingles before it, null if they are too many to carry; k: repeated
+    shingles by hash class. A pair counts where it meets first; there the rest of either set bounds what they share, as do the classes' smaller counts.
+    """
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
+    length = (F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num)
+    carried = F.col("ea").isNotNull() & F.col("eb").isNotNull()
+    first = ~F.coalesce(F.arrays_overlap("ea", "eb"), F.lit(False))
+    place = ~carried | (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    suffix = sum((F.least(F.col("ka")[i], F.col("kb")[i]) for i in range(1, SKETCH)), F.least(F.col("ka")[0], F.col("kb")[0])) >= need
+    return length & first & place & suffix
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -183,12 +192,10 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "j
     sets = scratch.put("sets", counted.groupBy("block").applyInArrow(_order(num, den), _SETS))
 
     live = sets.where("rep is not null")
-    prefix = live.select("cls", "n", "sketch", F.posexplode(F.slice("rep", F.lit(1), F.col("plen") - F.col("own"))).alias("i", "h"), "own")
-    prefix = prefix.select("cls", "n", "sketch", (F.col("own") + F.col("i")).alias("p"), "h")
-    slim = scratch.put("prefix", prefix.select("cls", "n", "p", "h"))
+    prefix = live.select("cls", "n", F.posexplode(F.slice("rep", F.lit(1), F.col("plen") - F.col("own"))).alias("i", "h"), "own")
+    slim = scratch.put("prefix", prefix.select("cls", "n", (F.col("own") + F.col("i")).alias("p"), "h"))
 
-    comp, rnd = None, 0
-    links = None
+    comp, links, tried = None, None, []
     for rnd in range(STAR_ROUNDS):
         # one centre per prefix shingle, chosen by hash: the classes of a large group of near copies mostly agree on it
         at = slim
@@ -199,6 +206,8 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "j
         centre = at.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", F.lit(rnd)).alias("r"), F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "m.c", "m.nc", "m.rc")
         pairs = at.join(centre, "h").where("root <> rc").where((F.least("n", "nc") * den) >= (F.greatest("n", "nc") * num))
         pairs = pairs.select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
+        pairs = scratch.put(f"tried{rnd}", pairs if not tried else pairs.join(tried[0] if len(tried) == 1 else tried[0].union(tried[1]), ["a", "b"], "left_anti"))
+        tried.append(pairs)
         found = scratch.put(f"star{rnd}", _verify(pairs, live, num, den))
         links = found if links is None else links.union(found)
         if found.isEmpty():
@@ -208,12 +217,15 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "j
     at = at.withColumn("root", F.coalesce("root", "cls") if comp is not None else F.col("cls"))
     mixed = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     at = scratch.put("rest", at.join(mixed, "h", "left_semi"))
-    x, y = at.toDF("h", "a", "na", "pa", "ra"), at.toDF("h", "b", "nb", "pb", "rb")
-    pairs = x.join(y, "h").where("a < b and ra <> rb").where((F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num))
-    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    sk = live.select("cls", "sketch")
-    pairs = pairs.join(sk.toDF("a", "ka"), "a").join(sk.toDF("b", "kb"), "b")
-    last = scratch.put("last", _verify(_enough(pairs, num, den), live, num, den))
+    ahead = F.col("plen") - F.col("own")
+    carry = live.select("cls", "own", "sketch", F.slice("rep", F.lit(1), F.least(ahead, F.lit(CARRIED))).alias("pre"))
+    at = at.join(carry, "cls").withColumn("e", F.when(F.col("p") - F.col("own") <= CARRIED, F.slice("pre", F.lit(1), F.col("p") - F.col("own"))))
+    at = at.select("h", "cls", "n", "p", "root", "e", "sketch")
+    x, y = at.toDF("h", "a", "na", "pa", "ra", "ea", "ka"), at.toDF("h", "b", "nb", "pb", "rb", "eb", "kb")
+    pairs = x.join(y, "h").where(F.expr("a < b and ra <> rb") & _may_link(num, den)).select("a", "b").distinct()
+    for t in tried:  # a pair is verified once
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    last = scratch.put("last", _verify(pairs, live, num, den))
     if not last.isEmpty():
         comp = connected_components(links.union(last) if links is not None else last, scratch, "ccz")
     classes = sets.select("cls", "n")
