@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -16,6 +17,7 @@ _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 _RARE = re.compile("[^\t\n\r -~¡-ɏ‐-‧‰-›€]")
+_CONTROL = re.compile("[^\t\n\r -~]")
 #: Pieces remembered in each of two generations, and the form of those that are encoded on their own.
 REMEMBERED = 600_000
 _LONE = re.compile(r"[\n\r\t]|.+\s|\s$|.{64}", re.S).match
@@ -35,6 +37,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        if hasattr(self.tok.model, "_resize_cache"):  # what reaches the library is new to it, so its own cache never hits
+            self.tok.model._resize_cache(0)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.simple = "ByteLevel(add_prefix_space=False" in repr(self.tok.pre_tokenizer) and self.tok.normalizer is None
         self.memo: dict[str, bytes] = {}
@@ -46,7 +50,7 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, t: str) -> bool:
-        return self.simple and not _RARE.search(t) and not any(s in t for s in self.specials)
+        return self.simple and (t.isascii() and not _CONTROL.search(t) or not _RARE.search(t)) and not any(s in t for s in self.specials)
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of pieces. Pieces without white space inside are encoded together, a line break between them."""
@@ -72,13 +76,12 @@ class Encoder:
         if len(self.memo) > REMEMBERED:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
-        new = set().union(*cut)
-        new = [w for w in new if w not in memo]
+        new = set(chain.from_iterable(cut)).difference(memo)
         if old:
-            kept = [w for w in new if w in old]
+            kept = new.intersection(old)
             memo.update((w, old[w]) for w in kept)
-            new = [w for w in new if w not in old]
-        self._learn(new)
+            new -= kept
+        self._learn(list(new))
         get = memo.__getitem__
         out = [b"".join(map(get, c)) if p else b"" for c, p in zip(cut, plain, strict=True)]
         odd = [i for i, p in enumerate(plain) if not p]
