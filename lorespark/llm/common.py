@@ -6,6 +6,8 @@ and the driver see it, so losing an executor never loses an intermediate result.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -67,6 +69,30 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+_holders: dict[str, object] = {}
+_holding: list[str] = [""]
+
+
+def hold(name: str, drop=None) -> None:
+    """Say which operator a Python worker now serves: what others have kept in it (tables of pieces, powers) is dropped and handed back.
+
+    Spark reuses workers from stage to stage, so that without this their memory would be the sum of all stages'.
+    """
+    if drop is not None:
+        _holders[name] = drop
+    if _holding[0] == name:
+        return
+    _holding[0] = name
+    for other, clear in _holders.items():
+        if other != name:
+            clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # ---- Arrow and numpy -------------------------------------------------------------------------------
 
 
@@ -113,6 +139,10 @@ _PINV = pow(_P, -1, 1 << 64)
 _pows: dict[str, np.ndarray] = {"p": np.ones(1, U), "i": np.ones(1, U)}
 
 
+def forget_powers() -> None:
+    _pows.update(p=np.ones(1, U), i=np.ones(1, U))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     for key, base in (("p", _P), ("i", _PINV)):
         have = _pows[key]

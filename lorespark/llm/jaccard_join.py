@@ -27,7 +27,7 @@ from . import common as C
 from .components import connected_components
 
 #: Parameters of the operator. bytes_per_bucket: text bytes whose shingles meet in one bucket.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BYTES_PER_BUCKET = 48 << 20
 STAR_ROUNDS = 3
 KEY_BITS = 40
@@ -40,6 +40,7 @@ def _scatter(k: int, bucket_bits: int):
     shift = C.U(64 - bucket_bits)
 
     def run(batches):
+        C.hold("shingles", C.forget_powers)
         for batch in batches:
             cls = batch.column("cls").to_numpy(zero_copy_only=False)
             raw, off = C.utf8(batch.column("text"))
@@ -82,6 +83,7 @@ def _count(bucket_bits: int):
     """One bucket: classes per shingle; entries of shingles in two classes or more, by the block of their class."""
 
     def run(t: pa.Table) -> pa.Table:
+        C.hold("shingle counts")
         kind = t.column("kind").to_numpy()
         bucket = C.U(int(t.column("bucket")[0].as_py()))
         out = []
@@ -120,6 +122,7 @@ def _order(num: int, den: int):
     """One block: per class its size, how many shingles are its own alone, and the repeated ones, rarest first."""
 
     def run(t: pa.Table) -> pa.Table:
+        C.hold("shingle counts")
         kind = t.column("kind").to_numpy()
         mw, mn = _joined(t.column("who"), kind, 1, np.int64), _joined(t.column("cnt"), kind, 1, np.uint32).astype(np.int64)
         at = np.argsort(mw, kind="stable")

@@ -25,7 +25,7 @@ PROBES = 3
 ROWS_PER_LANG = 2000
 GRAMS_PER_LANG = 3000
 BITS_PER_GRAM = 16
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _letters: dict[str, np.ndarray] = {}
 
@@ -139,6 +139,7 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, grams_per_lang: i
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) < part[F.col("lang")])
 
     def tally(batches):
+        C.hold("lang_id")
         for batch in batches:
             lang = np.array(batch.column("lang").to_pylist())
             text = batch.column("text")
@@ -167,6 +168,7 @@ def predict(docs: DataFrame, model: BitmaskFilter, keep: list[str] | None = None
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
+        C.hold("lang_id")
         f = shared.value
         for batch in batches:
             text = batch.column("text").cast(pa.string())

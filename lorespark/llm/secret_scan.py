@@ -55,6 +55,7 @@ _FOUND = "blob string, rules string, n_assign bigint, n_access bigint, n_hex big
 
 
 def _scan(batches):
+    C.hold("secrets")
     for batch in batches:
         cols: list[list] = [[] for _ in range(8)]
         for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text"), strict=True):

@@ -13,6 +13,8 @@ from itertools import chain
 
 import numpy as np
 
+from . import common as C
+
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
@@ -94,6 +96,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    C.hold("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)
