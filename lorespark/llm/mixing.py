@@ -13,12 +13,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: Weights follow size ** ALPHA where none are given; SEED seeds every hash.
 ALPHA = 0.7
 SEED = 11
 #: Rates above this are drawn as sums of independent counts with means of at most this; hashes give 52 random bits.
 CHUNK = 16.0
 _TERMS = 80
+#: At most this many sources (some 0.7 KB each, 7 MB in all) have their rates broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def unit(seed: int, salt: str, *cols) -> F.Column:
@@ -50,6 +54,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     return out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), start, step)["cdf"]).select("source_key", "size", "rate", "parts", "cdf")
 
 
+def _with_rates(rows: DataFrame, r: DataFrame) -> DataFrame:
+    """``rows`` joined to their sources' rates (``r``: __key, __size, ...) so that no task takes a whole hot source.
+
+    Up to BROADCAST_SOURCES sources are broadcast and no text is moved. Of more sources at most that many hold one row in BROADCAST_SOURCES or more;
+    those are broadcast, and the rest, none of them hot, are joined by a shuffle.
+    """
+    one = r.agg(F.count("*").alias("n"), F.sum("__size").alias("all")).first()
+    if one.n <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(r), "__key")
+    hot = r.where(F.col("__size") * BROADCAST_SOURCES >= one["all"])
+    rest = rows.join(F.broadcast(hot.select("__key")), "__key", "left_anti").join(r.where(F.col("__size") * BROADCAST_SOURCES < one["all"]), "__key")
+    return rows.join(F.broadcast(hot), "__key").unionByName(rest)
+
+
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source and any further columns) with each row repeated by its Poisson count.
 
@@ -57,9 +75,10 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     id and text draw equal counts. Null ids, texts and sources are values like others. Columns of these names in docs are replaced.
     """
     names = [c for c in docs.columns if c not in ("mix_rate", "mix_copies", "mix_copy", "mix_key")]
-    r = rates(docs, weights, alpha, epochs).select(F.col("source_key").alias("__key"), F.col("rate").alias("mix_rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    r = rates(docs, weights, alpha, epochs).select(F.col("source_key").alias("__key"), F.col("size").alias("__size"), F.col("rate").alias("mix_rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    r = C.Scratch(docs.sparkSession, "mixing").put("rates", r)
     rows = docs.select(*names).withColumn("__key", F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("n")))
-    rows = rows.join(r, "__key").withColumn("__id", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")))))
+    rows = _with_rates(rows, r).withColumn("__id", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")))))
     # the number of cdf entries up to u; u stands in the fold's start, so that it is hashed once
     below = lambda u: F.aggregate("__cdf", F.struct(u.alias("u"), F.lit(0).alias("n")), lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + (c <= s["u"]).cast("int")).alias("n")), lambda s: s["n"])
     many = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + below(unit(seed, "n", "__id", i.cast("string"))))
