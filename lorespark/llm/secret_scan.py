@@ -109,9 +109,20 @@ class BlobLedger:
         return self.findings().count() - before
 
     def report(self) -> DataFrame:
-        """Every path with what its blob holds under the current rules: one row per ingested row."""
+        """Every path with what its blob holds under the current rules: one row per ingested row.
+
+        A blob that over one in ``parts`` paths hold is cut in proportion, and its finding is repeated for each cut. There are fewer than
+        ``parts`` such blobs and fewer than twice that many cuts, whatever the copies.
+        """
         found = self.findings().where(F.col("rules") == RULE_VERSION).dropDuplicates(["blob"]).drop("rules")
-        return self.paths().join(found, "blob")
+        paths, parts = self.paths(), C.shuffle_partitions(self.spark)
+        total = max(1, paths.count())
+        heavy = paths.groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") * parts > total).select("blob", F.ceil(F.col("n") * parts / total).alias("cuts"))
+        heavy = F.broadcast(C.Scratch(self.spark, "ledger-cuts").put("heavy", heavy))
+        cuts = F.coalesce("cuts", F.lit(1).cast("bigint"))
+        paths = paths.join(heavy, "blob", "left").withColumn("cut", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), cuts)).drop("cuts")
+        found = found.join(heavy, "blob", "left").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1))).drop("cuts")
+        return paths.join(found, ["blob", "cut"]).drop("cut")
 
 
 def secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
@@ -133,11 +144,12 @@ def redact(docs: DataFrame, mark: str = "[redacted]") -> DataFrame:
     spark = docs.sparkSession
     ledger = BlobLedger(spark)
     ledger.ingest(docs)
-    hit = ledger.report().where("spans <> ''").select("blob", "spans").distinct()
+    hit = ledger.findings().where((F.col("rules") == RULE_VERSION) & (F.col("spans") != "")).select("blob", "spans").distinct()
     hit = C.Scratch(spark, "hits").put("hits", hit)
+    n, size = hit.agg(F.count("*"), F.coalesce(F.sum(F.length("spans")), F.lit(0))).first()
     names = docs.columns
     keyed = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    small = C.maybe_broadcast(hit, hit.count(), 50_000)
+    small = C.maybe_broadcast(hit, n + size // 256, 50_000)  # some 64 + 256 bytes a row: 16 MB
 
     @F.pandas_udf("string")
     def cut(text, spans):
