@@ -1,9 +1,10 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Vectors of one label are dealt to overlapping cluster shards (the OVERLAP nearest centres; centres are fit on a bounded sample). Every shard
-builds a robust-pruned graph, and a vector's adjacency lists from all its shards are united. Every vector then searches the shards it
-belongs to: greedily from the shard's medoid and its own node, and from each hit on through the graph for as long as
-vectors in range turn up, so a range of any size is walked to its end. Hits are verified by cosine in double
+builds a robust-pruned graph, and a vector's adjacency lists from all its shards are united. Every vector then searches the shard of its nearest
+centre: greedily from the shard's medoid and its own node, and from each hit on through the graph for as long as
+vectors in range turn up, so a range of any size is walked to its end. A link is found if either end's nearest centre is among the
+other's OVERLAP nearest; searching the other shards too would find nearly every link again. Hits are verified by cosine in double
 precision. Recall is audited against brute force on a stated query set; a graph below the target is rebuilt with twice the overlap.
 
 A shard of more than SHARD_ROWS vectors (a large group of near copies cannot be clustered apart) is cut into blocks by hash, and all pairs of
@@ -188,16 +189,17 @@ def _deal(vecs: DataFrame, centres: dict, overlap: int) -> DataFrame:
             for label, rows in pdf.groupby("label"):
                 c = shared.value.get(label)
                 if c is None:
-                    parts.append(rows.assign(centre=0))
+                    parts.append(rows.assign(centre=0, home=True))
                     continue
                 sims = matrix(rows.vec.tolist(), "<f8", c.shape[1]) @ c.T
                 k = min(overlap, len(c))
                 near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                parts += [rows.assign(centre=near[:, j]) for j in range(k)]
+                home = near[np.arange(len(near)), np.argmax(np.take_along_axis(sims, near, axis=1), axis=1)]
+                parts += [rows.assign(centre=near[:, j], home=near[:, j] == home) for j in range(k)]
             if parts:
-                yield pd.concat(parts)[["vec_id", "label", "vec", "centre"]]
+                yield pd.concat(parts)[["vec_id", "label", "vec", "centre", "home"]]
 
-    return vecs.select("vec_id", "label", "vec").mapInPandas(run, "vec_id bigint, label bigint, vec binary, centre bigint")
+    return vecs.select("vec_id", "label", "vec").mapInPandas(run, "vec_id bigint, label bigint, vec binary, centre bigint, home boolean")
 
 
 def _links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
@@ -206,11 +208,12 @@ def _links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch:
     dealt = dealt.join(size.select("label", "centre", "nb"), ["label", "centre"]).withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")).cast("int"))
     graph = dealt.select("label", "centre", "blk", "vec_id", "vec").groupBy("label", "centre", "blk").applyInPandas(_graph_group, "vec_id bigint, nbrs array<bigint>")
     graph = scratch.put(f"graph{tag}", graph.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")))
-    # a row serves block pair (i, j) as part of the graph if it is in block i, as a query if it is in block j
-    both = F.array(F.struct(F.col("blk").alias("i"), F.col("blk").alias("j"), F.lit(0).alias("role")))
+    # a row serves block pair (i, j) as part of the graph if it is in block i, as a query if it is in block j and at home
+    both = F.array(F.struct(F.col("blk").alias("i"), F.col("blk").alias("j"), F.when(F.col("home"), 0).otherwise(1).alias("role")))
     others = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: b != F.col("blk"))
     as_graph = F.transform(others, lambda b: F.struct(F.col("blk").alias("i"), b.alias("j"), F.lit(1).alias("role")))
     as_query = F.transform(others, lambda b: F.struct(b.alias("i"), F.col("blk").alias("j"), F.lit(2).alias("role")))
+    as_query = F.when(F.col("home"), as_query).otherwise(F.filter(as_query, lambda b: F.lit(False)))
     put = dealt.join(graph, "vec_id").withColumn("to", F.explode(F.concat(both, as_graph, as_query)))
     put = put.select("label", "centre", "to.i", "to.j", "to.role", "vec_id", "vec", F.when(F.col("to.role") == 2, F.array().cast("array<bigint>")).otherwise(F.col("nbrs")).alias("nbrs"))
     found = put.groupBy("label", "centre", "i", "j").applyInPandas(_search_group(least), "a bigint, b bigint")
