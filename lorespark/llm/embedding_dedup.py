@@ -2,7 +2,7 @@
 
 Vectors of one label are dealt to overlapping cluster shards (the OVERLAP nearest centres; centres are fit on a bounded sample). Every shard
 builds a robust-pruned graph, and a vector's adjacency lists from all its shards are united. Every vector then searches the shard of its nearest
-centre: greedily from the shard's medoid and its own node, and from each hit on through the graph for as long as
+centre: greedily from the shard's medoid and a few spread nodes, and from each hit and its own node on through the graph for as long as
 vectors in range turn up, so a range of any size is walked to its end. A link is found if either end's nearest centre is among the
 other's OVERLAP nearest; searching the other shards too would find nearly every link again. Hits are verified by cosine in double
 precision. Recall is audited against brute force on a stated query set; a graph below the target is rebuilt with twice the overlap.
@@ -31,7 +31,8 @@ SAMPLE_PER_CENTRE = 24
 OVERLAP = 4
 SHARD_ROWS = 1200
 DEGREE, POOL, ALPHA, BEAM, SLACK = 24, 48, 1.2, 24, 0.05
-AUDIT = 300
+AUDIT = 1000
+ENTRIES, FILL = 8, 12
 RECALL = 0.95
 
 
@@ -55,7 +56,10 @@ def _centres(sample: pd.DataFrame, want: dict[int, int]) -> dict[int, np.ndarray
 
 
 def robust_graph(x: np.ndarray) -> np.ndarray:
-    """Adjacency (n, 2 * DEGREE) padded with -1: robust-pruned neighbours from the nearest and some random vectors, and reverse edges."""
+    """Adjacency padded with -1: robust-pruned neighbours from the nearest and some random vectors, the FILL nearest, and reverse edges.
+
+    Pruning alone leaves the members of a ball tied only to its centre, whose list cannot hold them all; the nearest tie them to each other.
+    """
     n = len(x)
     if n < 2:
         return np.full((n, 1), -1)
@@ -74,6 +78,9 @@ def robust_graph(x: np.ndarray) -> np.ndarray:
         adj[ok, r] = pick[ok]
         covered = ALPHA * dist[pick[:, None], pool] <= d
         d = np.where(covered | (pool == pick[:, None]), np.inf, d)
+    order = np.argsort(np.take_along_axis(dist, near, axis=1), axis=1)[:, :FILL]
+    adj = np.concatenate([np.take_along_axis(near, order, axis=1), adj], axis=1)
+    at = adj.shape[1] - DEGREE
     src, dst = np.nonzero(adj >= 0)[0], adj[adj >= 0]
     order = np.random.default_rng(n + 1).permutation(len(src))
     src, dst = src[order], dst[order]
@@ -82,26 +89,27 @@ def robust_graph(x: np.ndarray) -> np.ndarray:
     cuts = C.group_cuts(dst)
     rank = np.arange(len(dst)) - np.repeat(cuts[:-1], np.diff(cuts))
     ok = rank < DEGREE
-    adj[dst[ok], DEGREE + rank[ok]] = src[ok]
+    adj[dst[ok], at + rank[ok]] = src[ok]
     return adj
 
 
 def range_search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, cosine) in range. x: graph vectors, adj: padded with -1, own: each query's node or -1."""
+    """(query, node, cosine) in range. x: graph vectors, adj: padded with -1, own: each query's node or -1.
+
+    The greedy walk starts from the medoid and ENTRIES - 1 evenly spread nodes, never from the query's own node: a few near copies tied only to
+    each other would keep a walk from there to themselves. The own node is one more start of the range expansion.
+    """
     n, m = len(x), len(q)
     seen = np.zeros((m, n), bool)
     medoid = int(np.argmax(x @ x.mean(axis=0)))
+    starts = np.unique(np.concatenate([[medoid], np.linspace(0, n - 1, ENTRIES - 1).astype(int)]))
     beam = np.full((m, BEAM), -1)
     sim = np.full((m, BEAM), -np.inf)
     open_ = np.zeros((m, BEAM), bool)
-    every = np.arange(m)
-    beam[:, 0], sim[:, 0], open_[:, 0] = medoid, q @ x[medoid], True
-    seen[:, medoid] = True
-    has = (own >= 0) & (own != medoid)
-    beam[has, 1], open_[has, 1] = own[has], True
-    sim[has, 1] = np.einsum("ij,ij->i", q[has], x[own[has]])
-    seen[every[has], own[has]] = True
-    hits_q, hits_n, hits_s = [every, every[has]], [beam[:, 0].copy(), own[has]], [sim[:, 0].copy(), sim[has, 1]]
+    every, k = np.arange(m), len(starts)
+    beam[:, :k], sim[:, :k], open_[:, :k] = starts, q @ x[starts].T, True
+    seen[:, starts] = True
+    hits_q, hits_n, hits_s = [np.repeat(every, k)], [np.tile(starts, m)], [sim[:, :k].ravel()]
     while open_.any():
         act = np.flatnonzero(open_.any(axis=1))
         at = np.argmax(np.where(open_[act], sim[act], -np.inf), axis=1)
@@ -127,6 +135,10 @@ def range_search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, own: np.ndarray,
         both = [np.concatenate([a[who], g], axis=1) for a, g in zip((beam, sim, open_), grown, strict=True)]
         top = np.argsort(-both[1], axis=1)[:, :BEAM]
         beam[who], sim[who], open_[who] = (np.take_along_axis(b, top, axis=1) for b in both)
+    alone = np.flatnonzero(own >= 0)
+    alone = alone[~seen[alone, own[alone]]]
+    seen[alone, own[alone]] = True
+    hits_q.append(alone), hits_n.append(own[alone]), hits_s.append(np.einsum("ij,ij->i", q[alone], x[own[alone]]))
     fq, fn, fs = np.concatenate(hits_q), np.concatenate(hits_n), np.concatenate(hits_s)
     out = [(fq[fs >= least], fn[fs >= least], fs[fs >= least])]
     keep = fs >= least - SLACK
@@ -175,6 +187,7 @@ def _search_group(least: float):
 
 
 def _graph_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("vec_id")
     ids = pdf.vec_id.to_numpy()
     adj = robust_graph(matrix(pdf.vec.tolist(), "<f8"))
     return pd.DataFrame({"vec_id": ids, "nbrs": [ids[row[row >= 0]] for row in adj]})
