@@ -63,12 +63,16 @@ def move_tags(tags: DataFrame, survivors: DataFrame) -> DataFrame:
     return tags.join(survivors.select(F.col("id").alias("memory_id"), "survivor"), "memory_id", "left").select(F.coalesce("survivor", "memory_id").alias("memory_id"), "key", "value").distinct()
 
 
-def lexicon_bigrams(mem: DataFrame, least: int = 3, n: int = 200) -> DataFrame:
-    """(term, freq): word pairs by the number of memories that have them; the most frequent ``n``, ties by term."""
+def bigram_rows(mem: DataFrame) -> DataFrame:
+    """(id, term): each memory's distinct word pairs."""
     t = T.tokens(F.col("content"))
     pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at("t", i), F.try_element_at("t", i + 1)))
-    rows = mem.select("id", t.alias("t")).where(F.size("t") >= 2).select("id", F.explode(F.array_distinct(pair)).alias("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= least).orderBy(F.desc("freq"), "term").limit(n)
+    return mem.select("id", t.alias("t")).where(F.size("t") >= 2).select("id", F.explode(F.array_distinct(pair)).alias("term"))
+
+
+def lexicon_bigrams(mem: DataFrame, least: int = 3, n: int = 200) -> DataFrame:
+    """(term, freq): word pairs by the number of memories that have them; the most frequent ``n``, ties by term."""
+    return bigram_rows(mem).groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= least).orderBy(F.desc("freq"), "term").limit(n)
 
 
 def lexicon_clusters(hits: DataFrame, freq: DataFrame, least: float = 0.5, library: int = 0) -> DataFrame:

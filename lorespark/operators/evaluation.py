@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import small
+
 
 def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """(qid, n_gold, hits, recall, rr, strict): ranked: qid, hash, rank; gold: qid, prefix (of a hash). Rows of a query without hits count as empty."""
@@ -100,13 +102,18 @@ def every_nth(df: DataFrame, n: int, order: str) -> DataFrame:
 def write_eval(cands: DataFrame, expected: DataFrame) -> DataFrame:
     """One row: candidates, fragments (ending in a comma or semicolon), avg_chars, missed (expected phrases in none), extra (candidates with none)."""
     c = cands.select("id", "content")
-    hit = c.join(F.broadcast(expected.select("phrase").limit(10_000)), F.contains("content", "phrase"))
+    hit = c.join(small(expected.select("phrase").distinct()), F.contains("content", "phrase"))
     a = c.agg(F.count("*").alias("candidates"), F.count_if(F.col("content").rlike("[，、；,;]\\s*$")).alias("fragments"), F.avg(F.length("content")).alias("avg_chars"))
     b = hit.agg(F.countDistinct("id").alias("matched"), F.countDistinct("phrase").alias("found"))
     n = expected.agg(F.countDistinct("phrase").alias("phrases"))
     return a.join(F.broadcast(b)).join(F.broadcast(n)).select("candidates", "fragments", "avg_chars", (F.col("phrases") - F.col("found")).alias("missed"), (F.col("candidates") - F.col("matched")).alias("extra"))
 
 
+def latency(audit: DataFrame, *by: str) -> DataFrame:
+    """(by, n, mean, p95, most) of ms; p95 is interpolated between the two nearest values."""
+    return audit.where("ms is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.percentile("ms", F.lit(0.95)).alias("p95"), F.max("ms").alias("most"))
+
+
 def arms(runs: DataFrame) -> DataFrame:
     """(on_recall, off_recall, parity): the mean recall with and without injection, and their difference in points. runs: case, arm, recall."""
     r = runs.groupBy("case").agg(F.max(F.when(F.col("arm") == "on", F.col("recall"))).alias("on"), F.max(F.when(F.col("arm") == "off", F.col("recall"))).alias("off"))

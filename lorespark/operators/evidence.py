@@ -16,6 +16,26 @@ def exactly_once(events: DataFrame) -> DataFrame:
     return out.withColumn("r", F.row_number().over(by_seq)).where("r = 1").drop("r")
 
 
+def first_written(rows: DataFrame, order: str, *keys: list[str]) -> DataFrame:
+    """Rows that repeat none written before them, by each key in turn; the first by ``order`` stays. A key with a null or blank column is no key."""
+    for key in keys:
+        blank = F.lit(False)
+        for c in key:
+            blank = blank | (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "")
+        same = [*key, F.when(blank, F.col(order))]
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(order))).where("_n = 1").drop("_n")
+    return rows
+
+
+def lookup(wanted: DataFrame, ledger: DataFrame, *take: str) -> DataFrame:
+    """``wanted`` with the ``take`` columns of the ledger row of its event_uid, else of its (source_id, generation, seq); null without either. A ledger holds each key once."""
+    place = ["source_id", "generation", "seq"]
+    by_uid = ledger.where("event_uid <> ''").select("event_uid", F.struct(*take).alias("_u"))
+    by_place = ledger.select(*place, F.struct(*take).alias("_p"))
+    j = wanted.join(by_uid, "event_uid", "left").join(by_place, place, "left").withColumn("_r", F.coalesce("_u", "_p"))
+    return j.select(*wanted.columns, *[F.col(f"_r.{c}").alias(f"found_{c}") for c in take])
+
+
 def sequence_check(events: DataFrame) -> DataFrame:
     """state per event: accepted while numbers follow without a gap from 1, else gap: nothing after a gap is let in."""
     w = Window.partitionBy("source_id", "generation").orderBy("seq")

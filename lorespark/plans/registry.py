@@ -266,6 +266,17 @@ def newest_observations(spark, d):
     return lifecycle.newest(observations(spark, d), "session_id", 3).select("session_id", "id", "place")
 
 
+@query(f"SELECT id, access_count + coalesce(n, 0) AS access_count, CASE WHEN n > 0 THEN {NOW} ELSE last_seen_at END AS last_seen_at FROM memories LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) ON doc_id = id")
+def touch_counters(spark, d):
+    return lifecycle.touch(memories(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("id")), NOW).select("id", "access_count", "last_seen_at")
+
+
+@query("SELECT memory_id, key, value FROM tags WHERE memory_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)", tags=_TAGS)
+def forget_cascade(spark, d):
+    m = memories(spark, d)
+    return lifecycle.forget(m, {"tags": _tags(m)}, table(spark, d, "labels").select(F.col("doc_id").alias("id")))[1]["tags"]
+
+
 @query()
 def consolidate_survivors(spark, d):
     return dedup.consolidate(memories(spark, d))
@@ -281,6 +292,35 @@ def lexicon_bigrams(spark, d):
     return dedup.lexicon_bigrams(memories(spark, d))
 
 
+_GRAMS = {
+    "toks": _BM25["toks"],
+    "grams": "SELECT DISTINCT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM toks",
+    "terms": "SELECT term, count(*) AS freq FROM grams GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 200",
+    "hits": "SELECT term, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY id) AS r FROM grams JOIN terms USING (term)) WHERE r <= 8",
+    "sizes": "SELECT term, count(*) AS n FROM hits GROUP BY term",
+    "common": "SELECT a.term AS a, b.term AS b, count(*) AS c FROM hits a JOIN hits b ON a.id = b.id AND a.term <> b.term GROUP BY ALL",
+    "links": "SELECT a, b FROM common JOIN sizes x ON x.term = a JOIN sizes y ON y.term = b WHERE c >= 0.5 * (x.n + y.n - c)",
+    "reach(a, b)": "SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a",
+    "low": "SELECT a AS term, min(b) AS cluster FROM reach GROUP BY a",
+    "best": "SELECT cluster, first(term ORDER BY freq DESC, length(term) DESC, term DESC) AS standard FROM low JOIN terms USING (term) GROUP BY cluster",
+}
+LEXICON_HITS = 8
+
+
+@query()
+def lexicon_clusters(spark, d):
+    """Clusters of the library's frequent word pairs by the sets of their first LEXICON_HITS memories."""
+    m = memories(spark, d)
+    terms = dedup.lexicon_bigrams(m)
+    hits = retrieval.top(dedup.bigram_rows(m).join(F.broadcast(terms), "term").withColumnRenamed("term", "qid"), LEXICON_HITS, F.col("id")).select(F.col("qid").alias("term"), "id")
+    return dedup.lexicon_clusters(hits, terms)
+
+
+from .tables import MEMORIES  # noqa: E402
+
+ORACLES["lexicon_clusters"] = ("WITH RECURSIVE memories AS (" + MEMORIES + "), " + ", ".join(f"{k} AS ({v})" for k, v in _GRAMS.items()) + " SELECT term, standard FROM low JOIN best USING (cluster)").replace("STRING", "VARCHAR")
+
+
 # ---- evaluation ------------------------------------------------------------------------------------
 
 _LIVE = "NOT suppressed"
@@ -357,7 +397,40 @@ _chain(
 
 @query()
 def retrieval_quality(spark, d):
-    return evaluation.macro(recall_at_k(spark, d))
+    out = evaluation.macro(recall_at_k(spark, d))
+    return out.select("queries", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+ORACLES["retrieval_quality"] = "SELECT count(*) AS queries, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS mrr, round(avg((hits = 0)::INT), 9) AS empty_rate, round(avg(strict::INT), 9) AS strict_all FROM (" + ORACLES["recall_at_k"] + ")"
+
+
+_LABELLED = f"SELECT l.doc_id AS qid, CASE WHEN quality = 1 THEN substr({HASH}, 1, 12) WHEN toxic = 1 THEN '000000000000' ELSE '' END AS prefix FROM labels l JOIN memories m ON l.doc_id = m.id"
+
+
+@query("SELECT qid, CASE WHEN max(prefix) = '' THEN 'empty_gold' ELSE 'unknown_gold' END AS reason FROM labelled GROUP BY qid HAVING max(prefix) IN ('', '000000000000')", labelled=_LABELLED)
+def invalid_gold_report(spark, d):
+    m = _hashed(memories(spark, d)).select("id", F.col("content_hash").alias("hash"))
+    g = table(spark, d, "labels").join(m, F.col("doc_id") == F.col("id"))
+    prefix = F.when(F.col("quality") == 1, F.substring("hash", 1, 12)).when(F.col("toxic") == 1, "000000000000").otherwise("")
+    return evaluation.invalid_gold(g.select(F.col("doc_id").alias("qid"), prefix.alias("prefix")), m)
+
+
+@query("SELECT candidates, fragments, avg_chars, phrases - found AS missed, candidates - matched AS extra FROM (SELECT count(*) AS candidates, count(*) FILTER (regexp_matches(content, '[，、；,;]\\s*$')) AS fragments, round(avg(length(content)), 9) AS avg_chars FROM memories), (SELECT count(DISTINCT id) AS matched, count(DISTINCT text) AS found FROM memories JOIN benchmark ON contains(content, text)), (SELECT count(DISTINCT text) AS phrases FROM benchmark)")
+def write_eval_metrics(spark, d):
+    expected = table(spark, d, "benchmark").where("text is not null").select(F.col("text").alias("phrase"))
+    return evaluation.write_eval(memories(spark, d), expected).withColumn("avg_chars", F.round("avg_chars", 9))
+
+
+@query("SELECT round(avg(a), 6) AS on_recall, round(avg(b), 6) AS off_recall, round(100 * (avg(a) - avg(b)), 6) AS parity FROM (SELECT user_id, max(value) FILTER (event_type = 'view') AS a, max(value) FILTER (event_type = 'click') AS b FROM events GROUP BY user_id)")
+def injection_arms(spark, d):
+    arm = F.when(F.col("event_type") == "view", "on").when(F.col("event_type") == "click", "off")
+    out = evaluation.arms(table(spark, d, "events").select(F.col("user_id").alias("case"), arm.alias("arm"), F.col("value").alias("recall")))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("SELECT event, count(*) AS n, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.95), 6) AS p95, max(ms) AS most FROM audit WHERE ms IS NOT NULL GROUP BY event")
+def latency_p95(spark, d):
+    return evaluation.latency(audit(spark, d), "event").withColumns({"mean": F.round("mean", 6), "p95": F.round("p95", 6)})
 
 
 @query()
@@ -414,6 +487,22 @@ def exactly_once_capture(spark, d):
     return evidence.exactly_once(_evid(spark, d)).select("ord", "source_id", "seq", "event_uid")
 
 
+@query("SELECT w.ord, w.source_id, coalesce(u.ord, p.ord) AS found_ord, CASE WHEN u.ord IS NOT NULL THEN u.archive ELSE p.archive END AS found_archive FROM evid w LEFT JOIN led u ON w.event_uid <> '' AND u.event_uid = w.event_uid LEFT JOIN led p ON p.source_id = w.source_id AND p.generation = w.generation AND p.seq = w.seq", evid=_EVID, led="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, generation, seq ORDER BY ord) AS r FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN event_uid <> '' THEN event_uid ELSE '#' || ord END ORDER BY ord) AS u FROM evid) WHERE u = 1) WHERE r = 1")
+def evidence_lookup(spark, d):
+    e = _evid(spark, d)
+    return evidence.lookup(e, evidence.exactly_once(e), "ord", "archive").select("ord", "source_id", "found_ord", "found_archive")
+
+
+_OBS = "SELECT id, session_id, sha256(summary) AS hash, CASE WHEN seq % 3 = 0 THEN '' ELSE 'e' || (id // 2) END AS event_id FROM observations"
+
+
+@query("SELECT id, session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, hash ORDER BY id) AS h FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN event_id <> '' THEN event_id ELSE '#' || id END ORDER BY id) AS e FROM obs) WHERE e = 1) WHERE h = 1", obs=_OBS)
+def observation_append(spark, d):
+    uid = F.when(F.col("seq") % 3 == 0, "").otherwise(F.concat(F.lit("e"), F.expr("id div 2").cast("string")))
+    o = observations(spark, d).select("id", "session_id", F.sha2("summary", 256).alias("hash"), uid.alias("event_id"))
+    return evidence.first_written(o, "id", ["event_id"], ["session_id", "hash"]).select("id", "session_id", "event_id")
+
+
 @query("SELECT ord, source_id, seq, CASE WHEN seq = row_number() OVER (PARTITION BY source_id, generation ORDER BY seq, ord) THEN 'accepted' ELSE 'gap' END AS state FROM (SELECT * FROM evid WHERE ord % 97 <> 0)", evid=_EVID.replace(" + CASE WHEN event_id % 211 = 0 THEN 1 ELSE 0 END", ""))
 def sequence_gaps(spark, d):
     from pyspark.sql import Window
