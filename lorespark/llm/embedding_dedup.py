@@ -1,5 +1,6 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
+Equal unit vectors of one label are one class, of which only the least id is searched: copies at distance 0 would fill each other's lists.
 Vectors of one label are dealt to overlapping cluster shards (the OVERLAP nearest centres; centres are fit on a bounded sample). Every shard
 builds a robust-pruned graph, and a vector's adjacency lists from all its shards are united. Every vector then searches the shard of its nearest
 centre: greedily from the shard's medoid and a few spread nodes, and from each hit and its own node on through the graph for as long as
@@ -252,8 +253,8 @@ def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> float:
     return 1.0 if not hit.n else (hit.h or 0) / hit.n
 
 
-def near_links(vectors: DataFrame, least: float = 0.93, scratch: C.Scratch | None = None) -> tuple[DataFrame, float, C.Scratch]:
-    """Links (a, b), a < b, of vectors with equal non-null labels and cosine >= least, and the audited recall."""
+def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) -> tuple[DataFrame, DataFrame, DataFrame, float, C.Scratch]:
+    """Members (vec_id, label, vec), classes (label, vec, rep, size), links (a, b), a < b, of the classes' reps, the audited recall."""
     spark = vectors.sparkSession
     scratch = scratch or C.Scratch(spark, "embdedup")
     double = F.transform("embedding", lambda x: x.cast("double"))
@@ -268,10 +269,12 @@ def near_links(vectors: DataFrame, least: float = 0.93, scratch: C.Scratch | Non
                 v = x / big if big > 0 else x
                 norm = math.sqrt(float(v @ v))
                 keep.append(norm > 0)
-                vec.append((v / norm).astype("<f8").tobytes() if norm > 0 else b"")
+                vec.append((v / norm + 0.0).astype("<f8").tobytes() if norm > 0 else b"")  # -0.0 and 0.0 alike
             yield pdf.assign(vec=vec)[keep][["vec_id", "label", "vec"]]
 
-    vecs = scratch.put("vecs", rows.mapInPandas(unit, "vec_id bigint, label bigint, vec binary"))
+    members = scratch.put("vecs", rows.mapInPandas(unit, "vec_id bigint, label bigint, vec binary"))
+    classes = scratch.put("classes", members.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
+    vecs = classes.select(F.col("rep").alias("vec_id"), "label", "vec")
     sizes = {r.label: r.n for r in vecs.groupBy("label").agg(F.count("*").alias("n")).where(f"n > {SHARD_ROWS}").collect()}
     total = sum(sizes.values())
     n = vecs.count()
@@ -287,7 +290,23 @@ def near_links(vectors: DataFrame, least: float = 0.93, scratch: C.Scratch | Non
         if recall >= RECALL:
             break
         overlap *= 2
-    return links, recall, scratch
+    return members, classes, links, recall, scratch
+
+
+def _of_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every member's vec_id with its class's columns. Classes over SHARD_ROWS are few and broadcast, so no task takes all their members."""
+    key, hot = ["label", "vec"], F.broadcast(classes.where(F.col("size") > SHARD_ROWS))
+    out = members.join(hot, key).unionByName(members.join(hot.select(key), key, "left_anti").join(classes.where(F.col("size") <= SHARD_ROWS), key))
+    return out.drop(*key)
+
+
+def near_links(vectors: DataFrame, least: float = 0.93, scratch: C.Scratch | None = None) -> tuple[DataFrame, float, C.Scratch]:
+    """Links (a, b), a < b, of vectors with equal non-null labels and cosine >= least, and the audited recall."""
+    members, classes, links, recall, scratch = _class_links(vectors, least, scratch)
+    of = _of_members(members, classes.select("label", "vec", "rep", "size")).select("vec_id", "rep")
+    both = links.union(classes.where("size > 1").select("rep", "rep"))
+    pairs = both.join(of.toDF("x", "a"), "a").join(of.toDF("y", "b"), "b").where("a <> b or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), recall, scratch
 
 
 def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -296,11 +315,16 @@ def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with nothing and are kept. Rows that
     repeat an id share one result (their least label and vector counts). A row without an id has 0 links, a null component and is kept. An empty table gives no rows.
     """
-    links, recall, scratch = near_links(vectors, least)
-    ends = links.select(F.col("a").alias("vec_id")).union(links.select("b")).groupBy("vec_id").agg(F.count("*").alias("n_links"))
+    members, classes, links, recall, scratch = _class_links(vectors, least, None)
+    size = classes.select("rep", "size")
+    ends = links.union(links.select("b", "a")).join(size.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
     comp = connected_components(links, scratch, "cc")
     low = comp.groupBy("root").agg(F.min("node").alias("component_id"))
-    comp = comp.join(low, "root").select(F.col("node").alias("vec_id"), "component_id")
-    out = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(ends.join(comp, "vec_id"), "vec_id", "left")
+    comp = comp.join(low, "root").select(F.col("node").alias("rep"), "component_id")
+    facts = classes.join(ends, "rep", "left").join(comp, "rep", "left")
+    n_links = F.coalesce("others", F.lit(0)) + F.col("size") - 1
+    facts = facts.select("label", "vec", "size", n_links.alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    of = _of_members(members, scratch.put("facts", facts)).drop("size")
+    out = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(of, "vec_id", "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))

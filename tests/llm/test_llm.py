@@ -346,6 +346,25 @@ def test_embedding_dedup_recall(spark, monkeypatch):
     assert got <= true and len(got) >= 0.9 * len(true) and recall >= 0.9
 
 
+def test_embedding_dedup_equal_vectors(spark):
+    r = np.random.default_rng(11)
+    one = r.normal(size=16)
+    x = np.concatenate([np.tile(one, (1000, 1)), one + 0.05 * r.normal(size=(30, 16)), r.normal(size=(170, 16))]).astype(np.float32)
+    x[3:1000:3] *= 2  # equal once scaled
+    x = x[r.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    true = u @ u.T >= 0.93
+    np.fill_diagonal(true, False)
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.dedup(df).collect()}
+    assert [got[i][0] for i in range(len(x))] == true.sum(axis=1).tolist()
+    ball = [i for i in range(len(x)) if got[i][0] >= 1000]
+    assert len(ball) >= 1000 and {got[i][1] for i in ball} == {min(ball)}
+    links, _, _ = embedding_dedup.near_links(df)
+    assert sorted((p.a, p.b) for p in links.collect()) == sorted(zip(*np.nonzero(np.triu(true)), strict=True))
+
+
 def test_top_k(spark, odd_vectors):
     r = np.random.default_rng(2)
     x = (r.normal(size=(3000, 12)) * r.uniform(0.1, 3, (3000, 1))).astype(np.float32)
