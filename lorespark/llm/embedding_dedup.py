@@ -6,7 +6,9 @@ builds a robust-pruned graph, and a vector's adjacency lists from all its shards
 centre: greedily from the shard's medoid and a few spread nodes, and from each hit and its own node on through the graph for as long as
 vectors in range turn up, so a range of any size is walked to its end. A link is found if either end's nearest centre is among the
 other's OVERLAP nearest; searching the other shards too would find nearly every link again. Hits are verified by cosine in double
-precision. Recall is audited against brute force on a stated query set; a graph below the target is rebuilt with twice the overlap.
+precision. Recall is audited against brute force on a stated query set, for each vector, and averaged by label, so one large range does not
+outweigh the rest. If a label is below the target, it and every label not shown to reach it are searched exactly, all pairs of each shard, with
+twice the overlap; a label that is then still below it is searched exactly as a whole, which is quadratic in its rows.
 
 A shard of more than SHARD_ROWS vectors (a large group of near copies cannot be clustered apart) is cut into blocks by hash, and all pairs of
 blocks are searched, so no task grows with the group and none of its vectors is left out.
@@ -216,10 +218,35 @@ def _deal(vecs: DataFrame, centres: dict, overlap: int) -> DataFrame:
     return vecs.select("vec_id", "label", "vec").mapInPandas(run, "vec_id bigint, label bigint, vec binary, centre bigint, home boolean")
 
 
-def _links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
+def _blocks(vecs: DataFrame, centres: dict, overlap: int, scratch: C.Scratch, tag: str) -> DataFrame:
+    """Every vector in its shards, with the shard's number of blocks (nb) and its own (blk)."""
     dealt = scratch.put(f"dealt{tag}", _deal(vecs, centres, overlap))
     size = dealt.groupBy("label", "centre").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
-    dealt = dealt.join(size.select("label", "centre", "nb"), ["label", "centre"]).withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")).cast("int"))
+    return dealt.join(size.select("label", "centre", "nb"), ["label", "centre"]).withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")).cast("int"))
+
+
+def _exact_group(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf[pdf.blk == pdf.i], pdf[pdf.blk == pdf.j]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        wide = max(map(len, pdf.vec)) // 8
+        i, j = np.nonzero(matrix(p.vec.tolist(), "<f8", wide) @ matrix(q.vec.tolist(), "<f8", wide).T >= least)
+        a, b = p.vec_id.to_numpy()[i], q.vec_id.to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]}).drop_duplicates()
+
+    return run
+
+
+def _exact_links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
+    """All links of vectors that share a shard, by all pairs of its blocks. Without centres a label is one shard."""
+    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: F.struct(F.least("blk", b).alias("i"), F.greatest("blk", b).alias("j")))
+    put = _blocks(vecs, centres, overlap, scratch, tag).withColumn("to", F.explode(pair)).select("label", "centre", "to.i", "to.j", "blk", "vec_id", "vec")
+    return put.groupBy("label", "centre", "i", "j").applyInPandas(_exact_group(least), "a bigint, b bigint")
+
+
+def _links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
+    dealt = _blocks(vecs, centres, overlap, scratch, tag)
     graph = dealt.select("label", "centre", "blk", "vec_id", "vec").groupBy("label", "centre", "blk").applyInPandas(_graph_group, "vec_id bigint, nbrs array<bigint>")
     graph = scratch.put(f"graph{tag}", graph.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")))
     # a row serves block pair (i, j) as part of the graph if it is in block i, as a query if it is in block j and at home
@@ -234,8 +261,8 @@ def _links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch:
     return scratch.put(f"links{tag}", found.distinct())
 
 
-def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> float:
-    """The share of true links of a stated set of about AUDIT vectors (by hash) that ``links`` holds."""
+def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> dict[int, float]:
+    """By label, the mean share of its true links that ``links`` holds, over those of a stated set of about AUDIT vectors (by hash) that have any."""
     asked = vecs.where(F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(1 << 20)) < int(min(1.0, AUDIT / max(n, 1)) * (1 << 20)) + 1).toPandas()
     shared = vecs.sparkSession.sparkContext.broadcast({k: (g.vec_id.to_numpy(), matrix(g.vec.tolist(), "<f8")) for k, g in asked.groupby("label")})
 
@@ -244,17 +271,18 @@ def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> float:
             for label, rows in pdf.groupby("label"):
                 if label in shared.value:
                     ids, q = shared.value[label]
-                    i, j = np.nonzero(q @ matrix(rows.vec.tolist(), "<f8", q.shape[1]).T >= least)
-                    a, b = ids[i], rows.vec_id.to_numpy()[j]
-                    yield pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
+                    wide = max(q.shape[1], max(map(len, rows.vec)) // 8)
+                    i, j = np.nonzero(np.pad(q, ((0, 0), (0, wide - q.shape[1]))) @ matrix(rows.vec.tolist(), "<f8", wide).T >= least)
+                    v, w = ids[i], rows.vec_id.to_numpy()[j]
+                    yield pd.DataFrame({"label": label, "v": v, "a": np.minimum(v, w), "b": np.maximum(v, w)})[v != w]
 
-    true = vecs.mapInPandas(run, "a bigint, b bigint").distinct()
-    hit = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("h")).first()
-    return 1.0 if not hit.n else (hit.h or 0) / hit.n
+    true = vecs.mapInPandas(run, "label bigint, v bigint, a bigint, b bigint")
+    hit = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("label", "v").agg((F.count("hit") / F.count("*")).alias("r"))
+    return {r.label: r.r for r in hit.groupBy("label").agg(F.avg("r").alias("r")).collect()}
 
 
 def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) -> tuple[DataFrame, DataFrame, DataFrame, float, C.Scratch]:
-    """Members (vec_id, label, vec), classes (label, vec, rep, size), links (a, b), a < b, of the classes' reps, the audited recall."""
+    """Members (vec_id, label, vec), classes (label, vec, rep, size), links (a, b), a < b, of the classes' reps, the audited recall (the least of a label)."""
     spark = vectors.sparkSession
     scratch = scratch or C.Scratch(spark, "embdedup")
     double = F.transform("embedding", lambda x: x.cast("double"))
@@ -283,13 +311,17 @@ def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) ->
     rate = min(1.0, SAMPLE_PER_CENTRE * sum(want.values()) / max(1, total))
     sample = vecs.where(F.col("label").isin(list(want)) & (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) < int(rate * (1 << 20)))).select("label", "vec").toPandas() if want else pd.DataFrame({"label": [], "vec": []})
     centres = _centres(sample, want)
-    overlap, recall, links = OVERLAP, 0.0, None
-    for attempt in range(3):
-        links = _links(vecs, centres, overlap, least, scratch, str(attempt))
-        recall = _audit(vecs, links, least, n)
-        if recall >= RECALL:
+    links = _links(vecs, centres, OVERLAP, least, scratch, "0")
+    recall = _audit(vecs, links, least, n)
+    for step, (by, overlap) in enumerate(((centres, 2 * OVERLAP), ({}, 1)), 1):
+        poor = [k for k, r in recall.items() if r < RECALL]
+        if not poor:
             break
-        overlap *= 2
+        again = F.col("label").isin(poor) if step > 1 else ~F.col("label").isin([k for k, r in recall.items() if r >= RECALL])
+        exact = _exact_links(vecs.where(again), by, overlap, least, scratch, f"-exact{step}")
+        links = scratch.put(f"links-exact{step}", links.union(exact).distinct())
+        recall = _audit(vecs, links, least, n)
+    recall = min(recall.values(), default=1.0)
     return members, classes, links, recall, scratch
 
 

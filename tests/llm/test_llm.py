@@ -365,6 +365,32 @@ def test_embedding_dedup_equal_vectors(spark):
     assert sorted((p.a, p.b) for p in links.collect()) == sorted(zip(*np.nonzero(np.triu(true)), strict=True))
 
 
+def test_embedding_dedup_poor_label(spark, monkeypatch):
+    """A graph that fails one label, whose links are few beside those of another."""
+    import pandas as pd
+
+    r = np.random.default_rng(13)
+    small = r.normal(size=(100, 16))
+    x = np.concatenate([r.normal(size=16) + 0.02 * r.normal(size=(400, 16)), np.repeat(small, 5, axis=0) + 0.05 * r.normal(size=(500, 16))]).astype(np.float32)
+    label = np.repeat([1, 2], [400, 500])
+    whole = embedding_dedup._graph_group
+
+    def poor(pdf):
+        return whole(pdf) if pdf.label.iloc[0] == 1 else pd.DataFrame({"vec_id": pdf.vec_id, "nbrs": [[] for _ in range(len(pdf))]})
+
+    monkeypatch.setattr(embedding_dedup, "_graph_group", poor)
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 150)
+    df = spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label, strict=True))], "vec_id bigint, embedding array<float>, label int")
+    links, recall, _ = embedding_dedup.near_links(df)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.93, 1)), strict=True) if label[i] == label[j]}
+    got = {(p.a, p.b) for p in links.collect()}
+    of = lambda s, k: {p for p in s if label[p[0]] == k}
+    print("label 2:", len(of(got, 2)), "of", len(of(true, 2)), "all:", len(got), "of", len(true))
+    assert got <= true and of(got, 2) == of(true, 2) and len(of(got, 1)) >= 0.95 * len(of(true, 1)) and recall >= 0.95
+
+
 def test_top_k(spark, odd_vectors):
     r = np.random.default_rng(2)
     x = (r.normal(size=(3000, 12)) * r.uniform(0.1, 3, (3000, 1))).astype(np.float32)
