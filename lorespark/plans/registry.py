@@ -39,6 +39,11 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text of every benchmark item as a query."""
+    return table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
 QUESTIONS_SQL = f"SELECT item_id AS qid, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, {QUERY_WORDS}), ' ') AS query FROM benchmark WHERE text IS NOT NULL"
 
 
@@ -86,7 +91,7 @@ def index_term_counts(spark, d):
 @query()
 def query_analysis(spark, d):
     q = F.col("query")
-    return _questions(spark, d).select("qid", T.query_gate(q).alias("gate"), T.wants_deep(q).alias("deep"), F.array_join(T.identifiers(q), " ").alias("identifiers"), F.array_join(T.query_terms(q), " ").alias("terms"))
+    return _texts(spark, d).select("qid", T.query_gate(q).alias("gate"), T.wants_deep(q).alias("deep"), F.array_join(T.identifiers(q), " ").alias("identifiers"), F.array_join(T.query_terms(q), " ").alias("terms"))
 
 
 # ---- retrieval -------------------------------------------------------------------------------------
@@ -127,20 +132,20 @@ _chain("bm25_topk", "SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION
 def rrf_fused_search(spark, d):
     m = memories(spark, d)
     decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
-    out = retrieval.fused(m, _questions(spark, d), decayed, retrieval.visible(NOW))
+    out = retrieval.fused(m, _texts(spark, d), decayed, retrieval.visible(NOW))
     return out.withColumn("score", F.round("score", 9)).drop("precise", "broad", "fuzzy")
 
 
 @query()
 def observation_search(spark, d):
-    q = _questions(spark, d)
+    q = _texts(spark, d)
     return retrieval.observation_search(observations(spark, d), q).withColumn("bm25", F.round("bm25", 6))
 
 
 @query()
 def layered_search(spark, d):
-    hits = retrieval.bm25(memories(spark, d).select("id", "content"), _questions(spark, d))
-    return retrieval.interleave(retrieval.top(hits, 10, F.col("bm25"), F.col("id")), retrieval.observation_search(observations(spark, d), _questions(spark, d)), 10)
+    hits = retrieval.bm25(memories(spark, d).select("id", "content"), _texts(spark, d))
+    return retrieval.interleave(retrieval.top(hits, 10, F.col("bm25"), F.col("id")), retrieval.observation_search(observations(spark, d), _texts(spark, d)), 10)
 
 
 _VISIBLE = f"(expires_at IS NULL OR expires_at > {NOW}) AND superseded_by IS NULL"
@@ -445,7 +450,7 @@ def self_recall(spark, d):
 
 
 def _trace(spark, d) -> DataFrame:
-    m, q = memories(spark, d), _questions(spark, d)
+    m, q = memories(spark, d), _texts(spark, d)
     decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
     hits = retrieval.fused(m, q, decayed, retrieval.visible(NOW), 24)
     subjects = m.where("adopted_count > 3").select("kind", "project").distinct().withColumn("subject", F.lit(True))
@@ -460,7 +465,7 @@ def supply_selection(spark, d):
 
 @query()
 def supply_outcomes(spark, d):
-    return supply.outcomes(_trace(spark, d), _questions(spark, d))
+    return supply.outcomes(_trace(spark, d), _texts(spark, d))
 
 
 @query("SELECT project, content, id, length(content) + 1 AS cost FROM (SELECT *, sum(length(content) + 1) OVER (ORDER BY project, content, id ROWS UNBOUNDED PRECEDING) AS total FROM memories WHERE kind = 'rule' OR (project = '' AND salience >= 0.8)) WHERE total <= 2048")

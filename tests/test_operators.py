@@ -110,3 +110,11 @@ def test_capture_stream(spark, tmp_path):
     s = capture.capture_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     capture.ledger(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "event_uid") == [("a",), ("b",)]
+
+
+def test_whole_text_is_asked(spark, tmp_path):
+    from lorespark.plans import registry
+
+    spark.createDataFrame([(1, "one two three four five six seventh eighth")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "only the seventh", "src1"), (2, "nothing of it", "src1")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.id for r in registry.rrf_fused_search(spark, str(tmp_path)).collect()] == [1]
