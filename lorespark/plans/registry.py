@@ -438,12 +438,25 @@ def latency_p95(spark, d):
     return evaluation.latency(audit(spark, d), "event").withColumns({"mean": F.round("mean", 6), "p95": F.round("p95", 6)})
 
 
+SELF_SAMPLE, SELF_K = 100, 5
+
+
 @query()
 def self_recall(spark, d):
-    """Each benchmark item's text, first 60 % of its characters, as a query for itself among the benchmark items."""
-    b = table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    q = b.select(F.col("id").alias("qid"), F.when(F.length("content") > 12, F.expr("substring(content, 1, cast(length(content) * 0.6 as int))")).otherwise(F.col("content")).alias("query"))
-    return retrieval.top(retrieval.bm25(b, q), 5, F.round("bm25", 9), F.col("id")).select("qid", "id", "rank", (F.col("qid") == F.col("id")).alias("own"))
+    """(form, queries, recall, mrr, empty_rate, strict_all): evenly spaced memories, by id, as queries to the whole library's fused search: their full text, and its first 60 %."""
+    m = _hashed(memories(spark, d))
+    asked = evaluation.every_nth(m.where(retrieval.visible(NOW)).select("id", "content", "content_hash"), SELF_SAMPLE, "id")
+    c = F.col("content")
+    part = F.when(F.length(c) > 12, F.expr("substring(content, 1, cast(length(content) * 3 div 5 as int))")).otherwise(c)
+    form = F.explode(F.array(F.struct(F.lit("full").alias("form"), c.alias("query")), F.struct(F.lit("part").alias("form"), part.alias("query"))))
+    q = asked.select("id", "content_hash", form.alias("f")).select(F.concat("f.form", F.lit(":"), F.col("id").cast("string")).alias("qid"), "f.query", F.substring("content_hash", 1, 12).alias("prefix"))
+    decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
+    hits = retrieval.fused(m, q.select("qid", "query"), decayed, retrieval.visible(NOW), SELF_K)
+    ranked = hits.join(m.select("id", F.col("content_hash").alias("hash")), "id").select("qid", "hash", "rank")
+    scored = evaluation.recall_at_k(ranked, q.select("qid", "prefix"), SELF_K)
+    each = [evaluation.macro(scored.where(F.col("qid").startswith(f + ":"))).withColumn("form", F.lit(f)) for f in ("full", "part")]
+    out = each[0].unionByName(each[1])
+    return out.select("form", "queries", *[F.round(c, 9).alias(c) for c in ("recall", "mrr", "empty_rate", "strict_all")])
 
 
 # ---- supply ----------------------------------------------------------------------------------------

@@ -118,3 +118,12 @@ def test_whole_text_is_asked(spark, tmp_path):
     spark.createDataFrame([(1, "one two three four five six seventh eighth")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "only the seventh", "src1"), (2, "nothing of it", "src1")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.id for r in registry.rrf_fused_search(spark, str(tmp_path)).collect()] == [1]
+
+
+def test_self_recall_asks_the_library(spark, tmp_path):
+    from lorespark.plans import registry
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(10)), "src1") for i in (1, 2, 3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.form: (r.queries, r.recall, r.mrr, r.empty_rate) for r in registry.self_recall(spark, str(tmp_path)).collect()}
+    assert got == {"full": (3, 1.0, 1.0, 0.0), "part": (3, 1.0, 1.0, 0.0)}
