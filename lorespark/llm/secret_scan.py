@@ -26,7 +26,7 @@ _MORE = [
     ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")),
     ("bearer", re.compile(r"\b[Bb]earer\x20+[A-Za-z0-9._~+/-]{16,}=*")),
-    ("url_login", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,128}:[^\s/@]{1,256}@")),
+    ("url_login", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/@]+@")),
 ]
 KINDS = ("assign", "access", "hex", *(name for name, _ in _MORE))
 BASE = KINDS[:3]

@@ -158,6 +158,12 @@ def test_secrets_equal_brute_force(spark):
         assert set(want) <= set(r.spans.split(",")) | ({""} if not r.spans else set())
 
 
+def test_url_login_of_any_length():
+    for user, word in ((5, 2000), (500, 5)):
+        url = "https://" + "u" * user + ":" + "Zq" * word + "@host/x"
+        assert ("url_login", 0, url.index("@") + 1) in secret_scan.find(url)
+
+
 def test_ledger_is_incremental(spark, awkward, nothing):
     ledger = secret_scan.BlobLedger(spark)
     first = ledger.ingest(awkward)
