@@ -22,21 +22,32 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset (tests, local runs) a folder of our own."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset a local run (tests) gets a folder of our own; on a cluster that is an error,
+    as every executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lorespark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Folders of intermediate tables that this driver has made and not released.
+_made: list[str] = []
+
+
 class Scratch:
-    """Named intermediate Parquet tables in the shared folder; ``drop`` deletes one that is no longer read."""
+    """Named intermediate Parquet tables in the shared folder; ``drop`` deletes one that is no longer read.
+
+    A result is read from these tables lazily, so they stay until its reader has written it: ``mark`` before and ``release`` after.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/lorespark/{label}-{uuid.uuid4().hex}"
+        _made.append(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -46,10 +57,40 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark() -> int:
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables made after ``mark`` returned ``since``, once what was read from them has been written elsewhere."""
+    for base in _made[since:]:
+        if base not in keep:
+            _delete(spark, base)
+    _made[since:] = [b for b in _made[since:] if b in keep]
+
+
+def settled(df: DataFrame, scratch: Scratch, name: str = "settled") -> DataFrame:
+    """``df`` itself if it is a scan with projections and filters only, whose rows come in the same order whenever a task is run again; else written first.
+
+    What numbers rows by their place (``monotonically_increasing_id``) must stand on this: rows behind a shuffle may come back in another order.
+    """
+    plan, fixed = df._jdf.queryExecution().optimizedPlan(), True
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        fixed &= node.nodeName() in ("Project", "Filter") or node.nodeName().startswith(("Relation", "LogicalRelation", "LogicalRDD", "LocalRelation"))
+        kids = node.children()
+        nodes += [kids.apply(i) for i in range(kids.size())]
+    return df if fixed else scratch.put(name, df)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -69,6 +110,33 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def heavy_keys(rows: DataFrame, key: str, scratch: Scratch, tag: str) -> DataFrame | None:
+    """Keys that over one in ``parts`` rows hold, each with as many cuts as it has such shares; None without any.
+
+    There are fewer than ``parts`` (the shuffle partitions) of them and fewer than twice that many cuts, whatever the copies, so they may be broadcast.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
+    total = max(1, rows.count())
+    count = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") * parts > total)
+    heavy = scratch.put(f"heavy-{tag}", count.select(key, F.ceil(F.col("__n") * parts / total).alias("__cuts")))
+    return None if heavy.isEmpty() else heavy
+
+
+def cut_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame | None, spread: F.Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key) on ``key``; the rows of ``heavy`` keys are dealt over their cuts by the hash ``spread``, and the fact is repeated for each."""
+    if heavy is None:
+        return rows.join(facts, key, how)
+    heavy, cuts = F.broadcast(heavy), F.coalesce("__cuts", F.lit(1).cast("bigint"))
+    rows = rows.withColumn("__at", spread).join(heavy, key, "left").withColumn("__cut", F.pmod("__at", cuts)).drop("__cuts", "__at")
+    facts = facts.join(heavy, key, "left").withColumn("__cut", F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1))).drop("__cuts")
+    return rows.join(facts, [key, "__cut"], how).drop("__cut")
+
+
+def by_place(*cols: str) -> F.Column:
+    """A hash of columns and the row's place, for ``cut_join`` of a written table, whose rows keep their places."""
+    return F.xxhash64(*[F.col(c) for c in cols], F.monotonically_increasing_id())
+
+
 _holders: dict[str, object] = {}
 _holding: list[str] = [""]
 
