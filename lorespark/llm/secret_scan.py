@@ -22,15 +22,83 @@ from . import common as C
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_KEY_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+_BEARER = re.compile(r"\b[Bb]earer\x20+[A-Za-z0-9._~+/-]{16,}=*")
+_LOGIN = re.compile(r"://[^\s/:@]+:[^\s/@]+@")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+
+
+def private_keys(text: str):
+    """Each BEGIN line with the first END line behind it; one pass over either, so that BEGINs without an END cost nothing more."""
+    ends, at, done = [m.span() for m in _KEY_END.finditer(text)], 0, 0
+    for m in _KEY_BEGIN.finditer(text) if ends else ():
+        if m.start() < done:
+            continue
+        while at < len(ends) and ends[at][0] < m.end():
+            at += 1
+        if at == len(ends):
+            return
+        done = ends[at][1]
+        yield m.start(), done
+
+
+def jwts(text: str):
+    """Three dotted parts, the first from an ``eyJ`` at a word's edge and of eleven characters or more, the second of eight or more.
+
+    Dotted runs are found first and cut at their dots, so no character is read again for each ``eyJ``.
+    """
+    for m in _DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        starts = []
+        for p in parts:
+            starts.append(at)
+            at += len(p) + 1
+        while i + 2 < len(parts):
+            if parts[i + 2] and len(parts[i + 1]) >= 8 and len(parts[i]) >= 11 and (head := _token_head(text, starts[i], len(parts[i]))) >= 0:
+                yield head, starts[i + 2] + len(parts[i + 2])
+                i += 3
+            else:
+                i += 1
+
+
+def _token_head(text: str, at: int, n: int) -> int:
+    """The first ``eyJ`` at a word's edge in text[at:at + n] with eight characters behind it, or -1."""
+    i = text.find("eyJ", at, at + n)
+    while 0 <= i <= at + n - 11:
+        before = text[i - 1] if i else " "
+        if not (before.isalnum() or before == "_"):
+            return i
+        i = text.find("eyJ", i + 1, at + n)
+    return -1
+
+
+def url_logins(text: str):
+    """``scheme://user:password@`` with a scheme, user and password of any length; the scheme is read backwards from its colon."""
+    done = 0
+    for m in _LOGIN.finditer(text):
+        a = m.start()
+        while a > done and text[a - 1] in _SCHEME:
+            a -= 1
+        while a < m.start() and not ("a" <= text[a] <= "z"):
+            a += 1
+        if m.start() - a >= 2:
+            done = m.end()
+            yield a, done
+
+
+#: kind, a string that every match holds, finder of spans.
 _MORE = [
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")),
-    ("bearer", re.compile(r"\b[Bb]earer\x20+[A-Za-z0-9._~+/-]{16,}=*")),
-    ("url_login", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/@]+@")),
+    ("private_key", "-----BEGIN ", private_keys),
+    ("jwt", "eyJ", jwts),
+    ("bearer", "earer ", lambda text: (m.span() for m in _BEARER.finditer(text))),
+    ("url_login", "://", url_logins),
 ]
-KINDS = ("assign", "access", "hex", *(name for name, _ in _MORE))
+KINDS = ("assign", "access", "hex", *(name for name, _, _ in _MORE))
 BASE = KINDS[:3]
-RULE_VERSION = "v1-" + hashlib.sha256("\n".join([_ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, *(p.pattern for _, p in _MORE)]).encode()).hexdigest()[:12]
+#: Named anew whenever a rule changes what it finds.
+RULE_VERSION = "v2-" + hashlib.sha256("\n".join(p.pattern for p in (_ASSIGN, _ACCESS, _HEX, _KEY_BEGIN, _KEY_END, _DOTTED, _BEARER, _LOGIN)).encode()).hexdigest()[:12]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -41,9 +109,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    for (name, p), sign in zip(_MORE, ("-----BEGIN ", "eyJ", "earer ", "://"), strict=True):
+    for name, sign, spans in _MORE:
         if sign in text:
-            out += [(name, *m.span()) for m in p.finditer(text)]
+            out += [(name, a, b) for a, b in spans(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -86,11 +154,11 @@ class BlobLedger:
     def paths(self) -> DataFrame:
         return self._read("paths", "doc_id bigint, blob string")
 
-    def ingest(self, docs: DataFrame) -> int:
+    def ingest(self, docs: DataFrame) -> tuple[int, DataFrame]:
         """Record the versions in ``docs`` (doc_id, text; null text: empty) and scan blobs that are new under the current rules.
 
-        Returns the number of blobs scanned. A second call with the same rows scans none; after a crash between the two
-        appends the next call completes the work, since what is scanned is decided by the findings table alone.
+        Returns the number of blobs scanned, and a (doc_id, blob) row for each row of ``docs``. A second call with the same rows scans none; after a crash between
+        the two appends the next call completes the work, since what is scanned is decided by the findings table alone.
         """
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
@@ -102,44 +170,34 @@ class BlobLedger:
         fresh = fresh.groupBy("blob").agg(F.first("text").alias("text"))
         before = self.findings().count() if old else 0
         fresh.mapInArrow(_scan, _FOUND).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/findings")
-        known = rows.select("doc_id", "blob")
-        if not self.paths().isEmpty():
-            known = known.exceptAll(self.paths())
+        batch = C.Scratch(self.spark, "ledger-batch").put("rows", rows.select("doc_id", "blob"))
+        known = batch if self.paths().isEmpty() else batch.exceptAll(self.paths())
         known.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/paths")
-        return self.findings().count() - before
-
-    def report(self) -> DataFrame:
-        """Every path with what its blob holds under the current rules: one row per ingested row.
+        return self.findings().count() - before, batch
 
-        A blob that over one in ``parts`` paths hold is cut in proportion, and its finding is repeated for each cut. There are fewer than
-        ``parts`` such blobs and fewer than twice that many cuts, whatever the copies.
-        """
+    def report(self, rows: DataFrame | None = None) -> DataFrame:
+        """``rows`` (doc_id, blob; a written table, by default every path the ledger has recorded) with what each blob holds under the current rules: one row each."""
         found = self.findings().where(F.col("rules") == RULE_VERSION).dropDuplicates(["blob"]).drop("rules")
-        paths, parts = self.paths(), C.shuffle_partitions(self.spark)
-        total = max(1, paths.count())
-        heavy = paths.groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") * parts > total).select("blob", F.ceil(F.col("n") * parts / total).alias("cuts"))
-        heavy = F.broadcast(C.Scratch(self.spark, "ledger-cuts").put("heavy", heavy))
-        cuts = F.coalesce("cuts", F.lit(1).cast("bigint"))
-        paths = paths.join(heavy, "blob", "left").withColumn("cut", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), cuts)).drop("cuts")
-        found = found.join(heavy, "blob", "left").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1))).drop("cuts")
-        return paths.join(found, ["blob", "cut"]).drop("cut")
+        rows = self.paths() if rows is None else rows
+        return C.cut_join(rows, found, "blob", C.heavy_keys(rows, "blob", C.Scratch(self.spark, "ledger-cuts"), "blobs"), C.by_place("doc_id"))
 
 
 def secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
-    """Secret spans of every row of ``docs`` (doc_id, text; further columns are ignored), by way of ``ledger``.
+    """Secret spans of every row of ``docs`` (doc_id, text; further columns are ignored), by way of ``ledger``, whatever else it holds.
 
-    Null texts are empty; repeated rows keep a row each; an empty table gives no rows. Returns doc_id, n_assign, n_access, n_hex, n_more,
-    base_sha256, spans and blob.
+    Null and empty texts have none, texts of any length are read whole; repeated rows and null ids keep a row each; spans of one start stand in the order of the kinds; an
+    empty table gives no rows. Returns doc_id, n_assign, n_access, n_hex, n_more, base_sha256, spans and blob.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    ledger.ingest(docs)
-    return ledger.report().select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_more", "blob")
+    _, rows = ledger.ingest(docs)
+    return ledger.report(rows).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_more", "blob")
 
 
 def redact(docs: DataFrame, mark: str = "[redacted]") -> DataFrame:
     """``docs`` with each secret's span replaced by ``mark`` (overlapping spans once); all other text and columns stay.
 
-    Spans come from the ledger by content; a text without a finding passes through untouched, null texts stay null.
+    Spans come from the ledger by content; a text without a finding passes through untouched, null texts stay null, empty ones empty. Repeated rows keep a row each,
+    an empty table stays empty.
     """
     spark = docs.sparkSession
     ledger = BlobLedger(spark)
