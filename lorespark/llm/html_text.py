@@ -1,10 +1,13 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree (unclosed and stray tags are mended as browsers do for the common cases). Menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are told by tag, class, id and role and take no part. Every paragraph passes points, one plus one a comma
-plus up to three for length, to its ancestors: all to the parent, half to the next, a third of the rest's share above. A
-container's points are discounted by its link density; the best one, its article where it stands in one, and the siblings that score near it or
+scripts, styles and reader comments are told by tag, class, id and role and take no part. Some words name parts of articles as well (DOUBTFUL: a section "discussion",
+a paragraph "tags"), and some servers wrap a whole page in one form; such blocks, the former inside an article only, are judged by what they hold. Every paragraph passes points, one plus one a comma
+plus up to three for length, to its ancestors: all to the parent, half to the next, a third of the rest's share above, up to the LEVELS-th. A
+container's points are discounted by its link density; the best one (of equal ones the first), its article where it stands in one, and the siblings that score near it or
 read like paragraphs make the text. Blocks are joined in page order; nothing else is dropped or cut.
+
+Parsing is linear in the page: open elements are found by tag in a table of their places on the stack, and what a failed search has shown to be missing is not searched again.
 """
 
 from __future__ import annotations
@@ -18,20 +21,23 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Fixed tag and word lists.
+#: Fixed tag and word lists. LEVELS is a parameter: how many ancestors a paragraph's points reach.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-JUNK_TAGS = frozenset("head nav footer aside form button select input label fieldset dialog menu object embed applet canvas audio video map datalist".split()) | RAW
+JUNK_TAGS = frozenset("head nav footer aside button select input label fieldset dialog menu object embed applet canvas audio video map datalist".split()) | RAW
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tablist form".split())
 JUNK_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices popup modal overlay newsletter "
-    "subscribe subscription signup login paywall sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs crumbs header masthead topbar footer bottombar comment comments commentlist disqus "
-    "respond replies reply discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager skip skiplink tags tagcloud".split()
+    "subscribe subscription signup login paywall sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs crumbs header masthead topbar footer bottombar comment comments commentlist disqus "
+    "respond share sharing social recommended recommendations toolbar pagination pager skip skiplink tagcloud".split()
 )
+#: Words that also name parts of articles, and what such a block must hold to stay: characters outside links, marks of sentences, and the largest share of links.
+DOUBTFUL = frozenset("replies reply discussion related rail widget widgets tags".split())
+DOUBT_CHARS, DOUBT_MARKS, DOUBT_LINKED = 80, 2, 0.25
 KEEP_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -50,53 +56,99 @@ TAG_POINTS = {"div": 5, "article": 8, "main": 8, "section": 3, "pre": 3, "td": 3
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body figcaption".split())
 LEVELS = 6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_MARK = re.compile(r"[.!?。！？]")
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "junk", "chars", "linked", "commas", "score", "in_link")
+    __slots__ = ("tag", "up", "kids", "junk", "doubt", "chars", "linked", "commas", "own_chars", "own_commas", "score", "in_link")
 
     def __init__(self, tag: str, up: Node | None, junk: bool):
-        self.tag, self.up, self.kids, self.junk = tag, up, [], junk
-        self.chars = self.linked = self.commas = 0
+        self.tag, self.up, self.kids, self.junk, self.doubt = tag, up, [], junk, False
+        self.chars = self.linked = self.commas = self.own_chars = self.own_commas = 0
         self.score, self.in_link = 0.0, tag == "a" or (up is not None and up.in_link)
 
 
-def _is_junk(tag: str, attrs: str, inside_article: bool) -> bool:
+def _is_junk(tag: str, attrs: str, inside_article: bool) -> bool | None:
+    """True: no part of the text; None: doubtful, what it holds decides."""
     if tag in JUNK_TAGS or (tag == "header" and not inside_article):
         return True
+    doubt = True if tag == "form" else None
     if tag in KEEP_TAGS and tag != "p" or "=" not in attrs:
-        return False
+        return None if doubt else False
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.strip().lower() in JUNK_ROLES:
                 return True
-        elif any(w.lower() in JUNK_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+        else:
+            words = [w.lower() for w in _WORDS.findall(value)]
+            if any(w in JUNK_WORDS or w in DOUBTFUL and not inside_article for w in words):
+                return True
+            doubt = doubt or any(w in DOUBTFUL for w in words)
+    return None if doubt else False
+
+
+class _Finder:
+    """``find`` of fixed strings at ascending places: the next hit is kept, and one that is missing is searched once."""
+
+    def __init__(self, source: str):
+        self.source, self.next, self.strict = source, {}, True
+
+    def find(self, what: str, at: int) -> int:
+        hit = self.next.get(what, 0)
+        if hit < 0 or hit >= at:
+            if what in self.next:
+                return hit
+        hit = self.next[what] = self.source.find(what, at)
+        return hit
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` closes: its first ``>`` outside quotes, else the first one, else -1.
+
+        A scan that runs off the page inside a quote has read it to its end: quotes are not trusted behind that.
+        """
+        if self.find(">", at) < 0:
+            return -1
+        pos = at
+        while self.strict:
+            m = _STOP.search(self.source, pos)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.source.find(m[0], m.end())
+            if close < 0:
+                break
+            pos = close + 1
+        self.strict = False
+        return self.find(">", at)
 
 
 def parse(source: str) -> list[Node]:
     """All nodes of the page in document order; the first is the root."""
     root = Node("#root", None, False)
-    nodes, cur, at, n, low = [root], root, 0, len(source), None
-    articles = 0
+    nodes, stack, low, n, at = [root], [root], None, len(source), 0
+    places: dict[str, list[int]] = {}  # open elements of a tag, by their place on the stack
+    barriers: list[int] = [0]
+    finder, once = _Finder(source), set()
 
     def text(raw: str) -> None:
-        if not cur.junk:
-            cur.kids.append(html.unescape(raw) if "&" in raw else raw)
+        if not stack[-1].junk:
+            stack[-1].kids.append(html.unescape(raw) if "&" in raw else raw)
 
-    def close_to(node: Node) -> None:
-        nonlocal cur, articles
-        while cur is not node:
-            articles -= cur.tag in ("article", "main")
-            cur = cur.up
-        articles -= cur.tag in ("article", "main")
-        cur = cur.up
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
+
+    def close_to(place: int) -> None:
+        while len(stack) > place:
+            x = stack.pop()
+            places[x.tag].pop()
+            if x.tag in BARRIER:
+                barriers.pop()
 
     while at < n:
         lt = source.find("<", at)
@@ -105,47 +157,48 @@ def parse(source: str) -> list[Node]:
             break
         if lt > at:
             text(source[at:lt])
-        m = _TOKEN.match(source, lt) or _LOOSE.match(source, lt)
-        if m is None:
+        if source.startswith("<!--", lt):
+            end = finder.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if source.startswith(("<!", "<?"), lt):
+            end = finder.find(">", lt)
+            if end >= 0:
+                at = end + 1
+                continue
+        m = _NAME.match(source, lt + 1)
+        gt = finder.tag_end(m.end()) if m else -1
+        if gt < 0:
             text("<")
             at = lt + 1
             continue
-        at = m.end()
-        tag = m[2].lower() if m.lastindex else None
-        if tag is None:
-            continue
-        if m[1]:
-            x = cur
-            while x is not root and x.tag != tag and not (x.tag in BARRIER and tag not in BARRIER and tag != "table"):
-                x = x.up
-            if x.tag == tag:
-                close_to(x)
+        at, tag, attrs = gt + 1, m[0].lstrip("/").lower(), source[m.end() : gt]
+        if m[0][0] == "/":
+            place = last(tag)
+            if place and (tag in BARRIER or tag == "table" or place > barriers[-1]):
+                close_to(place)
             elif tag in ("p", "br"):
-                cur.kids.append(Node("br" if tag == "br" else "p", cur, cur.junk))
+                stack[-1].kids.append(Node("br" if tag == "br" else "p", stack[-1], stack[-1].junk))
             continue
-        if tag in ENDS_P:
-            x = cur
-            while x is not root and x.tag != "p" and x.tag not in BARRIER:
-                x = x.up
-            if x.tag == "p":
-                close_to(x)
+        if tag in ENDS_P and last("p") > barriers[-1]:
+            close_to(last("p"))
         if tag in CLOSES:
             ends, stop = CLOSES[tag]
-            while True:
-                x = cur
-                while x is not root and x.tag not in ends and x.tag not in stop:
-                    x = x.up
-                if x is root or x.tag in stop:
-                    break
-                close_to(x)
-        if tag in ("html", "body") and any(k.tag == tag for k in nodes[:6]):
-            continue
-        if tag == "body" and cur.tag == "head":
-            close_to(cur)
-        node = Node(tag, cur, cur.junk or _is_junk(tag, m[3], articles > 0))
-        cur.kids.append(node)
+            while (place := max(map(last, ends))) > max(map(last, stop)):
+                close_to(place)
+        if tag in ("html", "body"):
+            if tag in once:
+                continue
+            once.add(tag)
+            if tag == "body" and stack[-1].tag == "head":
+                close_to(len(stack) - 1)
+        up = stack[-1]
+        junk = _is_junk(tag, attrs, last("article") > 0 or last("main") > 0)
+        node = Node(tag, up, up.junk or junk is True)
+        node.doubt = junk is None
+        up.kids.append(node)
         nodes.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
+        if tag in VOID or attrs.endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
             low = source.lower() if low is None else low
@@ -155,14 +208,48 @@ def parse(source: str) -> list[Node]:
             else:
                 stop_at = low.find(f"</{tag}", at)
                 stop_at = n if stop_at < 0 else stop_at
-            gt = source.find(">", stop_at)
+            gt = finder.find(">", stop_at)
             at = n if gt < 0 else gt + 1
             continue
-        articles += tag in ("article", "main")
-        cur = node
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BARRIER:
+            barriers.append(len(stack))
+        stack.append(node)
+    _settle(nodes)
     return nodes
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Doubtful blocks stay if they read as text (a form also if it holds an article, a main part or half of the page); the others are junk with all they hold."""
+    if not any(x.doubt and not x.junk for x in nodes):
+        return
+    size, linked, marks, body = ({id(x): 0 for x in nodes} for _ in range(4))
+    for x in reversed(nodes):
+        if x.junk:
+            continue
+        k = id(x)
+        for t in x.kids:
+            if isinstance(t, str):
+                c = len(t.strip())
+                size[k] += c
+                linked[k] += c if x.in_link else 0
+                marks[k] += len(_MARK.findall(t))
+        body[k] |= x.tag in ("article", "main")
+        if x.up is not None:
+            u = id(x.up)
+            size[u], linked[u], marks[u], body[u] = size[u] + size[k], linked[u] + linked[k], marks[u] + marks[k], body[u] | body[k]
+    whole = size[id(nodes[0])]
+    for x in nodes:
+        if x.up is not None and x.up.junk:
+            x.junk = True
+        elif x.doubt and not x.junk:
+            k = id(x)
+            if x.tag == "form":
+                x.junk = not body[k] and 2 * size[k] < whole
+            else:
+                x.junk = size[k] - linked[k] < DOUBT_CHARS or marks[k] < DOUBT_MARKS or linked[k] > DOUBT_LINKED * size[k]
+
+
 def _score(nodes: list[Node]) -> None:
     for x in nodes:
         if not x.junk:
@@ -172,21 +259,20 @@ def _score(nodes: list[Node]) -> None:
                     x.chars += size
                     x.commas += k.count(",") + k.count("、") + k.count("，")
                     x.linked += size if x.in_link else 0
-    own = {id(x): [x.chars, x.commas] for x in nodes}
+        x.own_chars, x.own_commas = x.chars, x.commas
     for x in reversed(nodes):  # inline children count as text of their block
-        if x.up is not None and not x.junk:
+        if x.chars and x.up is not None and not x.junk:
             x.up.chars += x.chars
             x.up.linked += x.linked
             x.up.commas += x.commas
             if x.tag not in BLOCK:
-                o, u = own[id(x)], own[id(x.up)]
-                u[0] += o[0]
-                u[1] += o[1]
+                x.up.own_chars += x.own_chars
+                x.up.own_commas += x.own_commas
     for x in nodes:
-        size, commas = own[id(x)]
-        if x.junk or x.tag not in PARAGRAPHS or not size:
+        size = x.own_chars
+        if not size or x.junk or x.tag not in PARAGRAPHS:
             continue
-        points = (1 + commas + min(size / 100, 3)) * (1 if size >= 25 else 0.2) * (1 - (x.linked / x.chars if x.chars else 0))
+        points = (1 + x.own_commas + min(size / 100, 3)) * (1 if size >= 25 else 0.2) * (1 - (x.linked / x.chars if x.chars else 0))
         up = x if x.tag not in ("p", "li", "dd", "figcaption") else x.up
         level = 0
         while up is not None and level < LEVELS:
@@ -260,7 +346,8 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``pages`` (html and any further columns) with html replaced by text and n_chars (code points).
 
-    keep: the columns to carry (all but html, text and n_chars by default). Null and empty pages have empty text; repeated rows keep a row each.
+    keep: the columns to carry (all but html, text and n_chars by default). Null and empty pages have empty text; pages of any length are read whole, in linear time; of
+    equal containers the first is taken; repeated rows keep a row each; an empty table stays empty.
     """
     names = [c for c in (keep if keep is not None else pages.columns) if c not in ("html", "text", "n_chars")]
     schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in names) + "text string, n_chars bigint"
