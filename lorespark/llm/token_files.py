@@ -26,6 +26,8 @@ from .tokens import default_vocabulary, encoder
 MAGIC, VERSION = b"LSEF", 1
 SEGMENT_IDS = 1 << 20
 SAMPLE = 64
+#: Text bytes that one task encodes.
+BYTES_PER_TASK = 256 << 20
 _HEAD = struct.Struct("<4sBBxxQQQ")
 _EF = struct.Struct("<BxxxxxxxQQq")
 
@@ -35,6 +37,7 @@ class EliasFano:
 
     def __init__(self, n: int, universe: int, base: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
         self.n, self.universe, self.base, self.low_bits, self.lows, self.highs, self.samples = n, universe, base, low_bits, lows, highs, samples
+        self._highs: bytes | None = None
 
     @classmethod
     def of(cls, x: np.ndarray) -> EliasFano:
@@ -64,23 +67,25 @@ class EliasFano:
 
     def _low(self, i: int) -> int:
         a = i * self.low_bits
-        chunk = int.from_bytes(self.lows[a // 8 : (a + self.low_bits + 7) // 8].tobytes(), "little")
+        chunk = int.from_bytes(self._lows[a // 8 : (a + self.low_bits + 7) // 8], "little")
         return (chunk >> (a % 8)) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
         """The i-th number: from the sample before it, ones are counted forward through at most SAMPLE - 1 of them."""
-        pos, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, seen = pos // 8, -1
-        word = int(self.highs[byte]) >> (pos % 8) << (pos % 8)
-        while seen + word.bit_count() < left:
-            seen += word.bit_count()
+        if self._highs is None:  # plain bytes are quicker to index one by one
+            self._highs, self._lows, self._samples = self.highs.tobytes(), self.lows.tobytes(), self.samples.tolist()
+        highs = self._highs
+        pos, left = self._samples[i // SAMPLE], i % SAMPLE
+        byte = pos >> 3
+        word = highs[byte] >> (pos & 7) << (pos & 7)
+        while (ones := word.bit_count()) <= left:
+            left -= ones
             byte += 1
-            word = int(self.highs[byte])
-        for bit in range(8):
-            seen += word >> bit & 1
-            if seen == left and word >> bit & 1:
-                return self.base + ((byte * 8 + bit - i) << self.low_bits | self._low(i))
-        raise IndexError(i)
+            word = highs[byte]
+        for _ in range(left):
+            word &= word - 1
+        bit = (word & -word).bit_length() - 1
+        return self.base + (((byte << 3) + bit - i) << self.low_bits | self._low(i))
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
@@ -121,7 +126,7 @@ class Segment:
         return self.array[a:b]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nameless + self.names.all().tolist()
+        return [None] * self.nameless + [self.names.select(i) for i in range(self.names.n)]
 
 
 _SEGMENTS = "part int, seg int, n_docs bigint, n_ids bigint, payload binary"
@@ -159,7 +164,9 @@ def write_token_files(docs: DataFrame, scratch: C.Scratch, path: str | None = No
     """Encode ``docs`` (doc_id, text; null text: empty), append end_id to each, write segments in ascending doc_id order; the table read back."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(C.shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(C.shuffle_partitions(spark), -(-size // BYTES_PER_TASK))
+    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     out = ranged.mapInArrow(_write(path or default_vocabulary(), end_id), _SEGMENTS)
     return scratch.put("segments", out)
 
@@ -171,14 +178,19 @@ def _read(batches):
     for batch in batches:
         for start, payload in zip(batch.column("start").to_pylist(), batch.column("payload"), strict=True):
             s = Segment(payload.as_py())
-            ends, ids = s.ends.all(), s.array.astype("<u4")
-            raw = memoryview(ids.tobytes())
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(), pa.int64()), pa.array(ends[:-1] + start), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            raw = memoryview(s.array.astype("<u4").tobytes())
+            place, size, crc, a = [], [], [], s.ends.select(0)
+            for i in range(s.n):  # a document ends where the next one begins, so one select each
+                b = s.ends.select(i + 1)
+                place.append(start + a)
+                size.append(b - a)
+                crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                a = b
+            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(), pa.int64()), *(pa.array(c, pa.int64()) for c in (place, size, crc))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(segments: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the segments alone. Empty segments tables give no rows.
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the segments alone, by ``select``. Empty segments tables give no rows.
 
     Segment sizes (one number for a million ids) are summed in one pass to place each segment in the whole array.
     """
@@ -189,5 +201,6 @@ def read_token_files(segments: DataFrame) -> DataFrame:
 
 
 def token_index(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write and read back; one row per row of ``docs``. Null ids come first, repeated ids keep a row each, in no set order among them."""
+    """Write and read back; one row per row of ``docs`` (further columns are ignored). A null or empty text is its end id alone, a long one is whole and may fill a segment by
+    itself. Null ids come first, repeated ids keep a row each, in no set order among them. An empty table gives no rows."""
     return read_token_files(write_token_files(docs, C.Scratch(docs.sparkSession, "tokens"), path, end_id))
