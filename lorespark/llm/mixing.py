@@ -21,6 +21,8 @@ SEED = 11
 #: Rates above this are drawn as sums of independent counts with means of at most this; hashes give 52 random bits.
 CHUNK = 16.0
 _TERMS = 80
+#: Copies that one task of the shuffle takes (256 MB at 2 KB a row).
+ROWS_PER_TASK = 1 << 17
 #: At most this many sources (some 0.7 KB each, 7 MB in all) have their rates broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -88,17 +90,19 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     return rows.select(*names, "mix_rate", "mix_copies", "mix_copy", "mix_key")
 
 
-def shuffled(mixed: DataFrame) -> DataFrame:
+def shuffled(mixed: DataFrame, rows: int | None = None) -> DataFrame:
     """The global shuffle: copies are dealt to partitions by the hash of their random key and sorted by it (ties by id and copy).
 
-    No range boundaries are sampled, so texts are read and moved once.
+    rows: how many there are, about; a partition takes ROWS_PER_TASK. No range boundaries are sampled, so texts are read and moved once.
     """
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(C.shuffle_partitions(mixed.sparkSession), -(-(rows or 0) // ROWS_PER_TASK))
     return mixed.repartition(n, "mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
-    return shuffled(replicate(docs, weights, alpha, epochs, seed))
+    """``replicate`` and ``shuffled``. Null and empty texts are repeated like others, an empty table stays empty, equal keys stand in the order of id and copy."""
+    n = math.ceil(docs.count() * epochs)  # Parquet answers it from its footers
+    return shuffled(replicate(docs, weights, alpha, epochs, seed), n)
 
 
 def oracle(alpha: float = ALPHA, seed: int = SEED) -> str:

@@ -30,16 +30,16 @@ def _map_free(docs: DataFrame) -> list[str]:
 def external_shuffle(docs: DataFrame, n_shards: int, scratch: C.Scratch, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text and any further columns) with shard and slot, written in shuffled order.
 
-    Null ids and texts are values like others; repeated rows are kept and get slots of their own. Columns named
-    shard or slot in docs are replaced. An empty table stays empty.
+    Null ids and texts are values like others; a long text stands in one bucket whole; repeated rows are kept and get slots of their own. Columns named
+    shard or slot in docs are replaced. An empty table stays empty. Rows behind a shuffle are written first, as a lost task must deal them alike.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    docs = docs.select(*names)
+    docs = C.settled(docs.select(*names), scratch)
     stat = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + F.lit(64)).alias("b")).first()
     tasks = max(C.shuffle_partitions(spark), math.ceil((stat.b or 0) / (BUCKET_BYTES * BUCKETS_PER_TASK)))
     buckets = tasks * BUCKETS_PER_TASK
-    # rows that are equal in id and text differ in this salt, so that repeated rows cannot fill one bucket
+    # rows that are equal in id and text differ in this salt, so that repeated rows cannot fill one bucket; docs come in the same order whenever a task is run again
     key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
     salt = F.xxhash64(key, F.monotonically_increasing_id())
     put = docs.withColumn("__h", key).withColumn("__bucket", F.pmod(F.xxhash64(salt, F.lit(seed)), F.lit(buckets)).cast("int"))
