@@ -126,17 +126,24 @@ class BitmaskFilter:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, has, strict=True)], np.where(has, top, 0.0).tolist(), total.astype(int).tolist()
 
 
+def threshold(want: int, n: int) -> int:
+    """The 62-bit hashes below it are ``want`` out of ``n``, or all."""
+    return 1 << 62 if n <= want else (want << 62) // n
+
+
 def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG) -> BitmaskFilter:
     """Fit on ``docs`` (text, lang): at most about ``rows_per_lang`` rows of each language, chosen by the hash of the text.
 
-    Null labels and texts are left out. Languages are ordered by name, which also breaks ties of prediction.
+    A text is in the sample if the upper 62 bits of its hash are below its language's share of them, so a share is never rounded to nothing however many
+    rows there are; copies of a text count once. Null labels and texts are left out, an empty table gives a model without languages (all ``und``).
+    Languages are ordered by name, which also breaks ties of prediction.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not count:
         return BitmaskFilter([], np.zeros((1, 1), C.U), np.zeros(0))
-    part = F.create_map(*[x for k, n in count.items() for x in (F.lit(k), F.lit(int(min(1.0, rows_per_lang / n) * 1_000_000)))])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) < part[F.col("lang")])
+    part = F.create_map(*[x for k, n in count.items() for x in (F.lit(k), F.lit(threshold(rows_per_lang, n)))])
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 2) < part[F.col("lang")]).distinct()
 
     def tally(batches):
         C.hold("lang_id")
@@ -186,7 +193,11 @@ def held_out() -> F.Column:
 
 
 def language_of(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang); trained on the other fold."""
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang; further columns are ignored); trained on the other fold.
+
+    Null, empty and letterless texts are ``und`` with score 0, texts of any length are read whole, ties go to the alphabetically first language, repeated rows keep a
+    row each (a null doc_id is not held out), an empty table gives no rows.
+    """
     model = train(docs.where(~held_out()))
     out = predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
