@@ -2,7 +2,8 @@
 
 Plan, every step a distributed one:
 
-1. Equal texts form one class (64-bit hash of the text); only one row of a class goes on.
+1. Equal texts form one class; only one row of a class goes on. A class is named by a 64-bit hash; where a second, independent one shows that different texts share a
+   name, they get names of their own.
 2. Each class's set of distinct k-word shingles is scattered, packed, into buckets by shingle hash. A bucket counts
    in how many classes a shingle occurs and sends back only those of two or more: a shingle of one class can meet nobody.
 3. Each class gets its repeated shingles in rare-first order (count, hash). Shingles of one class come first in that
@@ -13,7 +14,11 @@ Plan, every step a distributed one:
    prefix shingle are formed, once each, and pass the length, positional and suffix filters before their sets are intersected.
    Links between members of one component are left unformed only where they cannot change the component.
 
-Hashes are 64-bit (sets) and at least 45-bit (bucket keys); different shingles that collide are taken as equal.
+A shingle's key has 64 bits with 2**16 buckets or more, else 48 and those of its bucket. Different shingles with one key are taken as equal; that can only matter if both
+stand in the two sets of one pair.
+
+Hot classes, prefix shingles and components are cut in proportion before what is known of them is joined back, and a prefix shingle of many classes is cut into blocks
+whose pairs are formed apart, so no task grows with a group.
 """
 
 from __future__ import annotations
@@ -28,16 +33,32 @@ from .components import connected_components
 
 #: Parameters of the operator. bytes_per_bucket: text bytes whose shingles meet in one bucket.
 SLICE_BYTES = 2 << 20
-BYTES_PER_BUCKET = 48 << 20
+BYTES_PER_BUCKET = 8 << 20
 STAR_ROUNDS = 3
-KEY_BITS = 40
+KEY_BITS = 48
 SKETCH = 32
+#: Classes of one prefix shingle that meet as one block.
+BLOCK = 512
 #: Prefix shingles that a row carries to tell whether a pair met at an earlier one; behind them a pair may be formed more than once.
 CARRIED = 128
 
 
+def _key_bits(bucket_bits: int) -> int:
+    return min(KEY_BITS, 64 - bucket_bits)
+
+
+def _first_hash(text: F.Column) -> F.Column:
+    return F.xxhash64(text)
+
+
+def _second_hash(text: F.Column) -> F.Column:
+    """The same function from another seed: that of a number before the text."""
+    return F.xxhash64(F.lit(7), text)
+
+
 def _scatter(k: int, bucket_bits: int):
-    shift = C.U(64 - bucket_bits)
+    shift, key_bits = C.U(64 - bucket_bits), _key_bits(bucket_bits)
+    narrow = np.uint16 if bucket_bits <= 16 else np.uint32
 
     def run(batches):
         C.hold("shingles", C.forget_powers)
@@ -49,11 +70,11 @@ def _scatter(k: int, bucket_bits: int):
                 n = np.fromiter(map(len, sets), np.int64, j - i)
                 h = np.concatenate(sets) if sets else np.zeros(0, C.U)
                 bucket = (h >> shift).astype(np.int64) if bucket_bits else np.zeros(len(h), np.int64)
-                order = np.argsort(bucket.astype(np.uint16), kind="stable")
+                order = np.argsort(bucket.astype(narrow), kind="stable")
                 own = np.repeat(np.arange(j - i), n)[order]
                 h, bucket = h[order], bucket[order]
-                key = (h << C.U(bucket_bits)) >> C.U(64 - KEY_BITS)
-                hi, lo = (key >> C.U(8)).astype(np.uint32), (key & C.U(255)).astype(np.uint8)
+                key = (h << C.U(bucket_bits)) >> C.U(64 - key_bits)
+                hi, lo = (key >> C.U(16)).astype(np.uint32), (key & C.U(65535)).astype(np.uint16)
                 home = (C.mix64(cls[i:j].view(C.U)) % C.U(1 << bucket_bits)).astype(np.int64)
                 rows = []
                 cuts = C.group_cuts(bucket)
@@ -89,13 +110,13 @@ def _count(bucket_bits: int):
         out = []
         meta_who, meta_n = _joined(t.column("who"), kind, 1, np.int64), _joined(t.column("cnt"), kind, 1, np.uint32)
         who = np.repeat(_joined(t.column("who"), kind, 0, np.int64), _joined(t.column("cnt"), kind, 0, np.uint32))
-        key = (_joined(t.column("hi"), kind, 0, np.uint32).astype(C.U) << C.U(8)) | _joined(t.column("lo"), kind, 0, np.uint8)
+        key = (_joined(t.column("hi"), kind, 0, np.uint32).astype(C.U) << C.U(16)) | _joined(t.column("lo"), kind, 0, np.uint16)
         order = np.argsort(key, kind="stable")
         key, who = key[order], who[order]
         cuts = C.group_cuts(key)
         df = np.repeat(np.diff(cuts), np.diff(cuts))
         keep = df >= 2
-        key, who, df = key[keep] | (bucket << C.U(KEY_BITS)), who[keep], df[keep]
+        key, who, df = key[keep] | (bucket << C.U(_key_bits(bucket_bits))), who[keep], df[keep]
         block = (C.mix64(who.view(C.U)) % C.U(1 << bucket_bits)).astype(np.int64)
         order = np.lexsort((who, block))
         key, who, df, block = key[order], who[order], df[order], block[order]
@@ -172,24 +193,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return x.where(both * den >= (F.col("na") + F.col("nb") - both) * num).select("a", "b")
 
 
-def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "jaccard") -> tuple[DataFrame, DataFrame, C.Scratch]:
-    """Rows (doc_id, cls) of ``docs`` and classes (cls, n, root): sets of Jaccard similarity num/den or more are linked.
+def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "jaccard") -> tuple[DataFrame, DataFrame, C.Scratch, object]:
+    """Rows (doc_id, cls) of ``docs``, classes (cls, n, root), the scratch folder, and the function that adds ``cls`` to a table with ``text``.
 
-    docs: doc_id, text. Null and empty texts have the empty set, which links with nothing.
+    docs: doc_id, text. Sets of Jaccard similarity num/den or more are linked. Null and empty texts have the empty set, which links with nothing.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, label)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("cls", F.xxhash64("text"))
-    ids = scratch.put("ids", rows.select("doc_id", "cls", F.octet_length("text").alias("size")))
-    first = ids.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
-    more = ids.join(first.where("rows > 1"), "cls").where("doc_id > low or (doc_id is null and low is not null)").select("cls", "doc_id")
+    clash = None
+
+    def classed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("cls", _first_hash(text)).withColumn("__second", _second_hash(text))
+        if clash is not None:
+            df = df.join(F.broadcast(clash), "cls", "left").withColumn("cls", F.when(F.col("__clash"), F.xxhash64("cls", "__second")).otherwise(F.col("cls"))).drop("__clash")
+        return df
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    ids = scratch.put("ids", classed(rows).select("doc_id", "cls", F.octet_length("text").alias("size"), "__second"))
+    # names that two texts share: some n*n / 2**65 of n texts, so a handful at any corpus size
+    same = ids.groupBy("cls").agg(F.min("__second").alias("x"), F.max("__second").alias("y")).where("x <> y").select("cls", F.lit(True).alias("__clash"))
+    same = scratch.put("clash", same)
+    if not same.isEmpty():
+        clash = same
+        ids = scratch.put("ids2", classed(rows).select("doc_id", "cls", F.octet_length("text").alias("size"), "__second"))
+    each = scratch.put("each", ids.groupBy("cls", "doc_id").agg(F.count("*").alias("rows")))
+    first = each.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("ids"))
+    hot = C.heavy_keys(each, "cls", scratch, "each")
+    more = C.cut_join(each, first.where("ids > 1"), "cls", hot, C.by_place("doc_id")).where("doc_id > low or (doc_id is null and low is not null)").select("cls", "doc_id")
     more = scratch.put("more", more)
     total = ids.agg(F.sum("size")).first()[0] or 0
-    reps = rows.alias("r").join(C.maybe_broadcast(more, more.count()).alias("m"), F.expr("r.cls = m.cls and r.doc_id <=> m.doc_id"), "left_anti").select("cls", "text")
+    reps = classed(rows).alias("r").join(C.maybe_broadcast(more, more.count()).alias("m"), F.expr("r.cls = m.cls and r.doc_id <=> m.doc_id"), "left_anti").select("cls", "text")
+    if not each.where("rows > 1").isEmpty():  # rows that repeat id and text
+        reps = reps.dropDuplicates(["cls"])
 
     bits = C.pow2_at_least(max(C.shuffle_partitions(spark), total / BYTES_PER_BUCKET)).bit_length() - 1
-    bits = min(bits, 16)
     packed = reps.mapInArrow(_scatter(k, bits), _PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_count(bits), _COUNTED)
     sets = scratch.put("sets", counted.groupBy("block").applyInArrow(_order(num, den), _SETS))
@@ -198,6 +236,7 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "j
     prefix = live.select("cls", "n", F.posexplode(F.slice("rep", F.lit(1), F.col("plen") - F.col("own"))).alias("i", "h"), "own")
     slim = scratch.put("prefix", prefix.select("cls", "n", (F.col("own") + F.col("i")).alias("p"), "h"))
 
+    hot = C.heavy_keys(slim, "h", scratch, "prefix")
     comp, links, tried = None, None, []
     for rnd in range(STAR_ROUNDS):
         # one centre per prefix shingle, chosen by hash: the classes of a large group of near copies mostly agree on it
@@ -207,7 +246,7 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "j
         else:
             at = at.withColumn("root", F.col("cls"))
         centre = at.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", F.lit(rnd)).alias("r"), F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "m.c", "m.nc", "m.rc")
-        pairs = at.join(centre, "h").where("root <> rc").where((F.least("n", "nc") * den) >= (F.greatest("n", "nc") * num))
+        pairs = C.cut_join(at, centre, "h", hot, F.xxhash64("cls", F.lit(5))).where("root <> rc").where((F.least("n", "nc") * den) >= (F.greatest("n", "nc") * num))
         pairs = pairs.select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
         pairs = scratch.put(f"tried{rnd}", pairs if not tried else pairs.join(tried[0] if len(tried) == 1 else tried[0].union(tried[1]), ["a", "b"], "left_anti"))
         tried.append(pairs)
@@ -218,14 +257,17 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "j
         comp = connected_components(links, scratch, f"cc{rnd}")
     at = slim if comp is None else slim.join(comp.toDF("cls", "root"), "cls", "left")
     at = at.withColumn("root", F.coalesce("root", "cls") if comp is not None else F.col("cls"))
-    mixed = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    at = scratch.put("rest", at.join(mixed, "h", "left_semi"))
+    mixed = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("lo <> hi").select("h", "nb")
+    at = scratch.put("rest", C.cut_join(at, mixed, "h", hot, F.xxhash64("cls", F.lit(5))))
     ahead = F.col("plen") - F.col("own")
     carry = live.select("cls", "own", "sketch", F.slice("rep", F.lit(1), F.least(ahead, F.lit(CARRIED))).alias("pre"))
     at = at.join(carry, "cls").withColumn("e", F.when(F.col("p") - F.col("own") <= CARRIED, F.slice("pre", F.lit(1), F.col("p") - F.col("own"))))
-    at = at.select("h", "cls", "n", "p", "root", "e", "sketch")
-    x, y = at.toDF("h", "a", "na", "pa", "ra", "ea", "ka"), at.toDF("h", "b", "nb", "pb", "rb", "eb", "kb")
-    pairs = x.join(y, "h").where(F.expr("a < b and ra <> rb") & _may_link(num, den)).select("a", "b").distinct()
+    # block i of a shingle's classes meets block j under the key (h, i, j): one key for most shingles, and no task takes a common one whole
+    at = at.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(9)), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    side = lambda i, j: at.select("h", F.col(i).alias("i"), F.col(j).alias("j"), "cls", "n", "p", "root", "e", "sketch")
+    x = side("blk", "other").toDF("h", "i", "j", "a", "na", "pa", "ra", "ea", "ka")
+    y = side("other", "blk").toDF("h", "i", "j", "b", "nb", "pb", "rb", "eb", "kb")
+    pairs = x.join(y, ["h", "i", "j"]).where(F.expr("a < b and ra <> rb") & _may_link(num, den)).select("a", "b").distinct()
     for t in tried:  # a pair is verified once
         pairs = pairs.join(t, ["a", "b"], "left_anti")
     last = scratch.put("last", _verify(pairs, live, num, den))
@@ -236,42 +278,47 @@ def jaccard_classes(docs: DataFrame, k: int, num: int, den: int, label: str = "j
         classes = classes.withColumn("root", F.col("cls"))
     else:
         classes = classes.join(comp.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return ids.select("doc_id", "cls"), classes, scratch
+    return ids.select("doc_id", "cls"), scratch.put("class-roots", classes), scratch, classed
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; further columns are ignored).
 
-    component_id: the smallest doc_id reachable by links, the own one included. Rows without words have n_shingles 0
-    and their own id. Rows that repeat a doc_id keep a row each. A null doc_id stays null and takes the smallest id of
+    component_id: the smallest doc_id reachable by links, the own one included. Rows without words (null, empty and blank texts) have n_shingles 0
+    and their own id; texts of any length are compared whole. Rows that repeat a doc_id keep a row each. A null doc_id stays null and takes the smallest id of
     its component, if there is one. An empty table gives no rows.
     """
-    ids, classes, scratch = jaccard_classes(docs, k, num, den)
-    classes = scratch.put("classes", classes)
+    ids, classes, scratch, _ = jaccard_classes(docs, k, num, den)
     low = ids.groupBy("cls").agg(F.min("doc_id").alias("low"))
     low = classes.join(low, "cls").groupBy("root").agg(F.min("low").alias("component_id"))
-    known = scratch.put("known", classes.join(low, "root").select("cls", "n", "component_id"))
-    out = ids.join(known, "cls")
+    known = C.cut_join(classes, low, "root", C.heavy_keys(classes, "root", scratch, "roots"), F.xxhash64("cls", F.lit(5)))
+    known = scratch.put("known", known.select("cls", "n", "component_id"))
+    out = C.cut_join(ids, known, "cls", C.heavy_keys(ids, "cls", scratch, "ids"), C.by_place("doc_id"))
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with one row of each group of linked rows left: the one of smallest doc_id (an id before none, ties by text hash).
 
-    Rows without words all stay. Only (id, text hash) pairs are joined to choose; texts move only where that list is too long to broadcast.
+    Rows without words (null, empty and blank texts) all stay; texts of any length are compared whole; of rows that repeat id and text one stays; an empty table stays empty.
+    Only (id, text hash) pairs are joined to choose; texts move only where that list is too long to broadcast.
     """
-    spark = docs.sparkSession
-    ids, classes, scratch = jaccard_classes(docs, k, num, den, "keepone")
-    known = scratch.put("known", ids.join(classes, "cls"))
-    worded = known.where("n > 0")
+    ids, classes, scratch, classed = jaccard_classes(docs, k, num, den, "keepone")
+    worded = classes.where("n > 0").select("cls", "root")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("cls").alias("c"))
-    best = scratch.put("best", worded.groupBy("root").agg(F.min(rank).alias("m")).select("root", F.col("m.d").alias("d"), F.col("m.c").alias("c")))
-    lost = scratch.put("lost", worded.join(best, "root").where("not (doc_id <=> d and cls = c)").select(F.col("doc_id").alias("__d"), F.col("cls").alias("__c")).distinct())
-    again = worded.join(best, "root").where("doc_id <=> d and cls = c").groupBy("doc_id", "cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__d"), F.col("cls").alias("__c"))
-    again = scratch.put("again", again)
-    rows = docs.withColumn("__cls", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    first = ids.groupBy("cls").agg(F.min(rank).alias("m"))
+    best = worded.join(first, "cls").groupBy("root").agg(F.min("m").alias("m")).select("root", F.col("m.d").alias("d"), F.col("m.c").alias("c"))
+    of = C.cut_join(worded, best, "root", C.heavy_keys(worded, "root", scratch, "roots"), F.xxhash64("cls", F.lit(5)))
+    of = scratch.put("best", of.select("cls", "d", "c"))
+    rows = C.cut_join(ids, of, "cls", C.heavy_keys(ids, "cls", scratch, "ids"), C.by_place("doc_id"))
+    rows = scratch.put("rows", rows.select(F.col("doc_id").alias("__d"), F.col("cls").alias("__c"), F.expr("doc_id <=> d and cls = c").alias("stays")))
+    lost = rows.where("not stays").select("__d", "__c").distinct()
+    again = rows.where("stays").groupBy("__d", "__c").agg(F.count("*").alias("n")).where("n > 1").select("__d", "__c")
+    lost, again = scratch.put("lost", lost), scratch.put("again", again)
+    named = classed(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"})).withColumnRenamed("cls", "__cls")
+    named = named.select(F.col("__cls"), F.col("text"), *[F.col(f"own_{c}").alias(c) for c in docs.columns if c != "text"])
     same = F.expr("__cls = __c and cast(doc_id as bigint) <=> __d")
-    out = rows.join(C.maybe_broadcast(lost, lost.count()), same, "left_anti")
+    out = named.join(C.maybe_broadcast(lost, lost.count()), same, "left_anti")
     n = again.count()
     if n:  # rows that repeat id and text of the one that stays
         again = C.maybe_broadcast(again, n)
