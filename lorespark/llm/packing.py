@@ -3,8 +3,9 @@
 Pieces are scattered over partitions of bounded size. A partition is packed from its length histogram alone (equal lengths
 are interchangeable, so at most ``capacity`` counts describe it) by best-fit decreasing, and dual-feasible functions give a lower
 bound of its bin count. Where both are equal the partition is certified and done. Partitions with a gap exchange their
-pieces: their histograms are merged, eight to one, and packed again; a merge that saves nothing is undone. Rounds end when no
-gap is left or one partition holds all that have one. Pieces then look their place up by their rank among
+pieces: those of a block (MERGE partitions in the first round, MERGE times as many in each further one) pool their histograms and are packed again from the pool; a pool that
+saves nothing is undone. When the largest block has been tried, what the last bins of certified partitions waste is exchanged in the same way. Rounds end as soon as the whole
+reaches its own lower bound. Which group a partition is in is a table, one row a partition; the driver sees sums only. Pieces then look their place up by their rank among
 the pieces of their length, so no task ever holds the pieces of a group.
 """
 
@@ -131,6 +132,8 @@ def tokenised(docs: DataFrame, keep: list[str], path: str | None = None, end_id:
 
 
 _PACKED = "grp bigint, bins bigint, bound bigint, length bigint, rank_from bigint, items bigint, bin_from bigint, per_bin bigint, at bigint"
+#: A sequence's number is its group's first partition and its bin: 24 bits of partitions (of 20,000 pieces and more) and 39 of bins.
+BIN_BITS = 39
 
 
 def _pack_group(cap: int):
@@ -147,79 +150,78 @@ def _pack_group(cap: int):
     return run
 
 
-def pack(pieces: DataFrame, scratch: C.Scratch, cap: int = CAPACITY, per_part: int = PIECES_PER_PART, rounds: int = 12) -> tuple[DataFrame, dict[str, int]]:
+def pack(pieces: DataFrame, scratch: C.Scratch, cap: int = CAPACITY, per_part: int = PIECES_PER_PART) -> tuple[DataFrame, dict[str, int]]:
     """``pieces`` (length 1 to cap, salt and any further columns; a written table) with sequence_id and offset, and the bin counts.
 
     An empty table gives no rows. Pieces of equal length take places in no set order among themselves.
     """
     spark = pieces.sparkSession
     n = pieces.count()
-    parts = max(1, math.ceil(n / per_part))
-    pieces = pieces.withColumn("part", F.pmod("salt", F.lit(parts)))
+    parts = max(1, math.ceil(n / max(per_part, n >> (63 - BIN_BITS))))
+    pieces = pieces.withColumn("part", F.pmod("salt", F.lit(parts)).cast("bigint"))
     hist = scratch.put("hist", pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     whole = hist.groupBy("length").agg(F.sum("n").alias("n")).toPandas()  # at most ``cap`` rows
     if not len(whole):
         return pieces.drop("part", "salt").withColumn("sequence_id", F.lit(None).cast("bigint")).withColumn("offset", F.lit(None).cast("bigint")).where("false"), {"bins": 0, "bound": 0}
     least = lower_bound(whole.length.to_numpy(np.int64), whole.n.to_numpy(np.int64), cap)
-    members: dict[int, list[int]] = {p: [p] for p in range(parts)}  # one entry a partition, each of some 20,000 pieces
-    done: dict[int, tuple[int, int, int]] = {}  # group: bins, bound, level
-
-    def packed(groups: list[int], level: int) -> None:
-        m = spark.createDataFrame([(p, g) for g in groups for p in members[g]], "part int, grp bigint")
-        h = hist.join(C.maybe_broadcast(m, parts), "part").groupBy("grp", "length").agg(F.sum("n").alias("n"))
-        t = scratch.put(f"pack{level}", h.groupBy("grp").applyInPandas(_pack_group(cap), _PACKED))
-        for r in t.select("grp", "bins", "bound").distinct().collect():
-            done[r.grp] = (r.bins, r.bound, level)
-
-    packed(list(members), 0)
-    live, level, fresh, everyone = set(done), 0, parts, False
-    while sum(done[g][0] for g in live) > least and len(live) > 1 and level < rounds:
-        # those with a gap exchange; once certified partitions are all that is left, what their last bins waste is exchanged too
-        gap = sorted(g for g in live if done[g][0] > done[g][1])
-        everyone = everyone or len(gap) < 2
-        pick = sorted(live) if everyone else gap
-        level, held = level + 1, {}
-        for i in range(0, len(pick), MERGE):
-            if len(pick[i : i + MERGE]) > 1:
-                held[fresh] = pick[i : i + MERGE]
-                members[fresh] = [p for g in held[fresh] for p in members[g]]
-                fresh += 1
-        packed(list(held), level)
-        better = [g for g, of in held.items() if done[g][0] < sum(done[o][0] for o in of)]
-        for g in better:  # where nothing is saved the members keep their own packing
-            live.difference_update(held[g])
-            live.add(g)
-        if not better:
-            if everyone:
+
+    def packed(members: DataFrame, rnd: int) -> DataFrame:
+        """Pack the groups of ``members`` (part, grp); (grp, bins, bound) of each."""
+        h = hist.join(C.maybe_broadcast(members, parts), "part").groupBy("grp", "length").agg(F.sum("n").alias("n"))
+        t = scratch.put(f"pack{rnd}", h.groupBy("grp").applyInPandas(_pack_group(cap), _PACKED))
+        return t.groupBy("grp").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+
+    # where: the group of each partition and the round that packed it; groups: one row each
+    where = scratch.put("where0", hist.select("part").distinct().select("part", F.lit(0).alias("rnd"), F.col("part").alias("grp")))
+    groups = scratch.put("groups0", packed(where.select("part", "grp"), 0).select(F.lit(0).alias("rnd"), "grp", F.col("grp").alias("first"), "bins", "bound"))
+    levels = math.ceil(math.log(parts, MERGE) - 1e-9) if parts > 1 else 0
+    bins, rnd, tried = groups.agg(F.sum("bins")).first()[0], 0, [0]
+    for everyone in (False, True):
+        for level in range(1, levels + 1):
+            if bins <= least:
                 break
-            everyone = True
-    final = sorted(live)
-    base = dict(zip(final, np.cumsum([0] + [done[g][0] for g in final])[:-1].tolist(), strict=True))
-    tables = {g: done[g][2] for g in final}
-    where = spark.createDataFrame([(p, g, base[g], tables[g]) for g in final for p in members[g]], "part int, grp bigint, base bigint, level int")
+            pick = groups if everyone else groups.where("bins > bound")
+            pick = pick.withColumn("blk", F.expr(f"first div {MERGE**level}"))
+            pool = pick.groupBy("blk").agg(F.count("*").alias("c"), F.sum("bins").alias("old")).where("c > 1").select("blk", "old")
+            rnd += 1
+            moved = where.join(pick.select("rnd", "grp", "blk"), ["rnd", "grp"]).join(pool, "blk").select("part", F.col("blk").alias("grp"), "old")
+            moved = scratch.put(f"moved{rnd}", moved)
+            if moved.isEmpty():
+                continue
+            tried.append(rnd)
+            old = moved.groupBy("grp").agg(F.first("old").alias("old"), F.min("part").alias("first"))
+            better = packed(moved.select("part", "grp"), rnd).join(old, "grp").where("bins < old")  # where nothing is saved the members keep their own packing
+            better = scratch.put(f"better{rnd}", better.select(F.lit(rnd).alias("rnd"), "grp", "first", "bins", "bound"))
+            to = moved.select("part", "grp").join(better.select("grp"), "grp").select("part", F.col("grp").alias("to"))
+            where = where.join(to, "part", "left").select("part", F.when(F.col("to").isNull(), F.col("rnd")).otherwise(rnd).alias("rnd"), F.coalesce("to", "grp").alias("grp"))
+            where = scratch.put(f"where{rnd}", where)
+            groups = scratch.put(f"groups{rnd}", groups.join(where.select("rnd", "grp").distinct(), ["rnd", "grp"], "left_semi").unionByName(better))
+            bins = groups.agg(F.sum("bins")).first()[0]
     runs = None
-    for lv in sorted({tables[g] for g in final}):
-        t = spark.read.schema(_PACKED).parquet(scratch.path(f"pack{lv}")).withColumn("level", F.lit(lv))
+    for r in tried:
+        t = spark.read.schema(_PACKED).parquet(scratch.path(f"pack{r}")).withColumn("rnd", F.lit(r))
         runs = t if runs is None else runs.union(t)
-    of_group = where.select("grp", "level", "base").distinct()
-    runs = runs.join(of_group, ["grp", "level"]).groupBy("grp", "length").agg(F.array_sort(F.collect_list(F.struct("rank_from", "items", "bin_from", "per_bin", "at", "base"))).alias("runs"))
-    before = Window.partitionBy("grp", "length").orderBy("part")
-    places = hist.join(C.maybe_broadcast(where.drop("level", "base"), parts), "part").withColumn("before", F.sum("n").over(before) - F.col("n"))
-    places = scratch.put("places", places.join(runs, ["grp", "length"]).select("part", "length", "before", F.filter("runs", lambda r: (r["rank_from"] < F.col("before") + F.col("n")) & (r["rank_from"] + r["items"] > F.col("before"))).alias("runs")))
+    runs = runs.join(groups.select("rnd", "grp", "first"), ["rnd", "grp"])
+    runs = runs.groupBy("rnd", "grp", "length").agg(F.array_sort(F.collect_list(F.struct("rank_from", "items", "bin_from", "per_bin", "at", "first"))).alias("runs"))
+    before = Window.partitionBy("rnd", "grp", "length").orderBy("part")
+    places = hist.join(C.maybe_broadcast(where, parts), "part").withColumn("before", F.sum("n").over(before) - F.col("n"))
+    mine = F.filter("runs", lambda r: (r["rank_from"] < F.col("before") + F.col("n")) & (r["rank_from"] + r["items"] > F.col("before")))
+    places = scratch.put("places", places.join(runs, ["rnd", "grp", "length"]).select("part", "length", "before", mine.alias("runs")))
     rank = F.row_number().over(Window.partitionBy("part", "length").orderBy("salt")) - 1
-    out = pieces.withColumn("rank", rank).join(places, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # pieces stand by (part, length) for their ranks: places, as many as histogram rows, are sorted to them and not broadcast
+    out = pieces.withColumn("rank", rank).join(places.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     hit = F.filter("runs", lambda r: (F.col("rank") >= r["rank_from"]) & (F.col("rank") < r["rank_from"] + r["items"]))[0]
     out = out.withColumn("run", hit).withColumn("k", F.col("rank") - F.col("run.rank_from"))
-    out = out.withColumn("sequence_id", F.col("run.base") + F.col("run.bin_from") + F.expr("k div run.per_bin"))
+    out = out.withColumn("sequence_id", F.shiftleft("run.first", BIN_BITS) + F.col("run.bin_from") + F.expr("k div run.per_bin"))
     out = out.withColumn("offset", F.col("run.at") + F.expr("k % run.per_bin") * F.col("length"))
-    total = {"bins": sum(done[g][0] for g in final), "bound": least}
-    return out.drop("runs", "run", "k", "rank", "before", "part", "salt"), total
+    return out.drop("runs", "run", "k", "rank", "before", "part", "salt"), {"bins": bins, "bound": least}
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, cap: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs`` (doc_id, text; null text: empty, one token).
 
-    Repeated rows and null ids are packed like any others.
+    Repeated rows and null ids are packed like any others; a text of any length is cut whole into pieces; pieces of equal length take places in no set order; further
+    columns are ignored; an empty table gives no rows.
     """
     scratch = C.Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
