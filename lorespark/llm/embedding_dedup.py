@@ -1,14 +1,16 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Equal unit vectors of one label are one class, of which only the least id is searched: copies at distance 0 would fill each other's lists.
-Vectors of one label are dealt to overlapping cluster shards (the OVERLAP nearest centres; centres are fit on a bounded sample). Every shard
-builds a robust-pruned graph, and a vector's adjacency lists from all its shards are united. Every vector then searches the shard of its nearest
+Vectors of one label are dealt to overlapping cluster shards, the OVERLAP nearest cells of a tree: a cell of more than SHARD_ROWS vectors is split into at most FAN, on centres that an
+executor fits to a bounded sample of the cell, level by level, so shards keep their size however many vectors there are and no task or driver holds all centres. Centres within
+range of each other are one, and a cell whose vectors mostly stand in range of each other is not split: its pairs are links. Every shard
+builds a robust-pruned graph, and a vector's adjacency lists from all its shards are united. Every vector then searches its home shard, that of its nearest
 centre: greedily from the shard's medoid and a few spread nodes, and from each hit and its own node on through the graph for as long as
 vectors in range turn up, so a range of any size is walked to its end. A link is found if either end's nearest centre is among the
 other's OVERLAP nearest; searching the other shards too would find nearly every link again. Hits are verified by cosine in double
 precision. Recall is audited against brute force on a stated query set, for each vector, and averaged by label, so one large range does not
 outweigh the rest. If a label is below the target, it and every label not shown to reach it are searched exactly, all pairs of each shard, with
-twice the overlap; a label that is then still below it is searched exactly as a whole, which is quadratic in its rows.
+twice the overlap; a label that is then still below it is searched exactly as a whole, which is quadratic in its rows. If a label is below the target even then, that is an error.
 
 A shard of more than SHARD_ROWS vectors (a large group of near copies cannot be clustered apart) is cut into blocks by hash, and all pairs of
 blocks are searched, so no task grows with the group and none of its vectors is left out.
@@ -20,17 +22,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import connected_components
 from .vectors import matrix, usable
 
-#: Parameters. Centres: at most CENTRES over all labels, fit on at most about SAMPLE_PER_CENTRE rows each.
+#: Parameters. A cell is split into one for every CLUSTER_ROWS vectors, at most FAN, on SAMPLE_PER_CENTRE sampled vectors each; ASSIGN vectors are dealt in one task.
 CLUSTER_ROWS = 256
-CENTRES = 8192
+FAN = 64
 SAMPLE_PER_CENTRE = 24
+ASSIGN = 4096
 OVERLAP = 4
 SHARD_ROWS = 1200
 DEGREE, POOL, ALPHA, BEAM, SLACK = 24, 48, 1.2, 24, 0.05
@@ -39,23 +42,21 @@ ENTRIES, FILL = 8, 12
 RECALL = 0.95
 
 
-def _centres(sample: pd.DataFrame, want: dict[int, int]) -> dict[int, np.ndarray]:
-    """Spherical k-means of each label that needs more than one centre."""
-    out = {}
-    for label, rows in sample.groupby("label"):
-        k = min(want.get(label, 1), len(rows))
-        if k < 2:
-            continue
-        x = matrix(rows.vec.tolist(), "<f8")
-        c = x[np.random.default_rng(7).permutation(len(x))[:k]]
-        for _ in range(6):
-            near = np.argmax(x @ c.T, axis=1)
-            s = np.zeros_like(c)
-            np.add.at(s, near, x)
-            n = np.linalg.norm(s, axis=1)
-            c = np.where(n[:, None] > 0, s / np.maximum(n, 1e-12)[:, None], c)
-        out[label] = c
-    return out
+def centres_of(x: np.ndarray, k: int, least: float) -> np.ndarray:
+    """At most k centres of unit vectors by spherical k-means; of centres within range of each other that of the most vectors is left."""
+    c = x[np.random.default_rng(7).permutation(len(x))[:k]]
+    for _ in range(6):
+        near = np.argmax(x @ c.T, axis=1)
+        s = np.zeros_like(c)
+        np.add.at(s, near, x)
+        n = np.linalg.norm(s, axis=1)
+        c = np.where(n[:, None] > 0, s / np.maximum(n, 1e-12)[:, None], c)
+    size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    kept: list[int] = []
+    for i in np.argsort(-size, kind="stable"):
+        if not kept or float((c[kept] @ c[i]).max()) < least:
+            kept.append(int(i))
+    return c[kept]
 
 
 def robust_graph(x: np.ndarray) -> np.ndarray:
@@ -196,33 +197,70 @@ def _graph_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "nbrs": [ids[row[row >= 0]] for row in adj]})
 
 
-def _deal(vecs: DataFrame, centres: dict, overlap: int) -> DataFrame:
-    shared = vecs.sparkSession.sparkContext.broadcast(centres)
+def _fit(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = matrix(pdf.vec.tolist(), "<f8")
+        c = centres_of(x, int(pdf.k.iloc[0]), least)
+        return pd.DataFrame({"cell": [int(pdf.cell.iloc[0])], "wide": [c.shape[1]], "centres": [c.tobytes()], "n": [int(pdf.n.iloc[0])]})
 
-    def run(frames):
-        for pdf in frames:
-            parts = []
-            for label, rows in pdf.groupby("label"):
-                c = shared.value.get(label)
-                if c is None:
-                    parts.append(rows.assign(centre=0, home=True))
-                    continue
-                sims = matrix(rows.vec.tolist(), "<f8", c.shape[1]) @ c.T
-                k = min(overlap, len(c))
-                near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                home = near[np.arange(len(near)), np.argmax(np.take_along_axis(sims, near, axis=1), axis=1)]
-                parts += [rows.assign(centre=near[:, j], home=near[:, j] == home) for j in range(k)]
-            if parts:
-                yield pd.concat(parts)[["vec_id", "label", "vec", "centre", "home"]]
-
-    return vecs.select("vec_id", "label", "vec").mapInPandas(run, "vec_id bigint, label bigint, vec binary, centre bigint, home boolean")
-
-
-def _blocks(vecs: DataFrame, centres: dict, overlap: int, scratch: C.Scratch, tag: str) -> DataFrame:
+    return run
+
+
+def _assign(overlap: int):
+    """A block of a cell's vectors with the centres of the cell: the nearest ``overlap`` cells below it of each, with the cosines."""
+
+    def run(rows: pd.DataFrame, split: pd.DataFrame) -> pd.DataFrame:
+        if not len(split):  # no vector was drawn: the cell stays as it is, and is not split again
+            return rows[["vec_id", "label", "cell"]].assign(sim=0.0, above=1)
+        if not len(rows):
+            return pd.DataFrame({"vec_id": [], "label": [], "cell": [], "sim": [], "above": []})
+        wide = int(split.wide.iloc[0])
+        c = np.frombuffer(split.centres.iloc[0], "<f8").reshape(-1, wide)
+        x = matrix(rows.vec.tolist(), "<f8", wide)
+        sims = x @ np.pad(c, ((0, 0), (0, x.shape[1] - wide))).T
+        k = min(overlap, len(c))
+        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        below = C.mix64(np.full(1, int(split.cell.iloc[0])).view(C.U) + (near.astype(C.U) + C.U(1)) * C.U(0x9E3779B97F4A7C15))
+        out = rows[["vec_id", "label"]].loc[rows.index.repeat(k)]
+        return out.assign(cell=below.view(np.int64).ravel(), sim=np.take_along_axis(sims, near, axis=1).ravel(), above=int(split.n.iloc[0]))
+
+    return run
+
+
+def _cells(vecs: DataFrame, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
+    """(vec_id, label, vec, cell, home): every vector in its ``overlap`` nearest cells, home in the nearest. overlap 0: a label is one cell."""
+    at = vecs.select("vec_id", "label", F.xxhash64("label").alias("cell"), F.lit(0.0).alias("sim"), F.lit(None).cast("bigint").alias("above"), F.lit(True).alias("home"))
+    dense, level = math.sqrt(least), 0
+    while overlap:
+        size = at.where("home").groupBy("cell").agg(F.count("*").alias("n"), F.avg("sim").alias("mean"), F.max("above").alias("above"))
+        # a cell that its last split has hardly shrunk would go on for ever
+        big = size.where((F.col("n") > SHARD_ROWS) & (F.col("above").isNull() | (F.col("n") < 0.9 * F.col("above")) & (F.col("mean") < dense)))
+        k = F.least(F.lit(FAN), F.ceil(F.col("n") / CLUSTER_ROWS))
+        big = scratch.put(f"big{tag}-{level}", big.select("cell", "n", k.cast("int").alias("k")))
+        n_big = big.count()
+        if not n_big:
+            break
+        some = C.maybe_broadcast(big, n_big)
+        rows = at.join(some, "cell").join(vecs.select("vec_id", "vec"), "vec_id")
+        drawn = F.pmod(F.xxhash64("vec_id", F.lit(level + 1)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * SAMPLE_PER_CENTRE * F.col("k") / F.col("n")
+        split = scratch.put(f"split{tag}-{level}", rows.where(F.col("home") & drawn).select("cell", "k", "n", "vec").groupBy("cell").applyInPandas(_fit(least), "cell bigint, wide int, centres binary, n bigint"))
+        blocks = at.join(some, "cell").groupBy("cell").agg(F.ceil(F.count("*") / ASSIGN).cast("int").alias("nb"))
+        blocks = scratch.put(f"nb{tag}-{level}", blocks)
+        split = split.join(blocks, "cell").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        rows = rows.join(C.maybe_broadcast(blocks, n_big), "cell").withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")).cast("int")).select("vec_id", "label", "vec", "cell", "blk")
+        below = rows.groupBy("cell", "blk").cogroup(split.groupBy("cell", "blk")).applyInPandas(_assign(overlap), "vec_id bigint, label string, cell bigint, sim double, above bigint")
+        every = at.join(some, "cell", "left_anti").select("vec_id", "label", "cell", "sim", "above").unionByName(below)
+        rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "cell"))
+        at = scratch.put(f"cells{tag}-{level}", every.withColumn("r", rank).where(F.col("r") <= overlap).withColumn("home", F.col("r") == 1).drop("r"))
+        level += 1
+    return vecs.select("vec_id", "vec").join(at.select("vec_id", "label", "cell", "home"), "vec_id")
+
+
+def _blocks(vecs: DataFrame, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
     """Every vector in its shards, with the shard's number of blocks (nb) and its own (blk)."""
-    dealt = scratch.put(f"dealt{tag}", _deal(vecs, centres, overlap))
-    size = dealt.groupBy("label", "centre").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
-    return dealt.join(size.select("label", "centre", "nb"), ["label", "centre"]).withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")).cast("int"))
+    dealt = scratch.put(f"dealt{tag}", _cells(vecs, overlap, least, scratch, tag))
+    size = dealt.groupBy("label", "cell").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
+    return dealt.join(size.select("label", "cell", "nb"), ["label", "cell"]).withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")).cast("int"))
 
 
 def _exact_group(least: float):
@@ -238,16 +276,16 @@ def _exact_group(least: float):
     return run
 
 
-def _exact_links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
-    """All links of vectors that share a shard, by all pairs of its blocks. Without centres a label is one shard."""
+def _exact_links(vecs: DataFrame, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
+    """All links of vectors that share a shard, by all pairs of its blocks. With overlap 0 a label is one shard."""
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: F.struct(F.least("blk", b).alias("i"), F.greatest("blk", b).alias("j")))
-    put = _blocks(vecs, centres, overlap, scratch, tag).withColumn("to", F.explode(pair)).select("label", "centre", "to.i", "to.j", "blk", "vec_id", "vec")
-    return put.groupBy("label", "centre", "i", "j").applyInPandas(_exact_group(least), "a bigint, b bigint")
+    put = _blocks(vecs, overlap, least, scratch, tag).withColumn("to", F.explode(pair)).select("label", "cell", "to.i", "to.j", "blk", "vec_id", "vec")
+    return put.groupBy("label", "cell", "i", "j").applyInPandas(_exact_group(least), "a bigint, b bigint")
 
 
-def _links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
-    dealt = _blocks(vecs, centres, overlap, scratch, tag)
-    graph = dealt.select("label", "centre", "blk", "vec_id", "vec").groupBy("label", "centre", "blk").applyInPandas(_graph_group, "vec_id bigint, nbrs array<bigint>")
+def _links(vecs: DataFrame, overlap: int, least: float, scratch: C.Scratch, tag: str) -> DataFrame:
+    dealt = _blocks(vecs, overlap, least, scratch, tag)
+    graph = dealt.select("label", "cell", "blk", "vec_id", "vec").groupBy("label", "cell", "blk").applyInPandas(_graph_group, "vec_id bigint, nbrs array<bigint>")
     graph = scratch.put(f"graph{tag}", graph.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")))
     # a row serves block pair (i, j) as part of the graph if it is in block i, as a query if it is in block j and at home
     both = F.array(F.struct(F.col("blk").alias("i"), F.col("blk").alias("j"), F.when(F.col("home"), 0).otherwise(1).alias("role")))
@@ -256,12 +294,12 @@ def _links(vecs: DataFrame, centres: dict, overlap: int, least: float, scratch:
     as_query = F.transform(others, lambda b: F.struct(b.alias("i"), F.col("blk").alias("j"), F.lit(2).alias("role")))
     as_query = F.when(F.col("home"), as_query).otherwise(F.filter(as_query, lambda b: F.lit(False)))
     put = dealt.join(graph, "vec_id").withColumn("to", F.explode(F.concat(both, as_graph, as_query)))
-    put = put.select("label", "centre", "to.i", "to.j", "to.role", "vec_id", "vec", F.when(F.col("to.role") == 2, F.array().cast("array<bigint>")).otherwise(F.col("nbrs")).alias("nbrs"))
-    found = put.groupBy("label", "centre", "i", "j").applyInPandas(_search_group(least), "a bigint, b bigint")
+    put = put.select("label", "cell", "to.i", "to.j", "to.role", "vec_id", "vec", F.when(F.col("to.role") == 2, F.array().cast("array<bigint>")).otherwise(F.col("nbrs")).alias("nbrs"))
+    found = put.groupBy("label", "cell", "i", "j").applyInPandas(_search_group(least), "a bigint, b bigint")
     return scratch.put(f"links{tag}", found.distinct())
 
 
-def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> dict[int, float]:
+def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> dict[str, float]:
     """By label, the mean share of its true links that ``links`` holds, over those of a stated set of about AUDIT vectors (by hash) that have any."""
     asked = vecs.where(F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(1 << 20)) < int(min(1.0, AUDIT / max(n, 1)) * (1 << 20)) + 1).toPandas()
     shared = vecs.sparkSession.sparkContext.broadcast({k: (g.vec_id.to_numpy(), matrix(g.vec.tolist(), "<f8")) for k, g in asked.groupby("label")})
@@ -276,7 +314,7 @@ def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> dict[int,
                     v, w = ids[i], rows.vec_id.to_numpy()[j]
                     yield pd.DataFrame({"label": label, "v": v, "a": np.minimum(v, w), "b": np.maximum(v, w)})[v != w]
 
-    true = vecs.mapInPandas(run, "label bigint, v bigint, a bigint, b bigint")
+    true = vecs.mapInPandas(run, "label string, v bigint, a bigint, b bigint")
     hit = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("label", "v").agg((F.count("hit") / F.count("*")).alias("r"))
     return {r.label: r.r for r in hit.groupBy("label").agg(F.avg("r").alias("r")).collect()}
 
@@ -286,7 +324,7 @@ def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) ->
     spark = vectors.sparkSession
     scratch = scratch or C.Scratch(spark, "embdedup")
     double = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding")
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable()).groupBy("vec_id").agg(F.min(F.struct("label", double.alias("x"))).alias("r")).select("vec_id", "r.label", "r.x")
 
     def unit(frames):
@@ -300,27 +338,22 @@ def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) ->
                 vec.append((v / norm + 0.0).astype("<f8").tobytes() if norm > 0 else b"")  # -0.0 and 0.0 alike
             yield pdf.assign(vec=vec)[keep][["vec_id", "label", "vec"]]
 
-    members = scratch.put("vecs", rows.mapInPandas(unit, "vec_id bigint, label bigint, vec binary"))
+    members = scratch.put("vecs", rows.mapInPandas(unit, "vec_id bigint, label string, vec binary"))
     classes = scratch.put("classes", members.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
     vecs = classes.select(F.col("rep").alias("vec_id"), "label", "vec")
-    sizes = {r.label: r.n for r in vecs.groupBy("label").agg(F.count("*").alias("n")).where(f"n > {SHARD_ROWS}").collect()}
-    total = sum(sizes.values())
     n = vecs.count()
-    shrink = min(1.0, CENTRES / max(1, total / CLUSTER_ROWS))
-    want = {k: max(1, int(math.ceil(v / CLUSTER_ROWS) * shrink)) for k, v in sizes.items()}
-    rate = min(1.0, SAMPLE_PER_CENTRE * sum(want.values()) / max(1, total))
-    sample = vecs.where(F.col("label").isin(list(want)) & (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) < int(rate * (1 << 20)))).select("label", "vec").toPandas() if want else pd.DataFrame({"label": [], "vec": []})
-    centres = _centres(sample, want)
-    links = _links(vecs, centres, OVERLAP, least, scratch, "0")
+    links = _links(vecs, OVERLAP, least, scratch, "0")
     recall = _audit(vecs, links, least, n)
-    for step, (by, overlap) in enumerate(((centres, 2 * OVERLAP), ({}, 1)), 1):
+    for step, overlap in enumerate((2 * OVERLAP, 0), 1):
         poor = [k for k, r in recall.items() if r < RECALL]
         if not poor:
             break
         again = F.col("label").isin(poor) if step > 1 else ~F.col("label").isin([k for k, r in recall.items() if r >= RECALL])
-        exact = _exact_links(vecs.where(again), by, overlap, least, scratch, f"-exact{step}")
+        exact = _exact_links(vecs.where(again), overlap, least, scratch, f"-exact{step}")
         links = scratch.put(f"links-exact{step}", links.union(exact).distinct())
         recall = _audit(vecs, links, least, n)
+    if any(r < RECALL for r in recall.values()):
+        raise RuntimeError(f"recall below {RECALL} after an exact search: {recall}")
     recall = min(recall.values(), default=1.0)
     return members, classes, links, recall, scratch
 
@@ -342,7 +375,7 @@ def near_links(vectors: DataFrame, least: float = 0.93, scratch: C.Scratch | Non
 
 
 def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
-    """vec_id, n_links, component_id, kept and audit_recall for every row of ``vectors`` (vec_id, embedding, label).
+    """vec_id, n_links, component_id, kept and audit_recall for every row of ``vectors`` (vec_id, embedding, label). Labels may be of any type; they are compared as text.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with nothing and are kept. Rows that
     repeat an id share one result (their least label and vector counts). A row without an id has 0 links, a null component and is kept. An empty table gives no rows.

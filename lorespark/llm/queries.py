@@ -39,7 +39,7 @@ def op5_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.dedup(_table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.dedup(_table(spark, sf_dir, "embeddings")).drop("audit_recall")
 
 
 def op7_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.l
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
   least(e.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id)) AS component_id,
-  e.vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id) AS kept, 1.0::DOUBLE AS audit_recall
+  e.vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id) AS kept
 FROM embeddings e
 """
 

@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 
-def usable(col: str = "embedding") -> F.Column:
-    """Whether a vector is there, has components, and none of them is null, NaN or infinite."""
+def usable(col: str = "embedding", empty: bool = False) -> F.Column:
+    """Whether a vector is there, has components (unless ``empty`` ones will do), and none of them is null, NaN or infinite."""
     bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf")))
-    return F.coalesce((F.size(col) > 0) & ~F.exists(col, bad), F.lit(False))
+    return F.coalesce(((F.size(col) > 0) | F.lit(empty) & F.col(col).isNotNull()) & ~F.exists(col, bad), F.lit(False))
 
 
 def matrix(blobs, dtype, width: int | None = None) -> np.ndarray:
