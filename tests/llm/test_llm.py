@@ -1,4 +1,5 @@
 import hashlib
+import html
 import random
 import re
 import struct
@@ -102,6 +103,23 @@ def test_jaccard_awkward(awkward, nothing):
     assert jaccard_join.keep_one(nothing).count() == 0
 
 
+def test_jaccard_hot_groups(spark, monkeypatch):
+    """A third of all rows are near copies, a third equal copies; prefix shingles of many classes are cut into blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    rows = near_copies(9, 40) + [(100 + i, prose(500, 60)) for i in range(40)] + [(200 + i, prose(600 + i, 30)) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 8, 10).collect()}
+    assert got == brute_components(rows, 5, 8, 10)
+
+
+def test_jaccard_tells_texts_of_one_hash_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_first_hash", lambda t: F.length(t).cast("bigint"))
+    rows = [(i, t) for i, t in enumerate(["a b c d", "e f g h", "a b c d", "xx y zz", "i j k l m", ""])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10).collect()}
+    assert got == brute_components(rows, 3, 9, 10)
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10).collect()) == [0, 1, 3, 4, 5]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (7, 7), (300, 301), (301, 302), (302, 300)]
     got = connected_components(spark.createDataFrame(links, "a bigint, b bigint"), C.Scratch(spark, "t")).collect()
@@ -118,6 +136,47 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def slow_grams(text):
+    """n-grams of a text, one by one: runs of letters with an edge at either side, and what lies between lengths 1 and 4."""
+    out = []
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        marked = "_" + word + "_"
+        for k in (1, 2, 3, 4):
+            for i in range(len(marked) - k + 1):
+                g = marked[i : i + k]
+                if g.strip("_"):
+                    out.append(g)
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    """Exact sets of the most frequent n-grams instead of the filter: the same language, and its share of n-grams."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", lang_id.held_out().alias("held")).collect()
+    count = defaultdict(Counter)
+    for lang, text in {(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and not r.held}:
+        count[lang].update(slow_grams(text))
+    top = {k: {g for g, _ in c.most_common(lang_id.GRAMS_PER_LANG)} for k, c in count.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.language_of(docs).collect()}
+    same = 0
+    for r in rows:
+        g = slow_grams(r.text)
+        if not g:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        share = {k: sum(x in s for x in g) / len(g) for k, s in top.items()}
+        lang, score = got[r.doc_id]
+        assert share[lang] >= max(share.values()) - 0.03 and abs(share[lang] - score) < 0.06, (r.doc_id, share, got[r.doc_id])
+        same += lang == max(share, key=share.get)
+    assert same >= 0.97 * len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2000, 2_000_000_001, 10**10, 10**15])
+def test_language_sample_is_never_empty(n):
+    t = lang_id.threshold(2000, n)
+    assert 0 < t <= 1 << 62 and abs(t / (1 << 62) * n - min(n, 2000)) < 1
+
+
 def test_language_filter_returns_all_languages():
     a, b = np.arange(1, 400, dtype=np.uint64) * 7919, np.arange(300, 700, dtype=np.uint64) * 7919
     f = lang_id.BitmaskFilter.build(["a", "b"], {"a": C.mix64(a), "b": C.mix64(b)})
@@ -158,24 +217,85 @@ def test_secrets_equal_brute_force(spark):
         assert set(want) <= set(r.spans.split(",")) | ({""} if not r.spans else set())
 
 
-def test_url_login_of_any_length():
-    for user, word in ((5, 2000), (500, 5)):
-        url = "https://" + "u" * user + ":" + "Zq" * word + "@host/x"
+def test_url_login_of_any_length(spark):
+    for scheme, user, word in ((5, 5, 2000), (5, 500, 5), (40, 129, 300)):
+        url = "z" * scheme + "://" + "u" * user + ":" + "Zq" * word + "@host/x"
         assert ("url_login", 0, url.index("@") + 1) in secret_scan.find(url)
+        docs = spark.createDataFrame([(1, "see " + url)], "doc_id bigint, text string")
+        assert secret_scan.redact(docs).first().text == "see [redacted]host/x"
+
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+
+
+def test_added_kinds():
+    text = f"a {KEY} b {KEY} eyJabcdefghi.abcdefgh.x-y Bearer abcdefghijklmnop12 -----BEGIN PRIVATE KEY-----"
+    kinds = Counter(k for k, *_ in secret_scan.find(text))
+    assert kinds == {"private_key": 2, "jwt": 1, "bearer": 1}
+    assert [text[a:b] for k, a, b in secret_scan.find(text) if k == "private_key"] == [KEY, KEY]
+    for t in ("eyJabcdefg.abcdefgh.x", "eyJabcdefghi.abcdefg.x", "xeyJabcdefghi.abcdefgh.x", "eyJabcdefghi.abcdefgh.", "eyJabcdefghi..abcdefgh.x"):
+        assert not secret_scan.find(t)
+
+
+@pytest.mark.parametrize("unit", ["-----BEGIN PRIVATE KEY-----", "-eyJaaaaaaaaaa", "eyJaaaaaaaa.", "eyJ", "a://", "ab://a:b", "token", "token ", "Bearer ", "AKIA"])
+def test_secrets_take_linear_time(unit):
+    import time
+
+    start = time.time()
+    secret_scan.find(unit * (1_000_000 // len(unit)))
+    assert time.time() - start < 2
 
 
 def test_ledger_is_incremental(spark, awkward, nothing):
     ledger = secret_scan.BlobLedger(spark)
-    first = ledger.ingest(awkward)
-    assert first == awkward.select(F.coalesce("text", F.lit(""))).distinct().count()
-    assert ledger.ingest(awkward) == 0 and ledger.report().count() == awkward.count()
-    assert ledger.ingest(spark.createDataFrame([(0, "token = brandnew1"), (1, "word")], "doc_id bigint, text string")) == 1
+    first, rows = ledger.ingest(awkward)
+    assert first == awkward.select(F.coalesce("text", F.lit(""))).distinct().count() and rows.count() == awkward.count()
+    assert ledger.ingest(awkward)[0] == 0 and ledger.report().count() == awkward.count()
+    more = spark.createDataFrame([(0, "token = brandnew1"), (1, "word")], "doc_id bigint, text string")
+    assert ledger.ingest(more)[0] == 1
+    assert sorted((r.doc_id, r.n_assign) for r in secret_scan.secrets(more, ledger).collect()) == [(0, 1), (1, 0)]  # no path of other rows
     assert secret_scan.secrets(nothing).count() == 0
     red = {r.doc_id: r.text for r in secret_scan.redact(awkward).collect()}
-    assert red[10] == "[redacted] [redacted]" and red[3] is None and red[0] == prose(1, 80)
+    assert red[10] == "[redacted] [redacted]" and red[3] is None and red[4] == "" and red[0] == prose(1, 80)
     assert secret_scan.redact(awkward).columns == awkward.columns and secret_scan.redact(nothing).count() == 0
 
 
+def test_shared_folder_is_demanded_on_a_cluster(monkeypatch):
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Fake.conf)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        C.shared_dir(Fake)
+
+
+def test_release_deletes_what_was_made(spark):
+    import os
+
+    before = C.mark()
+    s = C.Scratch(spark, "t")
+    s.put("x", spark.range(3))
+    folder = s.base.removeprefix("file://")
+    assert os.path.isdir(folder)
+    C.release(spark, before)
+    assert not os.path.isdir(folder) and C.mark() == before
+
+
+def test_cut_join_equals_join(spark):
+    scratch = C.Scratch(spark, "t")
+    rows = scratch.put("rows", spark.range(1000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), "id"))
+    facts = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    heavy = C.heavy_keys(rows, "k", scratch, "t")
+    assert [r.k for r in heavy.collect()] == [7]
+    got = C.cut_join(rows, facts, "k", heavy, C.by_place("id"))
+    assert sorted(map(tuple, got.select("k", "id", "v").collect())) == sorted(map(tuple, rows.join(facts, "k").select("k", "id", "v").collect()))
+
+
 def test_mixing(spark, awkward, nothing):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
     got = mixing.mix(docs, {"a": 3.0, "b": 1.0})
@@ -205,6 +325,26 @@ def test_sharding(spark, awkward, nothing):
     assert sharding.external_shuffle(nothing, 8, C.Scratch(spark, "t")).count() == 0
 
 
+def test_sharding_query_columns(spark):
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    out = queries.op4_two_pass_shuffle(spark, DIR).collect()
+    assert sorted(r.doc_id for r in out) == sorted(rows)
+    by = defaultdict(list)
+    for r in out:
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(rows[r.doc_id]) + 1, zlib.crc32(rows[r.doc_id]), "rows", None)
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(8)) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_sharding_behind_a_shuffle(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).repartition(3, "doc_id")
+    scratch = C.Scratch(spark, "t")
+    assert C.settled(docs, scratch) is not docs and C.settled(spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id > 3"), scratch).columns
+    out = sharding.external_shuffle(docs, 3, scratch).collect()
+    assert sorted(r.doc_id for r in out) == list(range(300))
+
+
 def ids_of(text):
     from tokenizers import Tokenizer
 
@@ -352,6 +492,39 @@ def test_embedding_dedup_recall(spark, monkeypatch):
     assert got <= true and len(got) >= 0.9 * len(true) and recall >= 0.9
 
 
+def test_embedding_labels_are_text(spark):
+    x = [1.0, 0.2, 0.1]
+    rows = [(0, x, "a"), (1, x, "b"), (2, x, "a"), (3, [1.0, 0.21, 0.1], "a"), (4, x, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()}
+    assert got == {0: (2, 0), 1: (0, 1), 2: (2, 0), 3: (2, 0), 4: (0, 4)}
+    rows = [(0, x, 1.2), (1, x, 1.9), (2, x, 1.2)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label double")).collect()}
+    assert got == {0: 1, 1: 0, 2: 1}
+
+
+def test_embedding_cells(spark, monkeypatch):
+    """Every vector is in a cell, at home in one; cells keep their size but for a ball, which stays whole."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(1500, 12)), r.normal(size=12) * 3 + 0.02 * r.normal(size=(400, 12))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 100)
+    monkeypatch.setattr(embedding_dedup, "CLUSTER_ROWS", 40)
+    monkeypatch.setattr(embedding_dedup, "FAN", 8)
+    monkeypatch.setattr(embedding_dedup, "ASSIGN", 300)
+    df = spark.createDataFrame([(i, "l", v.astype("<f8").tobytes()) for i, v in enumerate(x)], "vec_id bigint, label string, vec binary")
+    rows = embedding_dedup._cells(df, 3, 0.93, C.Scratch(spark, "t"), "x").collect()
+    assert Counter(q.vec_id for q in rows if q.home) == Counter(range(len(x))) and max(Counter(q.vec_id for q in rows).values()) <= 3
+    size = Counter(q.cell for q in rows if q.home)
+    assert sorted(size.values())[-2] <= 300 and len({q.cell for q in rows if q.home and q.vec_id >= 1500}) <= 2
+
+
+def test_embedding_poor_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "_audit", lambda *a: {"l": 0.5})
+    df = spark.createDataFrame([(i, [1.0, 0.1 * i], "l") for i in range(5)], "vec_id bigint, embedding array<double>, label string")
+    with pytest.raises(RuntimeError):
+        embedding_dedup.dedup(df)
+
+
 def test_embedding_dedup_equal_vectors(spark):
     r = np.random.default_rng(11)
     one = r.normal(size=16)
@@ -382,7 +555,7 @@ def test_embedding_dedup_poor_label(spark, monkeypatch):
     whole = embedding_dedup._graph_group
 
     def poor(pdf):
-        return whole(pdf) if pdf.label.iloc[0] == 1 else pd.DataFrame({"vec_id": pdf.vec_id, "nbrs": [[] for _ in range(len(pdf))]})
+        return whole(pdf) if pdf.label.iloc[0] == "1" else pd.DataFrame({"vec_id": pdf.vec_id, "nbrs": [[] for _ in range(len(pdf))]})
 
     monkeypatch.setattr(embedding_dedup, "_graph_group", poor)
     monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 150)
@@ -412,9 +585,41 @@ def test_top_k(spark, odd_vectors):
         assert got[i] == [(j, -v) for v, j in want]
     odd = top_k.top_k(odd_vectors, odd_vectors.where("vec_id % 50 = 0")).orderBy("rank").collect()
     assert [(p.vec_id, p.score) for p in odd] == [(7, 131072), (1, 65536), (8, 65536), (10, 65536), (2, 0)]
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, []), (2, [-1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert [(p.query_id, p.vec_id, p.score) for p in top_k.top_k(few, few.where("vec_id < 2")).orderBy("query_id", "rank").collect()] == [(0, 1, 0), (0, 2, -65536), (1, 0, 0), (1, 2, 0)]
     assert top_k.top_k(spark.createDataFrame([], VEC), odd_vectors).count() == 0
 
 
+def test_top_k_prunes_ranges(spark, monkeypatch):
+    """Long vectors answer all queries: blocks of short ones are never sent, and results equal brute force."""
+    monkeypatch.setattr(top_k, "BLOCK", 50)
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(top_k, "QUERY_GROUP", 2)
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(1000, 6)) * np.where(np.arange(1000) % 10 == 0, 9, 0.3)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    sent = []
+    whole = top_k._reach
+    monkeypatch.setattr(top_k, "_reach", lambda parts, longest: sent.append(len(parts)) or whole(parts, longest))
+    got = {(p.query_id, p.rank): (p.vec_id, p.score) for p in top_k.top_k(df, df.where("vec_id % 20 = 0")).collect()}
+    q = np.floor(256 * x.astype(float)).astype(np.int64)
+    for i in range(0, 1000, 20):
+        want = sorted((-int(q[j] @ q[i]), j) for j in range(1000) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -v) for v, j in want]
+    import pandas as pd
+
+    reached = next(whole(np.arange(3), np.array([100.0, 10.0, 1.0]))([pd.DataFrame({"qpart": [0, 0], "qblk": [0, 1], "need": [5.0, -np.inf]})]))
+    assert sent and [tuple(t) for t in reached[["qblk", "part"]].to_numpy()] == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]
+
+
+def test_top_k_of_very_large_components(spark):
+    rows = [(0, [3e15, 1.0]), (1, [3e15, 2.0]), (2, [-3e15, 0.0]), (3, [1e30, 0.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    most = 2**63 - 1
+    got = [(p.vec_id, p.score) for p in top_k.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, most), (3, most), (4, most), (2, -(2**63))]
+
+
 PAGES = [
     ("<article><h1>T</h1><p>One, two &amp; three.</p><p>Four&nbsp;five<br>six</p></article><footer>foot</footer>", "T One, two & three. Four five six"),
     ("<body><nav><a href=x>menu</a></nav><div class='content'><p>" + "Long text, with commas, goes on. " * 8 + "</p><p>Short.</p></div><div id=sidebar><p>" + "Side, text, here, is, long. " * 8 + "</p></div></body>", ("Long text, with commas, goes on. " * 8).strip() + " Short."),
@@ -427,9 +632,34 @@ PAGES = [
     (None, ""),
     ("", ""),
     ("<script>only()", ""),
+    ("<body><form action=x><div class=main><p>" + "Served, in one form. " * 9 + "</p></div><input value=x></form></body>", ("Served, in one form. " * 9).strip()),
+    ("<article><p>" + "Alpha, beta. " * 9 + "</p><section class=discussion><h2>Discussion</h2><p>" + "We argue, at length. " * 6 + "</p></section><div class=tags><a href=x>one</a> <a href=y>two</a></div></article>", ("Alpha, beta. " * 9).strip() + " Discussion " + ("We argue, at length. " * 6).strip()),
+    ("<article><p>" + "Alpha, beta. " * 9 + "</p><form><p>Your mail</p><button>Send</button></form></article>", ("Alpha, beta. " * 9).strip()),
 ]
 
 
+def article_of(page):
+    """The text of a page's only article element, by plain replacement."""
+    body = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    body = re.sub(r"<(?:/?(?:p|h1|div|ul|li)|br)\b[^>]*>", " ", body)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", body)).split())
+
+
+def test_pages_equal_plain_extraction(spark):
+    rows = spark.read.parquet(f"{DIR}/pages.parquet").collect()
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op10_tree_scored_text(spark, DIR).collect()}
+    assert len(rows) > 20 and got == {r.page_id: (article_of(r.html), len(article_of(r.html))) for r in rows}
+
+
+@pytest.mark.parametrize("unit, seconds", [("<span ", 2), ("<div>", 4), ("<a b=\"c'", 2), ("<p>", 6), ("<!--", 2), ("<", 4)])
+def test_pages_take_linear_time(unit, seconds):
+    import time
+
+    start = time.time()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.time() - start < seconds
+
+
 @pytest.mark.parametrize("page, want", PAGES)
 def test_main_text(page, want):
     assert html_text.main_text(page) == want
@@ -482,6 +712,72 @@ def test_pipeline(spark, awkward, nothing):
     out = P.run(spark, DIR).collect()
     assert Counter((r.doc_id, r.piece) for r in out if r.piece == 0) == Counter((r.doc_id, 0) for r in cur.collect())
     assert all(r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length]) for r in out)
-    for df in (awkward, nothing):
-        for name, stage in stages.items():
-            assert stage(spark, df, DIR).count() >= 0
+    seqs = defaultdict(list)
+    for r in out:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for v in seqs.values():
+        end = 0
+        for o, n in sorted(v):
+            assert o == end
+            end += n
+        assert end <= 2048
+    total = sum(r.length for r in out)
+    assert len(seqs) <= 1.02 * (-(-total // 2048)) + 1
+
+
+def test_pipeline_languages_equal_brute_force(spark):
+    """What goes is what has no letters or is explained by no language: decided anew from the predictions."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, "1234 5678"), (10**6 + 1, None), (10**6 + 2, "ξψω θφχ λμν " * 20)], "doc_id long, text string")
+    odd = odd.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c not in ("doc_id", "text")])
+    every = docs.unionByName(odd.select(*docs.columns))
+    kept = {r.doc_id for r in P.language_id(spark, every, DIR).collect()}
+    model = lang_id.train(docs.where(~lang_id.held_out()))
+    want = {r.doc_id for r in lang_id.predict(every, model).collect() if r.lang_pred != "und" and r.score >= P.LEAST_SCORE}
+    assert kept == want and not kept & {10**6, 10**6 + 1, 10**6 + 2} and len(kept) >= 0.97 * docs.count()
+
+
+def test_pipeline_mixture_equals_formula(spark):
+    """Counts by inverting the Poisson distribution, one document at a time."""
+    import math
+
+    import corpus_pipeline as P
+
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    size = Counter(r.source for r in rows)
+    share = {s: n**mixing.ALPHA for s, n in size.items()}
+    want = Counter()
+    for r in rows:
+        rate = share[r.source] / sum(share.values()) * len(rows) / size[r.source]
+        key = f"{r.doc_id}|{hashlib.md5((r.text or '').encode()).hexdigest()}"
+        u = (int(hashlib.md5(f"{mixing.SEED}:n|{key}|1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        n, p, cdf = 0, math.exp(-rate), math.exp(-rate)
+        while cdf <= u:
+            n += 1
+            p *= rate / n
+            cdf += p
+        want[r.doc_id] += n
+    assert all(share[s] / sum(share.values()) * len(rows) / size[s] <= mixing.CHUNK for s in size)
+    got = Counter(r.doc_id for r in P.mixture(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR).collect())
+    assert got == +want
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing):
+    import corpus_pipeline as P
+
+    stages = dict(P.STAGES)
+    got = {name: stage(spark, awkward, DIR) for name, stage in stages.items()}
+    assert all(got[name].columns == awkward.columns for name in list(stages)[:-1])
+    text = lambda df: Counter(r.text for r in df.collect())
+    every = text(awkward)
+    assert not text(got["language_id"]) - every and None not in text(got["language_id"])
+    near = text(got["near_duplicates"])
+    assert near[prose(1, 80)] == 1 and near["word"] == 1 and near[None] == every[None] and near[""] == every[""] and not near - every
+    red = got["secrets"].collect()
+    assert len(red) == awkward.count() and sum(r.text == "[redacted] [redacted]" for r in red) == 1 and sum(r.text is None for r in red) == every[None]
+    assert set(text(got["mixture"])) <= set(every)
+    assert sum(r.piece == 0 for r in got["packed"].collect()) == awkward.count()
+    for name, stage in stages.items():
+        assert stage(spark, nothing, DIR).count() == 0
