@@ -30,32 +30,74 @@ def _parameters() -> tuple[np.ndarray, np.ndarray]:
 A, B = _parameters()
 
 
+def _hashes(rune: np.ndarray) -> np.ndarray:
+    """FNV-1a over the four little-endian bytes of each rune, of every row of a rune matrix."""
+    h = np.full(len(rune), FNV_BASE, np.uint64)
+    for j in range(rune.shape[1]):
+        for shift in (0, 8, 16, 24):
+            h = (h ^ ((rune[:, j] >> np.uint32(shift)) & np.uint32(255)).astype(np.uint64)) * np.uint64(FNV_PRIME)
+    return h
+
+
 def shingles(s: str) -> np.ndarray:
     rune = np.frombuffer(s.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(rune):
         return np.zeros(0, np.uint64)
-    n = max(1, len(rune) - WINDOW + 1)
-    h = np.full(n, FNV_BASE, np.uint64)
-    for j in range(min(WINDOW, len(rune))):
-        for shift in (0, 8, 16, 24):
-            h = (h ^ ((rune[j : j + n] >> np.uint32(shift)) & np.uint32(255)).astype(np.uint64)) * np.uint64(FNV_PRIME)
-    return h
+    return _hashes(np.lib.stride_tricks.sliding_window_view(rune, min(WINDOW, len(rune))))
+
+
+def _values(x: np.ndarray) -> np.ndarray:
+    """The K functions of each hash, hashes x functions."""
+    return ((x[:, None] * A[None, :] + B[None, :]) % np.uint64(PRIME)).astype(np.uint32)
 
 
 def signature(s: str | None) -> np.ndarray | None:
     x = np.unique(shingles(s or ""))
     if not len(x):
         return None
-    out = np.full(K, np.iinfo(np.int64).max, np.int64)
-    for i in range(0, len(x), 4096):
-        part = (A[:, None] * x[None, i : i + 4096] + B[:, None]) % np.uint64(PRIME)
-        out = np.minimum(out, part.min(axis=1).astype(np.int64))
-    return out
+    return np.min([_values(x[i : i + 4096]).min(axis=0) for i in range(0, len(x), 4096)], axis=0).astype(np.int64)
+
+
+#: Code points hashed at a time; a longer text is cut, and its parts' least values are joined.
+SLICE_RUNES = 1 << 16
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def minhash(s: pd.Series) -> pd.Series:
-    return s.map(signature)
+    """Signatures of a batch: every different 3-gram of a slice of texts is hashed once, and each text takes the least over its own."""
+    low = [(t or "").lower() for t in s]
+    out = np.full((len(low), K), np.iinfo(np.uint32).max, np.uint32)
+    short = [i for i, t in enumerate(low) if 0 < len(t) < WINDOW]
+    for i in short:
+        out[i] = signature(low[i])
+    whole = [i for i, t in enumerate(low) if len(t) >= WINDOW]
+    parts = [(i, t[a : a + SLICE_RUNES + WINDOW - 1]) for i in whole for t in (low[i],) for a in range(0, len(t) - WINDOW + 1, SLICE_RUNES)]
+    at = 0
+    while at < len(parts):
+        end, size = at, 0
+        while end < len(parts) and (size == 0 or size + len(parts[end][1]) <= SLICE_RUNES):
+            size += len(parts[end][1])
+            end += 1
+        rune = np.frombuffer("".join(t for _, t in parts[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lens = np.fromiter((len(t) for _, t in parts[at:end]), np.int64, end - at)
+        first = np.cumsum(lens) - lens
+        # a gram that would reach into the next text is none
+        inside = np.ones(len(rune) - WINDOW + 1, bool)
+        for k in range(1, WINDOW):
+            cut = first[1:] - k
+            inside[cut[(cut >= 0) & (cut < len(inside))]] = False
+        own = np.repeat(np.arange(end - at), lens)[: len(inside)][inside]
+        gram, back = np.unique(_hashes(np.lib.stride_tricks.sliding_window_view(rune, WINDOW)[inside]), return_inverse=True)
+        value = _values(gram)
+        pair = np.unique(own * len(gram) + back)
+        own, back = pair // len(gram), pair % len(gram)
+        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        least = np.minimum.reduceat(value[back], cuts, axis=0)
+        for j, k in enumerate(own[cuts].tolist()):
+            i = parts[at + k][0]
+            out[i] = np.minimum(out[i], least[j])
+        at = end
+    return pd.Series([row.astype(np.int64) if t else None for row, t in zip(out, low, strict=True)])
 
 
 def estimate(a: Column, b: Column) -> Column:

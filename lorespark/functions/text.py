@@ -130,6 +130,11 @@ def wants_deep(c: Column) -> Column:
     return c.rlike("|".join(DEEP))
 
 
+def fields(c: Column) -> Column:
+    """White space runs of any kind as one space, none at the ends."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
 def one_line(c: Column, limit: int) -> Column:
     flat = F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat)

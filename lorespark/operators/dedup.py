@@ -12,6 +12,12 @@ from ..functions import text as T
 from ..plans.scratch import written
 
 THRESHOLD = 0.7
+#: Top hits of a term, least memories of a term, most terms, share of a library from which a term is generic, similarities that join terms or ask for a look, generic words.
+HITS, MIN_FREQ, TERMS, GENERIC_SHARE, JACCARD, REVIEW = 8, 2, 200, 0.30, 0.5, 0.40
+GENERIC = (
+    "用于 文件 内容 相关 机制 方面 一个 进行 我们 这个 那个 以及 可以 需要 里面 时候 放在 输出 根据 能够 完成 处理 就是 怎么 "
+    "the and for with from into not are this that will have"
+).split()
 
 
 def near_pairs(mem: DataFrame, least: float = THRESHOLD) -> DataFrame:
@@ -51,11 +57,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def consolidate(mem: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """(id, cluster, survivor): every clustered memory and the one that stays: most salient, most used, oldest, least id."""
+    """(id, cluster, survivor, superseded_by): every clustered memory and the one that stays: most salient, most used, oldest, least id. The others are superseded by it."""
     c = components(near_pairs(mem, least)).join(mem.select("id", "salience", "access_count", "created_at"), "id")
     w = Window.partitionBy("cluster").orderBy(F.desc("salience"), F.desc("access_count"), "created_at", "id")
     best = c.withColumn("r", F.row_number().over(w)).where("r = 1").select("cluster", F.col("id").alias("survivor"))
-    return c.join(best, "cluster").select("id", "cluster", "survivor")
+    return c.join(best, "cluster").select("id", "cluster", "survivor", F.when(F.col("id") != F.col("survivor"), F.col("survivor")).alias("superseded_by"))
+
+
+def supersede(mem: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``mem`` with superseded_by set to the survivor of a clustered memory; pointers of others stay."""
+    s = clusters.where("superseded_by is not null").select("id", F.col("superseded_by").alias("_s"))
+    return mem.join(s, "id", "left").withColumn("superseded_by", F.coalesce("_s", "superseded_by")).drop("_s").select(*mem.columns)
 
 
 def move_tags(tags: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -64,28 +76,37 @@ def move_tags(tags: DataFrame, survivors: DataFrame) -> DataFrame:
 
 
 def bigram_rows(mem: DataFrame) -> DataFrame:
-    """(id, term): each memory's distinct word pairs."""
-    t = T.tokens(F.col("content"))
-    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at("t", i), F.try_element_at("t", i + 1)))
-    return mem.select("id", t.alias("t")).where(F.size("t") >= 2).select("id", F.explode(F.array_distinct(pair)).alias("term"))
+    """(id, term): each memory's distinct pairs of adjacent Han characters, without generic words."""
+    runs = F.regexp_extract_all(F.col("content"), F.lit("\\p{IsHan}+"), F.lit(0))
+    return mem.select("id", F.explode(F.array_distinct(F.flatten(F.transform(runs, lambda r: T.grams(r, 2))))).alias("term")).where(~F.col("term").isin(GENERIC))
 
 
-def lexicon_bigrams(mem: DataFrame, least: int = 3, n: int = 200) -> DataFrame:
-    """(term, freq): word pairs by the number of memories that have them; the most frequent ``n``, ties by term."""
+def lexicon_bigrams(mem: DataFrame, least: int = MIN_FREQ, n: int = TERMS) -> DataFrame:
+    """(term, freq): Han pairs by the number of memories that have them; the most frequent ``n``, ties by term."""
     return bigram_rows(mem).groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= least).orderBy(F.desc("freq"), "term").limit(n)
 
 
-def lexicon_clusters(hits: DataFrame, freq: DataFrame, least: float = 0.5, library: int = 0) -> DataFrame:
-    """(term, standard): terms whose top-hit sets have Jaccard >= least; the standard word is the most frequent, then the longest.
+def term_pairs(hits: DataFrame, library: int) -> DataFrame:
+    """(a, b, sim), a < b, of terms by the Jaccard similarity of their hit sets, where they share a hit. hits: term, id.
 
-    hits: (term, id). Terms that hit over 30 % of a library of 20 or more are generic and left out. Terms meet on shared hits only.
+    Terms that hit over 30 % of a library of 20 or more are generic and left out.
     """
     size = hits.groupBy("term").agg(F.countDistinct("id").alias("n"))
     if library >= 20:
-        size = size.where(F.col("n") <= 0.3 * library)
+        size = size.where(F.col("n") <= int(library * GENERIC_SHARE))
     h = hits.distinct().join(size, "term")
     both = h.toDF("a", "id", "na").join(h.toDF("b", "id", "nb"), "id").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    links = both.where(F.col("c") >= least * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
-    c = components(links).join(freq.select(F.col("term").alias("id"), "freq"), "id")
-    best = c.groupBy("cluster").agg(F.max_by("id", F.struct("freq", F.length("id"), "id")).alias("standard"))
+    return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("sim"))
+
+
+def lexicon_clusters(pairs: DataFrame, freq: DataFrame, least: float = JACCARD) -> DataFrame:
+    """(term, standard): terms joined by pairs of ``least`` or more; the standard word is the most frequent, then the longest, then the first."""
+    c = components(pairs.where(F.col("sim") >= least)).join(freq.select(F.col("term").alias("id"), "freq"), "id")
+    w = Window.partitionBy("cluster").orderBy(F.desc("freq"), F.desc(F.length("id")), "id")
+    best = c.withColumn("r", F.row_number().over(w)).where("r = 1").select("cluster", F.col("id").alias("standard"))
     return c.join(best, "cluster").select(F.col("id").alias("term"), "standard")
+
+
+def lexicon_review(pairs: DataFrame, least: float = JACCARD) -> DataFrame:
+    """Pairs that are near, but not near enough to be taken: for a person to look at."""
+    return pairs.where((F.col("sim") >= REVIEW) & (F.col("sim") < least))

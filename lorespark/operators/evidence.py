@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,21 @@ def hash_chain(events: DataFrame) -> DataFrame:
 
 
 def claims(events: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """(key, ts) of granted claims: one if no claim was granted within ``seconds`` before; refused ones do not extend the window. An ordered fold per key."""
-    seen = F.array_sort(F.collect_list("ts"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("got"))
-    take = lambda s, t: s["last"].isNull() | (s["last"] < t - seconds)
-    fold = F.aggregate(seen, start, lambda s, t: F.when(take(s, t), F.struct(t.alias("last"), F.concat(s["got"], F.array(t)).alias("got"))).otherwise(s))
-    return events.groupBy("key").agg(fold["got"].alias("got")).select("key", F.explode("got").alias("ts"))
+    """(key, ts) of granted claims: one if no claim was granted within ``seconds`` before; refused ones do not extend the window.
+
+    Equal times of a key are one first. What is left of a key is an ordered log and is walked once, by binary search from grant to grant.
+    """
+    typ = events.schema["key"].dataType.simpleString()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf.ts.to_numpy())
+        at, got = 0, []
+        while at < len(t):
+            got.append(t[at])
+            at = int(np.searchsorted(t, t[at] + seconds, side="right"))
+        return pd.DataFrame({"key": [pdf.key.iloc[0]] * len(got), "ts": got})
+
+    return events.select("key", "ts").distinct().groupBy("key").applyInPandas(walk, f"key {typ}, ts bigint")
 
 
 def grade(uid: Column, archive: Column) -> Column:
@@ -77,7 +88,7 @@ def grade(uid: Column, archive: Column) -> Column:
 def commit_matrix(cand: DataFrame, items: DataFrame) -> DataFrame:
     """(id, action, reasons, evidence_hash, idempotency_key) of every candidate.
 
-    cand: id, revision, kind, scope, project, task_state. items: candidate_id, event_uid, evidence_id, archive, role, seq. Links of unknown roles are context.
+    cand: id, revision, kind, scope, project, task_state and, if there is one, review_class. items: candidate_id, event_uid, evidence_id, archive, role, seq. Links of unknown roles are context.
     """
     role = F.when(F.lower(F.trim("role")).isin("direct", "error", "resolution"), F.lower(F.trim("role"))).otherwise("context")
     i = items.withColumn("role", role).withColumn("grade", grade(F.col("event_uid"), F.col("archive")))
@@ -92,8 +103,9 @@ def commit_matrix(cand: DataFrame, items: DataFrame) -> DataFrame:
     c = cand.join(e, "id", "left")
     no = lambda x: ~F.coalesce(F.col(x), F.lit(False))
     kind, scope, state = (F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in ("kind", "scope", "task_state"))
+    review = F.lower(F.trim(F.coalesce("review_class", F.lit("")))) if "review_class" in cand.columns else F.lit("")
     decide = (
-        F.when((kind == "conflict") | (scope == "conflict"), "conflict:conflict")
+        F.when((kind == "conflict") | (scope == "conflict") | (review == "conflict"), "conflict:conflict")
         .when(kind.isin("decision", "preference", "rule"), "human_accept:manual_kind")
         .when(scope == "global", "human_accept:global_scope")
         .when(scope == "cross_project", "human_accept:cross_project_scope")
@@ -117,13 +129,23 @@ def commit_matrix(cand: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def provenance(links: DataFrame) -> DataFrame:
-    """(memory_id, line): how many distinct links, the strongest grade and the first token; at most 40 characters."""
-    g = grade(F.col("event_uid"), F.col("archive"))
-    d = links.withColumn("grade", g).select("memory_id", "event_uid", "evidence_id", "grade", "occurred_at", "seq").distinct()
-    first = F.min(F.struct("occurred_at", "seq", "event_uid", "evidence_id"))
-    a = d.groupBy("memory_id").agg(F.count("*").alias("n"), F.min("grade").alias("g"), first.alias("f"))
-    token = F.coalesce(F.when(F.col("f.event_uid") != "", F.col("f.event_uid")), F.col("f.evidence_id"))
-    line = F.concat(F.lit("证据"), F.col("n").cast("string"), F.lit("条·"), F.col("g"), F.lit("级·"), token, F.when(F.col("n") > 1, F.concat(F.lit("+"), (F.col("n") - 1).cast("string"))).otherwise(""))
+    """(memory_id, line): how many pieces of evidence, the strongest grade and a token of the first; at most 40 characters.
+
+    A piece is told by its event_uid, else its archive, else its locator; one with none of these counts for itself. The first is the earliest (occurred_at, seq, event_uid) that has
+    a token: the same name without evt_ and ev_, cut to 8 characters. links: memory_id, link_id, event_uid, archive, locator, grade, occurred_at, seq.
+    """
+    said = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    key = F.coalesce(F.concat(F.lit("e:"), said("event_uid")), F.concat(F.lit("a:"), said("archive")), F.concat(F.lit("r:"), said("locator")), F.concat(F.lit("idx:"), F.col("link_id").cast("string")))
+    bare = lambda c: F.when(F.regexp_replace(F.trim(c), "^(evt_)?(ev_)?", "") != "", F.substring(F.regexp_replace(F.trim(c), "^(evt_)?(ev_)?", ""), 1, 8))
+    token = F.coalesce(bare("event_uid"), bare("archive"), bare("locator"))
+    at = F.struct("occurred_at", "seq", F.coalesce("event_uid", F.lit("")), "link_id")
+    g = F.when(F.col("grade").isin("A", "B"), F.col("grade")).otherwise("C")
+    one = links.select("memory_id", key.alias("key"), at.alias("at"), token.alias("token"), g.alias("grade"))
+    # a piece counts by its first link
+    one = one.groupBy("memory_id", "key").agg(F.min(F.struct("at", "token", "grade")).alias("m")).select("memory_id", "m.*")
+    a = one.groupBy("memory_id").agg(F.count("*").alias("n"), F.min("grade").alias("g"), F.min(F.when(F.col("token").isNotNull(), F.struct("at", "token"))).alias("f"))
+    more = F.when(F.col("n") > 1, F.concat(F.lit("+"), (F.col("n") - 1).cast("string"))).otherwise("")
+    line = F.concat(F.lit("证据"), F.col("n").cast("string"), F.lit("条·"), F.col("g"), F.lit("级"), F.coalesce(F.concat(F.lit("·"), F.col("f.token"), more), F.lit("")))
     return a.select("memory_id", F.substring(line, 1, 40).alias("line"))
 
 

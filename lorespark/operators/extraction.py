@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-CONTENT_CHARS, SALIENCE = 240, 0.6
+CONTENT_CHARS, SALIENCE, PAYLOAD_CHARS = 240, 0.6, 400
+#: What a prompt asks for: the fields, and the rules for each speaker's section. A caller may give its own.
+HEADER = (
+    "Distil long-term memories from the evidence below. Only add; do not change or delete what is known.\n"
+    "One JSON object a line and nothing else; [] if there is nothing to keep.\n"
+    'Fields: {"kind":"decision|pitfall|preference|task","scope":"session|project|global","content":"one fact","rationale":"one sentence","attributed_to":"user|assistant","subject_key":"","task_state":"","evidence_idx":[1]}\n'
+    "evidence_idx names lines below by number, at least one; numbers may be missing.\n"
+    "Preferences, limits and intents come from USER only. ASSISTANT adds what the user has not said; an echo is nothing new. A fact of both is USER's.\n\n"
+)
 KINDS = ("preference", "decision", "pitfall", "task", "fact")
 DRAFT = "kind string, scope string, content string, rationale string, subject_key string, task_state string, attributed_to string, evidence_idx array<int>"
 
 
 def rule_distill(turns: DataFrame) -> DataFrame:
-    """(session_id, seq, kind, content, salience): turns that a rule matches; assistants give no preferences; each (kind, content) once a session.
+    """(session_id, seq, kind, content, salience): turns that a rule matches; assistants give no preferences; each (kind, content) once a batch, the first by (session_id, seq).
 
-    turns: session_id, seq, role, summary.
+    A batch is what one run distils: ``turns`` as a whole, or each value of its column ``batch``. turns: session_id, seq, role, summary.
     """
     t = turns.where(F.col("role").isin("user", "assistant") & (F.trim("summary") != "")).withColumn("kind", T.rule_kind(F.col("summary")))
-    t = t.where((F.col("kind") != "") & ~((F.col("kind") == "preference") & (F.col("role") == "assistant"))).withColumn("content", T.one_line(F.col("summary"), CONTENT_CHARS))
-    w = Window.partitionBy("session_id", "kind", "content").orderBy("seq")
+    t = t.where((F.col("kind") != "") & ~((F.col("kind") == "preference") & (F.col("role") == "assistant"))).withColumn("content", F.substring(T.fields(F.col("summary")), 1, CONTENT_CHARS))
+    w = Window.partitionBy(*(["batch"] if "batch" in turns.columns else []), "kind", "content").orderBy("session_id", "seq")
     return t.withColumn("r", F.row_number().over(w)).where("r = 1").select("session_id", "seq", "kind", "content", F.lit(SALIENCE).alias("salience"))
 
 
@@ -34,26 +42,53 @@ def parse_drafts(outputs: DataFrame) -> DataFrame:
     status = F.when(F.trim(F.coalesce("output", F.lit(""))).isin("", "[]"), "empty").when(F.size("parts") == 0, "bad")
     rows = o.select("id", "n_evidence", status.alias("status"), F.explode_outer("parts").alias("p")).withColumn("draft", F.from_json("p", DRAFT))
     d = F.col("draft")
-    good = d["kind"].isin(*KINDS) & (F.trim(d["content"]) != "") & F.coalesce(F.forall(d["evidence_idx"], lambda i: (i >= 0) & (i < F.col("n_evidence"))), F.lit(True))
+    good = d["kind"].isin(*KINDS) & (F.trim(d["content"]) != "") & F.coalesce(F.forall(d["evidence_idx"], lambda i: (i >= 1) & (i <= F.col("n_evidence"))), F.lit(True))
     return rows.withColumn("status", F.coalesce("status", F.when(d["kind"].isNull(), "bad").otherwise("ok"))).where((F.col("status") != "ok") | F.coalesce(good, F.lit(False))).select("id", "status", "draft")
 
 
-def prompt(turns: DataFrame, chars: int = 400) -> DataFrame:
-    """(session_id, prompt): scrubbed turns by speaker with stable ordinals, each text once a speaker."""
-    speaker = F.when(F.col("role") == "user", "USER").when(F.col("role") == "assistant", "ASSISTANT").otherwise("OTHER")
-    t = turns.withColumn("speaker", speaker).withColumn("body", T.one_line(T.scrub(F.col("summary")), chars))
-    t = t.withColumn("ord", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1)
-    t = t.withColumn("again", F.row_number().over(Window.partitionBy("session_id", "speaker", "body").orderBy("ord"))).where("again = 1")
-    place = F.when(F.col("speaker") == "USER", 0).when(F.col("speaker") == "ASSISTANT", 1).otherwise(2)
-    lines = F.array_sort(F.collect_list(F.struct(place.alias("p"), "ord", F.concat(F.lit("["), F.col("ord").cast("string"), F.lit("] "), "speaker", F.lit(": "), "body").alias("line"))))
-    return t.groupBy("session_id").agg(F.array_join(lines["line"], "\n").alias("prompt"))
+def eligible(ref: Column, fidelity: Column) -> Column:
+    """Whether a piece of evidence may be proposed from: it is marked so, and its text is full, a summary, or of an old row that does not say."""
+    return F.coalesce(ref, F.lit(False)) & F.coalesce(F.lower(F.trim(fidelity)), F.lit("")).isin("full", "summary", "")
 
 
-def distill_with(turns: DataFrame, complete, schema: str = "session_id bigint, output string") -> DataFrame:
-    """Run a caller's ``complete(prompt) -> str`` over session prompts, a batch of Arrow rows at a time. There is no model here; rules are the default."""
+def speaker(event: Column) -> Column:
+    """user, assistant or '' of an event type, as proposals see it."""
+    e = F.lower(F.trim(F.coalesce(event, F.lit(""))))
+    return F.when(e.isin("user-prompt", "user.prompt"), "user").when(e.isin("assistant-text", "assistant.final", "stop", "session-end"), "assistant").otherwise("")
+
+
+def distill_speaker(event: Column) -> Column:
+    """The same for distilling by rules, where an event without a type is the user's."""
+    return F.when(F.trim(F.coalesce(event, F.lit(""))) == "", "user").otherwise(speaker(event))
+
+
+def prompt(refs: DataFrame, header: str = HEADER, chars: int = PAYLOAD_CHARS) -> DataFrame:
+    """(bundle_id, prompt): the header, then the evidence by speaker (USER, ASSISTANT, OTHER; a section without lines is left out), each line ``[n] (event/session) text``.
+
+    n is the place in the bundle, from 1; what is not eligible or repeats a text of its speaker keeps its number and gives no line. Texts are folded, scrubbed and cut to ``chars``
+    with the mark of the cut. refs: bundle_id, ordinal, event_type, session_id, summary, proposal_eligible, fidelity.
+    """
+    body = T.scrub(T.fields(F.col("summary")))
+    body = F.when(F.length(body) > chars, F.concat(F.substring(body, 1, chars - 1), F.lit("…"))).otherwise(body)
+    who = speaker(F.col("event_type"))
+    t = refs.withColumn("n", F.row_number().over(Window.partitionBy("bundle_id").orderBy("ordinal"))).withColumn("body", body).withColumn("who", who)
+    ok = t.where(eligible(F.col("proposal_eligible"), F.col("fidelity")))
+    ok = ok.withColumn("again", F.row_number().over(Window.partitionBy("bundle_id", "who", "body").orderBy("n"))).where("again = 1")
+    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] ("), F.coalesce("event_type", F.lit("")), F.lit("/"), F.coalesce(F.col("session_id").cast("string"), F.lit("")), F.lit(") "), "body", F.lit("\n"))
+    place = F.when(F.col("who") == "user", 0).when(F.col("who") == "assistant", 1).otherwise(2)
+    section = ok.groupBy("bundle_id", place.alias("place")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda r: r["line"]), "").alias("lines"))
+    title = F.element_at(F.array(F.lit("USER"), F.lit("ASSISTANT"), F.lit("OTHER")), F.col("place") + 1)
+    text = F.concat(F.lit("=== "), title, F.lit(" ===\n"), "lines", F.lit("\n"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))), lambda r: r["text"])
+    got = section.groupBy("bundle_id").agg(F.array_join(joined, "").alias("sections"))
+    return refs.select("bundle_id").distinct().join(got, "bundle_id", "left").select("bundle_id", F.concat(F.lit(header), F.coalesce("sections", F.lit(""))).alias("prompt"))
+
+
+def distill_with(refs: DataFrame, complete, schema: str = "bundle_id bigint, output string") -> DataFrame:
+    """Run a caller's ``complete(prompt) -> str`` over the prompts of bundles, a batch of Arrow rows at a time. There is no model here; rules are the default."""
 
     def run(frames):
         for pdf in frames:
-            yield pdf.assign(output=pdf.prompt.map(complete))[["session_id", "output"]]
+            yield pdf.assign(output=pdf.prompt.map(complete))[["bundle_id", "output"]]
 
-    return prompt(turns).mapInPandas(run, schema)
+    return prompt(refs).mapInPandas(run, schema)

@@ -35,11 +35,14 @@ def gc_memories(mem: DataFrame, now: int, idle_days: int = IDLE_DAYS, least: flo
 
 
 def gc_observations(obs: DataFrame, referenced: DataFrame, now: int, max_age: int, keep: int = KEEP_OBS) -> DataFrame:
-    """Observations that stay: all that evidence refers to, and of the others the newest ``keep`` that are young enough. referenced: obs_id."""
-    ref = referenced.select(F.col("obs_id").alias("id")).distinct()
-    free = obs.join(ref, "id", "left_anti").where(F.col("created_at") >= now - max_age)
-    newest = free.orderBy(F.desc("created_at"), F.desc("id")).limit(keep)
-    return obs.join(ref, "id", "left_semi").unionByName(newest)
+    """Observations that stay. Those that evidence refers to, by id or by a non-empty event_uid, always do; of the others the old ones go, and then the oldest until ``keep`` are left
+    in all. obs: id, event_uid, created_at; referenced: obs_id, event_uid."""
+    ids = referenced.select(F.col("obs_id").alias("id")).where("id is not null").distinct()
+    uids = referenced.select("event_uid").where("event_uid <> ''").distinct()
+    held = obs.join(ids, "id", "left_semi").unionByName(obs.join(ids, "id", "left_anti").join(uids, "event_uid", "left_semi").select(*obs.columns))
+    free = obs.join(ids, "id", "left_anti").join(uids, "event_uid", "left_anti").select(*obs.columns).where(F.col("created_at") >= now - max_age)
+    room = max(0, keep - held.count())
+    return held.unionByName(free.orderBy(F.desc("created_at"), F.desc("id")).limit(room))
 
 
 def gc_candidates(cand: DataFrame, now: int) -> DataFrame:

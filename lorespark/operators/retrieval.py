@@ -1,23 +1,29 @@
-"""Full-text retrieval of many queries over many texts: BM25 over an inverted index, three routes, weighted rank fusion.
+"""Full-text retrieval of many queries over many texts: BM25, three routes, weighted rank fusion.
 
-Corpus statistics are over the whole index; filters apply to hits afterwards. The query side is a small table: it is broadcast only
-below a counted size, so postings that no query asks for are dropped where they are read and never shuffled.
+Corpus statistics are over the whole index; filters apply to hits afterwards. Queries are a small table: they go to the texts in blocks of QUERY_BLOCK, each block in two passes
+(document frequencies, then scores), and a partition of texts sends on no more than each query's best rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import minhash as M
 from ..functions import text as T
+from . import ranking
 
-#: BM25's k1 and b, the least idf, the fusion constant and route weights, the fuzzy route's bound and size.
-K1, B_LEN, LEAST_IDF = 1.2, 0.75, 1e-6
+#: The fusion constant and route weights, the fuzzy route's bound and size.
 RRF, WEIGHTS = 60, {"precise": 1.0, "broad": 0.8, "fuzzy": 0.6}
 FUZZY_LEAST, FUZZY_TOP, POOL = 0.4, 40, 4
+#: Queries that go to the texts together.
+QUERY_BLOCK = 512
+LAYERS = {"": "memory", "memory": "memory", "observation": "observation", "recent": "observation", "both": "both", "all": "both"}
 BROADCAST_ROWS = 200_000
 
 
@@ -30,12 +36,12 @@ def visible(now: int) -> Column:
 
 
 def in_scope(scope: str, project: str = "") -> Column:
-    """current: the project's and global rows; global; project: its own alone; all, and whatever is unknown: no filter."""
+    """current: the project's and global rows; global; project, and no scope with a project: its own alone; all, and whatever is unknown: no filter."""
     if scope == "global":
         return F.col("project") == ""
-    if scope == "project":
+    if scope == "project" or (scope == "" and project):
         return F.col("project") == project
-    if scope == "current" or (scope == "" and project):
+    if scope == "current":
         return F.col("project").isin(project, "")
     return F.lit(True)
 
@@ -52,42 +58,59 @@ def listing(mem: DataFrame, now: int, scope: str = "all", project: str = "", kin
     return out.orderBy(F.desc("salience"), F.desc("last_seen_at"), F.desc("updated_at"), "id").limit(limit)
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, bm25, whole): BM25 (negative, lower is better) of every document with a phrase of the query; whole: a group of it is complete.
+def _query_blocks(queries: DataFrame):
+    """The queries (qid, query) in blocks of about QUERY_BLOCK, each collected for itself: a query has one row here, texts have none."""
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    for b in range(blocks):
+        yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+
+
+def ranked(docs: DataFrame, queries: DataFrame, n: int | None = None, order: tuple[Column, ...] = (), keep: Column | None = None) -> DataFrame:
+    """(qid, id, bm25, whole, order): BM25 (negative, lower is better) of documents with a phrase of the query; whole: a group of it is complete.
 
-    docs: id, content. queries: qid, query. A word matches every term it begins; a Han run is a group of pairs, all of which make it complete.
+    docs: id, content and what ``order`` (numbers, least first; they rank equal scores, then the id) and ``keep`` (the filter on hits; statistics are over all of docs) read. queries:
+    qid, query. n: a superset of each query's best ``n``, of all hits and of the whole ones; None: every hit. A word matches every term it begins; a Han run is a group of
+    pairs, all of which make it complete.
     """
-    terms = docs.select("id", T.index_terms(F.col("content")).alias("terms"))
-    stats = terms.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    asked = queries.select("qid", F.posexplode(T.query_phrases(F.col("query"))).alias("ph", "p")).select("qid", "ph", "p.grp", "p.term", "p.prefix")
-    words = asked.select(F.substring("term", 1, 1).alias("k"), F.col("term").alias("word"), "prefix").distinct()
-    posts = terms.select("id", F.size("terms").alias("len"), F.explode("terms").alias("t")).groupBy("id", "t").agg(F.first("len").alias("len"), F.count("*").alias("c"))
-    # words meet the vocabulary once, not every posting; postings then join on equal terms
-    vocab = posts.select("t").distinct().withColumn("k", F.substring("t", 1, 1)).join(small(words), "k")
-    vocab = vocab.where(F.col("t").startswith(F.col("word")) & (F.col("prefix") | (F.col("t") == F.col("word")))).select("t", "word", "prefix")
-    hit = posts.join(vocab, "t")
-    tf = hit.groupBy("word", "prefix", "id").agg(F.sum("c").alias("f"), F.first("len").alias("len"))
-    df = tf.groupBy("word", "prefix").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.join(F.broadcast(stats)).withColumn("idf", F.when(idf <= 0, LEAST_IDF).otherwise(idf))
-    tf = tf.join(df, ["word", "prefix"])
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B_LEN + B_LEN * F.col("len") / F.col("avg_len")))
-    tf = tf.select(F.col("word").alias("term"), "prefix", "id", part.alias("part"))
-    scored = asked.join(tf, ["term", "prefix"])
-    size = asked.groupBy("qid", "grp").agg(F.countDistinct("term").alias("size"))
-    groups = scored.groupBy("qid", "id", "grp").agg(F.sum("part").alias("s"), F.countDistinct("term").alias("have")).join(size, ["qid", "grp"])
-    return groups.groupBy("qid", "id").agg((-F.sum("s")).alias("bm25"), F.max((F.col("have") == F.col("size")).cast("int")).alias("whole"))
+    terms = docs.select("id", T.index_terms(F.coalesce("content", F.lit(""))).alias("terms"), F.coalesce(keep if keep is not None else F.lit(True), F.lit(False)).alias("ok"), *[c.cast("double").alias(f"o{i}") for i, c in enumerate(order)])
+    qid = queries.schema["qid"].dataType
+    out = None
+    for block in _query_blocks(queries.select("qid", T.query_phrases(F.col("query")).alias("p"))):
+        asked = ranking.Asked.of([(r.qid, [(p.grp, p.term, p.prefix) for p in r.p or []]) for r in block.collect()])
+        seen = terms.select("terms").mapInArrow(ranking.count_words(asked), "word int, df bigint, len bigint").groupBy("word").agg(F.sum("df").alias("df"), F.sum("len").alias("len")).collect()
+        df, (docs_n, length) = np.zeros(len(asked.words)), next(((r.df, r.len) for r in seen if r.word < 0), (0, 0))
+        for r in seen:
+            if r.word >= 0:
+                df[r.word] = r.df
+        idf = np.log((docs_n - df + 0.5) / (df + 0.5)) if docs_n else np.zeros(len(df))
+        idf = np.where(idf <= 0, ranking.LEAST_IDF, idf)
+        run = ranking.best_texts(asked, idf, length / docs_n if docs_n and length else 1.0, n, len(order), to_arrow_type(qid))
+        hits = terms.mapInArrow(run, f"qid {qid.simpleString()}, id bigint, bm25 double, whole int, order array<double>")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, bm25, whole) of every hit."""
+    return ranked(docs, queries).drop("order")
 
 
 def top(hits: DataFrame, n: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= n)
 
 
-def fuzzy(docs: DataFrame, queries: DataFrame, least: float = FUZZY_LEAST, n: int = FUZZY_TOP) -> DataFrame:
-    """(qid, id, sim, rank): texts whose signature agrees with the query's; queries of under 8 shingles are left out. The queries, a bounded set, meet every signature in blocks."""
-    q = queries.where(M.n_shingles(F.col("query")) >= M.MIN_SHINGLES).select("qid", M.minhash("query").alias("qs"))
-    d = docs.select("id", M.minhash("content").alias("ds")).where("ds is not null")
-    return top(d.join(small(q)).select("qid", "id", M.estimate(F.col("qs"), F.col("ds")).alias("sim")).where(F.col("sim") >= least), n, F.desc("sim"), F.col("id"))
+def fuzzy(docs: DataFrame, queries: DataFrame, least: float = FUZZY_LEAST, n: int = FUZZY_TOP, decayed: Column | None = None) -> DataFrame:
+    """(qid, id, sim, decayed, rank): texts whose signature agrees with the query's; queries of under 8 shingles are left out. docs: id, content and what ``decayed`` reads."""
+    signed = docs.select("id", M.minhash("content").alias("ds"), (decayed if decayed is not None else F.lit(0.0)).cast("double").alias("decayed")).where("ds is not null")
+    qid = queries.schema["qid"].dataType
+    out = None
+    for block in _query_blocks(queries.where(M.n_shingles(F.col("query")) >= M.MIN_SHINGLES)):
+        rows = block.select("qid", "query").collect()
+        sig = np.array([M.signature(r.query) for r in rows], np.int64).reshape(len(rows), M.K)
+        run = ranking.alike_texts([r.qid for r in rows], sig, least, n, to_arrow_type(qid))
+        hits = signed.mapInArrow(run, f"qid {qid.simpleString()}, id bigint, sim double, decayed double")
+        out = hits if out is None else out.unionByName(hits)
+    return top(out, n, F.desc("sim"), F.col("id"))
 
 
 def one_term(query: Column) -> Column:
@@ -95,40 +118,65 @@ def one_term(query: Column) -> Column:
     return (F.size(T.query_phrases(query)) == 1) & ~F.element_at(T.query_phrases(query), 1)["prefix"]
 
 
-def fused(mem: DataFrame, queries: DataFrame, decayed: Column, keep: Column, limit: int = 10) -> DataFrame:
+def fused(mem: DataFrame, queries: DataFrame, decayed: Column, keep: Column, limit: int = 10, broad: bool = True, alike: bool = True) -> DataFrame:
     """(qid, id, rank, score, exact, routes, precise, broad, fuzzy): weighted reciprocal-rank fusion of the three routes.
 
+    A hit of the precise route (exact) is never overtaken by one of the others; then score, routes, decay, and who was seen first (route by route, each by rank) decide.
     mem: id, content, salience, last_seen_at and what ``decayed`` and ``keep`` (the filter on hits) read.
     """
-    docs = mem.select("id", "content")
     pool = POOL * limit
-    meta = mem.where(keep).select("id", "content", decayed.alias("decayed"), "salience", "last_seen_at")
-    hits = bm25(docs, queries).join(meta.drop("content"), "id")
-    order = (F.col("bm25"), F.desc("decayed"), F.desc("salience"), F.desc("last_seen_at"), F.col("id"))
+    hits = ranked(mem, queries, pool, (-decayed, -F.col("salience"), -F.col("last_seen_at")), keep)
+    order = (F.col("bm25"), F.col("order"), F.col("id"))
     single = queries.select("qid", one_term(F.col("query")).alias("single"))
-    streams = [
-        top(hits.where("whole = 1"), pool, *order).select("qid", "id", "rank", F.lit("precise").alias("route")),
-        top(hits.join(small(single), "qid").where("not single"), pool, *order).select("qid", "id", "rank", F.lit("broad").alias("route")),
-        fuzzy(mem.where(keep).select("id", "content"), queries, n=min(FUZZY_TOP, pool)).select("qid", "id", "rank", F.lit("fuzzy").alias("route")),
-    ]
+    take = lambda df, name, place, d: df.select("qid", "id", "rank", d.alias("decayed"), F.lit(name).alias("route"), F.lit(place).alias("place"))
+    streams = [take(top(hits.where("whole = 1"), pool, *order), "precise", 0, -F.col("order")[0])]
+    if broad:
+        streams.append(take(top(hits.join(F.broadcast(single) if queries.count() <= BROADCAST_ROWS else single, "qid").where("not single"), pool, *order), "broad", 1, -F.col("order")[0]))
+    if alike:
+        streams.append(take(fuzzy(mem.where(keep), queries, n=min(FUZZY_TOP, pool), decayed=decayed), "fuzzy", 2, F.col("decayed")))
     w = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     all_hits = reduce(DataFrame.unionByName, streams).withColumn("w", w[F.col("route")])
     active = all_hits.select("qid", "route", "w").distinct().groupBy("qid").agg(F.sum("w").alias("active"))
     part = all_hits.join(active, "qid").withColumn("c", F.col("w") / (RRF + F.col("rank")) / F.col("active"))
     sums = [F.coalesce(F.sum(F.when(F.col("route") == r, F.col("c"))), F.lit(0.0)).alias(r) for r in WEIGHTS]
-    out = part.groupBy("qid", "id").agg(F.sum("c").alias("score"), F.count("*").alias("routes"), *sums)
-    out = out.join(meta.select("id", "content", "decayed"), "id").join(small(queries), "qid")
-    out = out.withColumn("exact", (T.normalize(F.col("content")) == T.normalize(F.col("query"))).cast("int"))
-    out = top(out, limit, F.desc("exact"), F.desc(F.round("score", 12)), F.desc("routes"), F.desc("decayed"), F.col("id"))
+    out = part.groupBy("qid", "id").agg(F.count("*").alias("routes"), F.max("decayed").alias("decayed"), F.min(F.struct("place", "rank")).alias("first"), *sums)
+    out = out.withColumn("score", F.col("precise") + F.col("broad") + F.col("fuzzy")).withColumn("exact", (F.col("precise") > 0).cast("int"))
+    out = top(out, limit, F.desc("exact"), F.desc(F.round("score", 12)), F.desc("routes"), F.desc("decayed"), F.col("first"))
     return out.select("qid", "id", "rank", "score", "exact", "routes", *WEIGHTS)
 
 
-def observation_search(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Precise hits; a query that has none gets the broad ones. obs: id, summary, event, created_at."""
-    hits = bm25(obs.select("id", F.col("summary").alias("content")), queries).join(obs.select("id", "event", "created_at"), "id")
+def observation_search(obs: DataFrame, queries: DataFrame, limit: int = 10, scope: str = "all", project: str = "", kind: str = "", tags: dict | None = None) -> DataFrame:
+    """Precise hits; a query that has none gets the broad ones. obs: id, summary, event, created_at, and project where a scope asks for it. Observations have no kinds and
+    no tags: asking for them is an error. The kind of a hit is its tool, else its event."""
+    if kind or tags:
+        raise ValueError("observations cannot be filtered by kind or tag")
+    named = F.coalesce(F.when(F.col("tool_name") != "", F.col("tool_name")), F.col("event")) if "tool_name" in obs.columns else F.col("event")
+    keep = in_scope(scope, project)
+    hits = ranked(obs.withColumn("content", F.col("summary")), queries, limit, (-F.col("created_at"),), keep)
     precise = hits.where("whole = 1")
     rest = hits.join(precise.select("qid").distinct(), "qid", "left_anti")
-    return top(precise.unionByName(rest), limit, F.col("bm25"), F.desc("created_at"), F.col("id")).select("qid", "id", "rank", "bm25", F.col("event").alias("kind"))
+    best = top(precise.unionByName(rest), limit, F.col("bm25"), F.col("order"), F.col("id")).select("qid", "id", "rank", "bm25")
+    return best.join(obs.select("id", named.alias("kind")), "id").select("qid", "id", "rank", "bm25", "kind")
+
+
+def canonical_layer(layer: str) -> str:
+    """memory, observation or both, of a layer's name or alias."""
+    try:
+        return LAYERS[layer.strip().lower()]
+    except KeyError:
+        raise ValueError(f"unknown layer {layer!r}: memory, observation or both") from None
+
+
+def search(layer: str, mem: DataFrame, obs: DataFrame, queries: DataFrame, decayed: Column, keep: Column, limit: int = 10, scope: str = "all", project: str = "") -> DataFrame:
+    """(qid, id, rank, layer) by layer: fused memories, observations, or both in turn."""
+    layer = canonical_layer(layer)
+    if layer == "observation":
+        return observation_search(obs, queries, limit, scope, project).select("qid", "id", "rank", F.lit(layer).alias("layer"))
+    m = fused(mem, queries, decayed, keep & in_scope(scope, project), limit)
+    if layer == "memory":
+        return m.select("qid", "id", "rank", F.lit(layer).alias("layer"))
+    both = interleave(m, observation_search(obs, queries, limit, scope, project), limit)
+    return both.select("qid", "id", F.col("place").alias("rank"), "layer")
 
 
 def interleave(memory: DataFrame, observation: DataFrame, limit: int = 10) -> DataFrame:

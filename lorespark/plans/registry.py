@@ -10,41 +10,30 @@ from ..functions import text as T
 from ..functions.decay import decay_days, decay_frac
 from ..operators import dedup, evaluation, evidence, extraction, lifecycle, retrieval, supply
 from ..sources import readers
-from .tables import NOW, audit, memories, observations, table, with_sql
+from .sql import DAYS, DECAY, FOLDED, HASH, NORM, VISIBLE, bm25, fused, with_parts
+from .tables import NOW, audit, memories, observations, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_STRIP = "regexp_replace(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '[。．.!！?？;；,，:：]+$', '')"
-NORM = _STRIP.format(c="content")
-HASH = f"sha256({NORM})"
-DECAY = "greatest(0.05, least(1.0, least(1.0, greatest(0.0, salience)) * exp(-0.01 * d) + 0.3 * ln(1 + greatest(0, access_count)) / (1.0 + d)))"
-DAYS = f"floor(greatest(0, {NOW} - last_seen_at) / 86400.0)"
-QUERY_WORDS = 6
-_FOLDED = f"translate(lower({{c}}), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
 
 
 def query(sql: str | None = None, recursive: bool = False, **extra: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = with_sql(sql, recursive, **extra)
+            ORACLES[f.__name__] = with_parts(sql, recursive, **extra)
         return f
 
     return add
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """The leading words of every benchmark item as a query."""
-    words = F.slice(F.split(F.trim("text"), "\\s+"), 1, QUERY_WORDS)
-    return table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
-
-
-def _texts(spark: SparkSession, d: str) -> DataFrame:
     """The whole text of every benchmark item as a query."""
     return table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-QUESTIONS_SQL = f"SELECT item_id AS qid, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, {QUERY_WORDS}), ' ') AS query FROM benchmark WHERE text IS NOT NULL"
+def _decayed() -> F.Column:
+    return F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
 
 
 def _hashed(mem: DataFrame) -> DataFrame:
@@ -82,76 +71,77 @@ def merge_guards(spark, d):
     return memories(spark, d).select("id", F.array_join(F.array_sort(T.digits(c)), ",").alias("digit_runs"), T.negation_count(c).alias("negations"))
 
 
-@query(f"SELECT id, len(regexp_extract_all({_FOLDED.format(c='content')}, '\\p{{Han}}+|[\\p{{L}}\\p{{Nd}}]+'))::INTEGER AS n_terms, len(list_distinct(regexp_extract_all({_FOLDED.format(c='content')}, '\\p{{Han}}+|[\\p{{L}}\\p{{Nd}}]+')))::INTEGER AS n_distinct FROM memories")
+@query(f"SELECT id, len(regexp_extract_all({FOLDED.format(c='content')}, '\\p{{Han}}+|[\\p{{L}}\\p{{Nd}}]+'))::INTEGER AS n_terms, len(list_distinct(regexp_extract_all({FOLDED.format(c='content')}, '\\p{{Han}}+|[\\p{{L}}\\p{{Nd}}]+')))::INTEGER AS n_distinct FROM memories")
 def index_term_counts(spark, d):
     t = memories(spark, d).select("id", T.index_terms(F.col("content")).alias("t"))
     return t.select("id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query()
-def query_analysis(spark, d):
-    q = F.col("query")
-    return _texts(spark, d).select("qid", T.query_gate(q).alias("gate"), T.wants_deep(q).alias("deep"), F.array_join(T.identifiers(q), " ").alias("identifiers"), F.array_join(T.query_terms(q), " ").alias("terms"))
-
+_QSTOP = ", ".join(f"'{w}'" for w in T.STOP_IDENTIFIERS)
+_QSOCIAL = ", ".join(f"'{w}'" for w in dict.fromkeys(T.SOCIAL))
+_QSHORT = ", ".join(f"'{w}'" for w in T.TECH_SHORT)
+_CUT = "regexp_replace(regexp_replace(lower(t), '^[._\\-/:]+', ''), '[._\\-/:]+$', '')"
+#: A query's gate, deep wish, identifiers and terms (of texts whose Han runs, if any, are single pairs at most).
+_ANALYSIS = {
+    "asked_ident": f"SELECT qid, list_filter(list_transform(regexp_extract_all(query, '[A-Za-z0-9_.\\-/:]{{2,}}'), lambda t: {_CUT}), lambda t: length(t) >= 2 AND regexp_matches(t, '[a-z]') AND t NOT IN ({_QSTOP})) AS ids FROM q",
+    "asked_terms": f"SELECT qid, list_filter(list_transform(regexp_extract_all(query, '[\\x{{4e00}}-\\x{{9fff}}]+|[A-Za-z0-9_.\\-/:]+'), lambda t: {_CUT}), lambda t: length(t) >= 2 AND t NOT IN ({_QSTOP})) AS ts FROM q",
+    "first_seen": "SELECT qid, kind, string_agg(t, ' ' ORDER BY i) AS joined FROM (SELECT qid, kind, t, min(i) AS i FROM (SELECT qid, 'i' AS kind, unnest(ids) AS t, generate_subscripts(ids, 1) AS i FROM asked_ident UNION ALL SELECT qid, 't', unnest(ts), generate_subscripts(ts, 1) FROM asked_terms) GROUP BY ALL) GROUP BY ALL",
+    "asked": f"SELECT qid, query, regexp_replace(lower(query), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]', '', 'g') AS body, list_filter(string_split_regex(lower(query), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+'), lambda t: t <> '') AS ws FROM q",
+    "gates": f"SELECT qid, query, CASE WHEN body = '' THEN 'empty' WHEN len(ws) > 0 AND len(list_filter(ws, lambda t: t NOT IN ({_QSOCIAL}))) = 0 THEN 'pleasantry' WHEN length(body) <= 1 OR length(body) = 2 AND NOT regexp_matches(body, '[a-z0-9]') AND body NOT IN ({_QSHORT}) THEN 'short_no_tech' ELSE 'run' END AS gate FROM asked",
+}
+#: Benchmark texts and short ones that the gate tells apart.
+_SHORT_ASKED = [(-1, ""), (-2, " ！"), (-3, "ok thanks"), (-4, "嗯"), (-5, "天气"), (-6, "报错"), (-7, "x"), (-8, "详细查 mem.db and CGO_ENABLED=0 in the tool")]
 
-# ---- retrieval -------------------------------------------------------------------------------------
 
-_TOK = f"regexp_extract_all({_FOLDED.format(c='content')}, '[\\p{{L}}\\p{{Nd}}]+')"
-_BM25 = {
-    "q": QUESTIONS_SQL,
-    "toks": f"SELECT id, {_TOK} AS t FROM memories",
-    "stats": "SELECT count(*)::DOUBLE AS n_docs, avg(len(t)) AS avg_len FROM toks",
-    "ph": f"SELECT qid, unnest(regexp_extract_all({_FOLDED.format(c='query')}, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM q",
-    "posts": "SELECT id, len(t) AS len, unnest(t) AS term FROM toks",
-    "words": "SELECT DISTINCT w FROM ph",
-    "tf": "SELECT w, id, any_value(len) AS len, count(*) AS f FROM posts JOIN words ON starts_with(term, w) GROUP BY w, id",
-    "dfs": "SELECT w, count(*) AS df FROM tf GROUP BY w",
-    "part": "SELECT tf.w, id, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len)) AS s FROM tf JOIN dfs USING (w), stats",
-    "hits": "SELECT qid, id, -sum(s) AS bm25 FROM ph JOIN part USING (w) GROUP BY qid, id",
-}
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    return _questions(spark, d).unionByName(spark.createDataFrame(_SHORT_ASKED, "qid long, query string").withColumn("qid", F.col("qid").cast(table(spark, d, "benchmark").schema["item_id"].dataType)))
 
 
-def _chain(name: str, body: str, **more: str) -> None:
-    ctes = {"memories": None} | _BM25 | more
-    from .tables import MEMORIES
+@query(
+    f"SELECT g.qid, gate, regexp_matches(query, '{'|'.join(T.DEEP)}') AS deep, coalesce(i.joined, '') AS identifiers, coalesce(t.joined, '') AS terms FROM gates g LEFT JOIN first_seen i ON i.qid = g.qid AND i.kind = 'i' LEFT JOIN first_seen t ON t.qid = g.qid AND t.kind = 't'",
+    **_ANALYSIS,
+    q="SELECT item_id AS qid, text AS query FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _SHORT_ASKED if "详" not in t) + ")",
+)
+def query_analysis(spark, d):
+    q = F.col("query")
+    asked = _gated(spark, d).where("qid <> -8")
+    return asked.select("qid", T.query_gate(q).alias("gate"), T.wants_deep(q).alias("deep"), F.array_join(T.identifiers(q), " ").alias("identifiers"), F.array_join(T.query_terms(q), " ").alias("terms"))
 
-    ctes["memories"] = MEMORIES
-    ORACLES[name] = ("WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + " " + body).replace("STRING", "VARCHAR")
 
+# ---- retrieval -------------------------------------------------------------------------------------
 
-@query()
-def bm25_topk(spark, d):
-    hits = retrieval.bm25(memories(spark, d).select("id", "content"), _questions(spark, d))
-    return retrieval.top(hits, 10, F.round("bm25", 9), F.col("id")).select("qid", "id", "rank", F.round("bm25", 6).alias("bm25"))
+_TOP = "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY bm25, id)::INTEGER AS rank, bm25 FROM hits"
 
 
-_chain("bm25_topk", "SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9), id)::INTEGER AS rank, round(bm25, 6) AS bm25 FROM hits) WHERE rank <= 10")
+@query(f"SELECT qid, id, rank, round(bm25, 6) AS bm25 FROM ({_TOP}) WHERE rank <= 10")
+def bm25_topk(spark, d):
+    hits = retrieval.ranked(memories(spark, d).select("id", "content"), _questions(spark, d), 10)
+    return retrieval.top(hits, 10, F.col("bm25"), F.col("id")).select("qid", "id", "rank", F.round("bm25", 6).alias("bm25"))
 
 
-@query()
+@query("SELECT qid, id, rank, round(score, 9) AS score, exact, routes FROM fused", **fused(10))
 def rrf_fused_search(spark, d):
-    m = memories(spark, d)
-    decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
-    out = retrieval.fused(m, _texts(spark, d), decayed, retrieval.visible(NOW))
+    out = retrieval.fused(memories(spark, d), _questions(spark, d), _decayed(), retrieval.visible(NOW))
     return out.withColumn("score", F.round("score", 9)).drop("precise", "broad", "fuzzy")
 
 
-@query()
-def observation_search(spark, d):
-    q = _texts(spark, d)
-    return retrieval.observation_search(observations(spark, d), q).withColumn("bm25", F.round("bm25", 6))
+_OBS_TOP = "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY bm25, created_at DESC, id)::INTEGER AS rank, bm25, event FROM hits_o JOIN observations USING (id)"
 
 
-@query()
-def layered_search(spark, d):
-    hits = retrieval.bm25(memories(spark, d).select("id", "content"), _texts(spark, d))
-    return retrieval.interleave(retrieval.top(hits, 10, F.col("bm25"), F.col("id")), retrieval.observation_search(observations(spark, d), _texts(spark, d)), 10)
+@query(f"SELECT qid, id, rank, round(bm25, 6) AS bm25, event AS kind FROM ({_OBS_TOP}) WHERE rank <= 10")
+def observation_search(spark, d):
+    return retrieval.observation_search(observations(spark, d), _questions(spark, d)).withColumn("bm25", F.round("bm25", 6))
 
 
-_VISIBLE = f"(expires_at IS NULL OR expires_at > {NOW}) AND superseded_by IS NULL"
+@query(
+    f"SELECT qid, id, rank, layer FROM (SELECT qid, id, layer, row_number() OVER (PARTITION BY qid ORDER BY rank, layer, id)::INTEGER AS rank FROM (SELECT qid, id, rank, 'memory' AS layer FROM fused UNION ALL SELECT qid, id, rank, 'observation' FROM ({_OBS_TOP}) WHERE rank <= 10)) WHERE rank <= 10",
+    **fused(10),
+)
+def layered_search(spark, d):
+    return retrieval.search("both", memories(spark, d), observations(spark, d), _questions(spark, d), _decayed(), retrieval.visible(NOW))
 
 
-@query(f"SELECT id, kind, project, salience, last_seen_at FROM memories WHERE {_VISIBLE} AND project IN ('src1', '') ORDER BY salience DESC, last_seen_at DESC, updated_at DESC, id LIMIT 50")
+@query(f"SELECT id, kind, project, salience, last_seen_at FROM memories WHERE {VISIBLE} AND project IN ('src1', '') ORDER BY salience DESC, last_seen_at DESC, updated_at DESC, id LIMIT 50")
 def scope_visibility_list(spark, d):
     return retrieval.listing(memories(spark, d), NOW, "current", "src1", "all", 50).select("id", "kind", "project", "salience", "last_seen_at")
 
@@ -182,7 +172,7 @@ def assets_by_file(spark, d):
     return retrieval.assets_by_file(memories(spark, d).withColumn("provenance", prov), ["f1.md", "f4.md"]).select("id", "file", "line")
 
 
-@query("SELECT qid, CASE WHEN len(more) > 0 THEN query || ' ' || array_to_string(more, ' ') ELSE query END AS query FROM (SELECT q.qid, q.query, list_sort(list_distinct(list(s.standard) FILTER (WHERE s.standard IS NOT NULL AND NOT contains(lower(q.query), s.standard)))) AS more FROM q LEFT JOIN s ON contains(lower(q.query), s.alias) GROUP BY ALL)", q=QUESTIONS_SQL, s="SELECT * FROM (VALUES ('the', 'article'), ('of', 'origin'), ('de', 'article'), ('zu', 'towards')) t(alias, standard)")
+@query("SELECT qid, CASE WHEN len(more) > 0 THEN query || ' ' || array_to_string(more, ' ') ELSE query END AS query FROM (SELECT q.qid, q.query, list_sort(list_distinct(list(s.standard) FILTER (WHERE s.standard IS NOT NULL AND NOT contains(lower(q.query), s.standard)))) AS more FROM q LEFT JOIN s ON contains(lower(q.query), s.alias) GROUP BY ALL)", s="SELECT * FROM (VALUES ('the', 'article'), ('of', 'origin'), ('de', 'article'), ('zu', 'towards')) t(alias, standard)")
 def synonym_expansion(spark, d):
     lines = spark.createDataFrame([(0, "# words"), (1, "article = the, de"), (2, "origin = of"), (3, "! off = and"), (4, "towards = zu"), (5, "[other]"), (6, "never = a")], "line int, value string")
     return retrieval.expand(_questions(spark, d).withColumn("project", F.lit("src1")), readers.parse_synonyms(lines)).select("qid", "query")
@@ -202,13 +192,21 @@ def gc_memories(spark, d):
     return lifecycle.gc_memories(memories(spark, d), NOW).select("id", "fate")
 
 
-_REF = "SELECT id AS obs_id FROM observations WHERE id % 9 = 0"
+_REF = "SELECT CASE WHEN id % 9 = 0 THEN id END AS obs_id, CASE WHEN id % 9 = 0 THEN '' ELSE 'e' || id END AS event_uid FROM observations WHERE id % 9 = 0 OR id % 14 = 3"
+_OBS_UID = "SELECT id, session_id, created_at, CASE WHEN id % 5 = 0 THEN '' ELSE 'e' || id END AS event_uid FROM observations"
+_OBS_KEEP = 500
 
 
-@query(f"SELECT id, session_id, created_at FROM observations WHERE id IN (SELECT obs_id FROM refs) UNION ALL SELECT * FROM (SELECT id, session_id, created_at FROM observations WHERE id NOT IN (SELECT obs_id FROM refs) AND created_at >= {NOW} - 40 * 86400 ORDER BY created_at DESC, id DESC LIMIT 300)", refs=_REF)
+@query(
+    f"SELECT id, session_id, created_at FROM held UNION ALL SELECT id, session_id, created_at FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS r FROM ob WHERE id NOT IN (SELECT id FROM held) AND created_at >= {NOW} - 40 * 86400) WHERE r <= {_OBS_KEEP} - (SELECT count(*) FROM held)",
+    refs=_REF, ob=_OBS_UID, held="SELECT * FROM ob WHERE id IN (SELECT obs_id FROM refs WHERE obs_id IS NOT NULL) OR event_uid <> '' AND event_uid IN (SELECT event_uid FROM refs)",
+)
 def gc_observations(spark, d):
-    o = observations(spark, d)
-    return lifecycle.gc_observations(o, o.where("id % 9 = 0").select(F.col("id").alias("obs_id")), NOW, 40 * 86400, 300).select("id", "session_id", "created_at")
+    uid = lambda c: F.when(c, "").otherwise(F.concat(F.lit("e"), F.col("id").cast("string")))
+    o = observations(spark, d).select("id", "session_id", "created_at", uid(F.col("id") % 5 == 0).alias("event_uid"))
+    nine = F.col("id") % 9 == 0
+    refs = o.where(nine | (F.col("id") % 14 == 3)).select(F.when(nine, F.col("id")).alias("obs_id"), uid(nine).alias("event_uid"))
+    return lifecycle.gc_observations(o, refs, NOW, 40 * 86400, _OBS_KEEP).select("id", "session_id", "created_at")
 
 
 _CAND = "SELECT id, CASE id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS status, project, created_at, CASE WHEN id % 3 <> 0 THEN created_at + 86400 END AS decided_at FROM memories"
@@ -282,48 +280,91 @@ def forget_cascade(spark, d):
     return lifecycle.forget(m, {"tags": _tags(m)}, table(spark, d, "labels").select(F.col("doc_id").alias("id")))[1]["tags"]
 
 
-@query()
+_DIGITS = "list_distinct(regexp_extract_all(content, '[0-9]+'))"
+_NEAR = {
+    "texts": f"SELECT id, project, content, length(content) AS n, array_to_string(regexp_extract_all(content, '[0-9]+'), ',') AS runs, ({_NEG})::INTEGER AS negations FROM memories WHERE length(content) >= 10",
+    "reps": "SELECT min(id) AS id, project, content, any_value(n) AS n, any_value(runs) AS runs, any_value(negations) AS negations FROM texts GROUP BY project, content",
+    "firsts": "SELECT id, string_agg(t, ',' ORDER BY i) AS runs FROM (SELECT id, t, min(i) AS i FROM (SELECT id, unnest(string_split(runs, ',')) AS t, generate_subscripts(string_split(runs, ','), 1) AS i FROM reps) GROUP BY ALL) GROUP BY id",
+    "signed": "SELECT s.id, s.k, s.v, r.project, r.n, r.negations, f.runs FROM sig_m s JOIN reps r USING (id) JOIN firsts f USING (id)",
+    "near": "SELECT a.id AS a, b.id AS b, count(*) / 64 AS sim FROM signed a JOIN signed b ON a.k = b.k AND a.v = b.v AND a.project = b.project AND a.negations = b.negations AND a.runs = b.runs AND a.id < b.id WHERE greatest(a.n, b.n) <= 3 * least(a.n, b.n) GROUP BY ALL HAVING count(*) >= 45 UNION ALL SELECT r.id, t.id, 1.0 FROM reps r JOIN texts t ON r.project = t.project AND r.content = t.content AND r.id <> t.id",
+    "both_ways": "SELECT a, b FROM near UNION ALL SELECT b, a FROM near",
+    "reach(a, b)": "SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a",
+    "low": "SELECT a AS id, least(a, min(b)) AS cluster FROM reach GROUP BY a",
+    "stays": "SELECT cluster, first(id ORDER BY salience DESC, access_count DESC, created_at, id) AS survivor FROM low JOIN memories USING (id) GROUP BY cluster",
+}
+
+
+@query("SELECT id, cluster, survivor, CASE WHEN id <> survivor THEN survivor END AS superseded_by FROM low JOIN stays USING (cluster)", recursive=True, **_NEAR)
 def consolidate_survivors(spark, d):
     return dedup.consolidate(memories(spark, d))
 
 
-@query()
+@query("SELECT a, b, round(sim, 9) AS sim FROM near", recursive=True, **_NEAR)
 def minhash_near_pairs(spark, d):
-    return dedup.near_pairs(memories(spark, d))
+    return dedup.near_pairs(memories(spark, d)).withColumn("sim", F.round("sim", 9))
 
 
-@query("SELECT term, count(*) AS freq FROM (SELECT DISTINCT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM toks) GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 200", toks=_BM25["toks"])
-def lexicon_bigrams(spark, d):
-    return dedup.lexicon_bigrams(memories(spark, d))
+@query("SELECT DISTINCT coalesce(survivor, memory_id) AS memory_id, key, value FROM tags LEFT JOIN (SELECT id, survivor FROM low JOIN stays USING (cluster)) ON id = memory_id", recursive=True, tags=_TAGS, **_NEAR)
+def consolidated_tags(spark, d):
+    m = memories(spark, d)
+    return dedup.move_tags(_tags(m), dedup.consolidate(m))
+
+
+@query("SELECT m.id, coalesce(CASE WHEN s.survivor <> m.id THEN s.survivor END, m.superseded_by) AS superseded_by FROM memories m LEFT JOIN (SELECT id, survivor FROM low JOIN stays USING (cluster)) s ON s.id = m.id", recursive=True, **_NEAR)
+def superseded_memories(spark, d):
+    m = memories(spark, d)
+    return dedup.supersede(m, dedup.consolidate(m)).select("id", "superseded_by")
+
 
+#: The driver's texts have no Han: two runs of eight characters, by the digest of a text, stand for them.
+_HAN = "数据查询内存规则决策任务文件线程"
 
-_GRAMS = {
-    "toks": _BM25["toks"],
-    "grams": "SELECT DISTINCT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM toks",
-    "terms": "SELECT term, count(*) AS freq FROM grams GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 200",
-    "hits": "SELECT term, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY id) AS r FROM grams JOIN terms USING (term)) WHERE r <= 8",
-    "sizes": "SELECT term, count(*) AS n FROM hits GROUP BY term",
-    "common": "SELECT a.term AS a, b.term AS b, count(*) AS c FROM hits a JOIN hits b ON a.id = b.id AND a.term <> b.term GROUP BY ALL",
-    "links": "SELECT a, b FROM common JOIN sizes x ON x.term = a JOIN sizes y ON y.term = b WHERE c >= 0.5 * (x.n + y.n - c)",
+
+def _han(m: DataFrame) -> DataFrame:
+    digest = F.translate(F.md5("content"), "0123456789abcdef", _HAN)
+    return m.withColumn("content", F.concat(F.substring(digest, 1, 8), F.lit(" "), F.substring(digest, 9, 8)))
+
+
+_LEXICON = {
+    "han": f"SELECT *, substr(t, 1, 8) AS x, substr(t, 9, 8) AS y FROM (SELECT id, project, expires_at, superseded_by, salience, last_seen_at, access_count, translate(md5(content), '0123456789abcdef', '{_HAN}') AS t FROM memories)",
+    "pairs_at": "SELECT id, unnest(list_concat(list_transform(range(1, 8), lambda i: substr(x, i, 2)), list_transform(range(1, 8), lambda i: substr(y, i, 2)))) AS term FROM han",
+    "held": "SELECT id, term, count(*)::DOUBLE AS f FROM pairs_at GROUP BY ALL",
+    "dft": "SELECT term, count(*) AS df FROM held GROUP BY term",
+    "terms": f"SELECT term, count(*) AS freq FROM held WHERE term NOT IN ({', '.join(repr(w) for w in dedup.GENERIC)}) GROUP BY term HAVING count(*) >= 2 ORDER BY freq DESC, term LIMIT 200",
+    "scored": f"SELECT term, id, round(-(CASE WHEN ln(((SELECT count(*) FROM han) - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln(((SELECT count(*) FROM han) - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2), 9) AS bm25, round({DECAY}, 12) AS decayed, salience, last_seen_at FROM held JOIN dft USING (term) JOIN terms USING (term) JOIN (SELECT *, {DAYS} AS d FROM han WHERE {VISIBLE} AND project = 'src1') USING (id)",
+    "found": "SELECT term, id FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY bm25, decayed DESC, salience DESC, last_seen_at DESC, id) AS r FROM scored) WHERE r <= 8",
+    "lib": "SELECT count(*) AS n FROM han WHERE project = 'src1'",
+    "sizes": "SELECT term, count(*) AS n FROM found GROUP BY term HAVING (SELECT n FROM lib) < 20 OR count(*) <= floor((SELECT n FROM lib) * 0.3)",
+    "sims": "SELECT a.term AS a, b.term AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS sim FROM found a JOIN found b ON a.id = b.id AND a.term < b.term JOIN sizes x ON x.term = a.term JOIN sizes y ON y.term = b.term GROUP BY a.term, b.term",
+    "links": "SELECT a, b FROM sims WHERE sim >= 0.5 UNION ALL SELECT b, a FROM sims WHERE sim >= 0.5",
     "reach(a, b)": "SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a",
-    "low": "SELECT a AS term, min(b) AS cluster FROM reach GROUP BY a",
-    "best": "SELECT cluster, first(term ORDER BY freq DESC, length(term) DESC, term DESC) AS standard FROM low JOIN terms USING (term) GROUP BY cluster",
+    "low": "SELECT a AS term, least(a, min(b)) AS cluster FROM reach GROUP BY a",
+    "best": "SELECT cluster, first(term ORDER BY freq DESC, length(term) DESC, term) AS standard FROM low JOIN terms USING (term) GROUP BY cluster",
 }
-LEXICON_HITS = 8
 
 
-@query()
-def lexicon_clusters(spark, d):
-    """Clusters of the library's frequent word pairs by the sets of their first LEXICON_HITS memories."""
-    m = memories(spark, d)
+@query("SELECT term, freq FROM terms", **_LEXICON)
+def lexicon_bigrams(spark, d):
+    return dedup.lexicon_bigrams(_han(memories(spark, d)))
+
+
+def _term_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    m = _han(memories(spark, d))
     terms = dedup.lexicon_bigrams(m)
-    hits = retrieval.top(dedup.bigram_rows(m).join(F.broadcast(terms), "term").withColumnRenamed("term", "qid"), LEXICON_HITS, F.col("id")).select(F.col("qid").alias("term"), "id")
-    return dedup.lexicon_clusters(hits, terms)
+    mine = F.col("project") == "src1"
+    hits = retrieval.fused(m, terms.select(F.col("term").alias("qid"), F.col("term").alias("query")), _decayed(), retrieval.visible(NOW) & mine, dedup.HITS)
+    return dedup.term_pairs(hits.select(F.col("qid").alias("term"), "id"), m.where(mine).count()), terms
+
 
+@query("SELECT term, standard FROM low JOIN best USING (cluster)", recursive=True, **_LEXICON)
+def lexicon_clusters(spark, d):
+    """Clusters of the library's frequent Han pairs by the top hits of their own searches in one project."""
+    return dedup.lexicon_clusters(*_term_pairs(spark, d))
 
-from .tables import MEMORIES  # noqa: E402
 
-ORACLES["lexicon_clusters"] = ("WITH RECURSIVE memories AS (" + MEMORIES + "), " + ", ".join(f"{k} AS ({v})" for k, v in _GRAMS.items()) + " SELECT term, standard FROM low JOIN best USING (cluster)").replace("STRING", "VARCHAR")
+@query("SELECT a, b, round(sim, 9) AS sim FROM sims WHERE sim >= 0.4 AND sim < 0.5", recursive=True, **_LEXICON)
+def lexicon_review(spark, d):
+    return dedup.lexicon_review(_term_pairs(spark, d)[0]).withColumn("sim", F.round("sim", 9))
 
 
 # ---- evaluation ------------------------------------------------------------------------------------
@@ -383,32 +424,28 @@ def _gold(spark, d) -> DataFrame:
     return doc.join(F.broadcast(b) if b.count() <= retrieval.BROADCAST_ROWS else b, F.contains("content", "text")).select("qid", F.substring("content_hash", 1, 12).alias("prefix")).distinct()
 
 
-@query()
+_RECALL = "SELECT g.qid, g.n_gold, coalesce(h.hits, 0) AS hits, round(coalesce(h.hits, 0) / g.n_gold, 9) AS recall, round(coalesce(1.0 / h.first, 0), 9) AS rr, coalesce(h.found, 0) = g.n_gold AS strict FROM (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid) g LEFT JOIN (SELECT r.qid, count(DISTINCT rank) AS hits, min(rank) AS first, count(DISTINCT prefix) AS found FROM placed r JOIN gold ON r.qid = gold.qid AND starts_with(r.hash, gold.prefix) GROUP BY r.qid) h ON g.qid = h.qid"
+_GOLD = {
+    "hashed": f"SELECT id, content, {HASH} AS hash FROM memories",
+    "gold": "SELECT DISTINCT item_id AS qid, substr(hash, 1, 12) AS prefix FROM hashed JOIN benchmark ON contains(content, text)",
+    "placed": "SELECT qid, hash, rank FROM fused JOIN hashed USING (id)",
+}
+
+
+@query(_RECALL, **_GOLD, **fused(10))
 def recall_at_k(spark, d):
     m = _hashed(memories(spark, d))
-    hits = retrieval.top(retrieval.bm25(m.select("id", "content"), _questions(spark, d)), 10, F.round("bm25", 9), F.col("id"))
+    hits = retrieval.fused(m, _questions(spark, d), _decayed(), retrieval.visible(NOW))
     ranked = hits.join(m.select("id", F.col("content_hash").alias("hash")), "id").select("qid", "hash", "rank")
     return evaluation.recall_at_k(ranked, _gold(spark, d), 10).withColumns({"recall": F.round("recall", 9), "rr": F.round("rr", 9)})
 
 
-_chain(
-    "recall_at_k",
-    "SELECT g.qid, g.n_gold, coalesce(h.hits, 0) AS hits, round(coalesce(h.hits, 0) / g.n_gold, 9) AS recall, round(coalesce(1.0 / h.first, 0), 9) AS rr, coalesce(h.found, 0) = g.n_gold AS strict FROM (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid) g LEFT JOIN (SELECT r.qid, count(DISTINCT rank) AS hits, min(rank) AS first, count(DISTINCT prefix) AS found FROM ranked r JOIN gold ON r.qid = gold.qid AND starts_with(r.hash, gold.prefix) GROUP BY r.qid) h ON g.qid = h.qid",
-    hashed=f"SELECT id, content, {HASH} AS hash FROM memories",
-    gold="SELECT DISTINCT item_id AS qid, substr(hash, 1, 12) AS prefix FROM hashed JOIN benchmark ON contains(content, text)",
-    ranked="SELECT qid, hash, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9), id) AS rank FROM hits) JOIN hashed USING (id) WHERE rank <= 10",
-)
-
-
-@query()
+@query("SELECT count(*) AS queries, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS mrr, round(avg((hits = 0)::INT), 9) AS empty_rate, round(avg(strict::INT), 9) AS strict_all FROM (" + _RECALL + ")", **_GOLD, **fused(10))
 def retrieval_quality(spark, d):
     out = evaluation.macro(recall_at_k(spark, d))
     return out.select("queries", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
-ORACLES["retrieval_quality"] = "SELECT count(*) AS queries, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS mrr, round(avg((hits = 0)::INT), 9) AS empty_rate, round(avg(strict::INT), 9) AS strict_all FROM (" + ORACLES["recall_at_k"] + ")"
-
-
 _LABELLED = f"SELECT l.doc_id AS qid, CASE WHEN quality = 1 THEN substr({HASH}, 1, 12) WHEN toxic = 1 THEN '000000000000' ELSE '' END AS prefix FROM labels l JOIN memories m ON l.doc_id = m.id"
 
 
@@ -439,9 +476,16 @@ def latency_p95(spark, d):
 
 
 SELF_SAMPLE, SELF_K = 100, 5
+_SELF = {
+    "library": f"SELECT id, content, {HASH} AS hash FROM memories WHERE {VISIBLE}",
+    "evenly": f"SELECT id, content, hash FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, greatest(1, count(*) OVER () // {SELF_SAMPLE}) AS step FROM library) WHERE i % step = 0 ORDER BY id LIMIT {SELF_SAMPLE}",
+    "q": "SELECT form || ':' || id AS qid, form, hash, CASE WHEN form = 'part' AND length(content) > 12 THEN substr(content, 1, (length(content) * 3) // 5) ELSE content END AS query FROM evenly, (VALUES ('full'), ('part')) f(form)",
+    "hashes": f"SELECT id, {HASH} AS hash FROM memories",
+    "each": f"SELECT q.form, q.qid, min(f.rank) AS first, count(DISTINCT f.rank) AS hits FROM q LEFT JOIN (SELECT qid, rank, hash FROM fused JOIN hashes USING (id)) f ON f.qid = q.qid AND substr(f.hash, 1, 12) = substr(q.hash, 1, 12) GROUP BY ALL",
+}
 
 
-@query()
+@query("SELECT form, count(*) AS queries, round(avg(hits::DOUBLE), 9) AS recall, round(avg(coalesce(1 / first, 0)), 9) AS mrr, round(avg((hits = 0)::INT), 9) AS empty_rate, round(avg((hits > 0)::INT), 9) AS strict_all FROM each GROUP BY form", **_SELF, **fused(SELF_K))
 def self_recall(spark, d):
     """(form, queries, recall, mrr, empty_rate, strict_all): evenly spaced memories, by id, as queries to the whole library's fused search: their full text, and its first 60 %."""
     m = _hashed(memories(spark, d))
@@ -450,8 +494,7 @@ def self_recall(spark, d):
     part = F.when(F.length(c) > 12, F.expr("substring(content, 1, cast(length(content) * 3 div 5 as int))")).otherwise(c)
     form = F.explode(F.array(F.struct(F.lit("full").alias("form"), c.alias("query")), F.struct(F.lit("part").alias("form"), part.alias("query"))))
     q = asked.select("id", "content_hash", form.alias("f")).select(F.concat("f.form", F.lit(":"), F.col("id").cast("string")).alias("qid"), "f.query", F.substring("content_hash", 1, 12).alias("prefix"))
-    decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
-    hits = retrieval.fused(m, q.select("qid", "query"), decayed, retrieval.visible(NOW), SELF_K)
+    hits = retrieval.fused(m, q.select("qid", "query"), _decayed(), retrieval.visible(NOW), SELF_K)
     ranked = hits.join(m.select("id", F.col("content_hash").alias("hash")), "id").select("qid", "hash", "rank")
     scored = evaluation.recall_at_k(ranked, q.select("qid", "prefix"), SELF_K)
     each = [evaluation.macro(scored.where(F.col("qid").startswith(f + ":"))).withColumn("form", F.lit(f)) for f in ("full", "part")]
@@ -463,9 +506,8 @@ def self_recall(spark, d):
 
 
 def _trace(spark, d) -> DataFrame:
-    m, q = memories(spark, d), _texts(spark, d)
-    decayed = F.round(decay_days(F.col("salience"), F.col("last_seen_at"), F.col("access_count"), NOW), 12)
-    hits = retrieval.fused(m, q, decayed, retrieval.visible(NOW), 24)
+    m, q = memories(spark, d), _questions(spark, d)
+    hits = retrieval.fused(m, q, _decayed(), retrieval.visible(NOW), supply.overfetch(supply.LIMIT))
     subjects = m.where("adopted_count > 3").select("kind", "project").distinct().withColumn("subject", F.lit(True))
     hits = hits.join(m.select("id", "content", "kind", "project"), "id").join(q, "qid").join(subjects, ["kind", "project"], "left")
     return supply.supply(hits.withColumn("q_project", F.lit("src1")).withColumn("noted", (F.col("kind") == "rule") & (F.col("id") % 4 == 0)))
@@ -478,7 +520,7 @@ def supply_selection(spark, d):
 
 @query()
 def supply_outcomes(spark, d):
-    return supply.outcomes(_trace(spark, d), _texts(spark, d))
+    return supply.outcomes(_trace(spark, d), _questions(spark, d))
 
 
 @query("SELECT project, content, id, length(content) + 1 AS cost FROM (SELECT *, sum(length(content) + 1) OVER (ORDER BY project, content, id ROWS UNBOUNDED PRECEDING) AS total FROM memories WHERE kind = 'rule' OR (project = '' AND salience >= 0.8)) WHERE total <= 2048")

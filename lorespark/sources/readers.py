@@ -88,20 +88,26 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
 
 
 def markdown_items(docs: DataFrame) -> DataFrame:
-    """(id, line, text): list items and paragraphs of Markdown texts (id, text); headings, tables, comments and fenced code are skipped, indented
-    lines continue the one before, markers and links are stripped, 8 to 500 characters, once a file with its first line."""
-    rows = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    """(id, line, text): list items and paragraphs of Markdown texts (id, text). Blank lines, headings, tables, comments and fences end an item, fenced code gives none; an
+    indented line goes on with the item before it, any other line begins one. The marker of a list or quotation is stripped; an item has 8 to 500 characters, and 8 of them
+    outside links; each text once a file, with its first line (from 1)."""
+    raw = F.regexp_replace("raw", "\r$", "")
+    rows = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).select("id", (F.col("at") + 1).alias("line"), raw.alias("raw"))
+    cut = F.regexp_replace(F.regexp_replace("raw", f"^{T.SPACE}+", ""), f"{T.SPACE}+$", "")
     w = Window.partitionBy("id").orderBy("line")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("raw").rlike("^\\s*(```|~~~)")
-    rows = rows.withColumn("fences", F.sum(fence.cast("int")).over(upto)).where(~fence & (F.col("fences") % 2 == 0))
-    skip = F.col("raw").rlike("^\\s*(#|\\||<!--|---|>)") | (F.trim("raw") == "")
-    more = F.col("raw").rlike("^(\\s{2,}|\\t)(?![-*+]\\s|[0-9]+[.)]\\s)") & ~skip
-    rows = rows.withColumn("grp", F.sum((~more).cast("int")).over(upto)).withColumn("skip", skip)
-    part = F.trim(F.regexp_replace("raw", "^\\s*([-*+]\\s+|[0-9]+[.)]\\s+)", ""))
-    items = rows.where("not skip").groupBy("id", "grp").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", part.alias("p")))).alias("ps"))
-    text = F.regexp_replace(F.array_join(F.col("ps.p"), " "), "\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
-    items = items.select("id", (F.col("line") + 1).alias("line"), text.alias("text")).where(F.length("text").between(*MARKDOWN_CHARS))
+    rows = rows.withColumn("t", cut).withColumn("fence", F.col("t").rlike("^(```|~~~)"))
+    rows = rows.withColumn("code", F.sum(F.col("fence").cast("int")).over(upto) % 2 == 1)
+    ends = F.col("fence") | F.col("code") | (F.col("t") == "") | F.col("t").rlike("^(#|\\||<!--)")
+    rows = rows.withColumn("ends", ends).withColumn("before", F.lag(~F.col("ends"), 1, False).over(w))
+    more = ~F.col("ends") & F.col("before") & F.col("raw").rlike("^[ \t]")
+    rows = rows.withColumn("more", more).withColumn("grp", F.sum((~F.col("more")).cast("int")).over(upto)).where(~F.col("ends"))
+    mark = F.regexp_replace(F.regexp_replace("t", "^[-*+] ", ""), "^[0-9]+[.)]\\s+", "")
+    part = F.when(F.col("more"), F.col("t")).otherwise(F.trim(F.regexp_replace(mark, "^>+", "")))
+    items = rows.groupBy("id", "grp").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", part.alias("p")))).alias("ps"))
+    items = items.select("id", "line", F.trim(F.array_join(F.col("ps.p"), " ")).alias("text"))
+    bare = F.length(F.trim(F.regexp_replace("text", "!?\\[[^\\]]*\\]\\([^)]*\\)", "")))
+    items = items.where(F.length("text").between(*MARKDOWN_CHARS) & (bare >= MARKDOWN_CHARS[0]))
     return items.groupBy("id", "text").agg(F.min("line").alias("line")).select("id", "line", "text")
 
 

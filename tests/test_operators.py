@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,12 +22,69 @@ def test_bm25_prefix_and_groups(spark):
     assert got == [(1, 1, 1), (1, 2, 1), (2, 3, 1)]
 
 
-def test_fusion_prefers_exact(spark):
-    mem = spark.createDataFrame([(1, "use the build tool", 0.1, 1), (2, "use the build tool today and tomorrow", 0.9, 9), (3, "other", 0.5, 1)], "id bigint, content string, salience double, last_seen_at bigint")
-    q = spark.createDataFrame([(7, "Use the build tool")], "qid bigint, query string")
-    got = retrieval.fused(mem, q, F.col("salience"), F.lit(True)).orderBy("rank").collect()
-    assert [r.id for r in got] == [1, 2] and got[0].exact == 1
-    assert abs(got[0].score - (got[0].precise + got[0].broad + got[0].fuzzy)) < 1e-12
+def test_precise_hits_come_first(spark):
+    """A text with the whole Han group but far down in score stands before texts that hold parts of it and look alike."""
+    mem = spark.createDataFrame([(1, "活库不能放同步目录里面否则损坏", 0.5, 1), (2, "活库不能放在同步的目录里面", 0.9, 9), (3, "放同步目录" + "其他文字" * 30, 0.1, 1)], "id bigint, content string, salience double, last_seen_at bigint")
+    q = spark.createDataFrame([(7, "放同步目录"), (8, "活库不能放在同步目录里面"), (9, "库")], "qid bigint, query string")
+    got = {}
+    for r in retrieval.fused(mem, q, F.col("salience"), F.lit(True)).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.exact))
+        assert abs(r.score - (r.precise + r.broad + r.fuzzy)) < 1e-12
+    assert [i for i, e in got[7] if e] == [1, 3] and got[7][-1] == (2, 0)
+    assert all(not e for _, e in got[8]) and {i for i, _ in got[8]} == {1, 2, 3}
+    assert got[9] and all(e for _, e in got[9])
+
+
+def slow_bm25(docs, query, words):
+    """BM25 of Latin texts one by one: a query word matches every term it begins."""
+    toks = {i: t.lower().split() for i, t in docs}
+    mean, out = sum(map(len, toks.values())) / len(toks), {}
+    for w in words(query):
+        f = {i: sum(t.startswith(w) for t in ts) for i, ts in toks.items()}
+        n = sum(v > 0 for v in f.values())
+        idf = math.log((len(toks) - n + 0.5) / (n + 0.5))
+        for i, v in f.items():
+            if v:
+                out[i] = out.get(i, 0) - max(idf, 0) * v * 2.2 / (v + 1.2 * (0.25 + 0.75 * len(toks[i]) / mean)) - (1e-6 * v * 2.2 / (v + 1.2 * (0.25 + 0.75 * len(toks[i]) / mean)) if idf <= 0 else 0)
+    return out
+
+
+def test_ranked_equals_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 4)))
+    docs = [(i, " ".join(word() for _ in range(r.randrange(0, 40)))) for i in range(300)]
+    asked = [(i, " ".join(word() for _ in range(r.randrange(1, 6)))) for i in range(12)]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    df, q = spark.createDataFrame(docs, "id bigint, content string").repartition(3), spark.createDataFrame(asked, "qid bigint, query string")
+    got = {}
+    for h in retrieval.top(retrieval.ranked(df, q, 7), 7, F.col("bm25"), F.col("id")).collect():
+        got.setdefault(h.qid, []).append((h.rank, h.id, h.bm25))
+    for i, text in asked:
+        want = sorted((round(s, 9), d) for d, s in slow_bm25(docs, text, str.split).items())[:7]
+        assert [(a, b) for _, a, b in sorted(got.get(i, []))] == [(d, pytest.approx(s, abs=2e-9)) for s, d in want]
+    assert retrieval.bm25(df.where("false"), q).count() == 0 and retrieval.bm25(df, q.where("false")).count() == 0
+
+
+def test_scopes(spark):
+    mem = spark.createDataFrame([(1, "p"), (2, ""), (3, "q")], "id bigint, project string")
+    got = {s: sorted(r.id for r in mem.where(retrieval.in_scope(s, "p")).collect()) for s in ("current", "global", "project", "all", "", "odd")}
+    assert got == {"current": [1, 2], "global": [2], "project": [1], "all": [1, 2, 3], "": [1], "odd": [1, 2, 3]}
+    assert mem.where(retrieval.in_scope("", "")).count() == 3
+
+
+def test_layers(spark):
+    assert [retrieval.canonical_layer(x) for x in ("", " Memory", "recent", "ALL")] == ["memory", "memory", "observation", "both"]
+    with pytest.raises(ValueError):
+        retrieval.canonical_layer("edges")
+    mem = spark.createDataFrame([(1, "build tool", 0.5, 1, "p"), (2, "build", 0.9, 9, "p")], "id bigint, content string, salience double, last_seen_at bigint, project string")
+    obs = spark.createDataFrame([(11, "ran the build", "tool-use", "grep", 5, "p"), (12, "build again", "stop", "", 6, "q")], "id bigint, summary string, event string, tool_name string, created_at bigint, project string")
+    q = spark.createDataFrame([(7, "build")], "qid bigint, query string")
+    run = lambda layer, **k: [(r.id, r.layer) for r in retrieval.search(layer, mem, obs, q, F.col("salience"), F.lit(True), **k).orderBy("rank").collect()]
+    assert run("memory") == [(2, "memory"), (1, "memory")] and {i for i, _ in run("recent")} == {11, 12}
+    assert [x for _, x in run("both")] == ["memory", "observation", "memory", "observation"] and [i for i, _ in run("recent", scope="project", project="p")] == [11]
+    assert [r.kind for r in retrieval.observation_search(obs, q, scope="project", project="p").collect()] == ["grep"]
+    with pytest.raises(ValueError):
+        retrieval.observation_search(obs, q, kind="fact")
 
 
 def test_near_pairs_equal_brute_force(spark):
