@@ -25,17 +25,40 @@ def support(content: Column, query: Column, subject: Column) -> Column:
     return worth(all_ids, IDENTIFIER) + worth(T.wants_deep(query), DEEP) + worth(F.coalesce(subject, F.lit(False)), SUBJECT) + multi + F.when(F.col("precise") > 0, PRECISE).when(weak, BROAD_ONLY).otherwise(0.0)
 
 
-def line(content: Column, kind: Column, id_: Column, project: Column, weak: Column) -> Column:
+def overfetch(limit: int) -> int:
+    """How many hits a search fetches to choose ``limit`` from: 24 for up to six, else four times as many."""
+    return max(24, 4 * limit) if limit <= 6 else 4 * limit
+
+
+def fallback_provenance(project: Column, precise: Column | None = None, broad: Column | None = None, fuzzy: Column | None = None) -> Column:
+    """Where a hit without evidence comes from: the letters of its routes (p+b+f), else its scope."""
     where = F.when(project == "", "global").otherwise(F.concat(F.lit("project:"), project))
-    return F.concat(F.lit("- ["), kind, F.lit("] mem:"), F.substring(id_.cast("string"), 1, 8), F.lit(" "), T.one_line(content, CONTENT_CHARS), F.when(weak, "（弱相关）").otherwise(""), F.lit(" · "), where, F.lit("\n"))
+    if precise is None:
+        return where
+    routes = F.array_join(F.array_compact(F.array(F.when(precise > 0, "p"), F.when(broad > 0, "b"), F.when(fuzzy > 0, "f"))), "+")
+    return F.when(routes != "", routes).otherwise(where)
+
+
+def signals_json(precise: Column, broad: Column, fuzzy: Column) -> Column:
+    """The routes' contributions as JSON; those of 0 are left out."""
+    some = lambda c, name: F.when(c != 0, c).alias(name)
+    return F.to_json(F.struct(some(precise, "precise"), some(broad, "broad"), some(fuzzy, "fuzzy")))
+
+
+def line(content: Column, kind: Column, id_: Column, where: Column, weak: Column) -> Column:
+    where = F.when(F.trim(where) != "", F.concat(F.lit(" · "), where)).otherwise("")
+    return F.concat(F.lit("- ["), kind, F.lit("] mem:"), F.substring(id_.cast("string"), 1, 8), F.lit(" "), T.one_line(content, CONTENT_CHARS), F.when(weak, "（弱相关）").otherwise(""), where, F.lit("\n"))
 
 
 def supply(hits: DataFrame, limit: int = LIMIT, budget: int = BUDGET_CHARS, scope: str = "current") -> DataFrame:
     """The trace: every pooled hit with score, drop_reason ('' if chosen), injection_rank (0 if not) and its line; and skipped queries as one row.
 
-    hits: qid, query, q_project, id, rank, score, content, kind, project, precise, broad, fuzzy, subject, noted. A query has at most a pool of hits,
-    so its choice is an ordered fold over them.
+    hits: qid, query, q_project, id, rank, score, content, kind, project, precise, broad, fuzzy, subject, noted and, where evidence is known, provenance (its line, else null). A query
+    has at most a pool of hits, so its choice is an ordered fold over them.
     """
+    known = F.col("provenance") if "provenance" in hits.columns else F.lit(None).cast("string")
+    prov = F.coalesce(F.when(F.trim(known) != "", known), fallback_provenance(F.col("project"), F.col("precise"), F.col("broad"), F.col("fuzzy")))
+    hits = hits.withColumn("provenance", prov)
     h = hits.withColumn("gate", T.query_gate(F.col("query"))).withColumn("support", support(F.col("content"), F.col("query"), F.col("subject")))
     cls = F.when(F.col("project") == "", "global").when(F.col("project") == F.col("q_project"), "project").otherwise("cross")
     h = h.withColumn("cls", cls).withColumn("norm", T.normalize(F.col("content")))
@@ -46,7 +69,7 @@ def supply(hits: DataFrame, limit: int = LIMIT, budget: int = BUDGET_CHARS, scop
     seen = F.max(ok.cast("int")).over(Window.partitionBy("qid", "norm").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, -1))
     h = h.withColumn("drop", F.coalesce(F.col("early"), F.when(F.coalesce(seen, F.lit(0)) == 1, "duplicate_content"), F.when(F.col("foreign"), "cross_project"), F.lit("")))
     weak = (F.col("broad") > 0) & (F.col("precise") == 0) & (F.col("fuzzy") == 0)
-    h = h.withColumn("line", line(F.col("content"), F.col("kind"), F.col("id"), F.col("project"), weak)).withColumn("cost", F.length("line"))
+    h = h.withColumn("line", line(F.col("content"), F.col("kind"), F.col("id"), F.col("provenance"), weak)).withColumn("cost", F.length("line"))
     row = F.struct((-F.col("support")).alias("s"), (-F.col("score")).alias("f"), "rank", "id", "cls", "cost")
     pool = h.where("drop = ''").groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("pool"))
     got = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(0).alias("globals"), F.array().cast("array<struct<id:bigint,place:int,why:string>>").alias("out"))
@@ -60,14 +83,36 @@ def supply(hits: DataFrame, limit: int = LIMIT, budget: int = BUDGET_CHARS, scop
 
     chosen = pool.select("qid", F.explode(F.aggregate("pool", got, step)["out"]).alias("o")).select("qid", "o.*")
     out = h.join(chosen, ["qid", "id"], "left")
-    return out.select("qid", "id", "rank", F.col("support").alias("support"), F.coalesce(F.when(F.col("drop") != "", F.col("drop")), F.col("why"), F.lit("")).alias("drop_reason"), F.coalesce("place", F.lit(0)).alias("injection_rank"), "line")
+    return out.select("qid", "id", "rank", F.col("support").alias("support"), F.coalesce(F.when(F.col("drop") != "", F.col("drop")), F.col("why"), F.lit("")).alias("drop_reason"), F.coalesce("place", F.lit(0)).alias("injection_rank"), "provenance", "line")
 
 
-def outcomes(trace: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, outcome): injected, abstained_low_quality, abstained_no_hit or skipped_gate."""
+def outcomes(trace: DataFrame, queries: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(qid, outcome): injected, abstained_low_quality, abstained_no_hit or skipped_gate; error for the queries in ``failed`` (qid), whose search broke."""
     t = trace.groupBy("qid").agg(F.max("injection_rank").alias("n"))
     gate = T.query_gate(F.col("query"))
-    return queries.join(t, "qid", "left").select("qid", F.when(gate != "run", "skipped_gate").when(F.col("n").isNull(), "abstained_no_hit").when(F.col("n") > 0, "injected").otherwise("abstained_low_quality").alias("outcome"))
+    out = queries.join(t, "qid", "left").withColumn("gate", gate)
+    broken = F.lit(False)
+    if failed is not None:
+        out, broken = out.join(failed.select("qid", F.lit(True).alias("broken")).distinct(), "qid", "left"), F.coalesce("broken", F.lit(False))
+    return out.select("qid", F.when(F.col("gate") != "run", "skipped_gate").when(broken, "error").when(F.col("n").isNull(), "abstained_no_hit").when(F.col("n") > 0, "injected").otherwise("abstained_low_quality").alias("outcome"))
+
+
+def traces(trace: DataFrame, queries: DataFrame) -> DataFrame:
+    """The head of each query's trace: (qid, raw_hits, qualified, injected, outcome)."""
+    n = trace.groupBy("qid").agg(F.count("*").alias("raw_hits"), F.count_if(F.col("drop_reason").isin("", "limit", "scope_quota", "budget")).alias("qualified"), F.count_if(F.col("injection_rank") > 0).alias("injected"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return outcomes(trace, queries).join(n, "qid", "left").select("qid", zero("raw_hits"), zero("qualified"), zero("injected"), "outcome")
+
+
+def metrics(trace: DataFrame, expected: DataFrame) -> DataFrame:
+    """(supply_rate, precision, abstain_rate): of queries that have something relevant, the share that got some of it; of injected hits, the share that is relevant; of the other queries,
+    the share that got nothing. expected: qid, and id of a relevant memory, or null where there is none."""
+    got = trace.where("injection_rank > 0").select("qid", "id")
+    want = expected.where("id is not null").select("qid", "id").distinct()
+    good = got.join(want, ["qid", "id"]).groupBy("qid").agg(F.count("*").alias("good"))
+    per = expected.groupBy("qid").agg(F.count("id").alias("n")).join(got.groupBy("qid").agg(F.count("*").alias("injected")), "qid", "left").join(good, "qid", "left")
+    has = F.col("n") > 0
+    return per.agg(F.avg(F.when(has, (F.coalesce("good", F.lit(0)) > 0).cast("double"))).alias("supply_rate"), (F.sum("good") / F.sum("injected")).alias("precision"), F.avg(F.when(~has, F.col("injected").isNull().cast("double"))).alias("abstain_rate"))
 
 
 def notes(mem: DataFrame, budget: int = 2048) -> DataFrame:

@@ -49,10 +49,14 @@ def content_hash_dedup(spark, d):
     return m.groupBy("content_hash", "project").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("salience").alias("salience"))
 
 
-def _scrub_sql() -> str:
-    c = "coalesce(text, '')"
+def _scrubbed(c: str) -> str:
     for p, to in T.SCRUB:
         c = f"regexp_replace({c}, '{p}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return c
+
+
+def _scrub_sql() -> str:
+    c = _scrubbed("coalesce(text, '')")
     return f"SELECT doc_id, md5({c}) AS scrubbed_md5, length({c}) AS n FROM documents"
 
 
@@ -513,14 +517,40 @@ def _trace(spark, d) -> DataFrame:
     return supply.supply(hits.withColumn("q_project", F.lit("src1")).withColumn("noted", (F.col("kind") == "rule") & (F.col("id") % 4 == 0)))
 
 
-@query()
+_IDENT = "regexp_matches({low}, '(^|[^A-Za-z0-9_])' || regexp_escape(t) || '($|[^A-Za-z0-9_])')"
+_TRACE = {
+    **fused(24),
+    **_ANALYSIS,
+    "ids_terms": "SELECT i.qid, list_distinct(ids) AS ids, list_distinct(ts) AS ts FROM asked_ident i JOIN asked_terms USING (qid)",
+    "subjects": "SELECT DISTINCT kind, project FROM memories WHERE adopted_count > 3",
+    "pooled": "SELECT f.qid, f.id, f.rank, f.score, f.precise AS rp, f.broad AS rb, f.fuzzy AS rf, m.content, lower(m.content) AS low_text, m.kind, m.project, s.kind IS NOT NULL AS subject, m.kind = 'rule' AND m.id % 4 = 0 AS noted, ids, ts, regexp_matches(g.query, '" + "|".join(T.DEEP) + "') AS deep, g.gate FROM fused f JOIN memories m USING (id) JOIN ids_terms USING (qid) JOIN gates g ON g.qid = f.qid LEFT JOIN subjects s ON s.kind = m.kind AND s.project = m.project",
+    "covered": "SELECT qid, id, count(*) FILTER (what = 'i' AND has) AS got_ids, count(*) FILTER (what = 't' AND has) AS got_terms FROM (SELECT qid, id, what, CASE WHEN what = 'i' OR regexp_matches(t, '[A-Za-z]') THEN " + _IDENT.format(low="low_text") + " ELSE contains(low_text, t) END AS has FROM (SELECT qid, id, low_text, 'i' AS what, unnest(ids) AS t FROM pooled UNION ALL SELECT qid, id, low_text, 't', unnest(ts) FROM pooled)) GROUP BY qid, id",
+    "supported": f"SELECT p.*, CASE WHEN len(ids) > 0 AND got_ids = len(ids) THEN 3.0 ELSE 0 END + CASE WHEN deep THEN 3.0 ELSE 0 END + CASE WHEN subject THEN 1.5 ELSE 0 END + CASE WHEN (rp > 0)::INT + (rb > 0)::INT + (rf > 0)::INT >= 2 THEN 2.0 + 0.25 * ((rp > 0)::INT + (rb > 0)::INT + (rf > 0)::INT - 2) ELSE 0 END + CASE WHEN rp > 0 THEN 1.0 WHEN rb > 0 AND rf = 0 AND got_terms >= 3 AND got_terms * 3 >= len(ts) THEN 0.5 ELSE 0 END AS support, {NORM.replace('content', 'p.content')} AS norm, concat_ws('+', CASE WHEN rp > 0 THEN 'p' END, CASE WHEN rb > 0 THEN 'b' END, CASE WHEN rf > 0 THEN 'f' END) AS letters, trim(regexp_replace(p.content, '\\s+', ' ', 'g')) AS flat FROM pooled p LEFT JOIN covered c ON c.qid = p.qid AND c.id = p.id",
+    "judged": "SELECT *, CASE WHEN gate <> 'run' THEN 'gate' WHEN support <= 0 THEN 'unsupported' WHEN noted THEN 'notes' END AS early, project NOT IN ('', 'src1') AS alien, '- [' || kind || '] mem:' || substr(id::VARCHAR, 1, 8) || ' ' || CASE WHEN length(flat) > 120 THEN substr(flat, 1, 120) || '…' ELSE flat END || CASE WHEN rb > 0 AND rp = 0 AND rf = 0 THEN '（弱相关）' ELSE '' END || ' · ' || letters || chr(10) AS line FROM supported",
+    "dropped": "SELECT *, coalesce(early, CASE WHEN coalesce(max((early IS NULL AND NOT alien)::INT) OVER (PARTITION BY qid, norm ORDER BY rank, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'duplicate_content' WHEN alien THEN 'cross_project' ELSE '' END) AS dropped_for FROM judged",
+    "ordered": "SELECT qid, id, project = '' AS everywhere, length(line) AS cost, row_number() OVER (PARTITION BY qid ORDER BY support DESC, score DESC, rank, id) AS i FROM dropped WHERE dropped_for = ''",
+    "walk(qid, i, id, n, used, globals, place, why)": "SELECT DISTINCT qid, 0::BIGINT, NULL::BIGINT, 0, 0::BIGINT, 0, 0, '' FROM ordered UNION ALL SELECT o.qid, o.i, o.id, w.n + fits::INT, w.used + CASE WHEN fits THEN o.cost ELSE 0 END, w.globals + (fits AND o.everywhere)::INT, CASE WHEN fits THEN w.n + 1 ELSE 0 END, CASE WHEN w.n >= 3 THEN 'limit' WHEN o.everywhere AND w.globals >= 1 THEN 'scope_quota' WHEN w.used + o.cost > 1200 THEN 'budget' ELSE '' END FROM walk w JOIN ordered o ON o.qid = w.qid AND o.i = w.i + 1, LATERAL (SELECT w.n < 3 AND NOT (o.everywhere AND w.globals >= 1) AND w.used + o.cost <= 1200 AS fits)",
+    "chosen": "SELECT d.qid, d.id, d.rank, support::DOUBLE AS support, CASE WHEN dropped_for <> '' THEN dropped_for ELSE why END AS drop_reason, coalesce(place, 0)::INTEGER AS injection_rank, letters AS provenance FROM dropped d LEFT JOIN walk w ON w.qid = d.qid AND w.id = d.id",
+    "counted": "SELECT qid, count(*) AS raw_hits, count(*) FILTER (drop_reason IN ('', 'limit', 'scope_quota', 'budget')) AS qualified, count(*) FILTER (injection_rank > 0) AS injected FROM chosen GROUP BY qid",
+}
+
+
+@query("SELECT * FROM chosen", recursive=True, **_TRACE)
 def supply_selection(spark, d):
     return _trace(spark, d).drop("line")
 
 
-@query()
+@query("SELECT g.qid, coalesce(raw_hits, 0) AS raw_hits, coalesce(qualified, 0) AS qualified, coalesce(injected, 0) AS injected, CASE WHEN gate <> 'run' THEN 'skipped_gate' WHEN raw_hits IS NULL THEN 'abstained_no_hit' WHEN injected > 0 THEN 'injected' ELSE 'abstained_low_quality' END AS outcome FROM gates g LEFT JOIN counted c USING (qid)", recursive=True, **_TRACE)
 def supply_outcomes(spark, d):
-    return supply.outcomes(_trace(spark, d), _questions(spark, d))
+    return supply.traces(_trace(spark, d), _questions(spark, d))
+
+
+@query("SELECT round(avg((coalesce(good, 0) > 0)::INT) FILTER (n > 0), 9) AS supply_rate, round(sum(good) / sum(injected), 9) AS precision, round(avg((injected IS NULL)::INT) FILTER (n = 0), 9) AS abstain_rate FROM (SELECT w.qid, count(w.id) AS n, any_value(i.injected) AS injected, any_value(i.good) AS good FROM wanted w LEFT JOIN (SELECT c.qid, count(*) AS injected, count(x.id) AS good FROM chosen c LEFT JOIN wanted x ON x.qid = c.qid AND x.id = c.id WHERE injection_rank > 0 GROUP BY c.qid) i ON i.qid = w.qid GROUP BY w.qid)", recursive=True, wanted="SELECT qid, CASE WHEN qid % 3 > 0 THEN id END AS id FROM q JOIN memories ON contains(content, query) OR id % 7 = qid % 7", **_TRACE)
+def supply_metrics(spark, d):
+    q, m = _questions(spark, d), memories(spark, d)
+    wanted = m.join(F.broadcast(q), F.contains("content", "query") | (F.col("id") % 7 == F.col("qid") % 7)).select("qid", F.when(F.col("qid") % 3 > 0, F.col("id")).alias("id"))
+    out = supply.metrics(_trace(spark, d), wanted)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 @query("SELECT project, content, id, length(content) + 1 AS cost FROM (SELECT *, sum(length(content) + 1) OVER (ORDER BY project, content, id ROWS UNBOUNDED PRECEDING) AS total FROM memories WHERE kind = 'rule' OR (project = '' AND salience >= 0.8)) WHERE total <= 2048")
@@ -603,7 +633,7 @@ def _items(m: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, action, reasons, coalesce(h, sha256('')) AS evidence_hash, sha256(id || '|' || (id % 3) || '|' || action || '|' || coalesce(h, sha256(''))) AS idempotency_key FROM (SELECT *, split_part(v, ':', 1) AS action, split_part(v, ':', 2) AS reasons FROM (SELECT m.id, h, CASE
+    f"""SELECT id, action, reasons, coalesce(h, sha256('')) AS evidence_hash, sha256(id || '|' || (id % 3) || '|' || action || '|' || coalesce(h, sha256(''))) AS idempotency_key FROM (SELECT *, split_part(v, ':', 1) AS action, split_part(v, ':', 2) AS reasons FROM (SELECT m.id, h, CASE WHEN m.id % 31 = 5 THEN 'conflict:conflict'
  WHEN kind IN ('decision', 'preference', 'rule') THEN 'human_accept:manual_kind' WHEN m.id % 23 = 0 THEN 'human_accept:global_scope' WHEN kind = 'fact' AND project = '' THEN 'human_accept:project_missing' WHEN kind = 'fact' AND da THEN 'auto_commit:auto_eligible'
  WHEN kind = 'fact' AND n IS NULL THEN 'defer:missing_evidence' WHEN kind = 'fact' AND NOT di THEN 'defer:missing_direct_evidence' WHEN kind = 'fact' THEN 'defer:grade_below_a'
  WHEN kind = 'pitfall' AND NOT coalesce(er, false) AND NOT coalesce(re, false) THEN 'defer:pitfall_missing_error,pitfall_missing_resolution' WHEN kind = 'pitfall' AND NOT er THEN 'defer:pitfall_missing_error' WHEN kind = 'pitfall' AND NOT re THEN 'defer:pitfall_missing_resolution'
@@ -616,13 +646,27 @@ def _items(m: DataFrame) -> DataFrame:
 def commit_matrix(spark, d):
     m = memories(spark, d)
     state = F.when(F.col("id") % 4 == 0, "done").when(F.col("id") % 4 == 1, "blocked").when(F.col("id") % 4 == 2, "next").otherwise("halfway")
-    c = m.select("id", (F.col("id") % 3).alias("revision"), "kind", F.when(F.col("id") % 23 == 0, "global").otherwise("project").alias("scope"), "project", state.alias("task_state"))
+    c = m.select("id", (F.col("id") % 3).alias("revision"), "kind", F.when(F.col("id") % 23 == 0, "global").otherwise("project").alias("scope"), "project", state.alias("task_state"), F.when(F.col("id") % 31 == 5, " Conflict").otherwise("").alias("review_class"))
     return evidence.commit_matrix(c, _items(m))
 
 
-@query(f"SELECT memory_id, substr('证据' || n || '条·' || g || '级·' || tok || CASE WHEN n > 1 THEN '+' || (n - 1) ELSE '' END, 1, 40) AS line FROM (SELECT candidate_id AS memory_id, count(*) AS n, min({_GRADE}) AS g, arg_min(CASE WHEN event_uid <> '' THEN event_uid ELSE evidence_id END, candidate_id + seq) AS tok FROM items GROUP BY 1)", items=_ITEMS)
+_LINKS = f"SELECT candidate_id AS memory_id, evidence_id AS link_id, CASE WHEN event_uid = '' THEN '' ELSE 'evt_' || event_uid END AS event_uid, archive, CASE WHEN (candidate_id + seq) % 7 = 0 THEN '' ELSE 'file' || (seq % 2) || '.gz' END AS locator, {_GRADE} AS grade, candidate_id + seq AS occurred_at, seq FROM items"
+_BARE = "CASE WHEN trim({c}) <> '' THEN substr(regexp_replace(trim({c}), '^(evt_)?(ev_)?', ''), 1, 8) END"
+
+
+@query(
+    "SELECT memory_id, substr('证据' || count(*) || '条·' || min(grade) || '级' || coalesce('·' || arg_min(token, spot) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END, ''), 1, 40) AS line FROM pieces GROUP BY memory_id",
+    items=_ITEMS, evidence_links=_LINKS,
+    pieces=f"SELECT memory_id, key, min(spot) AS spot, arg_min(grade, spot) AS grade, arg_min(token, spot) AS token FROM (SELECT memory_id, grade, {{'o': occurred_at, 's': seq, 'e': event_uid}} AS spot, CASE WHEN event_uid <> '' THEN 'e:' || event_uid WHEN archive <> '' THEN 'a:' || archive WHEN locator <> '' THEN 'r:' || locator ELSE 'idx:' || link_id END AS key, coalesce({_BARE.format(c='event_uid')}, {_BARE.format(c='archive')}, {_BARE.format(c='locator')}) AS token FROM evidence_links) GROUP BY memory_id, key",
+)
 def evidence_provenance(spark, d):
-    return evidence.provenance(_items(memories(spark, d)).withColumnRenamed("candidate_id", "memory_id"))
+    return evidence.provenance(_evidence_links(memories(spark, d)))
+
+
+def _evidence_links(m: DataFrame) -> DataFrame:
+    uid = F.when(F.col("event_uid") == "", "").otherwise(F.concat(F.lit("evt_"), F.col("event_uid")))
+    locator = F.when(F.col("occurred_at") % 7 == 0, "").otherwise(F.concat(F.lit("file"), (F.col("seq") % 2).cast("string"), F.lit(".gz")))
+    return _items(m).select(F.col("candidate_id").alias("memory_id"), F.col("evidence_id").alias("link_id"), uid.alias("event_uid"), "archive", locator.alias("locator"), evidence.grade(uid, F.col("archive")).alias("grade"), "occurred_at", "seq")
 
 
 @query("SELECT o.session_id, max(created_at) AS newest, count(*) AS n FROM observations o LEFT JOIN (SELECT session_id, max(created_at) - 10 + session_id % 25 AS done FROM observations WHERE session_id % 3 <> 0 GROUP BY session_id) r ON o.session_id = r.session_id GROUP BY o.session_id, done HAVING max(created_at) > coalesce(done, 0)")
@@ -635,11 +679,19 @@ def sessions_needing_distill(spark, d):
 # ---- extraction and sources ------------------------------------------------------------------------
 
 
-@query("SELECT session_id, min(seq) AS seq, kind, content, 0.6::DOUBLE AS salience FROM (SELECT conv_id AS session_id, turn AS seq, CASE WHEN regexp_matches(text, '踩坑|报错|失败|坑了|不要再|(?i:\\berror\\b)') THEN 'pitfall' WHEN regexp_matches(text, '决策|决定|定为|之所以|拍板') THEN 'decision' WHEN regexp_matches(text, '偏好|默认|禁用|优先用|不要用') THEN 'preference' WHEN regexp_matches(text, '待办|还剩|下次|做到哪|(?i:\\bTODO\\b)') THEN 'task' END AS kind, CASE WHEN length(f) > 240 THEN substr(f, 1, 240) || '…' ELSE f END AS content FROM (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 1 THEN 'TODO ' || coalesce(text, '') WHEN turn % 5 = 2 THEN '决定 ' || coalesce(text, '') ELSE coalesce(text, '') END AS text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 1 THEN 'TODO ' || coalesce(text, '') WHEN turn % 5 = 2 THEN '决定 ' || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM conversations)) WHERE role IN ('user', 'assistant') AND trim(text) <> '') WHERE kind IS NOT NULL GROUP BY ALL".replace("SELECT conv_id, turn, role, CASE WHEN turn % 5 = 1 THEN 'TODO ' || coalesce(text, '') WHEN turn % 5 = 2 THEN '决定 ' || coalesce(text, '') ELSE coalesce(text, '') END AS text, trim", "SELECT conv_id, turn, role, text, trim"))
+_MARKED = "SELECT conv_id AS session_id, turn AS seq, role, CASE turn % 5 WHEN 1 THEN 'TODO ' WHEN 2 THEN '决定 ' WHEN 3 THEN '偏好 ' ELSE '' END || coalesce(text, '') AS text FROM conversations"
+
+
+@query(
+    "SELECT session_id, seq, kind, content, 0.6::DOUBLE AS salience FROM (SELECT *, row_number() OVER (PARTITION BY kind, content ORDER BY session_id, seq) AS r FROM found WHERE kind IS NOT NULL AND NOT (kind = 'preference' AND role = 'assistant')) WHERE r = 1",
+    marked=_MARKED,
+    found="SELECT session_id, seq, role, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240) AS content, CASE WHEN regexp_matches(text, '踩坑|报错|失败|坑了|不要再|(?i:\\berror\\b)') THEN 'pitfall' WHEN regexp_matches(text, '决策|决定|定为|之所以|拍板') THEN 'decision' WHEN regexp_matches(text, '偏好|默认|禁用|优先用|不要用') THEN 'preference' WHEN regexp_matches(text, '待办|还剩|下次|做到哪|(?i:\\bTODO\\b)') THEN 'task' END AS kind FROM marked WHERE role IN ('user', 'assistant') AND trim(text) <> ''",
+)
 def rule_distill(spark, d):
-    text = F.coalesce("text", F.lit(""))
-    marked = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("TODO "), text)).when(F.col("turn") % 5 == 2, F.concat(F.lit("决定 "), text)).otherwise(text)
-    return extraction.rule_distill(table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", marked.alias("summary")))
+    n = F.col("turn") % 5
+    mark = F.when(n == 1, "TODO ").when(n == 2, "决定 ").when(n == 3, "偏好 ").otherwise("")
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.concat(mark, F.coalesce("text", F.lit(""))).alias("summary"))
+    return extraction.rule_distill(turns)
 
 
 @query("SELECT conv_id AS source_id, turn AS seq, 'text' AS kind, role, 'u' || conv_id || '-' || turn AS uid, trim(coalesce(text, ''), ' ') AS text FROM conversations")
@@ -650,17 +702,50 @@ def transcript_parse(spark, d):
     return readers.parse_transcript(c.select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), line.alias("value"))).select("source_id", "seq", "kind", "role", "uid", "text")
 
 
-@query()
+_FOLD_SUMMARY = "trim(regexp_replace(summary, '\\s+', ' ', 'g'))"
+_REFS = "SELECT conv_id AS bundle_id, turn AS ordinal, CASE role WHEN 'user' THEN 'user-prompt' WHEN 'assistant' THEN 'assistant-text' ELSE 'note' END AS event_type, coalesce(text, '') AS summary, turn % 4 <> 3 AS ok, CASE turn % 7 WHEN 0 THEN 'full' WHEN 1 THEN '' WHEN 2 THEN 'pointer' ELSE 'summary' END AS fidelity FROM conversations"
+
+
+@query(
+    "SELECT r.bundle_id, md5($HEAD || coalesce(p.sections, '')) AS prompt_md5, length(coalesce(p.sections, '')) AS n FROM (SELECT DISTINCT bundle_id FROM refs) r LEFT JOIN (SELECT bundle_id, string_agg('=== ' || ['USER', 'ASSISTANT', 'OTHER'][place + 1] || ' ===' || chr(10) || body_lines || chr(10), '' ORDER BY place) AS sections FROM sections GROUP BY bundle_id) p USING (bundle_id)".replace("$HEAD", "'" + extraction.HEADER.replace("'", "''") + "'"),
+    refs=_REFS,
+    bodies=f"SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY ordinal) AS n, {_scrubbed(_FOLD_SUMMARY)} AS flat, CASE event_type WHEN 'user-prompt' THEN 0 WHEN 'assistant-text' THEN 1 ELSE 2 END AS place FROM refs",
+    shown="SELECT *, CASE WHEN length(flat) > 400 THEN substr(flat, 1, 399) || '…' ELSE flat END AS body FROM bodies WHERE ok AND fidelity IN ('full', 'summary', '')",
+    once="SELECT *, row_number() OVER (PARTITION BY bundle_id, place, body ORDER BY n) AS again FROM shown",
+    sections="SELECT bundle_id, place, string_agg('[' || n || '] (' || event_type || '/' || bundle_id || ') ' || body || chr(10), '' ORDER BY n) AS body_lines FROM once WHERE again = 1 GROUP BY bundle_id, place",
+)
 def session_prompts(spark, d):
-    return extraction.prompt(table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("summary")))
+    role = F.when(F.col("role") == "user", "user-prompt").when(F.col("role") == "assistant", "assistant-text").otherwise("note")
+    n = F.col("turn") % 7
+    fidelity = F.when(n == 0, "full").when(n == 1, "").when(n == 2, "pointer").otherwise("summary")
+    refs = table(spark, d, "conversations").select(F.col("conv_id").alias("bundle_id"), F.col("turn").alias("ordinal"), role.alias("event_type"), F.col("conv_id").alias("session_id"), F.coalesce("text", F.lit("")).alias("summary"), (F.col("turn") % 4 != 3).alias("proposal_eligible"), fidelity.alias("fidelity"))
+    return extraction.prompt(refs).select("bundle_id", F.md5("prompt").alias("prompt_md5"), (F.length("prompt") - len(extraction.HEADER)).cast("bigint").alias("n"))
+
+
+_MD_HEAD, _MD_TAIL = "# Title\n- first\titem ", "\n  goes on here\n1. second [link](http://x) of the list\n```\ncode line that is no item\n```\n  indented after a fence\n> quoted line of text\n| a | table line |\n<!-- a comment line -->\n---------\n[only](http://a/link/that/is/long)\n- first\titem"
+_SQL_TEXT = lambda t: " || chr(10) || ".join("'" + x.replace("'", "''").replace("\t", "' || chr(9) || '") + "'" for x in t.split("\n"))
+_MD = {
+    "md": f"SELECT id, {_SQL_TEXT(_MD_HEAD)} || content || {_SQL_TEXT(_MD_TAIL)} AS text FROM memories",
+    "md_lines": "SELECT id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line FROM (SELECT id, string_split(text, chr(10)) AS ls FROM md)",
+    "md_cut": "SELECT id, line, raw, regexp_replace(regexp_replace(raw, '^[\\s\\x{85}\\x{A0}\\x{3000}]+', ''), '[\\s\\x{85}\\x{A0}\\x{3000}]+$', '') AS t FROM md_lines",
+    "md_fence": "SELECT *, regexp_matches(t, '^(```|~~~)') AS fence, sum(regexp_matches(t, '^(```|~~~)')::INT) OVER (PARTITION BY id ORDER BY line) % 2 = 1 AS code FROM md_cut",
+    "md_ends": "SELECT *, fence OR code OR t = '' OR regexp_matches(t, '^(#|\\||<!--)') AS ends FROM md_fence",
+    "md_more": "SELECT *, NOT ends AND coalesce(lag(NOT ends) OVER (PARTITION BY id ORDER BY line), false) AND regexp_matches(raw, '^[ \t]') AS more FROM md_ends",
+    "md_group": "SELECT *, sum((NOT more)::INT) OVER (PARTITION BY id ORDER BY line) AS grp FROM md_more",
+    "md_items": "SELECT id, grp, min(line) AS line, trim(string_agg(CASE WHEN more THEN t ELSE trim(regexp_replace(regexp_replace(regexp_replace(t, '^[-*+] ', ''), '^[0-9]+[.)]\\s+', ''), '^>+', '')) END, ' ' ORDER BY line)) AS text FROM md_group WHERE NOT ends GROUP BY id, grp",
+}
 
 
-@query()
+@query("SELECT id, min(line)::INTEGER AS line, text FROM md_items WHERE length(text) BETWEEN 8 AND 500 AND length(trim(regexp_replace(text, '!?\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'))) >= 8 GROUP BY id, text", **_MD)
 def markdown_ingest(spark, d):
-    return readers.markdown_items(memories(spark, d).select("id", F.col("content").alias("text")))
+    return readers.markdown_items(_markdown(memories(spark, d)))
+
+
+def _markdown(m: DataFrame) -> DataFrame:
+    return m.select("id", F.concat(F.lit(_MD_HEAD), F.col("content"), F.lit(_MD_TAIL)).alias("text"))
 
 
-@query()
+@query("SELECT id, CASE WHEN count(v) = 0 THEN NULL ELSE sha256(string_agg(v::VARCHAR, ',' ORDER BY k)) END AS sig_hash FROM memories LEFT JOIN sig_m USING (id) GROUP BY id")
 def minhash_signatures(spark, d):
     s = memories(spark, d).select("id", M.minhash("content").alias("sig"))
     return s.select("id", F.sha2(F.array_join(F.transform("sig", lambda x: x.cast("string")), ","), 256).alias("sig_hash"))
