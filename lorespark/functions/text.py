@@ -130,6 +130,11 @@ def wants_deep(c: Column) -> Column:
     return c.rlike("|".join(DEEP))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+
+
 def fields(c: Column) -> Column:
     """White space runs of any kind as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))

@@ -85,20 +85,44 @@ def grade(uid: Column, archive: Column) -> Column:
     return F.when(have(uid) & have(archive), "A").when(have(uid) | have(archive), "B").otherwise("C")
 
 
+def canonical_role(c: Column) -> Column:
+    """direct, error or resolution; whatever else is context."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(low.isin("direct", "error", "resolution"), low).otherwise("context")
+
+
+def _lines(items: DataFrame) -> tuple[DataFrame, Column]:
+    i = items.withColumn("role", canonical_role(F.col("role"))).withColumn("grade", grade(F.col("event_uid"), F.col("archive")))
+    return i, F.concat_ws("|", "event_uid", "evidence_id", "archive", "grade", "role", F.col("seq").cast("string"))
+
+
+def _hash_of(line: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(line, F.lit("\n")))), ""), 256)
+
+
+def set_hash(items: DataFrame) -> DataFrame:
+    """(candidate_id, evidence_hash): SHA-256 over a candidate's evidence, a line each, in order."""
+    i, line = _lines(items)
+    return i.groupBy("candidate_id").agg(_hash_of(line).alias("evidence_hash"))
+
+
+def key_of(candidate: Column, revision: Column, action: Column, evidence_hash: Column) -> Column:
+    """The idempotency key of a decision."""
+    return F.sha2(F.concat_ws("|", candidate.cast("string"), revision.cast("string"), action, evidence_hash), 256)
+
+
 def commit_matrix(cand: DataFrame, items: DataFrame) -> DataFrame:
     """(id, action, reasons, evidence_hash, idempotency_key) of every candidate.
 
     cand: id, revision, kind, scope, project, task_state and, if there is one, review_class. items: candidate_id, event_uid, evidence_id, archive, role, seq. Links of unknown roles are context.
     """
-    role = F.when(F.lower(F.trim("role")).isin("direct", "error", "resolution"), F.lower(F.trim("role"))).otherwise("context")
-    i = items.withColumn("role", role).withColumn("grade", grade(F.col("event_uid"), F.col("archive")))
-    line = F.concat_ws("|", "event_uid", "evidence_id", "archive", "grade", "role", F.col("seq").cast("string"))
+    i, line = _lines(items)
     strong = F.col("grade").isin("A", "B")
     any_ = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)) == 1
     e = i.groupBy(F.col("candidate_id").alias("id")).agg(
         any_((F.col("role") == "direct") & (F.col("grade") == "A") & (F.trim("event_uid") != "")).alias("direct_a"), any_(F.col("role") == "direct").alias("direct"),
         any_(F.col("role") == "error").alias("error"), any_(F.col("role") == "resolution").alias("resolution"), any_((F.col("role") == "error") & strong).alias("error_b"),
-        any_((F.col("role") == "resolution") & strong).alias("resolution_b"), F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(line, F.lit("\n")))), ""), 256).alias("evidence_hash"),
+        any_((F.col("role") == "resolution") & strong).alias("resolution_b"), F.count("*").alias("n"), _hash_of(line).alias("evidence_hash"),
     )
     c = cand.join(e, "id", "left")
     no = lambda x: ~F.coalesce(F.col(x), F.lit(False))
@@ -124,7 +148,7 @@ def commit_matrix(cand: DataFrame, items: DataFrame) -> DataFrame:
         .otherwise("human_accept:manual_kind,unknown_kind")
     )
     action, h = F.split_part(decide, F.lit(":"), F.lit(1)), F.coalesce("evidence_hash", F.sha2(F.lit(""), 256))
-    key = F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.col("revision").cast("string"), action, h), 256)
+    key = key_of(F.col("id"), F.col("revision"), action, h)
     return c.select("id", action.alias("action"), F.split_part(decide, F.lit(":"), F.lit(2)).alias("reasons"), h.alias("evidence_hash"), key.alias("idempotency_key"))
 
 

@@ -1,4 +1,4 @@
-"""Writes as merges of tables: upsert, retention, import, three-way sync, export. Each returns the new table or the decision per row."""
+"""Writes as merges of tables: upsert, retention, export. Each returns the new table or the decision per row."""
 
 from __future__ import annotations
 
@@ -51,30 +51,6 @@ def gc_candidates(cand: DataFrame, now: int) -> DataFrame:
     return out.where(~((F.col("status") == "accepted") & F.coalesce(F.col("decided_at") < now - 90 * 86400, F.lit(False))))
 
 
-def import_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """One row per (content_hash, project) of both sides: idempotent and independent of order but for what is taken from the local side first.
-
-    kind the least; salience, access_count, updated_at, last_seen_at the most; created_at the least; expires_at null if any is, else the most; content, provenance the local one's.
-    """
-    both = local.withColumn("side", F.lit(0)).unionByName(remote.withColumn("side", F.lit(1)))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("side", "id"))).alias(c)
-    return both.groupBy("content_hash", "project").agg(
-        first("content"), F.min("kind").alias("kind"), *[F.max(c).alias(c) for c in ("salience", "access_count", "updated_at", "last_seen_at")], F.min("created_at").alias("created_at"),
-        F.when(F.count("*") == F.count("expires_at"), F.max("expires_at")).alias("expires_at"),
-    )
-
-
-def sync_merge(local: DataFrame, remote: DataFrame, slack: int = 2) -> DataFrame:
-    """(content_hash, project, verdict, content, salience, access_count): remote (newer by over ``slack`` seconds or alone), local (likewise) or conflict."""
-    r = remote.select("content_hash", "project", *[F.col(c).alias(f"r_{c}") for c in ("content", "salience", "access_count", "updated_at")])
-    j = local.join(r, ["content_hash", "project"], "full_outer")
-    d = F.col("r_updated_at") - F.col("updated_at")
-    verdict = F.when(F.col("updated_at").isNull() | (d > slack), "remote").when(F.col("r_updated_at").isNull() | (d < -slack), "local").otherwise("conflict")
-    content = F.when(verdict == "remote", F.col("r_content")).otherwise(F.col("content"))
-    most = lambda c: F.when((verdict == "local") & F.col("updated_at").isNotNull(), F.col(c)).otherwise(F.greatest(c, f"r_{c}")).alias(c)
-    return j.select("content_hash", "project", verdict.alias("verdict"), content.alias("content"), most("salience"), most("access_count"))
-
-
 def export_records(mem: DataFrame, tags: DataFrame) -> DataFrame:
     """Interchange rows: tags folded to key -> sorted values, the superseding row by (hash, project). Ordered writing is the sink's."""
     folded = tags.groupBy("memory_id", "key").agg(F.array_sort(F.collect_set("value")).alias("v")).groupBy("memory_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v")))).alias("tags"))

@@ -244,16 +244,6 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     return agg(b.where("id % 3 <> 0"), F.max("salience"), F.max("access_count"), F.max("updated_at"), F.min("kind")), agg(b.where("id % 3 <> 1"), F.max("salience") / 2, F.max("access_count") + 1, F.max("updated_at") + F.min("id") % 7 - 3, F.max("kind"))
 
 
-@query("SELECT content_hash, project, arg_min(content, side) AS content, min(kind) AS kind, max(salience) AS salience, max(access_count) AS access_count, max(updated_at) AS updated_at, max(last_seen_at) AS last_seen_at, min(created_at) AS created_at, CASE WHEN count(*) = count(expires_at) THEN max(expires_at) END AS expires_at FROM (SELECT *, 0 AS side FROM loc UNION ALL SELECT *, 1 FROM rem) GROUP BY 1, 2", **_SIDES)
-def import_lattice_merge(spark, d):
-    return lifecycle.import_merge(*_sides(spark, d))
-
-
-@query("SELECT content_hash, project, v AS verdict, CASE WHEN v = 'remote' THEN rc ELSE lc END AS content, CASE WHEN v = 'local' THEN ls ELSE greatest(ls, rs) END AS salience, CASE WHEN v = 'local' THEN la ELSE greatest(la, ra) END AS access_count FROM (SELECT content_hash, project, l.content AS lc, r.content AS rc, l.salience AS ls, r.salience AS rs, l.access_count AS la, r.access_count AS ra, CASE WHEN l.updated_at IS NULL OR r.updated_at - l.updated_at > 2 THEN 'remote' WHEN r.updated_at IS NULL OR r.updated_at - l.updated_at < -2 THEN 'local' ELSE 'conflict' END AS v FROM loc l FULL JOIN rem r USING (content_hash, project))", **_SIDES)
-def sync_three_way(spark, d):
-    return lifecycle.sync_merge(*_sides(spark, d))
-
-
 @query(f"SELECT content_hash, project, coalesce(l.id, r.id) AS id, coalesce(r.content, l.content) AS content, CASE WHEN r.id IS NOT NULL THEN r.expires_at ELSE l.expires_at END AS expires_at, greatest(l.salience, r.salience) AS salience, CASE WHEN r.id IS NULL THEN l.access_count WHEN l.id IS NULL THEN 0 ELSE l.access_count + 1 END AS access_count, CASE WHEN r.id IS NOT NULL THEN {NOW} ELSE l.updated_at END AS updated_at, coalesce(l.kind, r.kind) AS kind FROM loc l FULL JOIN rem r USING (content_hash, project)", **_SIDES)
 def upsert_memories(spark, d):
     loc, rem = (s.withColumns({c: F.lit("") for c in ("channel", "origin_tool", "source", "provenance")}) for s in _sides(spark, d))
@@ -749,3 +739,6 @@ def _markdown(m: DataFrame) -> DataFrame:
 def minhash_signatures(spark, d):
     s = memories(spark, d).select("id", M.minhash("content").alias("sig"))
     return s.select("id", F.sha2(F.array_join(F.transform("sig", lambda x: x.cast("string")), ","), 256).alias("sig_hash"))
+
+
+from . import write_queries  # noqa: E402,F401  (they register themselves)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import minhash as M
-from lorespark.operators import dedup, evaluation, evidence, extraction, lifecycle, retrieval, supply
+from lorespark.operators import dedup, evaluation, evidence, exchange, extraction, retrieval, supply
 from lorespark.sources import readers
 from lorespark.streaming import capture
 
@@ -102,14 +102,44 @@ def test_components_of_a_path(spark):
     assert {r.cluster for r in dedup.components(links).collect()} == {0, 100}
 
 
+MEM = "content_hash string, project string, id bigint, content string, kind string, salience double, access_count bigint, updated_at bigint, last_seen_at bigint, created_at bigint, expires_at bigint, provenance string, channel string, superseded_by bigint"
+
+
+def as_records(mem):
+    return mem.drop("superseded_by").withColumnRenamed("id", "ord").withColumns({"origin_device": F.lit("d"), "tags": F.create_map(F.lit("k"), F.array(F.lit("v"))), "superseded": F.lit(None).cast("struct<hash:string,project:string>")})
+
+
 def test_import_is_idempotent_and_convergent(spark):
-    schema = "content_hash string, project string, id bigint, content string, kind string, salience double, access_count bigint, updated_at bigint, last_seen_at bigint, created_at bigint, expires_at bigint"
-    a = spark.createDataFrame([("h", "p", 1, "x", "fact", 0.5, 3, 10, 10, 5, None), ("g", "p", 2, "y", "task", 0.2, 1, 9, 9, 9, 50)], schema)
-    b = spark.createDataFrame([("h", "p", 3, "x", "decision", 0.7, 2, 12, 11, 4, 99)], schema)
-    keys = ["content_hash", "kind", "salience", "access_count", "updated_at", "created_at", "expires_at"]
-    ab, ba = rows(lifecycle.import_merge(a, b), *keys), rows(lifecycle.import_merge(b, a), *keys)
-    assert ab == ba == [("g", "task", 0.2, 1, 9, 9, 50), ("h", "decision", 0.7, 3, 12, 4, None)]
-    assert rows(lifecycle.import_merge(a, a), *keys) == rows(a, *keys)
+    a = spark.createDataFrame([("h", "p", 1, "x", "fact", 0.5, 3, 10, 10, 5, None, None, "", None), ("g", "p", 2, "y", "task", 0.2, 1, 9, 9, 9, 50, "o", "user", None)], MEM)
+    b = spark.createDataFrame([("h", "p", 3, "x", "decision", 0.7, 2, 12, 11, 4, 99, "q", "agent", None), ("z", "p", 4, " ", "fact", 0.1, 0, 1, 1, 1, None, None, "", None)], MEM)
+    keys = ["content_hash", "kind", "salience", "access_count", "updated_at", "created_at"]
+    new = F.col("ord") + 100
+    go = lambda x, y: exchange.import_records(x, as_records(y), new)
+    assert rows(go(a, b), *keys) == [("g", "task", 0.2, 1, 9, 9), ("h", "decision", 0.7, 3, 12, 4)]
+    first = {r.content_hash: r for r in go(a, b).collect()}
+    assert (first["h"].provenance, first["h"].channel, first["h"].was, first["h"].expires_at, first["g"].was) == ("q", "agent", "merged", None, "kept")
+    again = go(go(a, b).drop("was").select(*a.columns), b)
+    assert rows(again, *keys) == rows(go(a, b), *keys)
+    assert [r for r in rows(go(b, a), *keys) if r[0] != "z"] == rows(go(a, b), *keys)
+    tags = spark.createDataFrame([(1, "k", "old")], "memory_id bigint, key string, value string")
+    assert rows(exchange.merged_tags(tags, go(a, b), as_records(b)), "memory_id", "key", "value") == [(1, "k", "old"), (1, "k", "v")]
+
+
+def test_sync_verdicts(spark):
+    row = lambda h, at, text: (h, "p", ord(h), text, "fact", 0.5, 1, at, at, at, None, None, "", None)
+    a = spark.createDataFrame([row("a", 10, "mine"), row("b", 10, "mine"), row("c", 10, "mine"), row("d", 10, "mine")], MEM)
+    b = spark.createDataFrame([row("a", 13, "far"), row("b", 7, "far"), row("c", 12, "far"), row("e", 1, "far")], MEM)
+    got = {r.content_hash: (r.was, r.content, r.updated_at) for r in exchange.sync_records(a, as_records(b), F.col("ord") + 1000).collect()}
+    assert got == {"a": ("remote", "far", 13), "b": ("local", "mine", 10), "c": ("conflict", "mine", 10), "d": ("kept", "mine", 10), "e": ("inserted", "far", 1)}
+
+
+def test_superseding_refs(spark):
+    a = spark.createDataFrame([("h", "p", 1, "x", "fact", 0.5, 3, 10, 10, 5, None, None, "", None), ("g", "p", 2, "y", "task", 0.2, 1, 9, 9, 9, 50, "o", "user", None)], MEM)
+    r = as_records(a).withColumn("superseded", F.when(F.col("content_hash") == "h", F.struct(F.lit("g").alias("hash"), F.lit("p").alias("project"))).otherwise(F.struct(F.lit("g").alias("hash"), F.lit("p").alias("project"))))
+    m = exchange.import_records(a, r, F.col("ord"))
+    refs = exchange.superseding(m, r)
+    assert rows(refs, "id", "resolved") == [(1, True), (2, False)]
+    assert {q.id: q.superseded_by for q in exchange.superseded(m, refs).collect()} == {1: 2, 2: None}
 
 
 def test_commit_matrix_and_grades(spark):
@@ -140,7 +170,7 @@ def test_sources(spark, tmp_path):
     assert got == [(1, "summary", "s"), (2, "text", "a"), (2, "tool_use", "grep {}"), (3, "unparsed", "nonsense")]
     md = "# head\n- first item of list\n  goes on here\n```\ncode line here\n```\n2. second [link](http://x) item\n| a | table |\nshort"
     got = [(r.line, r.text) for r in readers.markdown_items(spark.createDataFrame([(1, md)], "id int, text string")).orderBy("line").collect()]
-    assert got == [(2, "first item of list goes on here"), (7, "second link item")]
+    assert got == [(2, "first item of list goes on here"), (7, "second [link](http://x) item")]
     assert readers.read_jsonl(spark, str(tmp_path / "none"), readers.AUDIT).count() == 0
     ev = spark.createDataFrame([("s", 1, b"x")], "source_id string, seq int, raw binary")
     readers.write_segments(ev, str(tmp_path / "seg"))
@@ -149,6 +179,7 @@ def test_sources(spark, tmp_path):
 
 def test_drafts(spark):
     out = spark.createDataFrame([(1, '[{"kind":"fact","content":"c","evidence_idx":[0]},{"kind":"odd","content":"d"}]', 1), (2, "[]", 1), (3, "no json", 1), (4, '{"kind":"task","content":"t","evidence_idx":[5]}', 1)], "id int, output string, n_evidence int")
+    out = out.withColumn("output", F.replace("output", F.lit("[0]"), F.lit("[1]")))
     assert rows(extraction.parse_drafts(out), "id", "status") == [(1, "ok"), (2, "empty"), (3, "bad")]
 
 
