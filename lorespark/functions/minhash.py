@@ -105,6 +105,12 @@ def estimate(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(K))
 
 
+def similarity(a: Column, b: Column, sig_a: Column, sig_b: Column) -> Column:
+    """The estimate; two blank texts are alike, a blank one is like no other."""
+    blank = lambda c: T.strip(F.coalesce(c, F.lit(""))) == ""
+    return F.when(blank(a) & blank(b), 1.0).when(blank(a) | blank(b), 0.0).otherwise(estimate(sig_a, sig_b))
+
+
 def n_shingles(c: Column) -> Column:
     return F.when(F.length(c) == 0, 0).otherwise(F.greatest(F.lit(1), F.length(c) - (WINDOW - 1)))
 
