@@ -390,11 +390,6 @@ def empty_queries(spark, d):
     return evaluation.empty_queries(audit(spark, d), 10)
 
 
-@query("SELECT r.rule, r.value, r.status FROM (SELECT unnest([{'rule': 'R1', 'value': n, 'status': CASE WHEN n >= 1 THEN 'PASS' ELSE 'FAIL' END}, {'rule': 'R3', 'value': ms, 'status': CASE WHEN ms IS NULL THEN 'INFO' WHEN ms < 50 THEN 'PASS' WHEN ms <= 200 THEN 'WARN' ELSE 'FAIL' END}, {'rule': 'R4', 'value': adds, 'status': CASE WHEN adds >= 1 THEN 'PASS' ELSE 'WARN' END}, {'rule': 'R5', 'value': obs, 'status': CASE WHEN obs >= 1 THEN 'PASS' ELSE 'WARN' END}, {'rule': 'R12', 'value': fails, 'status': CASE WHEN fails < 1 THEN 'PASS' WHEN fails <= 3 THEN 'WARN' ELSE 'FAIL' END}, {'rule': 'R13', 'value': inject, 'status': CASE WHEN inject IS NULL THEN 'INFO' WHEN inject < 3601 THEN 'PASS' WHEN inject <= 8000 THEN 'WARN' ELSE 'FAIL' END}]) AS r FROM (SELECT count(*) AS n, floor(avg(ms) FILTER (event IN ('prompt-submit', 'session-start')))::BIGINT AS ms, count(*) FILTER (event = 'manual-add') AS adds, count(*) FILTER (event = 'obs-append') AS obs, count(*) FILTER (event = 'distill' AND mode = 'fail') AS fails, (max(inject_bytes) FILTER (event IN ('prompt-submit', 'session-start', 'pre-compact')))::BIGINT AS inject FROM audit))")
-def ops_rules(spark, d):
-    return evaluation.ops_rules(audit(spark, d))
-
-
 @query("SELECT a.project, n, empty, floor((n - empty) * 100 / n)::BIGINT AS rate, CASE WHEN coalesce(size, 0) < 20 THEN 'COLD' WHEN floor((n - empty) * 100 / n) >= 30 THEN 'PASS' WHEN floor((n - empty) * 100 / n) >= 10 THEN 'WARN' ELSE 'FAIL' END AS status FROM (SELECT project, count(*) AS n, count(*) FILTER (empty) AS empty FROM audit WHERE event = 'prompt-submit' GROUP BY project) a LEFT JOIN (SELECT project, count(*) AS size FROM (SELECT 'p' || (id % 9) AS project FROM memories WHERE id % 9 <> 2) GROUP BY project) l ON a.project = l.project")
 def hit_rate_by_project(spark, d):
     lib = memories(spark, d).where("id % 9 <> 2").select(F.concat(F.lit("p"), (F.col("id") % 9).cast("string")).alias("project"))
@@ -741,4 +736,4 @@ def minhash_signatures(spark, d):
     return s.select("id", F.sha2(F.array_join(F.transform("sig", lambda x: x.cast("string")), ","), 256).alias("sig_hash"))
 
 
-from . import capture_queries, write_queries  # noqa: E402,F401  (they register themselves)
+from . import capture_queries, context_queries, write_queries  # noqa: E402,F401  (they register themselves)
