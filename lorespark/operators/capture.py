@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as T
 from .evidence import BUNDLE_BYTES, BUNDLE_ROWS, bundles
-from .extraction import distill_speaker, eligible
+from .extraction import distill_speaker, eligible, windows_due  # noqa: F401  (a ledger function here too)
 
 RAW_CHARS, SUMMARY_CHARS, SOURCES, ATTEMPTS, DELAY, BACKLOG_DELAY, LEASE = 2000, 500, 8, 8, 60, 600, 60
 OPEN, CLOSED = ("pending", "leased", "fail", "partial", "backlog"), ("ok", "noop", "quarantined")
@@ -172,12 +172,6 @@ def finish(bundle: DataFrame, runs: DataFrame, now: int) -> DataFrame:
     return j.select(*[F.when(ok, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in bundle.columns], told.alias("finished"))
 
 
-def windows_due(windows: DataFrame, runs: DataFrame) -> DataFrame:
-    """``windows`` (session_id, window_key) that no run has finished: ok and empty runs occupy a window, failed, partial and skipped ones do not."""
-    done = runs.where(F.col("status").isin("ok", "empty") & (F.col("window_key") != "")).select("session_id", "window_key").distinct()
-    return windows.join(done, ["session_id", "window_key"], "left_anti")
-
-
 def save_runs(ledger: DataFrame, runs: DataFrame) -> DataFrame:
     """The ledger with ``runs`` (ord, session_id, window_key, status, ...): one that did not end ok or empty is kept without its window; of several for one window the first stays."""
     key = F.when(F.col("status").isin("ok", "empty"), F.col("window_key")).otherwise("")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.identity import window_key
 
 CONTENT_CHARS, SALIENCE, PAYLOAD_CHARS = 240, 0.6, 400
 #: What a prompt asks for: the fields, and the rules for each speaker's section. A caller may give its own.
@@ -92,3 +93,49 @@ def distill_with(refs: DataFrame, complete, schema: str = "bundle_id bigint, out
             yield pdf.assign(output=pdf.prompt.map(complete))[["bundle_id", "output"]]
 
     return prompt(refs).mapInPandas(run, schema)
+
+
+class Unavailable(Exception):
+    """An executor that cannot be reached, or took too long; the next one may try."""
+
+
+def execute(text: str, *executors) -> tuple[str, str]:
+    """(name, output) of the first executor that can be reached; executors are (name, callable). Any other error is the caller's: a bad answer is no reason to ask someone else."""
+    for name, run in executors:
+        try:
+            return name, run(text)
+        except (Unavailable, TimeoutError):
+            continue
+    return "none", ""
+
+
+def repaired(output: str, complete, chars: int = 2000) -> str:
+    """An output that can be read, as it is; else what ``complete`` makes of its beginning when asked once to write JSON lines."""
+    lines = [x for x in output.strip().strip("[]").splitlines() if x.strip()]
+    if output.strip() in ("", "[]") or any("{" in x and "}" in x for x in lines):
+        return output
+    return complete("Write this as one JSON object a line and nothing else:\n" + output[:chars])
+
+
+def distill_sessions(turns: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts by rule of sessions whose window is not done, and a run for each session: ok with facts, empty without, skipped if its window is done. turns: session_id, seq, role, summary, id;
+    runs: session_id, window_key, status."""
+    windows = turns.groupBy("session_id").agg(window_key(F.collect_list(F.col("id").cast("string"))).alias("window_key"))
+    due = windows_due(windows, runs)
+    facts = rule_distill(turns.join(due.select("session_id"), "session_id", "left_semi").withColumn("batch", F.col("session_id")))
+    n = facts.groupBy("session_id").agg(F.count("*").alias("inserted"))
+    out = windows.join(due.select("session_id", F.lit(True).alias("_d")), "session_id", "left").join(n, "session_id", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0)))
+    return facts, out.select("session_id", "window_key", F.when(F.col("_d").isNull(), "skipped").when(F.col("inserted") > 0, "ok").otherwise("empty").alias("status"), "inserted")
+
+
+def distill_prompt(obs: DataFrame, header: str) -> DataFrame:
+    """(session_id, prompt): the header and a session's observations in order, a line ``[id] (event) summary`` each, folded and scrubbed."""
+    line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] ("), "event", F.lit(") "), T.scrub(T.fields(F.col("summary"))), F.lit("\n"))
+    rows = F.array_sort(F.collect_list(F.struct("created_at", "id", line.alias("line"))))
+    return obs.groupBy("session_id").agg(F.concat(F.lit(header), F.array_join(F.transform(rows, lambda r: r["line"]), "")).alias("prompt"))
+
+
+def windows_due(windows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``windows`` (session_id, window_key) that no run has finished: ok and empty runs occupy a window, failed, partial and skipped ones do not."""
+    done = runs.where(F.col("status").isin("ok", "empty") & (F.col("window_key") != "")).select("session_id", "window_key").distinct()
+    return windows.join(done, ["session_id", "window_key"], "left_anti")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.decay import decay_days
 
 IDLE_DAYS, LEAST_SALIENCE, KEEP_OBS = 30, 0.2, 50_000
@@ -74,3 +75,31 @@ def newest(df: DataFrame, by: str, n: int = 200) -> DataFrame:
     """The newest ``n`` of each ``by``, oldest of them first."""
     w = Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("id"))
     return df.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("back")))).drop("back")
+
+
+def ingest(mem: DataFrame, items: DataFrame, source: str, now: int, new_id: Column, allowed: tuple[str, ...] = ("ingest", "import", "manual")) -> DataFrame:
+    """Memories after taking in Markdown items (id of the file, line, text, project) as facts: merged by content and project, with their file and line as provenance. A source that is not
+    allowed is an error. new_id: a Column over the merge columns."""
+    if source not in allowed:
+        raise ValueError(f"source {source!r} is not one of {allowed}")
+    w = Window.partitionBy("content_hash", "project").orderBy("file", "line")
+    n = items.select(F.col("id").cast("string").alias("file"), "line", F.col("text").alias("content"), "project").withColumn("content_hash", T.content_hash(F.col("content")))
+    n = n.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    n = n.select(
+        "content_hash", "project", new_id.alias("id"), "content", F.lit("fact").alias("kind"), F.lit("import").alias("channel"), F.lit(now).cast("bigint").alias("created_at"), F.lit(None).cast("bigint").alias("expires_at"),
+        F.lit("ingest").alias("origin_tool"), F.lit(source).alias("source"), F.lit(0.5).alias("salience"), F.to_json(F.struct("file", "line")).alias("provenance"),
+    )
+    return upsert(mem, n, now)
+
+
+def label_legacy(mem: DataFrame, marks: DataFrame, mark: str, column: str, value: Column) -> tuple[DataFrame, DataFrame]:
+    """A one-time labelling: rows without ``column`` get ``value``, and the mark is set; where it is set before, nothing changes. marks: mark."""
+    if not marks.where(F.col("mark") == mark).isEmpty():
+        return mem, marks
+    blank = F.coalesce(F.col(column), F.lit("")) == ""
+    return mem.withColumn(column, F.when(blank, value).otherwise(F.col(column))), marks.unionByName(mem.sparkSession.createDataFrame([(mark,)], "mark string"))
+
+
+def saved_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
+    """(memory_id, key, value) with new ones added, each once."""
+    return tags.unionByName(new.select(*tags.columns)).distinct()
