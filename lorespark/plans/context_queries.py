@@ -33,7 +33,7 @@ _OPENING = {
     "own_pool": "SELECT *, 2 AS section, row_number() OVER (PARTITION BY project ORDER BY salience DESC, last_seen_at DESC, updated_at DESC, id) AS r FROM live_rows WHERE project <> ''",
     "every_pool": "SELECT home, p.* FROM homes, (SELECT * FROM rule_pool WHERE r <= 12 UNION ALL SELECT * FROM global_pool WHERE r <= 12) p UNION ALL SELECT home, p.* FROM homes JOIN own_pool p ON project = home WHERE r <= 12",
     "once_pool": "SELECT *, row_number() OVER (PARTITION BY home, section ORDER BY r) AS place FROM (SELECT *, row_number() OVER (PARTITION BY home, id ORDER BY section) AS nth FROM every_pool) WHERE nth = 1",
-    "lined": f"SELECT *, length({_LINE.format(k=120)}) AS cost, list_transform(range(0, 121), lambda k: length({_LINE.format(k='k::BIGINT')})) AS short, row_number() OVER (PARTITION BY home ORDER BY section, place) AS i, count(*) OVER (PARTITION BY home, section) AS many, CASE section WHEN 0 THEN 13 WHEN 1 THEN 6 ELSE 7 END AS title, CASE section WHEN 1 THEN 1 ELSE {_LIMIT} END AS cap FROM once_pool",
+    "lined": f"SELECT *, length({_LINE.format(k=120)}) AS cost, list_transform(range(0, 121), lambda k: length({_LINE.format(k='k::BIGINT')})) AS short, row_number() OVER (PARTITION BY home ORDER BY section, place) AS i, count(*) OVER (PARTITION BY home, section) AS many, CASE section WHEN 0 THEN 15 WHEN 1 THEN 6 ELSE 7 END AS title, CASE section WHEN 1 THEN 1 ELSE {_LIMIT} END AS cap FROM once_pool",
     "stepped(home, i, id, section, rem, used, n, rank, lead_id, lead_short, got, why, squeezed)": "SELECT home, 0::BIGINT, NULL::BIGINT, -1, " + str(_BUDGET) + "::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT[], 0::BIGINT, '', NULL::BIGINT FROM homes UNION ALL SELECT home, i, id, section, rem - CASE WHEN is_last THEN CASE WHEN chars IS NOT NULL THEN title + lead_short[chars + 1] WHEN n > 0 THEN used ELSE 0 END ELSE 0 END, used, n, rank + CASE WHEN is_last AND chars IS NOT NULL THEN 1 ELSE got::BIGINT END, lead_id, lead_short, CASE WHEN got = 1 THEN rank + 1 ELSE 0 END, why, CASE WHEN is_last THEN chars END FROM (SELECT *, CASE WHEN n = 0 AND title <= rem THEN list_max(list_filter(range(0, 121), lambda k: lead_short[k + 1] <= rem - title)) END AS chars FROM (SELECT home, i, id, section, title, rem, rank, is_last, lead_id, lead_short, ok::INT AS got, n0 + ok::INT AS n, used0 + CASE WHEN ok THEN cost ELSE 0 END AS used, CASE WHEN title > rem THEN 'budget' WHEN n0 >= cap THEN 'limit' WHEN used0 + cost > rem THEN 'budget' ELSE '' END AS why FROM (SELECT l.home, l.i, l.id, l.section, l.title, l.cap, l.cost, s.rem, s.rank, l.place = l.many AS is_last, CASE WHEN l.place = 1 THEN l.id ELSE s.lead_id END AS lead_id, CASE WHEN l.place = 1 THEN l.short ELSE s.lead_short END AS lead_short, CASE WHEN l.place = 1 THEN 0 ELSE s.n END AS n0, CASE WHEN l.place = 1 THEN l.title ELSE s.used END AS used0, (CASE WHEN l.place = 1 THEN 0 ELSE s.n END) < l.cap AND (CASE WHEN l.place = 1 THEN l.title ELSE s.used END) + l.cost <= s.rem AND l.title <= s.rem AS ok FROM stepped s JOIN lined l ON l.home = s.home AND l.i = s.i + 1)))",
     "cuts": "SELECT home, section, lead_id, squeezed, rank FROM stepped WHERE squeezed IS NOT NULL",
 }

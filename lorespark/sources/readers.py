@@ -27,7 +27,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     """JSON lines; a missing path is an empty table. strict: a bad line is an error, else it is skipped."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
@@ -35,8 +35,11 @@ def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold queries; blank and comment lines are skipped, a bad one is an error."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    """Gold queries of a file, or of all ``*.gold.jsonl`` of a folder; blank and comment lines are skipped, a bad one is an error."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(fs_path).isDirectory()
+    source = spark.read.option("pathGlobFilter", "*.gold.jsonl") if folder else spark.read
+    lines = source.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     return lines.select(F.from_json("value", GOLD, {"mode": "FAILFAST"}).alias("g")).select("g.*")
 
 
@@ -46,16 +49,10 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_segments(events: DataFrame, path: str) -> None:
-    """Evidence as gzip JSON lines; raw bytes in base64. The file a row stands in is content-addressed by ``segment_ids``."""
+    """Evidence as gzip JSON lines; raw bytes in base64. Segments that are named by their content are ``logs.build_segments``'."""
     events.withColumn("raw", F.base64("raw")).write.mode("append").option("compression", "gzip").json(path)
 
 
-def segment_ids(events: DataFrame, by: str = "source_id") -> DataFrame:
-    """(by, segment): sha256 over a source's events in order, the id of the segment that holds them."""
-    row = F.array_sort(F.collect_list(F.struct("seq", F.sha2("raw", 256).alias("h"))))
-    return events.groupBy(by).agg(F.sha2(F.array_join(F.transform(row, lambda r: r["h"]), "\n"), 256).alias("segment"))
-
-
 def snapshot(df: DataFrame, path: str, version: str) -> str:
     """A backup that never replaces an older one."""
     out = f"{path}/{version}"

@@ -194,14 +194,6 @@ def test_claims_batch_equals_stream(spark, tmp_path):
     assert rows(spark.table("claims_out"), "key", "ts") == batch
 
 
-def test_capture_stream(spark, tmp_path):
-    df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:02")], "event_uid string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = capture.capture_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    capture.ledger(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "event_uid") == [("a",), ("b",)]
-
-
 def test_whole_text_is_asked(spark, tmp_path):
     from lorespark.plans import registry
 

@@ -39,6 +39,5 @@ def test_oracle(spark, duck, name):
     assert canon(df.collect(), df.columns) == canon(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, DIR).count() >= 0
+def test_every_query_has_an_oracle():
+    assert not set(registry.QUERIES) - set(registry.ORACLES)
