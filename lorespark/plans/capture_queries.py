@@ -112,7 +112,7 @@ def transcript_events(spark, d):
     return memories(spark, d).select("id", got.alias("g")).select("id", "g.*")
 
 
-@query("SELECT id, CASE WHEN x = '' AND y = '' THEN 1.0 WHEN x = '' OR y = '' THEN 0.0 ELSE 1.0 END AS sim FROM (SELECT id, CASE id % 3 WHEN 0 THEN '' ELSE kind END AS x, CASE id % 5 WHEN 0 THEN ' ' ELSE kind END AS y0, trim(CASE id % 5 WHEN 0 THEN ' ' ELSE kind END) AS y FROM memories)")
+@query("SELECT id, CASE WHEN x = '' AND y = '' THEN 1.0::DOUBLE WHEN x = '' OR y = '' THEN 0.0 ELSE 1.0 END AS sim FROM (SELECT id, CASE id % 3 WHEN 0 THEN '' ELSE kind END AS x, CASE id % 5 WHEN 0 THEN ' ' ELSE kind END AS y0, trim(CASE id % 5 WHEN 0 THEN ' ' ELSE kind END) AS y FROM memories)")
 def similarity_of_blanks(spark, d):
     i = F.col("id")
     x, y = F.when(i % 3 == 0, "").otherwise(F.col("kind")), F.when(i % 5 == 0, " ").otherwise(F.col("kind"))
