@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm import common as C
-from lorespark.llm import embedding_dedup, html_text, jaccard_join, lang_id, mixing, packing, queries, secret_scan, sharding, token_files, tokens, top_k
+from lorespark.llm import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, queries, secret_scan, sharding, token_files, tokens, top_k
 from lorespark.llm.components import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -678,7 +678,7 @@ def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, DIR), con.sql(sql)
@@ -781,3 +781,30 @@ def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing):
     assert sum(r.piece == 0 for r in got["packed"].collect()) == awkward.count()
     for name, stage in stages.items():
         assert stage(spark, nothing, DIR).count() == 0
+
+
+def fim_by_hand(i, text):
+    t = text or ""
+    s = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    h = [int(s[k : k + 8], 16) for k in (0, 8, 16, 24)]
+    n = len(t)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", t, None, None
+    pre, mid, suf = t[:a], t[a:b], t[b:]
+    return (n, "spm", f"<S>{suf}<P>{pre}<M>{mid}", a, b - a) if h[3] % 100 < 20 else (n, "psm", f"<P>{pre}<S>{suf}<M>{mid}", a, b - a)
+
+
+def test_fill_in_middle_equals_brute_force(spark, awkward, nothing):
+    texts = ["<", "<<", "<S", "<S<", "S><P", "a<P>b", "\U0001f600" * 7 + "éx", "<P", ">" * 9, "line\r\nline \x85 end\n", "<S<S<S<S", "[PSM]<p>", "\\E.*$1"]
+    odd = spark.createDataFrame([(i * 100 + k, t) for i, t in enumerate(texts) for k in range(40)], "doc_id bigint, text string")
+    for docs in (odd, awkward.select("doc_id", "text"), spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")):
+        got = fill_middle.transform(docs).select("*", fill_middle.restore().alias("back")).collect()
+        assert {r.fim_form for r in got} <= {"plain", "psm", "spm"}
+        for r in got:
+            assert (r.fim_units, r.fim_form, r.fim_output, r.prefix_chars, r.middle_chars) == fim_by_hand(r.doc_id, r.text) and r.back == (r.text or ""), r.doc_id
+    assert fill_middle.transform(nothing).count() == 0
+    clash = awkward.withColumn("fim_form", F.lit("mine")).withColumn("n", F.lit(1))
+    assert sorted(fill_middle.transform(clash).columns) == sorted([*clash.columns, "fim_units", "fim_output", "prefix_chars", "middle_chars"])
+    got = fill_middle.digests(awkward.where("doc_id is not null")).collect()
+    assert len(got) == awkward.where("doc_id is not null").count() and all(r.restored_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for r, t in zip(got, [r.text for r in awkward.where("doc_id is not null").collect()], strict=True))
