@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, secret_scan, sharding, token_files, top_k
+from . import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, secret_scan, sharding, token_files, top_k, turn_repair
 from .common import Scratch
 
 
@@ -63,7 +63,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_bitmask_filters, op2_poisson_mixing, op3_secret_ledger, op4_two_pass_shuffle, op5_certified_packing, op6_flat_graph_dedup, op7_elias_fano_tokens, op8_norm_sorted_top_k, op9_rare_first_jaccard, op10_tree_scored_text, op12_fill_in_middle)}
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_bitmask_filters, op2_poisson_mixing, op3_secret_ledger, op4_two_pass_shuffle, op5_certified_packing, op6_flat_graph_dedup, op7_elias_fano_tokens, op8_norm_sorted_top_k, op9_rare_first_jaccard, op10_tree_scored_text, op12_fill_in_middle, op13_turn_repair)}
 
 _OP6 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
@@ -100,4 +104,4 @@ low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(low.m, n.doc_id)) AS component_id FROM n LEFT JOIN low ON low.a = n.doc_id
 """
 
-ORACLES = {"op2_poisson_mixing": mixing.oracle(), "op6_flat_graph_dedup": _OP6, "op8_norm_sorted_top_k": _OP8, "op9_rare_first_jaccard": _OP9, "op12_fill_in_middle": fill_middle.oracle()}
+ORACLES = {"op2_poisson_mixing": mixing.oracle(), "op6_flat_graph_dedup": _OP6, "op8_norm_sorted_top_k": _OP8, "op9_rare_first_jaccard": _OP9, "op12_fill_in_middle": fill_middle.oracle(), "op13_turn_repair": turn_repair.oracle()}

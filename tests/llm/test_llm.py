@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm import common as C
-from lorespark.llm import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, queries, secret_scan, sharding, token_files, tokens, top_k
+from lorespark.llm import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, queries, secret_scan, sharding, token_files, tokens, top_k, turn_repair
 from lorespark.llm.components import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -808,3 +808,94 @@ def test_fill_in_middle_equals_brute_force(spark, awkward, nothing):
     assert sorted(fill_middle.transform(clash).columns) == sorted([*clash.columns, "fim_units", "fim_output", "prefix_chars", "middle_chars"])
     got = fill_middle.digests(awkward.where("doc_id is not null")).collect()
     assert len(got) == awkward.where("doc_id is not null").count() and all(r.restored_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for r, t in zip(got, [r.text for r in awkward.where("doc_id is not null").collect()], strict=True))
+
+
+def cheapest(rows):
+    """(cost, audit, repaired rows) by trying edits in order of cost and audit; rows are (role, text, gone, broken)."""
+    import heapq
+
+    after = {0: 2, 1: 2, 3: 2, 2: 3}
+    name = {2: "user", 3: "assistant"}
+    keep = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+    heap, done = [(0, "", 0, 0, ())], set()
+    while heap:
+        cost, word, i, q, out = heapq.heappop(heap)
+        if i == len(rows) and q in (0, 3):
+            return cost, word, list(out)
+        if (i, q) in done:
+            continue
+        done.add((i, q))
+        heapq.heappush(heap, (cost + 3, word + "I", i, after[q], (*out, (name[after[q]], ""))))
+        if i < len(rows):
+            role, text, gone, broken = rows[i]
+            heapq.heappush(heap, (cost + 4, word + "D", i + 1, q, out))
+            if not gone:
+                to = keep.get(role[:1], {}).get(q)
+                if to is not None:
+                    heapq.heappush(heap, (cost + 3 * broken, word + "K", i + 1, to, (*out, (role, text))))
+                heapq.heappush(heap, (cost + 3 + 3 * broken, word + "R", i + 1, after[q], (*out, (name[after[q]], text))))
+
+
+def repaired_by_hand(rows):
+    """The contract of op13 for rows (conv_id, turn, role, text), one conversation after another."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        kept = []
+        for c, turn, role, text in rows:
+            if c != conv:
+                continue
+            f = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+            role, text = " " if role is None else role, " " if text is None else text
+            text = "" if f == 1 else re.sub("[.!?]", "", text) if f == 2 else text
+            kept += [(turn, "user" if f == 4 else role, text)] * (0 if f == 0 else 2 if f == 3 else 1)
+        kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        seen, marked, n = set(), [], Counter()
+        for _, role, text in kept:
+            solid = text.rstrip(" \t\n\v\f\r")
+            blank, again, broken = not solid, (role, text) in seen, solid[-1:] not in (".", "!", "?")
+            seen.add((role, text))
+            n["blank" if blank else "duplicate" if again else "truncated" if broken else ""] += 1
+            marked.append((role, text, blank or again, broken))
+        turns = [t for t, _, _ in kept if t is not None]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(kept, kept[1:], strict=False))
+        cost, audit, lines = cheapest(marked)
+        done = hashlib.sha256("\n".join(f"{a}:{b}" for a, b in lines).encode()).hexdigest()
+        out[conv] = (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, n["blank"], n["duplicate"], n["truncated"], illegal, cost, audit, done)
+    return out
+
+
+TALK = "conv_id bigint, turn bigint, role string, text string, first string, seq int, text_crc string"
+
+
+def talk(seed, n_conv, longest):
+    r, out = random.Random(seed), []
+    for c in range(n_conv):
+        for t in range(r.randrange(1, longest)):
+            role = r.choice(["user", "assistant", "system", "tool", "", None, "User", "up"]) if r.random() < 0.3 else ("user", "assistant")[t % 2]
+            text = r.choice(["", None, " \t\n", "Yes.", "No!", "Why? ", "open", "a ", "end. ", "é.\x0b", "."]) if r.random() < 0.4 else f"word {r.randrange(10**6)}" + r.choice([".", "", "!"])
+            row = (c if c else None, None if r.random() < 0.05 else t + (t > 5), role, text, "x", 1, "y")
+            out += [row] * (2 if r.random() < 0.05 else 1)
+    return out
+
+
+@pytest.mark.parametrize("rows_a_piece", [1, 3, 4096])
+def test_turn_repair_equals_brute_force(spark, monkeypatch, rows_a_piece):
+    """Long and short conversations, in one piece or in many."""
+    monkeypatch.setattr(turn_repair, "PIECE_ROWS", rows_a_piece)
+    rows = talk(rows_a_piece, 60, 9) + [(1000 + r[0] if r[0] is not None else 999, *r[1:]) for r in talk(7, 3, 150)]
+    df = spark.createDataFrame(rows, TALK).repartition(5)
+    got = {r[0]: tuple(r[1:]) for r in turn_repair.repair_damaged(df).collect()}
+    assert got == repaired_by_hand([r[:4] for r in rows])
+    pieces = turn_repair.repair(turn_repair.damaged(df), df.select("conv_id").distinct())
+    for conv in (None, 1001):
+        lines = [f"{r.role}:{r.text}" for r in turn_repair.turns(pieces.where(F.col("conv_id").eqNullSafe(F.lit(conv).cast("bigint")))).orderBy("seq", "at").collect()]
+        assert hashlib.sha256("\n".join(lines).encode()).hexdigest() == got[conv][-1]
+
+
+def test_turn_repair_odd(spark):
+    assert turn_repair.repair_damaged(spark.createDataFrame([], TALK)).count() == 0
+    lost = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    assert [tuple(r) for r in turn_repair.repair_damaged(spark.createDataFrame([(lost, 0, "user", "x", "", 0, "")], TALK)).collect()] == [(lost, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+    rows = [(5, 1, "user", "again.", "", 0, "")] * 3000 + [(5, t, "assistant", "same.", "", 0, "") for t in range(2, 3000)] + [(6, 1, "user", "long " * 200_000, "", 0, "")]
+    got = {r[0]: tuple(r[1:]) for r in turn_repair.repair_damaged(spark.createDataFrame(rows, TALK)).collect()}
+    assert got == repaired_by_hand([r[:4] for r in rows])
