@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, secret_scan, sharding, token_files, top_k, turn_repair
+from . import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, pitman_yor, secret_scan, sharding, token_files, top_k, turn_repair
 from .common import Scratch
 
 
@@ -59,6 +59,10 @@ def op10_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op11_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_bitmask_filters, op2_poisson_mixing, op3_secret_ledger, op4_two_pass_shuffle, op5_certified_packing, op6_flat_graph_dedup, op7_elias_fano_tokens, op8_norm_sorted_top_k, op9_rare_first_jaccard, op10_tree_scored_text, op12_fill_in_middle, op13_turn_repair)}
+QUERIES = {f.__name__: f for f in (op1_language_bitmask_filters, op2_poisson_mixing, op3_secret_ledger, op4_two_pass_shuffle, op5_certified_packing, op6_flat_graph_dedup, op7_elias_fano_tokens, op8_norm_sorted_top_k, op9_rare_first_jaccard, op10_tree_scored_text, op11_pitman_yor_scores, op12_fill_in_middle, op13_turn_repair)}
 
 _OP6 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
