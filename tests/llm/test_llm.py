@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm import common as C
-from lorespark.llm import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, queries, secret_scan, sharding, token_files, tokens, top_k, turn_repair
+from lorespark.llm import embedding_dedup, fill_middle, html_text, jaccard_join, lang_id, mixing, packing, pitman_yor, queries, secret_scan, sharding, token_files, tokens, top_k, turn_repair
 from lorespark.llm.components import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -899,3 +900,153 @@ def test_turn_repair_odd(spark):
     rows = [(5, 1, "user", "again.", "", 0, "")] * 3000 + [(5, t, "assistant", "same.", "", 0, "") for t in range(2, 3000)] + [(6, 1, "user", "long " * 200_000, "", 0, "")]
     got = {r[0]: tuple(r[1:]) for r in turn_repair.repair_damaged(spark.createDataFrame(rows, TALK)).collect()}
     assert got == repaired_by_hand([r[:4] for r in rows])
+
+
+def seats_of(model):
+    """Each kept round's tables as plain dictionaries: (c, t) by context and word, (n, t) of the parent, and the parent's totals."""
+    deal, out = model.deal, []
+    pairs = {r["k"]: r for r in (x.asDict() for x in model.pairs.collect())}
+    for kept in model.kept:
+        seats, words = {}, {}
+        for r in kept.seated.where(F.col("kind") == pitman_yor.TABLES).collect():
+            own = pitman_yor.Bucket(pairs[r.k], deal)
+            t = np.ones(len(own.c), int)
+            t[own.many] = pitman_yor.unsmall(r.x)
+            seats |= {(int(own.u[a]), int(own.words[b])): (int(c), int(k)) for a, b, c, k in zip(own.ui, own.wi, own.c, t, strict=True)}
+        for r in kept.words.collect():
+            words |= dict(zip(np.frombuffer(r.x, np.uint64).tolist(), zip(pitman_yor.unsmall(r.y).tolist(), pitman_yor.unsmall(r.z).tolist(), strict=True), strict=True))
+        out.append((seats, words, kept.root))
+    return out
+
+
+def by_formula(seats, words, root, d):
+    """P(word | context) of a seating, None for an unknown word or context."""
+    sent, count, tables = Counter(), Counter(), Counter()
+    for (u, w), (c, t) in seats.items():
+        sent[w] += t
+        count[u] += c
+        tables[u] += t
+    n, k = sum(sent.values()), sum(t for _, t in words.values())
+    assert set(sent) == set(words) and (root.customers, root.tables, root.vocabulary) == (n, k, len(words))
+
+    def p(u, w):
+        top = (sent[w] - root.discount * words[w][1] if w in words else 0.0) + (pitman_yor.ROOT_STRENGTH + root.discount * k) / (len(words) + 1)
+        c, t = seats.get((u, w), (0, 0))
+        return (c - d * t + (pitman_yor.STRENGTH + d * tables[u]) * top / (pitman_yor.ROOT_STRENGTH + n)) / (pitman_yor.STRENGTH + count[u])
+
+    return p
+
+
+@pytest.mark.parametrize("bucket", [10**9, 300, 20])
+def test_pitman_yor_equals_brute_force(spark, monkeypatch, bucket):
+    """Counts, base and model scores of each text from plain dictionaries of the seating; probabilities sum to one; contexts and words in one bucket or many, hot contexts dealt over all."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(pitman_yor, "PACK_TOKENS", 1 << 10)
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["the", "The", "of", "a", *WORDS]) if r.random() < 0.8 else f"w{r.randrange(300)}" for _ in range(r.randrange(40))) for _ in range(120)] + [None, "", "\t", "the " * 3000, "é\x0b日本 x", "new words only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    model = pitman_yor.train(docs.where(~pitman_yor.fold()))
+    assert len(model.deal.heavy) > 0 and 1 << model.deal.context_bits >= min(64, 5000 // bucket)
+    rounds = [by_formula(*x, model.discount) for x in seats_of(model)]
+    first = lambda t: zip(*(x.tolist() for x in pitman_yor.tokens(*C.utf8(pa.array([t or ""], pa.string()))[:2])[:2]), strict=True)
+    vocabulary = list(seats_of(model)[0][1])
+    for u in (int(pitman_yor.START), list(first("the x"))[1][0], 12345):
+        assert abs(sum(np.mean([p(u, w) for p in rounds]) for w in [*vocabulary, None]) - 1) < 1e-9
+    trained = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for _, w in first(t))
+    n, v = sum(trained.values()), len(trained)
+    got = {x.doc_id: x for x in pitman_yor.scores(docs).collect()}
+    for i, t in enumerate(texts):
+        pairs, x = list(first(t)), got[i]
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1, sum(trained[w] > 0 for _, w in pairs), n)
+        assert x.base_score == pytest.approx(sum(np.log10((trained[w] + 1) / (n + v + 1)) for _, w in pairs), rel=1e-9)
+        assert x.score == pytest.approx(sum(np.log10(np.mean([p(u, w) for p in rounds])) for u, w in pairs), rel=1e-6)
+
+
+def customer_by_customer(texts, d, d0, sweeps, seed):
+    """The same model by the plain sampler: one customer leaves and sits down again, in its context and, with a table, in the parent. Gives the mean of P(word | context) over sweeps."""
+    r = random.Random(seed)
+    pairs = [(u, w) for t in texts for u, w in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)]
+    vocabulary = {w for _, w in pairs}
+    base = 1 / (len(vocabulary) + 1)
+    rest, totals = defaultdict(lambda: defaultdict(list)), defaultdict(lambda: [0, 0])
+
+    def predictive(u, w):
+        below = base if u is None else predictive(None, w)
+        a, k = totals[u]
+        s = 1.0
+        return (sum(rest[u][w]) - (d0 if u is None else d) * len(rest[u][w]) + (s + (d0 if u is None else d) * k) * below) / (s + a)
+
+    def sit(u, w):
+        dd = d0 if u is None else d
+        below = base if u is None else predictive(None, w)
+        seats = rest[u][w]
+        weights = [max(0.0, n - dd) for n in seats] + [(1.0 + dd * totals[u][1]) * below]
+        i = r.choices(range(len(weights)), weights)[0]
+        totals[u][0] += 1
+        if i < len(seats):
+            seats[i] += 1
+        else:
+            seats.append(1)
+            totals[u][1] += 1
+            if u is not None:
+                sit(None, w)
+
+    def rise(u, w):
+        seats = rest[u][w]
+        i = r.choices(range(len(seats)), seats)[0]
+        seats[i] -= 1
+        totals[u][0] -= 1
+        if not seats[i]:
+            seats.pop(i)
+            totals[u][1] -= 1
+            if u is not None:
+                rise(None, w)
+
+    for u, w in pairs:
+        sit(u, w)
+    mean = defaultdict(list)
+    for n in range(sweeps):
+        for u, w in pairs:
+            rise(u, w)
+            sit(u, w)
+        if n >= sweeps // 4:
+            for u, w in set(pairs):
+                mean[u, w].append(predictive(u, w))
+    return {k: sum(x) / len(x) for k, x in mean.items()}
+
+
+def test_pitman_yor_equals_plain_sampler(spark):
+    """Scores against a sampler that moves one customer at a time."""
+    r = random.Random(8)
+    texts = [" ".join(r.choices(WORDS, [1 / (i + 1) for i in range(len(WORDS))], k=12)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pitman_yor.train(docs, rounds=12, kept=8)
+    want = customer_by_customer(texts, model.discount, model.kept[0].root.discount, 40, 1)
+    for x in pitman_yor.score(docs, model, ["doc_id"]).collect():
+        t = texts[x.doc_id].split()
+        assert x.score == pytest.approx(sum(np.log10(want[u, w]) for u, w in zip(["<s>", *t], [*t, "</s>"], strict=True)), rel=0.02)
+
+
+@pytest.mark.parametrize("c, a, d", [(2, 0.3, 0.5), (9, 2.0, 0.7), (256, 0.2, 0.4), (256, 40.0, 0.8)])
+def test_table_numbers_follow_their_law(c, a, d):
+    """Means of drawn table numbers against the exact law; counts above EXACT (here 256 as if it were one) against the same law by Stirling numbers."""
+    t, log = np.arange(1, c + 1), pitman_yor.stirling(d)[c, 1 : c + 1]
+    w = log + t * np.log(a)
+    p = np.exp(w - w.max())
+    p /= p.sum()
+    mean, var = float((t * p).sum()), float(((t - (t * p).sum()) ** 2 * p).sum())
+    got = pitman_yor.draw_tables(np.random.default_rng(1), np.full(20_000, c), np.full(20_000, 1e-6), np.full(20_000, (a / 1e-6 - 1.0) / d), 1.0, d)
+    assert abs(got.mean() - mean) < 5 * np.sqrt(var / 20_000) + 1e-3 * mean
+    if c == 256:
+        m, v = pitman_yor.saddle(np.array([256.0]), np.array([a]), d)
+        assert abs(m[0] - mean) < 0.03 * mean and abs(v[0] - var) < 0.1 * var + 0.05
+
+
+def test_pitman_yor_awkward(spark, awkward, nothing):
+    assert pitman_yor.scores(nothing).count() == 0
+    got = pitman_yor.scores(awkward).collect()
+    assert len(got) == awkward.count() and all(r.score < 0 and r.base_score < 0 and np.isfinite(r.score) for r in got)
+    empty = [r for r in got if r.n_tokens == 1]
+    assert len({(r.score, r.base_score) for r in empty}) == 1 and len(empty) == 4
+    only = spark.createDataFrame([(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string")
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0.0 == r.base_score for r in pitman_yor.scores(only).collect())
