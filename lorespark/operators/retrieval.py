@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import minhash as M
 from ..functions import text as T
 from . import ranking
+from .index import Index
 
 #: The fusion constant and route weights, the fuzzy route's bound and size.
 RRF, WEIGHTS = 60, {"precise": 1.0, "broad": 0.8, "fuzzy": 0.6}
@@ -100,8 +101,8 @@ def top(hits: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def fuzzy(docs: DataFrame, queries: DataFrame, least: float = FUZZY_LEAST, n: int = FUZZY_TOP, decayed: Column | None = None) -> DataFrame:
-    """(qid, id, sim, decayed, rank): texts whose signature agrees with the query's; queries of under 8 shingles are left out. docs: id, content and what ``decayed`` reads."""
-    signed = docs.select("id", M.minhash("content").alias("ds"), (decayed if decayed is not None else F.lit(0.0)).cast("double").alias("decayed")).where("ds is not null")
+    """(qid, id, sim, decayed, rank): texts whose signature agrees with the query's; queries of under 8 shingles are left out. docs: id, content (or ds, its signature) and what ``decayed`` reads."""
+    signed = docs.select("id", F.col("ds") if "ds" in docs.columns else M.minhash("content").alias("ds"), (decayed if decayed is not None else F.lit(0.0)).cast("double").alias("decayed")).where("ds is not null")
     qid = queries.schema["qid"].dataType
     out = None
     for block in _query_blocks(queries.where(M.n_shingles(F.col("query")) >= M.MIN_SHINGLES)):
@@ -118,14 +119,15 @@ def one_term(query: Column) -> Column:
     return (F.size(T.query_phrases(query)) == 1) & ~F.element_at(T.query_phrases(query), 1)["prefix"]
 
 
-def fused(mem: DataFrame, queries: DataFrame, decayed: Column, keep: Column, limit: int = 10, broad: bool = True, alike: bool = True) -> DataFrame:
+def fused(mem: DataFrame, queries: DataFrame, decayed: Column, keep: Column, limit: int = 10, broad: bool = True, alike: bool = True, index: Index | None = None) -> DataFrame:
     """(qid, id, rank, score, exact, routes, precise, broad, fuzzy): weighted reciprocal-rank fusion of the three routes.
 
     A hit of the precise route (exact) is never overtaken by one of the others; then score, routes, decay, and who was seen first (route by route, each by rank) decide.
-    mem: id, content, salience, last_seen_at and what ``decayed`` and ``keep`` (the filter on hits) read.
+    mem: id, content, salience, last_seen_at and what ``decayed`` and ``keep`` (the filter on hits) read. index: a kept index of the contents; mem's are not read then, and rows that it lacks are no hits.
     """
     pool = POOL * limit
-    hits = ranked(mem, queries, pool, (-decayed, -F.col("salience"), -F.col("last_seen_at")), keep)
+    newest = (-decayed, -F.col("salience"), -F.col("last_seen_at"))
+    hits = ranked(mem, queries, pool, newest, keep) if index is None else index.search(queries, pool, mem, newest, keep)
     order = (F.col("bm25"), F.col("order"), F.col("id"))
     single = queries.select("qid", one_term(F.col("query")).alias("single"))
     take = lambda df, name, place, d: df.select("qid", "id", "rank", d.alias("decayed"), F.lit(name).alias("route"), F.lit(place).alias("place"))
@@ -133,7 +135,7 @@ def fused(mem: DataFrame, queries: DataFrame, decayed: Column, keep: Column, lim
     if broad:
         streams.append(take(top(hits.join(F.broadcast(single) if queries.count() <= BROADCAST_ROWS else single, "qid").where("not single"), pool, *order), "broad", 1, -F.col("order")[0]))
     if alike:
-        streams.append(take(fuzzy(mem.where(keep), queries, n=min(FUZZY_TOP, pool), decayed=decayed), "fuzzy", 2, F.col("decayed")))
+        streams.append(take(fuzzy(mem.where(keep) if index is None else mem.where(keep).join(index.signatures(), "id"), queries, n=min(FUZZY_TOP, pool), decayed=decayed), "fuzzy", 2, F.col("decayed")))
     w = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     all_hits = reduce(DataFrame.unionByName, streams).withColumn("w", w[F.col("route")])
     active = all_hits.select("qid", "route", "w").distinct().groupBy("qid").agg(F.sum("w").alias("active"))
