@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree (unclosed and stray tags are mended as browsers do for the common cases). Menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are told by tag, class, id and role and take no part. Some words name parts of articles as well (DOUBTFUL: a section "discussion",
-a paragraph "tags"), and some servers wrap a whole page in one form; such blocks, the former inside an article only, are judged by what they hold. Every paragraph passes points, one plus one a comma
+scripts, styles and reader comments are told by tag and role and take no part. A word of a class or id alone never decides, since wrappers carry such words too (a layout "has-sidebar", a post
+"comments-open"): words that tell a state are no evidence, and a block that is suspect by another is junk only where what is left of the page, or of the suspect block around it, reads as text, or a better
+suspect does. Some words name parts of articles as well (DOUBTFUL: a section "discussion", a paragraph "tags"), and some servers wrap a whole page in one form; such blocks, the former inside an
+article only, are judged by what they hold. Every paragraph passes points, one plus one a comma
 plus up to three for length, to its ancestors: all to the parent, half to the next, a third of the rest's share above, up to the LEVELS-th. A
 container's points are discounted by its link density; the best one (of equal ones the first), its article where it stands in one, and the siblings that score near it or
 read like paragraphs make the text. Blocks are joined in page order; nothing else is dropped or cut.
@@ -35,9 +37,15 @@ JUNK_WORDS = frozenset(
     "subscribe subscription signup login paywall sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs crumbs header masthead topbar footer bottombar comment comments commentlist disqus "
     "respond share sharing social recommended recommendations toolbar pagination pager skip skiplink tagcloud".split()
 )
+#: Suspects of reader comments, which read as text; words that make the rest of a class or id a state and no name; what the text beside suspects must hold to do without them (characters
+#: outside links, marks of sentences, share of the largest suspect), and the share of that text with which a suspect is the text.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
+STATE_WORDS = frozenset("no not has have with without open opened closed enabled disabled allowed free hoc layout layouts template theme support supports".split())
+REST_CHARS, REST_MARKS, REST_SHARE, WHOLE_SHARE, LINE_CHARS = 60, 2, 0.15, 0.8, 25
 #: Words that also name parts of articles, and what such a block must hold to stay: characters outside links, marks of sentences, and the largest share of links.
 DOUBTFUL = frozenset("replies reply discussion related rail widget widgets tags".split())
 DOUBT_CHARS, DOUBT_MARKS, DOUBT_LINKED = 80, 2, 0.25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEP_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -67,29 +75,38 @@ class Node:
     __slots__ = ("tag", "up", "kids", "junk", "doubt", "chars", "linked", "commas", "own_chars", "own_commas", "score", "in_link")
 
     def __init__(self, tag: str, up: Node | None, junk: bool):
-        self.tag, self.up, self.kids, self.junk, self.doubt = tag, up, [], junk, False
+        self.tag, self.up, self.kids, self.junk, self.doubt = tag, up, [], junk, CLEAN
         self.chars = self.linked = self.commas = self.own_chars = self.own_commas = 0
         self.score, self.in_link = 0.0, tag == "a" or (up is not None and up.in_link)
 
 
-def _is_junk(tag: str, attrs: str, inside_article: bool) -> bool | None:
-    """True: no part of the text; None: doubtful, what it holds decides."""
+#: What a tag's attributes say of it: nothing, that what it holds decides, that it is suspect, that it is suspect of reader comments, that it is junk.
+CLEAN, DOUBT, SUSPECT, COMMENTS, JUNK = range(5)
+
+
+def _judge(tag: str, attrs: str, inside_article: bool) -> int:
     if tag in JUNK_TAGS or (tag == "header" and not inside_article):
-        return True
-    doubt = True if tag == "form" else None
-    if tag in KEEP_TAGS and tag != "p" or "=" not in attrs:
-        return None if doubt else False
+        return JUNK
+    out = DOUBT if tag == "form" else CLEAN
+    if tag in KEEP_TAGS and tag not in ("p", "article") or "=" not in attrs:
+        return out
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.strip().lower() in JUNK_ROLES:
-                return True
-        else:
-            words = [w.lower() for w in _WORDS.findall(value)]
-            if any(w in JUNK_WORDS or w in DOUBTFUL and not inside_article for w in words):
-                return True
-            doubt = doubt or any(w in DOUBTFUL for w in words)
-    return None if doubt else False
+                return JUNK
+            continue
+        for name in value.split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & STATE_WORDS:
+                continue
+            if words & COMMENT_WORDS and (not inside_article or words & JUNK_WORDS):
+                out = max(out, COMMENTS)
+            elif tag != "article" and (words & JUNK_WORDS or words & DOUBTFUL and not inside_article):
+                out = max(out, SUSPECT)
+            elif words & DOUBTFUL:
+                out = max(out, DOUBT)
+    return out
 
 
 class _Finder:
@@ -193,9 +210,9 @@ def parse(source: str) -> list[Node]:
             if tag == "body" and stack[-1].tag == "head":
                 close_to(len(stack) - 1)
         up = stack[-1]
-        junk = _is_junk(tag, attrs, last("article") > 0 or last("main") > 0)
-        node = Node(tag, up, up.junk or junk is True)
-        node.doubt = junk is None
+        doubt = _judge(tag, attrs, last("article") > 0 or last("main") > 0)
+        node = Node(tag, up, up.junk or doubt == JUNK)
+        node.doubt = doubt
         up.kids.append(node)
         nodes.append(node)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "math"):
@@ -219,35 +236,96 @@ def parse(source: str) -> list[Node]:
     return nodes
 
 
+class _Held:
+    """What a block holds: characters, those in links, marks of sentences, whether an article or a main part of its own, or a headline."""
+
+    __slots__ = ("size", "linked", "marks", "body", "title")
+
+    def __init__(self):
+        self.size = self.linked = self.marks = 0
+        self.body = self.title = False
+
+    def add(self, other: _Held) -> None:
+        self.size, self.linked, self.marks = self.size + other.size, self.linked + other.linked, self.marks + other.marks
+        self.body |= other.body
+        self.title |= other.title
+
+    @property
+    def plain(self) -> int:
+        return self.size - self.linked
+
+    def reads(self) -> bool:
+        return self.plain >= DOUBT_CHARS and self.marks >= DOUBT_MARKS and self.linked <= DOUBT_LINKED * self.size
+
+
+def _suspects(nodes: list[Node], held: dict[int, _Held]) -> None:
+    """Of the suspects in one block (the page, or a suspect that stays) those are junk beside which the block's other text reads as text or has a sentence or line in an article or main part, but for one that
+    holds an article of its own or nearly all text; where no other text does, the largest stays, and what is at least half as large; comments only where no other suspect reads as text."""
+    inside: dict[int, list[Node]] = {id(nodes[0]): []}
+    around: dict[int, tuple[int, bool]] = {id(nodes[0]): (id(nodes[0]), False)}  # the block, and whether in an article there
+    said: set[int] = set()  # blocks with a sentence in an article that is no suspect's
+    for x in nodes[1:]:
+        outer, body = around[id(x.up)]
+        if x.doubt in (SUSPECT, COMMENTS) and not x.junk:
+            inside[outer].append(x)
+            inside[id(x)] = []
+            outer, body = id(x), False
+        body = (body or x.tag in ("article", "main")) and x.tag not in HEADINGS
+        around[id(x)] = outer, body
+        if body and not x.junk and any(isinstance(t, str) and (len(t.strip()) >= LINE_CHARS or _MARK.search(t)) for t in x.kids):
+            said.add(outer)
+    for block, found in inside.items():
+        if not found:
+            continue
+        rest = held[block].plain - sum(held[id(x)].plain for x in found)
+        marks = held[block].marks - sum(held[id(x)].marks for x in found)
+        most = max(held[id(x)].plain for x in found)
+        done = block in said or rest >= REST_CHARS and marks >= REST_MARKS and rest >= REST_SHARE * most
+        named = [x for x in found if x.doubt == SUSPECT and held[id(x)].reads()]
+        best = max((held[id(x)].plain for x in (named or found)), default=0)
+        for x in found:
+            h = held[id(x)]
+            if x.doubt == SUSPECT and (h.body and h.plain >= DOUBT_CHARS or h.reads() and h.plain >= WHOLE_SHARE * held[block].plain):
+                continue
+            x.junk = done or not h.reads() or 2 * h.plain < best or x.doubt == COMMENTS and bool(named)
+
+
 def _settle(nodes: list[Node]) -> None:
-    """Doubtful blocks stay if they read as text (a form also if it holds an article, a main part or half of the page); the others are junk with all they hold."""
+    """Suspects are held against the rest of the page; doubtful blocks stay if they read as text (a form also if it holds an article, a main part or half of the page). What is junk is so with all it holds."""
     if not any(x.doubt and not x.junk for x in nodes):
         return
-    size, linked, marks, body = ({id(x): 0 for x in nodes} for _ in range(4))
+    held = {id(x): _Held() for x in nodes}
     for x in reversed(nodes):
         if x.junk:
             continue
-        k = id(x)
+        h = held[id(x)]
         for t in x.kids:
             if isinstance(t, str):
                 c = len(t.strip())
-                size[k] += c
-                linked[k] += c if x.in_link else 0
-                marks[k] += len(_MARK.findall(t))
-        body[k] |= x.tag in ("article", "main")
+                h.size += c
+                h.linked += c if x.in_link else 0
+                h.marks += len(_MARK.findall(t))
+        h.body |= x.tag in ("article", "main") and x.doubt < SUSPECT
+        h.title |= x.tag == "h1"
         if x.up is not None:
-            u = id(x.up)
-            size[u], linked[u], marks[u], body[u] = size[u] + size[k], linked[u] + linked[k], marks[u] + marks[k], body[u] | body[k]
-    whole = size[id(nodes[0])]
+            held[id(x.up)].add(h)
+    for x in nodes:  # a heading's block inside an article
+        if x.doubt == SUSPECT and held[id(x)].title and any(y.tag in ("article", "main") for y in _above(x)):
+            x.doubt = CLEAN
+    _suspects(nodes, held)
+    whole = held[id(nodes[0])].size
     for x in nodes:
         if x.up is not None and x.up.junk:
             x.junk = True
-        elif x.doubt and not x.junk:
-            k = id(x)
-            if x.tag == "form":
-                x.junk = not body[k] and 2 * size[k] < whole
-            else:
-                x.junk = size[k] - linked[k] < DOUBT_CHARS or marks[k] < DOUBT_MARKS or linked[k] > DOUBT_LINKED * size[k]
+        elif x.doubt == DOUBT and not x.junk:
+            h = held[id(x)]
+            x.junk = not h.body and 2 * h.size < whole if x.tag == "form" else not h.reads()
+
+
+def _above(x: Node):
+    while x.up is not None:
+        x = x.up
+        yield x
 
 
 def _score(nodes: list[Node]) -> None:

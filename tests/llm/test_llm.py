@@ -639,6 +639,63 @@ PAGES = [
 ]
 
 
+GOOD = ["Rivers carve the valley, slowly, over many winters. Nobody hurries them.", "In spring, when the ice breaks, the mills turn again. Children count the logs.", "An old map shows three bridges, two of them gone. The third still stands."]
+TALKED = "<p>Great read, thanks, really. I liked it, all of it.</p><p>Me too, friend. Well said, again.</p>"
+PITCH = "<p>Buy our lamps, now cheaper. Order today, save much.</p>"
+HEAD, FOOT = "<nav><a href=/>Home</a> <a href=/b>Blog</a></nav>", "<footer>All rights reserved. Made by us.</footer>"
+#: Pages around the three paragraphs of GOOD ({}); all of them, and nothing else, is the text.
+LAYOUTS = {
+    "blog": "<body class='single has-sidebar'>" + HEAD + "<div class='layout has-sidebar'><div class=post>{}</div><div class=sidebar><p>Older posts, by month. See also our shop.</p></div></div>" + FOOT,
+    "blog with comments open": HEAD + "<div class='post comments-open'>{}</div><div id=comments>" + TALKED + "</div>" + FOOT,
+    "blog with comments inside": HEAD + "<div class='post hentry'>{}<div class=comments>" + TALKED + "</div></div>" + FOOT,
+    "comments in articles of their own": HEAD + "<article class=post>{}</article><section id=comments><article class=comment>" + TALKED + "</article><article class=comment>" + TALKED + "</article></section>",
+    "comments longer than the text": "<div class=content>{}</div><div class=commentlist>" + TALKED * 12 + "</div>",
+    "all in a comments area": "<div class='page comments-area'>{}</div>" + FOOT,
+    "ad free": HEAD + "<div class='post ad-free'>{}</div><div class=ad>" + PITCH + "</div>",
+    "header image": "<div class='header-image-layout'>{}</div><div class=header>My site. The best site.</div>",
+    "no sidebar": "<article><div class='entry no-sidebar'>{}</div></article>",
+    "legal notice": "<main><section class='legal-notice'>{}</section></main>" + FOOT,
+    "notice beside the text": "<main>{}<section class=notice><p>We moved, please note. Update your links.</p></section></main>",
+    "wrapper called sidebar": HEAD + "<div id=sidebar-page><div class=text>{}</div><div class=sidebar><p>About me, in short. Write me.</p></div></div>",
+    "wrapper called promo": "<div class=promo-page>{}</div>" + FOOT,
+    "promo inside": "<div class=text>{}</div><div class=promo>" + PITCH + "</div>",
+    "wrapper called header": "<div id=header-wrap><div class=header><h1>Site</h1></div><main>{}</main></div>",
+    "cookie notice longer": "<div class=cookie-consent>" + "<p>We use cookies, many. You may agree, or not.</p>" * 3 + "</div><div class=story>{}</div>",
+    "modal over it": "<div class=modal role=dialog><p>Join us, friend. It is free.</p></div><div class=story>{}</div>",
+    "docs": "<div class='docs with-menu'><div class=menu><a href=a>One</a><a href=b>Two</a></div><div class=doc-body>{}</div></div>",
+    "docs with toc": "<div class='toolbar-enabled'><div class=toolbar><a href=a>Edit</a></div><main>{}</main></div>",
+    "forum": "<div class=thread>{}</div><div class=replies>" + TALKED + "</div>",
+    "forum wrapper": "<div class='discussion'>{}</div>" + FOOT,
+    "news": HEAD + "<div class=share-bar><a href=x>Share</a></div><div class='story with-ads'>{}</div><div class=related><a href=a>More, of this.</a></div>",
+    "news in main": "<main><div class='ad-slot'>" + PITCH + "</div><div class=body-copy>{}</div><div class=newsletter><p>Our letter, weekly. Sign up now.</p></div></main>",
+    "no container": HEAD + "{}" + FOOT,
+    "table layout": "<table><tr><td class=menu><a href=a>One</a></td><td>{}</td></tr></table>",
+    "served in a form": "<form id=aspnetForm class=page-menu-support>{}</form>" + FOOT,
+    "two wrappers": "<div class=popup-layer><div class=overlay-box>{}</div></div>",
+    "two suspects": "<div class=banner-area><p>Sale, today. Only now.</p></div><div class=sponsored-story>{}</div>",
+    "nested sidebars": "<div class=sidebars><div class=main-col>{}</div><div class=sidebar><p>Links, some. Friends, few.</p></div><div class=sidebar><p>Tags, all. Dates, too.</p></div></div>",
+    "login page theme": "<div class='theme-login'><article>{}</article></div>",
+    "login box": "<article>{}</article><div class=login><p>Your name, please. Your word, too.</p></div>",
+    "paywall around": "<div class=paywall><div class=premium>{}</div></div><div class=paywall-note-social>Log in. Or pay.</div>",
+    "header inside article": "<article><header class=entry><p class=breadcrumb><a href=a>Up</a></p></header>{}</article>",
+    "unclosed": "<body><div class='post pager-disabled'>{}<div class=pagination><a href=2>Next</a>",
+    "camel case": "<div class=hasSidebar><div class=postBody>{}</div><div class=sideBar id=sidebarRight><p>Here, there. This, that.</p></div></div>",
+    "bare article in comments wrapper": "<div id=comments-page><article>{}</article></div>" + FOOT,
+}
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_layouts(layout):
+    assert html_text.main_text(LAYOUTS[layout].replace("{}", "".join(f"<p>{t}</p>" for t in GOOD))) == " ".join(GOOD)
+
+
+def test_headings_of_articles_and_pages_of_junk():
+    body = "".join(f"<p>{t}</p>" for t in GOOD)
+    assert html_text.main_text(f"<article><div class=entry-header><h1>Rivers</h1></div>{body}</article>") == " ".join(["Rivers", *GOOD])
+    assert html_text.main_text("<div class=ad>buy</div><div class=menu><a href=x>one</a></div>") == ""
+    assert html_text.main_text("<nav>a</nav><footer>b</footer>") == ""
+
+
 def article_of(page):
     """The text of a page's only article element, by plain replacement."""
     body = re.search(r"<article>(.*)</article>", page, re.S)[1]
@@ -905,16 +962,16 @@ def test_turn_repair_odd(spark):
 def seats_of(model):
     """Each kept round's tables as plain dictionaries: (c, t) by context and word, (n, t) of the parent, and the parent's totals."""
     deal, out = model.deal, []
-    pairs = {r["k"]: r for r in (x.asDict() for x in model.pairs.collect())}
+    pairs = {r["k"]: r | {c: pitman_yor.opened(r[c]) for c in "xyzv"} for r in (x.asDict() for x in model.pairs.collect())}
     for kept in model.kept:
         seats, words = {}, {}
         for r in kept.seated.where(F.col("kind") == pitman_yor.TABLES).collect():
             own = pitman_yor.Bucket(pairs[r.k], deal)
             t = np.ones(len(own.c), int)
-            t[own.many] = pitman_yor.unsmall(r.x)
+            t[own.many] = pitman_yor.unsmall(pitman_yor.opened(r.x))
             seats |= {(int(own.u[a]), int(own.words[b])): (int(c), int(k)) for a, b, c, k in zip(own.ui, own.wi, own.c, t, strict=True)}
         for r in kept.words.collect():
-            words |= dict(zip(np.frombuffer(r.x, np.uint64).tolist(), zip(pitman_yor.unsmall(r.y).tolist(), pitman_yor.unsmall(r.z).tolist(), strict=True), strict=True))
+            words |= dict(zip(np.frombuffer(pitman_yor.opened(r.x), np.uint64).tolist(), zip(pitman_yor.unsmall(pitman_yor.opened(r.y)).tolist(), pitman_yor.unsmall(pitman_yor.opened(r.z)).tolist(), strict=True), strict=True))
         out.append((seats, words, kept.root))
     return out
 
