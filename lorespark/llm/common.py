@@ -43,9 +43,11 @@ class Scratch:
     """Named intermediate Parquet tables in the shared folder; ``drop`` deletes one that is no longer read.
 
     A result is read from these tables lazily, so they stay until its reader has written it: ``mark`` before and ``release`` after.
+    tidy: have Spark remove a write's shuffle files once it is done, where the session leaves that open.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, tidy: bool = False):
+        self.tidy = tidy
         self.spark, self.base = spark, f"{shared_dir(spark)}/lorespark/{label}-{uuid.uuid4().hex}"
         _made.append(self.base)
 
@@ -53,7 +55,15 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        if self.tidy:
+            self.spark.conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -45,7 +45,17 @@ def _row(kind: int, k: int, j: int = 0, x: bytes = b"", y: bytes = b"", z: bytes
     return kind, k, j, x, y, z, v, int(p), int(q)
 
 
+def closed(b: bytes) -> bytes:
+    """A packed array as it is stored: behind a zero as it is, or behind its length compressed."""
+    return b"\0" + b if len(b) < 64 else b"\1" + len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def opened(b: bytes) -> bytes:
+    return b[1:] if b[:1] == b"\0" else pa.decompress(b[9:], int.from_bytes(b[1:9], "little"), "zstd", asbytes=True)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    rows = [(*r[:3], *map(closed, r[3:7]), *r[7:]) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
 
@@ -54,7 +64,10 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _rows(table: pa.Table) -> list[dict]:
-    return sorted(table.to_pylist(), key=lambda r: (r["kind"], r["j"], r["p"], r["k"]))
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["j"], r["p"], r["k"]))
+    for r in rows:
+        r.update((c, opened(r[c])) for c in "xyzv")
+    return rows
 
 
 # ---- packing ---------------------------------------------------------------------------------------
@@ -271,7 +284,20 @@ def _merge_pairs(deal: Deal):
         n = np.bincount(at, np.concatenate([unsmall(r["z"]) for r in rows]), len(pair)).astype(np.int64)
         _, size = _group(pair >> 32)
         row = _row(PAIRS, b, x=encode(us, deal.codes), v=small(size), y=encode(ws[pair & 0xFFFFFFFF], deal.codes), z=small(n), p=(n == 1).sum(), q=(n == 2).sum())
-        return _table([row, *Bucket(dict(zip(_ARROW.names, row, strict=True)), deal).state(b, np.ones(int((n > 1).sum()), np.int64))])
+        return _table([row])
+
+    return run
+
+
+def _one_table_each(deal: Deal):
+    """The first state of each bucket: one table a pair."""
+
+    def run(batches):
+        C.hold("pitman_yor")
+        for batch in batches:
+            for row in _rows(pa.Table.from_batches([batch])):
+                own = Bucket(row, deal)
+                yield _batch(own.state(row["k"], np.ones(len(own.many), np.int64)))
 
     return run
 
@@ -356,8 +382,8 @@ class Root:
         return (mass + (self.strength + self.discount * self.tables) / (self.vocabulary + 1)) / (self.strength + self.customers)
 
 
-def _seat_words(codes: np.ndarray, turn: int, root: Root):
-    """A round of the parent: its tables are drawn and its masses answered to the buckets that asked, with the words' counts."""
+def _seat_words(codes: np.ndarray, turn: int, root: Root, last: bool):
+    """A round of the parent: its tables are drawn and its masses answered to the buckets that asked, in the last round with the words' counts."""
 
     def run(key, table):
         C.hold("pitman_yor")
@@ -371,7 +397,7 @@ def _seat_words(codes: np.ndarray, turn: int, root: Root):
             tables = draw_tables(rng, n, np.full(len(n), 1 / (root.vocabulary + 1)), np.maximum(root.tables - tables, 0), root.strength, root.discount)
         mass, count = (n - root.discount * tables).astype("<f4"), unsmall(own["y"])
         out = [_row(WORDS, own["k"], x=own["x"], y=own["y"], z=small(tables), v=mass.tobytes(), p=tables.sum(), q=n.sum())]
-        return _table(out + [_row(ANSWER, b, own["k"], mass[a].tobytes(), small(count[a])) for b, a, _ in asked])
+        return _table(out + [_row(ANSWER, b, own["k"], mass[a].tobytes(), small(count[a]) if last else b"") for b, a, _ in asked])
 
     return run
 
@@ -421,8 +447,9 @@ class Model:
     kept: list[Round] = field(default_factory=list)
 
 
-def _grouped(rows: DataFrame, run) -> DataFrame:
-    return rows.groupBy("k").applyInArrow(run, ROW)
+def _grouped(rows: DataFrame, run, bits: int) -> DataFrame:
+    """``run`` over the rows of each of 2 ** bits buckets, a bucket a task where there are more of them than shuffle partitions."""
+    return rows.repartition(max(C.shuffle_partitions(rows.sparkSession), 1 << bits), "k").groupBy("k").applyInArrow(run, ROW)
 
 
 def _total(rows: DataFrame, column: str) -> int:
@@ -439,7 +466,7 @@ def _code_book(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def histogram(batches):
         for batch in batches:
             for y in batch.column("y").to_pylist():
-                s, n = np.unique(step(unsmall(y)), return_counts=True)
+                s, n = np.unique(step(unsmall(opened(y))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], names=["s", "n"])
 
     steps = {r.s: r.n for r in words.select("y").mapInArrow(histogram, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()}
@@ -453,7 +480,7 @@ def _code_book(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def top(batches):
         for batch in batches:
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                w, n = np.frombuffer(x, np.int64), unsmall(y)
+                w, n = np.frombuffer(opened(x), np.int64), unsmall(opened(y))
                 ok = step(n) >= least
                 yield pa.RecordBatch.from_arrays([pa.array(w[ok]), pa.array(n[ok])], names=["w", "n"])
 
@@ -466,7 +493,7 @@ def _code_book(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, rounds: int = ROUNDS, kept: int = KEPT) -> Model:
     """Fit on the texts of ``docs`` (text; null: empty). An empty table gives a model that knows no word."""
     spark = docs.sparkSession
-    scratch = C.Scratch(spark, "pitman_yor")
+    scratch = C.Scratch(spark, "pitman_yor", tidy=True)
     docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
     bits = max(1, (C.pow2_at_least(((seen["size"] or 0) / 6 + seen.n) / BUCKET_TOKENS)).bit_length() - 1)
@@ -474,7 +501,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, kept: int = KEPT) -> Model:
     model = Model(deal, 0, 0, 0.5)
     if not seen.n:
         return model
-    words = scratch.put("words", _grouped(docs.mapInArrow(_count_words(deal.word_bits), ROW), _sum_words))
+    words = scratch.put("words", _grouped(docs.mapInArrow(_count_words(deal.word_bits), ROW), _sum_words, deal.word_bits))
     model.tokens, model.vocabulary = _total(words, "p"), _total(words, "q")
     deal.codes, deal.counts = _code_book(words)
     most = model.tokens / (4 << bits)
@@ -482,35 +509,38 @@ def train(docs: DataFrame, rounds: int = ROUNDS, kept: int = KEPT) -> Model:
     heavy.pop(int(END), None)
     deal.heavy = np.array(sorted(heavy), C.U)
     deal.heavy_customers = np.array([heavy[w] for w in sorted(heavy)], np.int64)
-    state = scratch.put("pairs", _grouped(docs.mapInArrow(_pack_pairs(deal), ROW), _merge_pairs(deal)))
-    model.pairs = state.where(F.col("kind") == PAIRS)
+    model.pairs = scratch.put("pairs", _grouped(docs.mapInArrow(_pack_pairs(deal), ROW), _merge_pairs(deal), deal.context_bits))
+    state = model.pairs.mapInArrow(_one_table_each(deal), ROW)
     ones = model.pairs.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     model.discount = float(np.clip(ones.p / max(1, ones.p + 2 * ones.q), 0.05, 0.95))
     once, twice = (_total(words.select("y").mapInArrow(_of_count(n), "n bigint"), "n") for n in (1, 2))
     root = Root(0, model.vocabulary, model.vocabulary, float(np.clip(once / max(1, once + 2 * twice), 0.05, 0.95)))
     for turn in range(rounds + 1):
         message = state.where(F.col("kind") == MESSAGE)
-        seated = scratch.put(f"words-{turn}", _grouped(words.where(F.col("kind") == WORDS).unionByName(message), _seat_words(deal.codes, turn, root)))
+        seated = scratch.put(f"words-{turn}", _grouped(words.where(F.col("kind") == WORDS).unionByName(message), _seat_words(deal.codes, turn, root, turn == rounds), deal.word_bits))
         words, answers = seated.where(F.col("kind") == WORDS), seated.where(F.col("kind") == ANSWER)
         root = Root(_total(words, "q"), _total(words, "p"), model.vocabulary, root.discount)
-        tables = state.where(F.col("kind") == TABLES)
+        # the messages have been read: only what is small of the round stays
+        tables = scratch.put(f"tables-{turn}", state.where(F.col("kind").isin(TABLES, HEAVY)))
+        if turn == 0:
+            scratch.drop("words")
+        else:
+            scratch.drop(f"contexts-{turn - 1}", *[] if turn - 1 > rounds - kept else [f"words-{turn - 1}", f"tables-{turn - 1}"])
         heavy_tables = np.zeros(len(deal.heavy), np.int64)
-        for r in state.where(F.col("kind") == HEAVY).groupBy("k").agg(F.sum("p").alias("p")).collect():
+        for r in tables.where(F.col("kind") == HEAVY).groupBy("k").agg(F.sum("p").alias("p")).collect():
             heavy_tables[r.k] = r.p
+        tables = tables.where(F.col("kind") == TABLES)
         if turn > rounds - kept:
             model.kept.append(Round(root, tables.unionByName(answers), words, heavy_tables))
-        if turn == rounds:
-            break
-        state = scratch.put(f"contexts-{turn}", _grouped(model.pairs.unionByName(tables).unionByName(answers), _seat_contexts(deal, turn, root, model.discount, heavy_tables)))
-        if 0 < turn <= rounds - kept:
-            scratch.drop(f"contexts-{turn - 1}", f"words-{turn - 1}")
+        if turn < rounds:
+            state = scratch.put(f"contexts-{turn}", _grouped(model.pairs.unionByName(tables).unionByName(answers), _seat_contexts(deal, turn, root, model.discount, heavy_tables), deal.context_bits))
     return model
 
 
 def _of_count(n: int):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int((unsmall(y) == n).sum()) for y in batch.column("y").to_pylist()], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int((unsmall(opened(y)) == n).sum()) for y in batch.column("y").to_pylist()], pa.int64())], names=["n"])
 
     return run
 
@@ -571,7 +601,7 @@ def _score_bucket(deal: Deal, n_tokens: int, vocabulary: int, discount: float, r
             # the rows of kept round s are told by their q
             answers = [r for r in rows if r["kind"] == ANSWER and r["q"] == s]
             parent[s] = root.probability(np.concatenate([np.frombuffer(r["x"], "<f4") for r in answers]).astype(float))
-            count = np.concatenate([unsmall(r["y"]) for r in answers])
+            count = np.concatenate([unsmall(r["y"]) for r in answers])  # of the last round, at last
             t = np.ones(len(own.c), np.int64)
             t[own.many] = next(unsmall(r["x"]) for r in rows if r["kind"] == TABLES and r["q"] == s)
             tables = own.tables(t[own.many])
@@ -665,7 +695,7 @@ def _sum_partials(key, table):
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` (text and any others) with n_tokens, n_known, base_score (add-one unigrams) and score, base-10 logarithms of the whole text's probability."""
     spark = docs.sparkSession
-    scratch = C.Scratch(spark, "pitman_yor-score")
+    scratch = C.Scratch(spark, "pitman_yor-score", tidy=True)
     deal = model.deal
     rows = C.settled(docs, scratch).withColumn("key", F.monotonically_increasing_id())
     texts = rows.select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -676,11 +706,11 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     for i, r in enumerate(model.kept):
         parts = parts.unionByName(r.seated.withColumn("q", F.lit(i).cast("bigint")))
     heavy = [r.heavy_tables for r in model.kept] or [np.zeros(0, np.int64)]
-    scored = scratch.put("scored", _grouped(parts, _score_bucket(deal, model.tokens, model.vocabulary, model.discount, roots, heavy)))
+    scored = scratch.put("scored", _grouped(parts, _score_bucket(deal, model.tokens, model.vocabulary, model.discount, roots, heavy), deal.context_bits))
     new = scored.where(F.col("kind") == NEW)
     for i, r in enumerate(model.kept):
         new = new.unionByName(r.words.withColumn("p", F.lit(i).cast("bigint")))
-    more = _grouped(new, _score_new(deal, model.tokens, model.vocabulary, roots))
+    more = _grouped(new, _score_new(deal, model.tokens, model.vocabulary, roots), deal.word_bits)
     sums = scored.where(F.col("kind") == PARTIAL).unionByName(more).groupBy("k").applyInArrow(_sum_partials, _SCORES)
     by_row = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return rows.select("key", *keep).join(by_row, "key").drop("key")
