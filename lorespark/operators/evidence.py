@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 WINDOW_SECONDS, BUNDLE_ROWS, BUNDLE_BYTES = 10, 50, 64 * 1024
 
 
-def exactly_once(events: DataFrame) -> DataFrame:
-    """First write wins, by event_uid (where there is one) and then by (source_id, generation, seq). events: those and ord."""
-    by_uid = Window.partitionBy(F.when(F.col("event_uid") != "", F.col("event_uid")).otherwise(F.concat(F.lit("\u0000"), F.col("ord").cast("string")))).orderBy("ord")
-    out = events.withColumn("r", F.row_number().over(by_uid)).where("r = 1").drop("r")
-    by_seq = Window.partitionBy("source_id", "generation", "seq").orderBy("ord")
-    return out.withColumn("r", F.row_number().over(by_seq)).where("r = 1").drop("r")
-
-
 def first_written(rows: DataFrame, order: str, *keys: list[str]) -> DataFrame:
     """Rows that repeat none written before them, by each key in turn; the first by ``order`` stays. A key with a null or blank column is no key."""
     for key in keys:
@@ -29,6 +21,12 @@ def first_written(rows: DataFrame, order: str, *keys: list[str]) -> DataFrame:
     return rows
 
 
+def exactly_once(events: DataFrame) -> DataFrame:
+    """First write wins, by event_uid and then by (source_id, generation, seq). A blank uid is none; a blank source or a number below 1 is no place. events: those and ord."""
+    numbered = events.withColumn("_at", F.when(F.col("seq") > 0, F.col("seq")))
+    return first_written(numbered, "ord", ["event_uid"], ["source_id", "generation", "_at"]).drop("_at")
+
+
 def lookup(wanted: DataFrame, ledger: DataFrame, *take: str) -> DataFrame:
     """``wanted`` with the ``take`` columns of the ledger row of its event_uid, else of its (source_id, generation, seq); null without either. A ledger holds each key once."""
     place = ["source_id", "generation", "seq"]

@@ -18,7 +18,6 @@ HEADER = (
     "Preferences, limits and intents come from USER only. ASSISTANT adds what the user has not said; an echo is nothing new. A fact of both is USER's.\n\n"
 )
 KINDS = ("preference", "decision", "pitfall", "task", "fact")
-DRAFT = "kind string, scope string, content string, rationale string, subject_key string, task_state string, attributed_to string, evidence_idx array<int>"
 
 
 def rule_distill(turns: DataFrame) -> DataFrame:
@@ -32,19 +31,73 @@ def rule_distill(turns: DataFrame) -> DataFrame:
     return t.withColumn("r", F.row_number().over(w)).where("r = 1").select("session_id", "seq", "kind", "content", F.lit(SALIENCE).alias("salience"))
 
 
-def parse_drafts(outputs: DataFrame) -> DataFrame:
-    """(id, status, draft): JSON lines or an array of a model's output; each from its first { to its last }; status ok, empty or bad.
+#: Texts of a draft on the wire; each is a string, null or absent, else the line (of an array: all of it) is no draft.
+_WIRE = ("kind", "scope", "content", "rationale", "subject_key", "task_state", "attributed_to")
+
+
+def _json(c: Column) -> Column:
+    """The one JSON value that a text is (variant), or null; the parser itself passes over what follows a value, but not inside both an array and an object."""
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
+
+
+def _readable(m: Column) -> Column:
+    """Whether a JSON value (variant) is an object, or null, whose fields have the types of a draft's."""
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(m, path, "variant")), F.lit("VOID"))
+    ok = kind("$.evidence_idx").isin("VOID", "ARRAY<BIGINT>", "ARRAY<VOID>")
+    for name in _WIRE:
+        ok = ok & kind(f"$.{name}").isin("VOID", "STRING")
+    whole = F.schema_of_variant(m)
+    return m.isNotNull() & ((whole == "VOID") | whole.startswith("OBJECT") & ok)
 
-    Drafts of unknown kind, without content or with evidence out of range (n_evidence) are left out. outputs: id, output, n_evidence.
+
+def read_drafts(outputs: DataFrame) -> DataFrame:
+    """(id, line, state, draft) of a model's outputs: an output that begins with [ is one JSON array, read whole or not at all (line 0); of any other each line that is not blank is read from its
+    first { to its last }. state: ok, invalid (read, but of an unknown kind or scope, without content, or without evidence in range), bad (not to be read).
+
+    A draft's scope is the project where it names none; evidence is sorted and each once; what attributes it to none of the speakers is blank. An output without drafts gives no row. outputs: id,
+    output, n_evidence.
     """
-    body = F.regexp_replace(F.trim("output"), "^\\[|\\]$", "")
-    parts = F.split(body, "(?<=\\})\\s*,?\\s*\\n?(?=\\{)|\\n")
-    o = outputs.withColumn("parts", F.filter(F.transform(parts, lambda p: F.regexp_extract(p, "(?s)\\{.*\\}", 0)), lambda p: p != ""))
-    status = F.when(F.trim(F.coalesce("output", F.lit(""))).isin("", "[]"), "empty").when(F.size("parts") == 0, "bad")
-    rows = o.select("id", "n_evidence", status.alias("status"), F.explode_outer("parts").alias("p")).withColumn("draft", F.from_json("p", DRAFT))
+    raw = T.strip(F.coalesce("output", F.lit("")))
+    listed = raw.startswith("[")
+    lines = F.filter(F.transform(F.split(raw, "\n"), T.strip), lambda x: x != "")
+    rows = outputs.select("id", "n_evidence", listed.alias("listed"), F.posexplode(F.when(listed, F.array(raw)).otherwise(lines)).alias("line", "part"))
+    rows = rows.withColumn("v", _json(F.when(F.col("listed"), F.col("part")).otherwise(F.regexp_extract("part", "(?s)\\{.*\\}", 0))))
+    one = rows.where("not listed").select("id", "n_evidence", "line", "v", _readable(F.col("v")).alias("ok"))
+    member = rows.where("listed").select("id", "n_evidence", "line", F.schema_of_variant("v").alias("kind"), F.posexplode_outer(F.try_variant_get("v", "$", "array<variant>")).alias("at", "m"))
+    member = member.withColumn("fits", (F.col("at").isNotNull() & _readable(F.col("m"))) | (F.col("at").isNull() & F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False))))
+    refused = member.groupBy("id").agg(F.bool_and("fits").alias("all_fit"))
+    member = member.join(refused, "id")
+    broken = refused.where("not all_fit").select("id", F.lit(0).alias("n_evidence"), F.lit(0).alias("line"), F.lit(None).cast("variant").alias("v"), F.lit(False).alias("ok"))
+    whole = member.where("all_fit and at is not null").select("id", "n_evidence", F.col("at").alias("line"), F.col("m").alias("v"), F.lit(True).alias("ok"))
+    got = one.unionByName(whole).unionByName(broken)
+    said = lambda name: T.strip(F.coalesce(F.try_variant_get("v", f"$.{name}", "string"), F.lit("")))
+    low = lambda name: F.lower(said(name))
+    scope = F.when(low("scope") == "", "project").otherwise(low("scope"))
+    cited = F.coalesce(F.try_variant_get("v", "$.evidence_idx", "array<int>"), F.array().cast("array<int>"))
+    who = F.when(low("attributed_to").isin("user", "assistant"), low("attributed_to")).otherwise("")
+    draft = F.struct(low("kind").alias("kind"), scope.alias("scope"), said("content").alias("content"), said("rationale").alias("rationale"), said("subject_key").alias("subject_key"), said("task_state").alias("task_state"), who.alias("attributed_to"), F.array_sort(F.array_distinct(cited)).alias("evidence_idx"))
+    got = got.select("id", "n_evidence", "line", "ok", draft.alias("draft"))
     d = F.col("draft")
-    good = d["kind"].isin(*KINDS) & (F.trim(d["content"]) != "") & F.coalesce(F.forall(d["evidence_idx"], lambda i: (i >= 1) & (i <= F.col("n_evidence"))), F.lit(True))
-    return rows.withColumn("status", F.coalesce("status", F.when(d["kind"].isNull(), "bad").otherwise("ok"))).where((F.col("status") != "ok") | F.coalesce(good, F.lit(False))).select("id", "status", "draft")
+    within = (F.size(d["evidence_idx"]) > 0) & F.forall(d["evidence_idx"], lambda i: F.coalesce((i >= 1) & (i <= F.col("n_evidence")), F.lit(False)))
+    valid = d["kind"].isin(*KINDS) & (d["content"] != "") & d["scope"].isin("session", "project", "global") & within
+    return got.select("id", "line", F.when(~F.col("ok"), "bad").when(valid, "ok").otherwise("invalid").alias("state"), F.when(F.col("ok"), d).alias("draft"))
+
+
+def parse_drafts(outputs: DataFrame) -> DataFrame:
+    """(id, status, draft): the drafts of ``read_drafts`` that hold, a row of status bad for what cannot be read, and one of status empty for an output without any. Drafts that do not hold are left out."""
+    rows = read_drafts(outputs)
+    none = outputs.select("id").distinct().join(rows.select("id").distinct(), "id", "left_anti").select("id", F.lit("empty").alias("status"), F.lit(None).cast(rows.schema["draft"].dataType).alias("draft"))
+    return rows.where("state <> 'invalid'").select("id", F.col("state").alias("status"), F.when(F.col("state") == "ok", F.col("draft")).alias("draft")).unionByName(none)
+
+
+def verdicts(outputs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(id, status, valid, invalid, bad) of outputs by their ``read_drafts``: noop without drafts, ok, partial, or invalid; bad: nothing could be read where something was said, which is worth one repair."""
+    rows = read_drafts(outputs) if rows is None else rows
+    n = rows.groupBy("id").agg(F.count_if(F.col("state") == "ok").alias("valid"), F.count_if(F.col("state") != "ok").alias("invalid"), F.count_if(F.col("state") == "bad").alias("lost"))
+    out = outputs.select("id").distinct().join(n, "id", "left").na.fill(0, ["valid", "invalid", "lost"])
+    status = F.when(F.col("invalid") == 0, F.when(F.col("valid") == 0, "noop").otherwise("ok")).when(F.col("valid") > 0, "partial").otherwise("invalid")
+    return out.select("id", status.alias("status"), "valid", "invalid", ((F.col("valid") == 0) & (F.col("lost") > 0)).alias("bad"))
 
 
 def eligible(ref: Column, fidelity: Column) -> Column:

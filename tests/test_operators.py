@@ -209,3 +209,39 @@ def test_self_recall_asks_the_library(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.form: (r.queries, r.recall, r.mrr, r.empty_rate) for r in registry.self_recall(spark, str(tmp_path)).collect()}
     assert got == {"full": (3, 1.0, 1.0, 0.0), "part": (3, 1.0, 1.0, 0.0)}
+
+
+def test_drafts_are_read_as_json(spark):
+    good = '{"kind":"fact","content":"x } { y","evidence_idx":[2,1,2]}'
+    outs = {
+        "braces": good,
+        "chatter": f"Here: {good} done\n\n  ",
+        "pretty": '[\n {\n  "kind": "Task",\n  "content": " do it ",\n  "evidence_idx": [1],\n  "attributed_to": "model"\n }\n]',
+        "array with a bad member": f'[{good}, {{"kind": 5, "content": "n", "evidence_idx": [1]}}]',
+        "broken array": f"[{good}",
+        "array and talk": f"[{good}] that is all", "two arrays": f"[{good}], [{good}]", "two on a line": good + " " + good,
+        "two lines": good + "\n" + '{"kind":"fact","content":"a","evidence_idx":[9]}\nnot json',
+        "no evidence": '{"kind":"fact","content":"a"}',
+        "scopes": '{"kind":"fact","content":"a","scope":"galaxy","evidence_idx":[1]}\n{"kind":"fact","content":"b","scope":" Global ","evidence_idx":[1]}',
+        "empty": "", "list": "[]", "blank": " \n ", "null member": "[null]", "talk": "I found nothing",
+    }
+    df = spark.createDataFrame([(k, v, 2) for k, v in outs.items()], "id string, output string, n_evidence int")
+    got = {}
+    for r in extraction.read_drafts(df).orderBy("id", "line").collect():
+        got.setdefault(r.id, []).append((r.state, r.draft and (r.draft.kind, r.draft.scope, r.draft.content, r.draft.attributed_to, r.draft.evidence_idx)))
+    one = ("ok", ("fact", "project", "x } { y", "", [1, 2]))
+    assert got["braces"] == got["chatter"] == [one]
+    assert got["pretty"] == [("ok", ("task", "project", "do it", "", [1]))]
+    assert got["array with a bad member"] == got["broken array"] == got["array and talk"] == got["talk"] == got["two arrays"] == got["two on a line"] == [("bad", None)]
+    assert [s for s, _ in got["two lines"]] == ["ok", "invalid", "bad"] and got["two lines"][0] == one
+    assert [s for s, _ in got["no evidence"]] == ["invalid"] and [s for s, _ in got["null member"]] == ["invalid"]
+    assert [(s, d[1]) for s, d in got["scopes"]] == [("invalid", "galaxy"), ("ok", "global")]
+    assert not {"empty", "list", "blank"} & set(got)
+    v = {r.id: (r.status, r.bad) for r in extraction.verdicts(df).collect()}
+    assert v["empty"] == v["list"] == v["blank"] == ("noop", False) and v["braces"] == ("ok", False) and v["two lines"] == ("partial", False)
+    assert v["broken array"] == v["talk"] == ("invalid", True) and v["no evidence"] == ("invalid", False)
+
+
+def test_events_without_a_place_are_kept(spark):
+    ev = spark.createDataFrame([(1, "a", "", 1, 0), (2, "b", "", 1, 0), (3, "c", "", 1, 0), (4, "", "s", 1, -1), (5, "", "s", 1, -1), (6, "d", "s", 1, 2), (7, "", "s", 1, 2), (8, "a", "s", 1, 3), (9, None, None, None, None), (10, None, None, None, None)], "ord int, event_uid string, source_id string, generation int, seq int")
+    assert sorted(r.ord for r in evidence.exactly_once(ev).collect()) == [1, 2, 3, 4, 5, 6, 9, 10]
