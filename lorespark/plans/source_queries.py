@@ -31,7 +31,7 @@ def _files(m: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query("SELECT path, start, value FROM batch_of", **_LINES)
 def incremental_lines(spark, d):
-    return logs.new_lines(*_files(memories(spark, d)), 20, 400)[0]
+    return logs.new_lines(*_files(memories(spark, d)), 20, 400)[0].select("path", "start", "value")
 
 
 @query('SELECT path, coalesce((SELECT max(past) FROM batch_of b WHERE b.path = f.path), cursor) AS "offset" FROM files_of f', **_LINES)

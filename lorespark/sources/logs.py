@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lines import new_lines  # noqa: F401  (logs.new_lines)
 from .readers import SEGMENT, exists, read_jsonl
 
 AUDIT_BYTES, AUDIT_KEEP, SPOOL_FILES, TOOLS, BATCH_ROWS, BATCH_BYTES = 5 << 20, 3, 200, 128, 200, 1 << 20
@@ -144,21 +145,6 @@ def files_of(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFr
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
-def new_lines(files: DataFrame, cursors: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(path, start, value) of whole lines behind each file's cursor, and the cursors (path, offset) behind them. The unfinished last line waits; a batch has at most ``rows`` lines
-    and ``size`` bytes of a file, one line at least. files: path, content (binary); cursors: path, offset in bytes."""
-    f = files.join(cursors, "path", "left").withColumn("offset", F.coalesce("offset", F.lit(0)).cast("bigint"))
-    rest = F.expr("substring(content, cast(offset + 1 as int), greatest(0, length(content) - cast(offset as int)))")
-    f = f.select("path", "offset", F.split(F.decode(rest, "UTF-8"), "\n").alias("ls"))
-    whole = F.slice("ls", F.lit(1), F.size("ls") - 1)  # what follows the last line break is unfinished
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = f.where(F.size("ls") > 1).select("path", "offset", F.posexplode(whole).alias("pos", "value")).withColumn("n", (F.octet_length("value") + 1).cast("bigint"))
-    lines = lines.withColumn("end", F.sum("n").over(w)).where((F.col("pos") < rows) & ((F.col("end") <= size) | (F.col("pos") == 0)))
-    moved = lines.groupBy("path").agg(F.max(F.col("offset") + F.col("end")).alias("_to"))
-    after = files.select("path").join(cursors, "path", "left").join(moved, "path", "left").select("path", F.coalesce("_to", "offset", F.lit(0)).cast("bigint").alias("offset"))
-    return lines.select("path", (F.col("offset") + F.col("end") - F.col("n")).alias("start"), F.regexp_replace("value", "\r$", "").alias("value")), after
-
-
 def remember_tools(old: Column, new: Column, most: int = TOOLS) -> Column:
     """The last ``most`` of two arrays of (id, name), old ones first; a later name of an id replaces the earlier."""
     both = F.concat(old, new)
