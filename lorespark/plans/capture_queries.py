@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import minhash as M
 from ..operators import capture, extraction
+from ..streaming import arrival
 from .registry import _scrubbed, query
 from .sql import STRIP
 from .tables import NOW, memories, observations, table
@@ -274,3 +275,28 @@ def cold_start_projects(spark, d):
 @query("SELECT session_id, max(created_at) AS newest FROM observations GROUP BY session_id ORDER BY newest, session_id LIMIT 5")
 def sessions_on_start(spark, d):
     return capture.pending_sessions(observations(spark, d).groupBy("session_id").agg(F.max("created_at").alias("newest")))
+
+
+#: A log of each user: errors ask for a rotation, signups issue what has come, the rest are events, numbered behind the last rotation asked for.
+_ARRIVED = {
+    "typed": "SELECT event_id AS ord, CASE event_type WHEN 'error' THEN 'rotate' WHEN 'signup' THEN 'issue' ELSE 'event' END AS kind, CASE WHEN event_type NOT IN ('error', 'signup') AND event_id % 3 > 0 THEN 'u' || (event_id // 2 - event_id % 7) END AS event_uid, CASE WHEN event_id % 97 = 5 THEN '' ELSE 's' || user_id END AS source_id FROM events",
+    "met": "SELECT *, event_uid IS NOT NULL AND row_number() OVER (PARTITION BY event_uid ORDER BY ord) > 1 AS known, count(*) FILTER (kind = 'rotate') OVER (PARTITION BY source_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turned FROM typed",
+    "placed_rows": "SELECT *, count(*) FILTER (kind = 'event' AND NOT known) OVER (PARTITION BY source_id, turned ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + (kind = 'event' AND ord % 41 = 0)::INT AS seq, turned + 1 AS generation FROM met",
+    "logged": "SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS i FROM placed_rows WHERE NOT known AND source_id <> '' AND (kind <> 'event' OR seq > 0)",
+    "stepped(source_id, i, ord, gen, last, cur, state)": "SELECT DISTINCT source_id, 0::BIGINT, NULL::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM logged UNION ALL SELECT l.source_id, l.i, l.ord, CASE WHEN st = 'done' THEN gen + 1 ELSE gen END, CASE WHEN st = 'done' THEN 0 WHEN st = 'accepted' THEN last + 1 ELSE last END, CASE WHEN st = 'done' THEN 0 WHEN st = 'issued' THEN l.seq ELSE cur END, st FROM (SELECT s.*, l.seq AS to_seq, CASE l.kind WHEN 'rotate' THEN CASE WHEN cur >= last THEN 'done' ELSE 'refused' END WHEN 'issue' THEN CASE WHEN l.generation = gen AND l.seq BETWEEN cur AND last THEN 'issued' ELSE 'refused' END ELSE CASE WHEN l.generation <> gen THEN 'generation' WHEN l.seq = last + 1 THEN 'accepted' ELSE 'gap' END END AS st FROM stepped s JOIN logged l ON l.source_id = s.source_id AND l.i = s.i + 1) s JOIN logged l ON l.source_id = s.source_id AND l.i = s.i + 1",
+}
+
+
+@query("SELECT p.ord, p.kind, p.source_id, p.generation, p.seq, CASE WHEN p.known THEN 'known' WHEN l.ord IS NULL THEN CASE WHEN p.kind = 'event' THEN 'accepted' ELSE 'refused' END ELSE s.state END AS state FROM placed_rows p LEFT JOIN logged l ON l.ord = p.ord LEFT JOIN stepped s ON s.ord = p.ord", recursive=True, **_ARRIVED)
+def captured_log(spark, d):
+    e, i, t = table(spark, d, "events"), F.col("event_id"), F.col("event_type")
+    kind = F.when(t == "error", "rotate").when(t == "signup", "issue").otherwise("event")
+    uid = F.when((kind == "event") & (i % 3 > 0), _txt("u", F.expr("event_id div 2 - event_id % 7")))
+    rows = e.select(i.alias("ord"), kind.alias("kind"), uid.alias("event_uid"), F.when(i % 97 == 5, "").otherwise(_txt("s", F.col("user_id"))).alias("source_id"))
+    before = Window.partitionBy("source_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("event_uid").isNotNull() & (F.row_number().over(Window.partitionBy("event_uid").orderBy("ord")) > 1)
+    rows = rows.withColumns({"known": known, "turned": F.count_if(F.col("kind") == "rotate").over(before)})
+    since = Window.partitionBy("source_id", "turned").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    event = F.col("kind") == "event"
+    rows = rows.withColumns({"seq": F.count_if(event & ~F.col("known")).over(since) + (event & (F.col("ord") % 41 == 0)).cast("int"), "generation": F.col("turned") + 1})
+    return arrival.captured_batch(rows.select("ord", "kind", "event_uid", "source_id", "generation", "seq")).drop("event_uid")
