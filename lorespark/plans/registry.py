@@ -736,4 +736,4 @@ def minhash_signatures(spark, d):
     return s.select("id", F.sha2(F.array_join(F.transform("sig", lambda x: x.cast("string")), ","), 256).alias("sig_hash"))
 
 
-from . import capture_queries, context_queries, index_queries, source_queries, write_queries  # noqa: E402,F401  (they register themselves)
+from . import capture_queries, context_queries, index_queries, runner_queries, source_queries, write_queries  # noqa: E402,F401  (they register themselves)
