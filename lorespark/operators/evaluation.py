@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import holding
 from ..plans.scratch import written
 from .capture import residue
 from .listing import by_refs
-from .retrieval import small
 
 
 def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
@@ -196,7 +196,7 @@ def fingerprint(rows: DataFrame, *cols: str) -> DataFrame:
 def write_eval(cands: DataFrame, expected: DataFrame) -> DataFrame:
     """One row: candidates, fragments (ending in a comma or semicolon), avg_chars, missed (expected phrases in none), extra (candidates with none)."""
     c = cands.select("id", "content")
-    hit = c.join(small(expected.select("phrase").distinct()), F.contains("content", "phrase"))
+    hit = holding(c, "content", expected.select("phrase").distinct(), "phrase").select("id", "phrase")
     a = c.agg(F.count("*").alias("candidates"), F.count_if(F.col("content").rlike("[，、；,;]\\s*$")).alias("fragments"), F.avg(F.length("content")).alias("avg_chars"))
     b = hit.agg(F.countDistinct("id").alias("matched"), F.countDistinct("phrase").alias("found"))
     n = expected.agg(F.countDistinct("phrase").alias("phrases"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 K1, B_LEN, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Terms whose words are remembered, and texts scored at a time.
 REMEMBERED, TEXTS = 500_000, 512
+#: Cells of a table of queries and words, and of words and texts (8 bytes each).
+CELLS = 4 << 20
 DIGITS = 9
 
 
@@ -89,9 +91,11 @@ class Asked:
         return out, size
 
 
-def _slices(batch: pa.RecordBatch):
-    for i in range(0, batch.num_rows, TEXTS):
-        yield batch.slice(i, TEXTS)
+def _slices(batch: pa.RecordBatch, words: int = 0):
+    """Parts of a batch, of so many texts that a table of them and ``words`` has CELLS cells at most."""
+    n = max(1, min(TEXTS, CELLS // max(1, words)))
+    for i in range(0, batch.num_rows, n):
+        yield batch.slice(i, n)
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
@@ -104,7 +108,7 @@ def count_words(asked: Asked):
     def run(batches):
         df, n, size = np.zeros(len(asked.words), np.int64), 0, 0
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, len(asked.words)):
                 f, lens = asked.counts(part.column("terms"))
                 df += (f > 0).sum(axis=1)
                 n, size = n + len(lens), size + int(lens.sum())
@@ -148,7 +152,7 @@ def best_texts(asked: Asked, idf: np.ndarray, mean_len: float, n: int | None, wi
     def run(batches):
         kept = Kept(n, width)
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, len(asked.words)):
                 f, lens = asked.counts(part.column("terms"))
                 ok = part.column("ok").to_numpy(zero_copy_only=False).astype(bool)
                 score = idf[:, None] * f * (K1 + 1) / (f + K1 * (1 - B_LEN + B_LEN * lens / mean_len))

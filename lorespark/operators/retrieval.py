@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import minhash as M
 from ..functions import text as T
+from ..functions.patterns import holding
 from . import ranking
 from .index import Index
 
@@ -28,10 +29,6 @@ LAYERS = {"": "memory", "memory": "memory", "observation": "observation", "recen
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def visible(now: int) -> Column:
     return (F.col("expires_at").isNull() | (F.col("expires_at") > now)) & F.col("superseded_by").isNull()
 
@@ -59,9 +56,11 @@ def listing(mem: DataFrame, now: int, scope: str = "all", project: str = "", kin
     return out.orderBy(F.desc("salience"), F.desc("last_seen_at"), F.desc("updated_at"), "id").limit(limit)
 
 
-def _query_blocks(queries: DataFrame):
-    """The queries (qid, query) in blocks of about QUERY_BLOCK, each collected for itself: a query has one row here, texts have none."""
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+def _query_blocks(queries: DataFrame, words: Column | None = None):
+    """The queries (qid, ...) in blocks of about QUERY_BLOCK, each collected for itself: a query has one row here, texts have none. words: how many words a query has; a block's table of queries and words has some
+    ranking.CELLS cells then, so that long queries go in smaller blocks."""
+    seen = queries.agg(F.count("*").alias("n"), F.sum(words if words is not None else F.lit(0)).alias("words")).first()
+    blocks = max(1, math.ceil(seen.n / QUERY_BLOCK), math.ceil(math.sqrt(seen.n * (seen.words or 0) / ranking.CELLS)))
     for b in range(blocks):
         yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
 
@@ -76,7 +75,7 @@ def ranked(docs: DataFrame, queries: DataFrame, n: int | None = None, order: tup
     terms = docs.select("id", T.index_terms(F.coalesce("content", F.lit(""))).alias("terms"), F.coalesce(keep if keep is not None else F.lit(True), F.lit(False)).alias("ok"), *[c.cast("double").alias(f"o{i}") for i, c in enumerate(order)])
     qid = queries.schema["qid"].dataType
     out = None
-    for block in _query_blocks(queries.select("qid", T.query_phrases(F.col("query")).alias("p"))):
+    for block in _query_blocks(queries.select("qid", T.query_phrases(F.col("query")).alias("p")), F.size("p")):
         asked = ranking.Asked.of([(r.qid, [(p.grp, p.term, p.prefix) for p in r.p or []]) for r in block.collect()])
         seen = terms.select("terms").mapInArrow(ranking.count_words(asked), "word int, df bigint, len bigint").groupBy("word").agg(F.sum("df").alias("df"), F.sum("len").alias("len")).collect()
         df, (docs_n, length) = np.zeros(len(asked.words)), next(((r.df, r.len) for r in seen if r.word < 0), (0, 0))
@@ -190,9 +189,9 @@ def interleave(memory: DataFrame, observation: DataFrame, limit: int = 10) -> Da
 
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Append the standard word of every alias that a query contains; global ('') and the query's project. Standards in order, once each."""
-    s = small(synonyms.select(F.col("project").alias("sp"), "alias", "standard"))
-    found = queries.join(s, F.contains(F.lower("query"), F.lower("alias")) & ((F.col("sp") == "") | (F.col("sp") == F.col("project"))), "left")
-    found = found.where(F.col("standard").isNull() | ~F.contains(F.lower("query"), F.lower("standard")))
+    s = synonyms.select(F.col("project").alias("sp"), "standard", F.lower("alias").alias("__alias"))
+    asked = queries.select("qid", "project", F.lower("query").alias("__low"))
+    found = holding(asked, "__low", s, "__alias").where(((F.col("sp") == "") | (F.col("sp") == F.col("project"))) & ~F.contains("__low", F.lower("standard")))
     add = found.groupBy("qid").agg(F.array_sort(F.collect_set("standard")).alias("more"))
     return queries.join(add, "qid", "left").withColumn("query", F.when(F.size("more") > 0, F.concat("query", F.lit(" "), F.array_join("more", " "))).otherwise(F.col("query"))).drop("more")
 
@@ -205,9 +204,11 @@ def assets_by_file(mem: DataFrame, files: list[str], limit: int = 200) -> DataFr
 
 def resolve_prefix(mem: DataFrame, wanted: DataFrame) -> DataFrame:
     """(prefix, n, id, state): the id that equals the prefix, else the only one it begins; state: exact, unique, none or ambiguous."""
-    ids = mem.select(F.col("id").cast("string").alias("id")).distinct()
-    hit = ids.join(small(wanted.select("prefix").distinct()), F.col("id").startswith(F.col("prefix")))
-    got = hit.groupBy("prefix").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max(F.when(F.col("id") == F.col("prefix"), F.col("id"))).alias("same"))
-    out = wanted.select("prefix").distinct().join(got, "prefix", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ids, asked = mem.select(F.col("id").cast("string").alias("id")).distinct(), wanted.select("prefix").distinct()
+    # an id begins with one string of each length, so ids meet prefixes by equality; counts are folded before they are shuffled, however many ids a short prefix has
+    lengths = sorted(r.n for r in asked.select(F.char_length("prefix").alias("n")).distinct().collect())
+    begun = ids.select("id", F.explode(F.array(*[F.when(F.char_length("id") >= n, F.substring("id", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("prefix")).where("prefix is not null")
+    hit = begun.groupBy("prefix").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max(F.when(F.col("id") == F.col("prefix"), F.col("id"))).alias("same"))
+    out = asked.join(hit, "prefix", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     state = F.when(F.col("same").isNotNull(), "exact").when(F.col("n") == 1, "unique").when(F.col("n") == 0, "none").otherwise("ambiguous")
     return out.select("prefix", "n", F.when(state.isin("exact", "unique"), F.coalesce("same", "low")).alias("id"), state.alias("state"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import minhash as M
 from ..functions import text as T
 from ..functions.decay import decay_days, decay_frac
+from ..functions.patterns import holding
 from ..operators import dedup, evaluation, evidence, extraction, lifecycle, retrieval, supply
 from ..sources import readers
 from .sql import DAYS, DECAY, FOLDED, HASH, NORM, VISIBLE, bm25, fused, with_parts
@@ -410,7 +411,7 @@ def _gold(spark, d) -> DataFrame:
     """Documents that hold a benchmark passage word for word, by the first 12 marks of their hash."""
     doc = _hashed(memories(spark, d)).select("content_hash", "content")
     b = table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), "text")
-    return doc.join(F.broadcast(b) if b.count() <= retrieval.BROADCAST_ROWS else b, F.contains("content", "text")).select("qid", F.substring("content_hash", 1, 12).alias("prefix")).distinct()
+    return holding(doc, "content", b, "text").select("qid", F.substring("content_hash", 1, 12).alias("prefix")).distinct()
 
 
 _RECALL = "SELECT g.qid, g.n_gold, coalesce(h.hits, 0) AS hits, round(coalesce(h.hits, 0) / g.n_gold, 9) AS recall, round(coalesce(1.0 / h.first, 0), 9) AS rr, coalesce(h.found, 0) = g.n_gold AS strict FROM (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid) g LEFT JOIN (SELECT r.qid, count(DISTINCT rank) AS hits, min(rank) AS first, count(DISTINCT prefix) AS found FROM placed r JOIN gold ON r.qid = gold.qid AND starts_with(r.hash, gold.prefix) GROUP BY r.qid) h ON g.qid = h.qid"
@@ -533,7 +534,9 @@ def supply_outcomes(spark, d):
 @query("SELECT round(avg((coalesce(good, 0) > 0)::INT) FILTER (n > 0), 9) AS supply_rate, round(sum(good) / sum(injected), 9) AS precision, round(avg((injected IS NULL)::INT) FILTER (n = 0), 9) AS abstain_rate FROM (SELECT w.qid, count(w.id) AS n, any_value(i.injected) AS injected, any_value(i.good) AS good FROM wanted w LEFT JOIN (SELECT c.qid, count(*) AS injected, count(x.id) AS good FROM chosen c LEFT JOIN wanted x ON x.qid = c.qid AND x.id = c.id WHERE injection_rank > 0 GROUP BY c.qid) i ON i.qid = w.qid GROUP BY w.qid)", recursive=True, wanted="SELECT qid, CASE WHEN qid % 3 > 0 THEN id END AS id FROM q JOIN memories ON contains(content, query) OR id % 7 = qid % 7", **_TRACE)
 def supply_metrics(spark, d):
     q, m = _questions(spark, d), memories(spark, d)
-    wanted = m.join(F.broadcast(q), F.contains("content", "query") | (F.col("id") % 7 == F.col("qid") % 7)).select("qid", F.when(F.col("qid") % 3 > 0, F.col("id")).alias("id"))
+    held = holding(m.select("id", "content"), "content", q, "query").select("qid", "id")
+    alike = m.select("id", (F.col("id") % 7).alias("k")).join(q.select("qid", (F.col("qid") % 7).alias("k")), "k").select("qid", "id")
+    wanted = held.unionByName(alike).distinct().select("qid", F.when(F.col("qid") % 3 > 0, F.col("id")).alias("id"))
     out = supply.metrics(_trace(spark, d), wanted)
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
