@@ -117,8 +117,10 @@ def term_coverage(text: Column, terms: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.when(t.rlike("[A-Za-z]"), contains_ident(low, t)).otherwise(F.contains(low, t))))
 
 
-def query_gate(c: Column) -> Column:
-    """run, empty, pleasantry or short_no_tech."""
+def query_gate(c: Column, explicit: Column | None = None) -> Column:
+    """run, empty, pleasantry or short_no_tech; what is asked for explicitly passes."""
+    if explicit is not None:
+        return F.when(F.coalesce(explicit, F.lit(False)), "explicit").otherwise(query_gate(c))
     body = F.lower(F.regexp_replace(c, "[^A-Za-z0-9\\u4e00-\\u9fff]", ""))
     words = F.filter(F.split(F.lower(c), "[^a-z0-9\\u4e00-\\u9fff]+"), lambda t: t != "")
     social = (F.size(words) > 0) & F.forall(words, lambda t: t.isin(SOCIAL))

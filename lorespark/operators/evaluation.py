@@ -47,10 +47,10 @@ def audit_summary(audit: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def audit_maps(audit: DataFrame, *by: str) -> DataFrame:
-    """(by, by_event): how often each event was, as a map in order of name."""
-    n = audit.groupBy(*by, "event").agg(F.count("*").alias("n"))
-    return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event", "n")))).alias("by_event"))
+def audit_maps(audit: DataFrame, *by: str, of: str = "event") -> DataFrame:
+    """(by, by_event): how often each event was, as a map in order of name; by another column (``of``: harness) likewise, rows without one left out."""
+    n = audit.where(F.coalesce(F.col(of), F.lit("")) != "").groupBy(*by, of).agg(F.count("*").alias("n")) if of != "event" else audit.groupBy(*by, of).agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(of, "n")))).alias(f"by_{of}"))
 
 
 def activity_verdict(summary: DataFrame) -> DataFrame:
@@ -203,6 +203,11 @@ def write_eval(cands: DataFrame, expected: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b)).join(F.broadcast(n)).select("candidates", "fragments", "avg_chars", (F.col("phrases") - F.col("found")).alias("missed"), (F.col("candidates") - F.col("matched")).alias("extra"))
 
 
+def injected_union(events: DataFrame, *by: str) -> DataFrame:
+    """(by, hashes): what the events of a group injected in all, each hash once, in order. events: hashes (an array; null: none)."""
+    return events.select(*by, F.explode_outer("hashes").alias("h")).groupBy(*by).agg(F.array_sort(F.collect_set("h")).alias("hashes"))
+
+
 def latency(audit: DataFrame, *by: str) -> DataFrame:
     """(by, n, mean, p95, most) of ms; p95 is interpolated between the two nearest values."""
     return audit.where("ms is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.percentile("ms", F.lit(0.95)).alias("p95"), F.max("ms").alias("most"))

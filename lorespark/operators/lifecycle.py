@@ -100,6 +100,22 @@ def label_legacy(mem: DataFrame, marks: DataFrame, mark: str, column: str, value
     return mem.withColumn(column, F.when(blank, value).otherwise(F.col(column))), marks.unionByName(mem.sparkSession.createDataFrame([(mark,)], "mark string"))
 
 
+#: What is said of rows from before evidence was kept.
+LEGACY = (("memory", "legacy/no_original_evidence"), ("observation", "legacy_unpositioned"))
+
+
+def mark_legacy(mem: DataFrame, obs: DataFrame, marks: DataFrame, version: int, now: int) -> tuple[DataFrame, int]:
+    """Marks (entity_type, entity_id, mark, marked_at) with one for each memory and observation there is, and the version behind it. The rows themselves are not touched: no place, archive or time is made up for them. From version 1 on nothing
+    is marked, so rows that came later never are; a mark that is there stays as it is. mem, obs: id."""
+    if version >= 1:
+        return marks, version
+    new = None
+    for (kind, mark), rows in zip(LEGACY, (mem, obs), strict=True):
+        part = rows.select(F.lit(kind).alias("entity_type"), F.col("id").cast("string").alias("entity_id"), F.lit(mark).alias("mark"), F.lit(now).cast("bigint").alias("marked_at")).distinct()
+        new = part if new is None else new.unionByName(part)
+    return marks.unionByName(new.join(marks, ["entity_type", "entity_id", "mark"], "left_anti").select(*marks.columns)), 1
+
+
 def saved_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
     """(memory_id, key, value) with new ones added, each once."""
     return tags.unionByName(new.select(*tags.columns)).distinct()

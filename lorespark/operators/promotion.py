@@ -5,9 +5,12 @@ A batch holds at most one request per candidate; a request's revision (-1: any)
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import minhash as M
 from ..functions import text as T
 from .evidence import commit_matrix, grade, key_of, provenance, set_hash
 from .exchange import channel
@@ -129,6 +132,50 @@ def accept(cands: DataFrame, requests: DataFrame, mem: DataFrame, now: int, new_
     return cand, after
 
 
+@dataclass
+class Commit:
+    """outcomes of the requests; candidates, memories, links (memory_evidence), edges and the decision log behind them."""
+
+    outcomes: DataFrame
+    candidates: DataFrame
+    memories: DataFrame
+    links: DataFrame
+    edges: DataFrame
+    decisions: DataFrame
+
+
+def commit(cands: DataFrame, requests: DataFrame, mem: DataFrame, items: DataFrame, links: DataFrame, edges: DataFrame, log: DataFrame, now: int, new_id: Column, action: str = "human_accept", actor: str = "human") -> Commit:
+    """``accept`` with all that goes with it. A memory that takes a candidate counts it, has its origin, its time of adoption and its signature; a new one has the candidate's channel, else an agent's. Where a memory has no provenance it gets that of
+    the first candidate that comes to it. Evidence, the edge to the candidate and the decision are added once.
+
+    A request for what is accepted is a replay: it adds evidence, edge, decision and missing provenance and counts nothing; where the memory is gone it is lost, and nothing is written. mem: what ``accept`` reads, and origin_tool, channel,
+    provenance, last_adopted_at; items: ``load_evidence``'s; links: memory_id, evidence_id, event_uid, archive, locator, grade, seq, occurred_at; edges: src, dst, rel; log: ``decisions``' columns.
+    """
+    alive = mem.select(F.col("id").alias("memory_id"), F.lit(True).alias("_alive"))
+    told = judge(cands, requests, "accepted").join(alive, "memory_id", "left")
+    told = told.withColumn("outcome", F.when((F.col("outcome") == "already") & F.col("_alive").isNull(), "lost").otherwise(F.col("outcome"))).drop("_alive")
+    after, taken = accept(cands, requests, mem, now, new_id)
+    fresh = told.where("outcome = 'commit'").select("id", *([F.col("channel").alias("said")] if "channel" in cands.columns else [F.lit("").alias("said")])).join(after.select("id", "memory_id"), "id")
+    replay = told.where("outcome = 'already'").select("id", F.lit("").alias("said"), "memory_id")
+    came = fresh.unionByName(replay).join(commit_provenance(cands, items), "id")
+    first = came.groupBy(F.col("memory_id").alias("id")).agg(F.min_by("provenance", "id").alias("_p"))
+    hit = fresh.groupBy(F.col("memory_id").alias("id")).agg(F.min_by("said", "id").alias("_said"), F.lit(True).alias("_hit"))
+    own = mem.select("id", "origin_tool", "channel", "provenance", "last_adopted_at", F.lit(True).alias("_old"))
+    m = taken.join(own, "id", "left").join(first, "id", "left").join(hit, "id", "left")
+    blank = F.coalesce("provenance", F.lit("")) == ""
+    full = m.select(
+        *taken.columns, F.when(F.col("_hit"), "distill").otherwise(F.col("origin_tool")).alias("origin_tool"), F.when(F.col("_old"), F.col("channel")).otherwise(default_channel(F.col("_said"), F.lit("distill"))).alias("channel"),
+        F.when(blank, F.coalesce("_p", "provenance")).otherwise(F.col("provenance")).alias("provenance"), F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("last_adopted_at")).alias("last_adopted_at"), M.minhash("content").alias("signature"),
+    )
+    handed = items.where((F.trim(F.coalesce("evidence_id", F.lit(""))) != "") | (F.trim(F.coalesce("event_uid", F.lit(""))) != "")).join(came.select(F.col("id").alias("candidate_id"), "memory_id"), "candidate_id")
+    key = ["memory_id", "evidence_id"]
+    w = Window.partitionBy(*key).orderBy("candidate_id", "role")
+    handed = handed.withColumn("_n", F.row_number().over(w)).where("_n = 1").join(links.select(*key), key, "left_anti").select(*links.columns)
+    made = came.select(F.col("memory_id").alias("src"), F.col("id").alias("dst"), F.lit("derived_from").alias("rel")).distinct().join(edges, ["src", "dst", "rel"], "left_anti")
+    decided = decisions(told.drop("memory_id").join(came.select("id", "memory_id"), "id"), items, action, actor)
+    return Commit(told.select("id", "outcome"), after, full, links.unionByName(handed), edges.unionByName(made.select(*edges.columns)), append_decisions(log, decided.select(*log.columns)))
+
+
 def derived(judged_after: DataFrame) -> DataFrame:
     """(src, dst, rel): accepted candidates and the memories derived from them."""
     return judged_after.where("status = 'accepted' and memory_id is not null").select(F.col("memory_id").alias("src"), F.col("id").alias("dst"), F.lit("derived_from").alias("rel")).distinct()

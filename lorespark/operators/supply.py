@@ -87,14 +87,14 @@ def supply(hits: DataFrame, limit: int = LIMIT, budget: int = BUDGET_CHARS, scop
 
 
 def outcomes(trace: DataFrame, queries: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """(qid, outcome): injected, abstained_low_quality, abstained_no_hit or skipped_gate; error for the queries in ``failed`` (qid), whose search broke."""
+    """(qid, outcome): injected, abstained_low_quality, abstained_no_hit or skipped_gate; error for the queries in ``failed`` (qid), whose search broke. Queries with a true column ``explicit`` pass the gate."""
     t = trace.groupBy("qid").agg(F.max("injection_rank").alias("n"))
-    gate = T.query_gate(F.col("query"))
+    gate = T.query_gate(F.col("query"), F.col("explicit") if "explicit" in queries.columns else None)
     out = queries.join(t, "qid", "left").withColumn("gate", gate)
     broken = F.lit(False)
     if failed is not None:
         out, broken = out.join(failed.select("qid", F.lit(True).alias("broken")).distinct(), "qid", "left"), F.coalesce("broken", F.lit(False))
-    return out.select("qid", F.when(F.col("gate") != "run", "skipped_gate").when(broken, "error").when(F.col("n").isNull(), "abstained_no_hit").when(F.col("n") > 0, "injected").otherwise("abstained_low_quality").alias("outcome"))
+    return out.select("qid", F.when(~F.col("gate").isin("run", "explicit"), "skipped_gate").when(broken, "error").when(F.col("n").isNull(), "abstained_no_hit").when(F.col("n") > 0, "injected").otherwise("abstained_low_quality").alias("outcome"))
 
 
 def traces(trace: DataFrame, queries: DataFrame) -> DataFrame:

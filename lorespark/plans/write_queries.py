@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import exchange, extraction, promotion
+from ..operators import exchange, extraction, lifecycle, promotion
 from ..operators.evidence import canonical_role
-from .registry import _GRADE, _ITEMS, _ROLE, _TAGS, _hashed, _items, _tags, query
+from .registry import _GRADE, _ITEMS, _ROLE, _TAGS, ORACLES, _hashed, _items, _tags, query
 from .sql import HASH
 from .tables import NOW, memories, observations
 
@@ -299,6 +299,47 @@ def commit_provenance(spark, d):
     return promotion.commit_provenance(memories(spark, d), _loaded(spark, d))
 
 
+_COMMIT = _ACCEPT | {
+    "prov_of": ORACLES["commit_provenance"],
+    "shelved": "SELECT id, 'manual' AS origin_tool, CASE WHEN id % 2 = 0 THEN 'user' ELSE '' END AS channel, CASE WHEN id % 9 = 0 THEN 'kept' WHEN id % 9 = 3 THEN '' END AS provenance, NULL::BIGINT AS last_adopted_at FROM lib",
+    "told": "SELECT r.id, r.content_hash, r.project, r.memory_id, CASE WHEN outcome = 'already' AND l.id IS NULL THEN 'lost' ELSE outcome END AS outcome FROM ruled r LEFT JOIN lib l ON l.id = r.memory_id",
+    "come": "SELECT t.id, m.id AS memory_id, outcome FROM told t JOIN mem_after m ON t.content_hash = m.content_hash AND t.project = m.project WHERE outcome = 'commit' UNION ALL SELECT id, memory_id, outcome FROM told WHERE outcome = 'already'",
+    "given_prov": "SELECT c.memory_id AS id, arg_min(p.provenance, c.id) AS p, bool_or(outcome = 'commit') AS hit FROM come c JOIN prov_of p ON p.id = c.id GROUP BY 1",
+}
+
+
+def _committed(spark, d) -> promotion.Commit:
+    c, asked, lib, _ = _promote(spark, d)
+    i = F.col("id")
+    lib = lib.withColumns({"origin_tool": F.lit("manual"), "channel": F.when(i % 2 == 0, "user").otherwise(""), "provenance": F.when(i % 9 == 0, "kept").when(i % 9 == 3, ""), "last_adopted_at": F.lit(None).cast("bigint")})
+    links = spark.createDataFrame([], "memory_id bigint, evidence_id string, event_uid string, archive string, locator string, grade string, seq bigint, occurred_at bigint")
+    log = spark.createDataFrame([], "candidate_id bigint, revision bigint, evidence_hash string, action string, actor string, idempotency_key string, memory_id bigint")
+    return promotion.commit(c, asked, lib, _loaded(spark, d), links, spark.createDataFrame([], "src bigint, dst bigint, rel string"), log, NOW, _first())
+
+
+@query(f"SELECT m.id, m.content_hash, m.adopted_count, CASE WHEN g.hit THEN 'distill' ELSE origin_tool END AS origin_tool, CASE WHEN s.id IS NULL THEN 'agent' ELSE channel END AS channel, CASE WHEN coalesce(provenance, '') = '' THEN coalesce(g.p, provenance) ELSE provenance END AS provenance, CASE WHEN g.hit THEN {NOW} ELSE last_adopted_at END AS last_adopted_at FROM mem_after m LEFT JOIN shelved s ON s.id = m.id LEFT JOIN given_prov g ON g.id = m.id", **_COMMIT)
+def committed_memories(spark, d):
+    return _committed(spark, d).memories.select("id", "content_hash", "adopted_count", "origin_tool", "channel", "provenance", "last_adopted_at")
+
+
+@query("SELECT id, outcome FROM told", **_COMMIT)
+def commit_outcomes(spark, d):
+    return _committed(spark, d).outcomes
+
+
+@query("SELECT DISTINCT memory_id AS src, id AS dst, 'derived_from' AS rel FROM come", **_COMMIT)
+def commit_edges(spark, d):
+    return _committed(spark, d).edges
+
+
+@query(f"SELECT 'memory' AS entity_type, id::VARCHAR AS entity_id, 'legacy/no_original_evidence' AS mark, CASE WHEN id % 5 = 0 THEN 7 ELSE {NOW} END AS marked_at FROM memories UNION ALL SELECT DISTINCT 'observation', id::VARCHAR, 'legacy_unpositioned', {NOW} FROM observations")
+def migration_marks(spark, d):
+    m = memories(spark, d)
+    had = m.where("id % 5 = 0").select(F.lit("memory").alias("entity_type"), F.col("id").cast("string").alias("entity_id"), F.lit(lifecycle.LEGACY[0][1]).alias("mark"), F.lit(7).cast("bigint").alias("marked_at"))
+    marks, version = lifecycle.mark_legacy(m, observations(spark, d), had, 0, NOW)
+    return lifecycle.mark_legacy(m.limit(0), observations(spark, d).limit(0), marks, version, NOW + 1)[0]
+
+
 # ---- feedback, attribution, channels ---------------------------------------------------------------
 
 _FEEDBACK = {
