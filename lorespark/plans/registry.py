@@ -338,9 +338,13 @@ _LEXICON = {
 }
 
 
-@query("SELECT term, freq FROM terms", **_LEXICON)
+#: The whole texts in Han: a letter each for a to z, so that a repeated phrase is a repeated run.
+_LETTERS, _HAN_LETTERS = "abcdefghijklmnopqrstuvwxyz", _HAN + "部署回滚缓库锁重试分"
+
+
+@query(f"SELECT term, count(*) AS freq FROM (SELECT DISTINCT id, unnest(flatten(list_transform(regexp_extract_all(translate(lower(content), '{_LETTERS}', '{_HAN_LETTERS}'), '\\p{{Han}}+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS term FROM memories) WHERE term NOT IN ({', '.join(repr(w) for w in dedup.GENERIC)}) GROUP BY term HAVING count(*) >= 2 ORDER BY freq DESC, term LIMIT 200")
 def lexicon_bigrams(spark, d):
-    return dedup.lexicon_bigrams(_han(memories(spark, d)))
+    return dedup.lexicon_bigrams(memories(spark, d).withColumn("content", F.translate(F.lower("content"), _LETTERS, _HAN_LETTERS)))
 
 
 def _term_pairs(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,8 @@ from .registry import _MARKED, _MD, _hashed, _markdown, _scrubbed, query
 from .sql import HASH, STRIP
 from .tables import NOW, memories, observations, table
 
-#: Files of ASCII lines: a text's base64 with line breaks in it, the last line unfinished.
-_FILES = "SELECT id, 'f' || id AS path, replace(to_base64(encode(content)), 'A', chr(10)) || 'tail' AS body, id % 40 AS cursor FROM memories WHERE length(content) > 40"
+#: Files of ASCII lines: a text's base64 with line breaks in it, the last line unfinished; some are shorter than their cursor and are read from their start.
+_FILES = "SELECT * REPLACE (CASE WHEN cursor > length(body) THEN 0 ELSE cursor END AS cursor) FROM (SELECT id, 'f' || id AS path, replace(to_base64(encode(content)), 'g', chr(10)) || 'tail' AS body, id % 40 AS cursor FROM memories)"
 _LINES = {
     "files_of": _FILES,
     "rest_of": "SELECT path, cursor, string_split(substr(body, cursor + 1), chr(10)) AS ls FROM files_of",
@@ -24,12 +24,12 @@ _LINES = {
 
 
 def _files(m: DataFrame) -> tuple[DataFrame, DataFrame]:
-    body = F.concat(F.replace(F.regexp_replace(F.base64(F.encode("content", "UTF-8")), "\\s", ""), F.lit("A"), F.lit("\n")), F.lit("tail"))
-    f = m.where("length(content) > 40").select(_txt("f", F.col("id")).alias("path"), F.encode(body, "UTF-8").alias("content"), (F.col("id") % 40).alias("offset"))
+    body = F.concat(F.replace(F.regexp_replace(F.base64(F.encode("content", "UTF-8")), "\\s", ""), F.lit("g"), F.lit("\n")), F.lit("tail"))
+    f = m.select(_txt("f", F.col("id")).alias("path"), F.encode(body, "UTF-8").alias("content"), (F.col("id") % 40).alias("offset"))
     return f.select("path", "content"), f.select("path", "offset")
 
 
-@query("SELECT path, start, value FROM batch_of", **_LINES)
+@query("SELECT path, start, value FROM batch_of WHERE trim(value) <> ''", **_LINES)
 def incremental_lines(spark, d):
     return logs.new_lines(*_files(memories(spark, d)), 20, 400)[0].select("path", "start", "value")
 
@@ -77,21 +77,38 @@ def audit_tail(spark, d):
     return logs.last_records(e, 25).select("ord", "event_type")
 
 
-@query("SELECT * FROM (VALUES (0, '# words'), (1, '[src1]'), (2, 'alpha = a1'), (3, '[src1]'), (4, 'alpha = a2, a3'), (5, 'beta = b1')) t(line, value)")
+#: The file that stands already, and clusters of the documents' opening words: a word's first two letters are its standard.
+_FILE = [(0, "# words"), (1, "[src1]"), (2, "th = the, this"), (3, "[src2]"), (4, "de = des")]
+
+
+@query(
+    "SELECT * FROM held UNION ALL SELECT 5, '[src1]' WHERE (SELECT count(*) FROM written) > 0 UNION ALL SELECT 5 + row_number() OVER (ORDER BY standard), standard || ' = ' || a FROM written",
+    held="SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _FILE) + ") t(line, value)",
+    opened="SELECT DISTINCT regexp_extract(lower(content), '^[^a-z]*([a-z]+)', 1) AS term FROM memories",
+    written="SELECT substr(term, 1, 2) AS standard, string_agg(term, ', ' ORDER BY term) AS a FROM opened WHERE term <> substr(term, 1, 2) AND term NOT IN ('the', 'this') GROUP BY 1",
+)
 def synonym_writing(spark, d):
-    lines = spark.createDataFrame([(0, "# words"), (1, "[src1]"), (2, "alpha = a1")], "line int, value string")
-    clusters = spark.createDataFrame([("a1", "alpha"), ("a3", "alpha"), ("a2", "alpha"), ("alpha", "alpha"), ("b1", "beta")], "term string, standard string")
-    return logs.synonym_lines(lines, readers.parse_synonyms(lines), clusters, "src1").withColumn("line", F.col("line").cast("int"))
+    lines = spark.createDataFrame(_FILE, "line int, value string")
+    terms = memories(spark, d).select(F.regexp_extract(F.lower("content"), "^[^a-z]*([a-z]+)", 1).alias("term")).distinct().select("term", F.substring("term", 1, 2).alias("standard"))
+    return logs.synonym_lines(lines, readers.parse_synonyms(lines), terms, "src1").withColumn("line", F.col("line").cast("int"))
+
+
+_TOOLS = {
+    "named_tools": "SELECT conv_id, turn, substr(role, 1, 1) || (length(coalesce(text, '')) % 4) AS id, substr(md5(coalesce(text, '')), 1, 6) AS name FROM conversations",
+    "last_named": "SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn DESC) AS r FROM named_tools",
+    "kept_tools": "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM last_named WHERE r = 1",
+}
 
 
-@query("SELECT id, 't2=c,t3=d' || CASE WHEN id % 2 = 0 THEN ',t1=z' ELSE '' END AS tools FROM memories")
+@query("SELECT conv_id, string_agg(id || '=' || name, ',' ORDER BY turn) AS tools FROM kept_tools WHERE place <= 3 GROUP BY conv_id", **_TOOLS)
 def remembered_tools(spark, d):
-    pair = lambda i, n: F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"))
-    old = F.array(pair("t0", "x"), pair("t1", "a"), pair("t2", "b"))
-    new = F.when(F.col("id") % 2 == 0, F.array(pair("t2", "c"), pair("t3", "d"), pair("t1", "z"))).otherwise(F.array(pair("t1", "q"), pair("t2", "c"), pair("t3", "d")))
-    kept = logs.remember_tools(old, new, 3)
-    kept = F.when(F.col("id") % 2 == 0, kept).otherwise(F.filter(kept, lambda x: x["id"] != "t1"))
-    return memories(spark, d).select("id", F.array_join(F.transform(kept, lambda x: F.concat(x["id"], F.lit("="), x["name"])), ",").alias("tools"))
+    """Tools named in a session's first four turns, and those of its others after them."""
+    text = F.coalesce("text", F.lit(""))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.substring("role", 1, 1), (F.length(text) % 4).cast("string")).alias("id"), F.substring(F.md5(text), 1, 6).alias("name"))
+    pairs = lambda of: F.transform(F.array_sort(F.collect_list(F.when(of, F.struct("turn", "id", "name")))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
+    both = c.groupBy("conv_id").agg(pairs(F.col("turn") < 4).alias("old"), pairs(F.col("turn") >= 4).alias("new"))
+    kept = logs.remember_tools(F.col("old"), F.col("new"), 3)
+    return both.select("conv_id", F.array_join(F.transform(kept, lambda x: F.concat(x["id"], F.lit("="), x["name"])), ",").alias("tools"))
 
 
 @query("SELECT id, CASE WHEN id % 4 = 2 THEN 'observation' ELSE 'memory' END AS layer FROM memories WHERE id % 4 <> 3")
@@ -103,7 +120,7 @@ def sandbox_seeds(spark, d):
 
 _INGEST = {
     **_MD,
-    "picked": "SELECT id::VARCHAR AS file, min(line)::INTEGER AS line, text FROM md_items WHERE id % 5 = 0 AND length(text) BETWEEN 8 AND 500 AND length(trim(regexp_replace(text, '!?\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'))) >= 8 GROUP BY id, text",
+    "picked": "SELECT id::VARCHAR AS file, min(line)::INTEGER AS line, text FROM md_items WHERE length(text) BETWEEN 8 AND 500 AND length(trim(regexp_replace(text, '!?\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'))) >= 8 GROUP BY id, text",
     "hashed_items": f"SELECT *, sha256({STRIP.format(c='text')}) AS content_hash, CASE WHEN file::BIGINT % 2 = 0 THEN 'p' ELSE '' END AS project FROM picked",
     "firsts_of": "SELECT *, row_number() OVER (PARTITION BY content_hash, project ORDER BY file, line) AS n FROM hashed_items",
     "shelf": f"SELECT {HASH} AS content_hash, 'p' AS project, min(id) AS id, max(access_count) AS access_count, max(salience) AS salience FROM memories GROUP BY 1",
@@ -113,7 +130,7 @@ _INGEST = {
 @query("SELECT content_hash, project, coalesce(s.id, -1) AS id, CASE WHEN n.file IS NULL THEN s.access_count WHEN s.id IS NULL THEN 0 ELSE s.access_count + 1 END AS access_count, CASE WHEN n.file IS NOT NULL THEN '{\"file\":\"' || n.file || '\",\"line\":' || n.line || '}' END AS provenance FROM (SELECT * FROM firsts_of WHERE n = 1) n FULL JOIN shelf s USING (content_hash, project)", **_INGEST)
 def ingested_memories(spark, d):
     m = memories(spark, d)
-    items = readers.markdown_items(_markdown(m.where("id % 5 = 0"))).withColumn("project", F.when(F.col("id") % 2 == 0, "p").otherwise(""))
+    items = readers.markdown_items(_markdown(m)).withColumn("project", F.when(F.col("id") % 2 == 0, "p").otherwise(""))
     shelf = _hashed(m).groupBy("content_hash").agg(F.min("id").alias("id"), F.max("access_count").alias("access_count"), F.max("salience").alias("salience"), F.min("content").alias("content"), F.min("kind").alias("kind"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max("last_seen_at").alias("last_seen_at")).withColumn("project", F.lit("p"))
     shelf = shelf.withColumns({c: F.lit(None).cast(t) for c, t in (("channel", "string"), ("expires_at", "bigint"), ("origin_tool", "string"), ("source", "string"), ("provenance", "string"))})
     return lifecycle.ingest(shelf, items, "ingest", NOW, F.lit(-1).cast("bigint")).select("content_hash", "project", "id", "access_count", "provenance")
