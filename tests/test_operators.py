@@ -245,3 +245,23 @@ def test_drafts_are_read_as_json(spark):
 def test_events_without_a_place_are_kept(spark):
     ev = spark.createDataFrame([(1, "a", "", 1, 0), (2, "b", "", 1, 0), (3, "c", "", 1, 0), (4, "", "s", 1, -1), (5, "", "s", 1, -1), (6, "d", "s", 1, 2), (7, "", "s", 1, 2), (8, "a", "s", 1, 3), (9, None, None, None, None), (10, None, None, None, None)], "ord int, event_uid string, source_id string, generation int, seq int")
     assert sorted(r.ord for r in evidence.exactly_once(ev).collect()) == [1, 2, 3, 4, 5, 6, 9, 10]
+
+
+def test_a_crowd_of_near_copies_costs_its_size(spark, monkeypatch):
+    """Near copies of one project and of some others: the components of all pairs from links that grow with the crowd."""
+    r = random.Random(6)
+    base = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    texts = []
+    for g in range(3):
+        own = [w + "xyz"[g] if r.random() < 0.5 else w for w in base]
+        for _ in range((400, 60, 5)[g]):
+            w = list(own)
+            for _ in range(r.randrange(0, 10)):
+                w[r.randrange(len(w))] = "".join(r.choice("abcdef") for _ in range(5))
+            texts.append(" ".join(w))
+    mem = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "id long, content string, project string")
+    monkeypatch.setattr(dedup, "CROWD", 20)
+    pairs, links = dedup.near_pairs(mem).select("a", "b"), dedup.near_links(mem).distinct()
+    n = links.count()
+    assert rows(dedup.components(links), "id", "cluster") == rows(dedup.components(pairs), "id", "cluster")
+    assert n < pairs.count() / 3 and n < 60 * len(texts)
