@@ -37,7 +37,7 @@ ASSIGN = 4096
 OVERLAP = 4
 SHARD_ROWS = 1200
 DEGREE, POOL, ALPHA, BEAM, SLACK = 24, 48, 1.2, 24, 0.05
-AUDIT = 1000
+AUDIT, AUDIT_ROWS = 200, 8192
 ENTRIES, FILL = 8, 12
 RECALL = 0.95
 
@@ -299,24 +299,30 @@ def _links(vecs: DataFrame, overlap: int, least: float, scratch: C.Scratch, tag:
     return scratch.put(f"links{tag}", found.distinct())
 
 
-def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> dict[str, float]:
-    """By label, the mean share of its true links that ``links`` holds, over those of a stated set of about AUDIT vectors (by hash) that have any."""
-    asked = vecs.where(F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(1 << 20)) < int(min(1.0, AUDIT / max(n, 1)) * (1 << 20)) + 1).toPandas()
-    shared = vecs.sparkSession.sparkContext.broadcast({k: (g.vec_id.to_numpy(), matrix(g.vec.tolist(), "<f8")) for k, g in asked.groupby("label")})
+def _audit(vecs: DataFrame, links: DataFrame, least: float, n: int) -> dict[str | None, float]:
+    """The labels in which ``links`` hold less than RECALL of the true links of some AUDIT vectors (by hash) each that have any, with that mean share; under None the least of all labels.
 
-    def run(frames):
-        for pdf in frames:
-            for label, rows in pdf.groupby("label"):
-                if label in shared.value:
-                    ids, q = shared.value[label]
-                    wide = max(q.shape[1], max(map(len, rows.vec)) // 8)
-                    i, j = np.nonzero(np.pad(q, ((0, 0), (0, wide - q.shape[1]))) @ matrix(rows.vec.tolist(), "<f8", wide).T >= least)
-                    v, w = ids[i], rows.vec_id.to_numpy()[j]
-                    yield pd.DataFrame({"label": label, "v": v, "a": np.minimum(v, w), "b": np.maximum(v, w)})[v != w]
-
-    true = vecs.mapInPandas(run, "label string, v bigint, a bigint, b bigint")
+    Every label is audited, however many there are: its audited vectors meet its others in cuts of AUDIT_ROWS, so the work grows with the vectors.
+    """
+    size = vecs.groupBy("label").agg(F.count("*").alias("in_label")).withColumn("cuts", F.ceil(F.col("in_label") / AUDIT_ROWS).cast("int"))
+    rows = vecs.join(C.maybe_broadcast(size, n // 2), "label")
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * AUDIT / F.col("in_label")
+    asked = rows.where(drawn).select(F.col("label").alias("of"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.col("vec_id").alias("v"), F.col("vec").alias("x"))
+    every = rows.select("label", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("cuts")).cast("int").alias("cut"), "vec_id", "vec")
+
+    def run(q: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(pdf):
+            return pd.DataFrame({"label": [], "v": [], "a": [], "b": []})
+        wide = max(*map(len, q.x), *map(len, pdf.vec)) // 8
+        i, j = np.nonzero(matrix(q.x.tolist(), "<f8", wide) @ matrix(pdf.vec.tolist(), "<f8", wide).T >= least)
+        v, w = q.v.to_numpy()[i], pdf.vec_id.to_numpy()[j]
+        return pd.DataFrame({"label": q.of.iloc[0], "v": v, "a": np.minimum(v, w), "b": np.maximum(v, w)})[v != w]
+
+    true = asked.groupBy("of", "cut").cogroup(every.groupBy("label", "cut")).applyInPandas(run, "label string, v bigint, a bigint, b bigint")
     hit = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("label", "v").agg((F.count("hit") / F.count("*")).alias("r"))
-    return {r.label: r.r for r in hit.groupBy("label").agg(F.avg("r").alias("r")).collect()}
+    by_label = hit.groupBy("label").agg(F.avg("r").alias("r"))
+    found = by_label.groupBy(F.when(F.col("r") < RECALL, F.col("label")).alias("label")).agg(F.min("r").alias("r")).collect()
+    return {r.label: r.r for r in found} | ({None: min(r.r for r in found)} if found else {})
 
 
 def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) -> tuple[DataFrame, DataFrame, DataFrame, float, C.Scratch]:
@@ -345,11 +351,11 @@ def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) ->
     links = _links(vecs, OVERLAP, least, scratch, "0")
     recall = _audit(vecs, links, least, n)
     for step, overlap in enumerate((2 * OVERLAP, 0), 1):
-        poor = [k for k, r in recall.items() if r < RECALL]
+        poor = [(k,) for k, r in recall.items() if k is not None and r < RECALL]
         if not poor:
             break
-        again = F.col("label").isin(poor) if step > 1 else ~F.col("label").isin([k for k, r in recall.items() if r >= RECALL])
-        exact = _exact_links(vecs.where(again), overlap, least, scratch, f"-exact{step}")
+        again = vecs.join(spark.createDataFrame(poor, "label string"), "label", "left_semi").select(*vecs.columns)
+        exact = _exact_links(again, overlap, least, scratch, f"-exact{step}")
         links = scratch.put(f"links-exact{step}", links.union(exact).distinct())
         recall = _audit(vecs, links, least, n)
     if any(r < RECALL for r in recall.values()):
@@ -358,17 +364,20 @@ def _class_links(vectors: DataFrame, least: float, scratch: C.Scratch | None) ->
     return members, classes, links, recall, scratch
 
 
-def _of_members(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every member's vec_id with its class's columns. Classes over SHARD_ROWS are few and broadcast, so no task takes all their members."""
-    key, hot = ["label", "vec"], F.broadcast(classes.where(F.col("size") > SHARD_ROWS))
-    out = members.join(hot, key).unionByName(members.join(hot.select(key), key, "left_anti").join(classes.where(F.col("size") <= SHARD_ROWS), key))
-    return out.drop(*key)
+def _of_members(members: DataFrame, classes: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Every member's vec_id with its class's columns. Members of classes that hold over a task's share of all are cut, and such a class's row is repeated for each cut; nothing else is."""
+    key = F.xxhash64("label", "vec")
+    rows = members.withColumn("__k", key)
+    heavy = C.heavy_keys(rows.select("__k"), "__k", scratch, "members")
+    facts = classes.withColumn("__k", key).withColumnsRenamed({"label": "__label", "vec": "__vec"})
+    out = C.cut_join(rows, facts, "__k", heavy, F.xxhash64("vec_id"))
+    return out.where((F.col("label") == F.col("__label")) & (F.col("vec") == F.col("__vec"))).drop("__k", "__label", "__vec", "label", "vec")
 
 
 def near_links(vectors: DataFrame, least: float = 0.93, scratch: C.Scratch | None = None) -> tuple[DataFrame, float, C.Scratch]:
     """Links (a, b), a < b, of vectors with equal non-null labels and cosine >= least, and the audited recall."""
     members, classes, links, recall, scratch = _class_links(vectors, least, scratch)
-    of = _of_members(members, classes.select("label", "vec", "rep", "size")).select("vec_id", "rep")
+    of = _of_members(members, classes.select("label", "vec", "rep"), scratch).select("vec_id", "rep")
     both = links.union(classes.where("size > 1").select("rep", "rep"))
     pairs = both.join(of.toDF("x", "a"), "a").join(of.toDF("y", "b"), "b").where("a <> b or x < y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), recall, scratch
@@ -389,7 +398,7 @@ def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     facts = classes.join(ends, "rep", "left").join(comp, "rep", "left")
     n_links = F.coalesce("others", F.lit(0)) + F.col("size") - 1
     facts = facts.select("label", "vec", "size", n_links.alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    of = _of_members(members, scratch.put("facts", facts)).drop("size")
+    of = _of_members(members, scratch.put("facts", facts.drop("size")), scratch)
     out = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(of, "vec_id", "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))

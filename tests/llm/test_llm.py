@@ -1107,3 +1107,14 @@ def test_pitman_yor_awkward(spark, awkward, nothing):
     assert len({(r.score, r.base_score) for r in empty}) == 1 and len(empty) == 4
     only = spark.createDataFrame([(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string")
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0.0 == r.base_score for r in pitman_yor.scores(only).collect())
+
+
+def test_embedding_many_labels_stay_on_the_graph(spark, monkeypatch):
+    """2,000 labels of a few vectors: every label is audited, none is searched again; a class of many copies is cut."""
+    monkeypatch.setattr(embedding_dedup, "_exact_links", lambda *a: pytest.fail("searched again"))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 8))
+    rows = [(4 * i + k, (x[i] if k < 2 else rng.normal(size=8)).tolist(), f"l{i}") for i in range(2000) for k in range(4)] + [(10_000 + i, [1.0, 2.0] + [0.0] * 6, "hot") for i in range(4000)]
+    got = {r.vec_id: r for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()}
+    assert all(got[4 * i + 1].component_id == 4 * i and got[4 * i].n_links >= 1 for i in range(2000))
+    assert all(got[10_000 + i].n_links == 3999 and got[10_000 + i].component_id == 10_000 for i in range(4000)) and all(r.audit_recall == 1.0 for r in got.values())
