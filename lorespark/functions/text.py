@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space, closing marks, folded letters, word lists and patterns.
+#: White space, closing marks, word lists and patterns.
 SPACE = "[\\s\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 TAIL = "[。．.!！?？;；,，:：]+$"
-FOLD_FROM, FOLD_TO = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 NEGATIONS = ["不能", "不得", "不要", "不应", "不该", "不可", "不会", "不用", "禁止", "避免", "切勿", "勿", "非", "无", "没", "not ", "never", "no ", "don't", "doesn't", "cannot"]
 SCRUB = [
     ("(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[redacted]"),
@@ -33,6 +34,16 @@ TOKEN = "\\p{IsHan}+|[\\p{L}\\p{Nd}&&[^\\p{IsHan}]]+"
 HAN = "[\\u4e00-\\u9fff]"
 
 
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters that are an ASCII letter with marks, and those letters; behind them the combining marks, which have no counterpart and so are dropped."""
+    latin = [(c, base) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (base := unicodedata.normalize("NFD", c := chr(i))[0]) != c and "a" <= base <= "z"]
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(c for c, _ in latin) + marks, "".join(b for _, b in latin)
+
+
+FOLD_FROM, FOLD_TO = _folding()
+
+
 def normalize(c: Column) -> Column:
     """Lower case, white space folded and trimmed, closing marks stripped."""
     folded = F.regexp_replace(F.lower(c), f"{SPACE}+", " ")

@@ -69,3 +69,8 @@ def test_decay(spark):
             got = one(spark, f(F.col("s"), F.col("t"), F.col("n"), now), s=float(s), t=now - age * day, n=n)
             assert abs(got - want) < 1e-12
     assert one(spark, decay_days(F.col("s"), F.col("t"), F.col("n"), now), s=0.5, t=now - day // 2, n=0) == 0.5
+
+
+def test_words_are_folded_to_plain_letters(spark):
+    df = spark.createDataFrame([("Šőę naïve cafe\u0301s ŻÓŁW Ệ ǅ x\u0301y ñ ß", )], "t string")
+    assert df.select(T.tokens(F.col("t"))).first()[0] == ["soe", "naive", "cafes", "zołw", "e", "ǆ", "xy", "n", "ß"]
