@@ -53,11 +53,11 @@ def render(content: str, kind: str, id_: object, where: str, chars: int = CONTEN
     return f"- [{kind}] mem:{str(id_)[:8]} {cut}" + (f" · {where}" if where.strip() else "") + "\n"
 
 
-def _open_one(budget: int, limit: int):
+def _open_one(limit: int):
     """The sections of one project: at most three pools of rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, rank, out = budget, 0, []
+        left, rank, out = int(pdf.budget.iloc[0]), 0, []
         for at, (name, title) in enumerate(SECTIONS):
             rows = pdf[pdf.section == at].sort_values("place")
             used, n, cap, first = len(title) + 2, 0, 1 if at == 1 else limit, len(out)
@@ -87,12 +87,12 @@ def opening(pool: DataFrame, budget: int, limit: int) -> DataFrame:
     """(project, id, section, injection_rank, drop_reason, line): sections in order, each up to its cap (``limit``; 1 for other global memories) and what is left of the budget.
 
     A section costs its title and its lines; a line that does not fit is passed over; if none fits, the first is cut until it does. A project has at most three pools of rows, so
-    its choice is made in one place. pool: as ``opening_pool`` gives it, with provenance where evidence is known.
+    its choice is made in one place. pool: as ``opening_pool`` gives it, with provenance where evidence is known, and with a column budget where it is not the same for all.
     """
     known = F.col("provenance") if "provenance" in pool.columns else F.lit(None).cast("string")
     where = F.coalesce(F.when(F.trim(known) != "", known), supply.fallback_provenance(F.col("project")))
-    rows = pool.select("for_project", "section", "place", F.col("id").cast("bigint").alias("id"), "content", "kind", where.alias("where"))
-    return rows.groupBy("for_project").applyInPandas(_open_one(budget, limit), "project string, id bigint, section string, injection_rank int, drop_reason string, line string")
+    rows = pool.select("for_project", "section", "place", F.col("id").cast("bigint").alias("id"), "content", "kind", where.alias("where"), (F.col("budget") if "budget" in pool.columns else F.lit(budget)).cast("int").alias("budget"))
+    return rows.groupBy("for_project").applyInPandas(_open_one(limit), "project string, id bigint, section string, injection_rank int, drop_reason string, line string")
 
 
 def pending_line(pending: DataFrame) -> DataFrame:
@@ -101,6 +101,34 @@ def pending_line(pending: DataFrame) -> DataFrame:
     return pending.where((F.col("project") != "") & (F.col("pending") > 0)).select("project", text.alias("line"))
 
 
+def session_start(pool: DataFrame, projects: DataFrame, pending: DataFrame, limit: int, chars: int, head=None, hint: str = "", pending_more: str = "", event: str = "session_start") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a session of each project opens with, as (project, text); the head of its trace (project, query_gate, gate_reason, scope, target_limit, budget_chars, raw_hits, qualified, injected, outcome); and the trace's items.
+
+    The text is the head, the code table, the line of pending candidates, the sections and the hint. All but the sections are reserved from ``chars`` first, so that the budget never cuts them; the line of pending candidates is left out where
+    it does not fit beside the others. head: a function from the project Column to a line; pending: project, pending; pending_more ends the line of pending candidates; event: why the session opens. A project without memories has the fixed parts alone.
+    """
+    own = projects.select("project").distinct()
+    head = head or (lambda p: F.concat(F.lit("[memory] project: "), F.when(p == "", "(global)").otherwise(p), F.lit("\n")))
+    wait = pending_line(pending).select("project", F.concat("line", F.lit(pending_more + "\n")).alias("wait"))
+    fixed = own.join(wait, "project", "left").withColumn("head", head(F.col("project"))).withColumn("wait", F.coalesce("wait", F.lit("")))
+    cost = F.length("head") + len(code_table()) + len(hint)
+    fixed = fixed.withColumn("wait", F.when(cost + F.length("wait") > chars, "").otherwise(F.col("wait"))).withColumn("budget", F.greatest(F.lit(0), F.lit(chars) - cost - F.length("wait")))
+    items = opening(pool.join(fixed.select(F.col("project").alias("for_project"), "budget"), "for_project"), chars, limit)
+    titles = F.create_map(*[x for name, title in SECTIONS for x in (F.lit(name), F.lit(title + "：\n"))])
+    place = F.create_map(*[x for i, (name, _) in enumerate(SECTIONS) for x in (F.lit(name), F.lit(i))])
+    lines = items.where("injection_rank > 0").groupBy("project", "section").agg(F.array_sort(F.collect_list(F.struct("injection_rank", "line"))).alias("ls"))
+    block = F.concat(titles[F.col("section")], F.array_join(F.transform("ls", lambda x: x["line"]), ""))
+    body = lines.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(place[F.col("section")].alias("at"), block.alias("block")))).alias("bs"))
+    text = F.concat("head", F.lit(code_table()), "wait", F.coalesce(F.array_join(F.transform("bs", lambda x: x["block"]), ""), F.lit("")), F.lit(hint))
+    texts = fixed.join(body, "project", "left").select("project", text.alias("text"))
+    n = items.groupBy("project").agg(F.count("*").alias("raw_hits"), F.count_if(F.col("injection_rank") > 0).alias("injected"))
+    told = own.join(n, "project", "left").na.fill(0, ["raw_hits", "injected"])
+    outcome = F.when(F.col("injected") > 0, "injected").when(F.col("raw_hits") > 0, "abstained_low_quality").otherwise("abstained_no_hit")
+    reason = "pre_compact" if event == "pre_compact" else "session_start"
+    traces = told.select("project", F.lit("skip").alias("query_gate"), F.lit(reason).alias("gate_reason"), F.lit("current").alias("scope"), F.lit(limit).alias("target_limit"), F.lit(chars).alias("budget_chars"), "raw_hits", F.col("raw_hits").alias("qualified"), "injected", outcome.alias("outcome"))
+    return texts, traces, items.withColumnRenamed("section", "match_class")
+
+
 def injected_rules(traces: DataFrame, items: DataFrame, mem: DataFrame) -> DataFrame:
     """(session_id, id): rules that a session has really been given when it opened. traces: id, session_id, gate_reason; items: trace_id, memory_id, injection_rank."""
     t = traces.where(F.col("gate_reason").isin(*OPENING) & (F.trim("session_id") != "")).select(F.col("id").alias("trace_id"), "session_id")
