@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as T
 from .evidence import BUNDLE_BYTES, BUNDLE_ROWS, bundles
-from .extraction import distill_speaker, eligible, windows_due  # noqa: F401  (a ledger function here too)
+from .extraction import distill_speaker, eligible, one_json, windows_due  # noqa: F401  (a ledger function here too)
 
 RAW_CHARS, SUMMARY_CHARS, SOURCES, ATTEMPTS, DELAY, BACKLOG_DELAY, LEASE = 2000, 500, 8, 8, 60, 600, 60
 OPEN, CLOSED = ("pending", "leased", "fail", "partial", "backlog"), ("ok", "noop", "quarantined")
@@ -36,7 +36,9 @@ def distill_eligible(meta: Column, event: Column) -> Column:
 def observation_text(event: Column, tool: Column, tool_input: Column, tool_output: Column, last_message: Column, content: Column, status: Column, reason: Column, host: Column) -> Column:
     """(text, fidelity) of a host's event: a tool call with what went in and out; a stop with its reply (not from a host that sends none), else its status and reason; else its name."""
     t = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    raw = lambda c: F.substring(T.scrub(t(F.when(t(c) == "null", "").otherwise(c))), 1, RAW_CHARS)
+    # a JSON string is the text that it says
+    plain = lambda c: F.when(t(c) == "null", "").when(t(c).rlike('(?s)^".*"$'), F.coalesce(F.try_variant_get(one_json(t(c)), "$", "string"), c)).otherwise(c)
+    raw = lambda c: F.substring(T.scrub(t(plain(c))), 1, RAW_CHARS)
     into, out = raw(tool_input), raw(tool_output)
     name = F.when(t(tool) == "", "tool").otherwise(t(tool))
     call = F.concat(F.lit("tool:"), name, F.when(into != "", F.concat(F.lit("\n"), into)).otherwise(""), F.when(out != "", F.concat(F.lit("\n→ "), out)).otherwise(""))

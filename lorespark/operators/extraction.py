@@ -35,7 +35,7 @@ def rule_distill(turns: DataFrame) -> DataFrame:
 _WIRE = ("kind", "scope", "content", "rationale", "subject_key", "task_state", "attributed_to")
 
 
-def _json(c: Column) -> Column:
+def one_json(c: Column) -> Column:
     """The one JSON value that a text is (variant), or null; the parser itself passes over what follows a value, but not inside both an array and an object."""
     inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     return F.when(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
@@ -62,7 +62,7 @@ def read_drafts(outputs: DataFrame) -> DataFrame:
     listed = raw.startswith("[")
     lines = F.filter(F.transform(F.split(raw, "\n"), T.strip), lambda x: x != "")
     rows = outputs.select("id", "n_evidence", listed.alias("listed"), F.posexplode(F.when(listed, F.array(raw)).otherwise(lines)).alias("line", "part"))
-    rows = rows.withColumn("v", _json(F.when(F.col("listed"), F.col("part")).otherwise(F.regexp_extract("part", "(?s)\\{.*\\}", 0))))
+    rows = rows.withColumn("v", one_json(F.when(F.col("listed"), F.col("part")).otherwise(F.regexp_extract("part", "(?s)\\{.*\\}", 0))))
     one = rows.where("not listed").select("id", "n_evidence", "line", "v", _readable(F.col("v")).alias("ok"))
     member = rows.where("listed").select("id", "n_evidence", "line", F.schema_of_variant("v").alias("kind"), F.posexplode_outer(F.try_variant_get("v", "$", "array<variant>")).alias("at", "m"))
     member = member.withColumn("fits", (F.col("at").isNotNull() & _readable(F.col("m"))) | (F.col("at").isNull() & F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False))))

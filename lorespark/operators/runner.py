@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import capture, extraction, promotion
-from .evidence import lookup  # noqa: F401  (what a ledger knows of a reference)
 
 SALIENCE, REPAIR_CHARS = 0.6, 2000
 REPAIR = "\nThe last output could not be read. Write a JSON array or one JSON object a line, and nothing else.\nLast output:\n"

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import evaluation, lifecycle, promotion, supply
+from lorespark.operators import capture, evaluation, lifecycle, promotion, supply
 
 CAND = "id long, session_id long, kind string, content string, content_hash string, project string, status string, revision int, salience double, memory_id long, decided_at long, channel string, created_at long"
 MEM = "id long, content string, content_hash string, project string, kind string, salience double, access_count int, adopted_count int, updated_at long, last_seen_at long, created_at long, source string, origin_tool string, channel string, provenance string, last_adopted_at long"
@@ -53,7 +53,14 @@ def test_explicit_requests_pass_the_gate(spark):
 
 
 def test_maps_by_harness_and_unions_of_hashes(spark):
-    a = spark.createDataFrame([("p", "x", "claude", ["a", "b"]), ("p", "y", "claude", None), ("p", "x", "", ["b", "c"]), ("q", "x", None, None)], "project string, event string, harness string, hashes array<string>")
+    a = spark.createDataFrame([("p", "x", "cli", ["a", "b"]), ("p", "y", "cli", None), ("p", "x", "", ["b", "c"]), ("q", "x", None, None)], "project string, event string, harness string, hashes array<string>")
     assert {r.project: r.by_event for r in evaluation.audit_maps(a, "project").collect()} == {"p": {"x": 2, "y": 1}, "q": {"x": 1}}
-    assert {r.project: r.by_harness for r in evaluation.audit_maps(a, "project", of="harness").collect()} == {"p": {"claude": 2}}
+    assert {r.project: r.by_harness for r in evaluation.audit_maps(a, "project", of="harness").collect()} == {"p": {"cli": 2}}
     assert {r.project: r.hashes for r in evaluation.injected_union(a, "project").collect()} == {"p": ["a", "b", "c"], "q": []}
+
+
+def test_tool_texts_are_unquoted(spark):
+    rows = [('"ls \\"a\\"\\nb"',), ('{"cmd": "ls"}',), ("null",), ('"unfinished',), ('"a" and "b"',), (None,)]
+    c = lambda x: F.lit(x)
+    got = spark.createDataFrame(rows, "i string").select(capture.observation_text(c("post-tool-use"), c("sh"), F.col("i"), c(""), c(""), c(""), c(""), c(""), c("")).alias("o")).collect()
+    assert [(r.o.text, r.o.fidelity) for r in got] == [('tool:sh\nls "a"\nb', "full"), ('tool:sh\n{"cmd": "ls"}', "full"), ("tool:sh", "summary"), ('tool:sh\n"unfinished', "full"), ('tool:sh\n"a" and "b"', "full"), ("tool:sh", "summary")]
