@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import minhash as M
 from ..functions import text as T
+from ..plans.scratch import written
 from .evidence import commit_matrix, grade, key_of, provenance, set_hash
 from .exchange import channel
 
@@ -42,7 +43,8 @@ def insert_candidates(cands: DataFrame, new: DataFrame) -> DataFrame:
     cands: id, session_id, content_hash, status, created_at. new: ord, id (of a new one), session_id, kind, content.
     """
     n = new.withColumn("content", T.strip(F.coalesce("content", F.lit("")))).withColumn("ok", (F.col("content") != "") & F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)))
-    n = n.withColumn("content_hash", T.content_hash(F.col("content")))
+    # read twice below: written, so that each text is trimmed and hashed once
+    n = written(n.select("ord", "id", "session_id", "ok", T.content_hash(F.col("content")).alias("content_hash")), "new")
     key = ["session_id", "content_hash"]
     open_ = cands.where(F.col("status").isin("pending", "accepted")).groupBy(*key).agg(F.max_by("id", F.struct("created_at", "id")).alias("have"))
     first = n.where("ok").groupBy(*key).agg(F.min(F.struct("ord", "id")).alias("f"))
@@ -112,9 +114,10 @@ def accept(cands: DataFrame, requests: DataFrame, mem: DataFrame, now: int, new_
     memory and revision follow; salience outside (0, 1] is 0.5. cands: id, session_id, kind, content, content_hash, project, status, revision, salience, memory_id, decided_at.
     mem: id, content, content_hash, project, kind, salience, access_count, adopted_count, updated_at, last_seen_at, created_at, source. new_id: a Column over first (candidate) and the key.
     """
-    j = judge(cands, requests, "accepted").where("outcome = 'commit'")
+    own = F.when(F.coalesce("content_hash", F.lit("")) == "", T.content_hash(F.col("content"))).otherwise(F.col("content_hash"))
+    j = judge(cands.withColumn("content_hash", own), requests, "accepted").where("outcome = 'commit'")
     salience = F.when((F.col("salience") > 0) & (F.col("salience") <= 1), F.col("salience")).otherwise(0.5)
-    j = j.withColumn("salience", salience).withColumn("content_hash", F.when(F.coalesce("content_hash", F.lit("")) == "", T.content_hash(F.col("content"))).otherwise(F.col("content_hash")))
+    j = j.withColumn("salience", salience)
     key = ["content_hash", "project"]
     by = j.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max_by("content", "id").alias("n_content"), F.min_by("kind", "id").alias("n_kind"), F.max("salience").alias("n_salience"))
     m = mem.withColumn("had", F.lit(True)).join(by, key, "full_outer")

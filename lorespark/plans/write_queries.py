@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import exchange, extraction, lifecycle, promotion
 from ..operators.evidence import canonical_role
-from .registry import _GRADE, _ITEMS, _ROLE, _TAGS, ORACLES, _hashed, _items, _tags, query
+from .registry import _GRADE, _ITEMS, _ROLE, _TAGS, ORACLES, _hashed_once, _items, _tags, query
+from .scratch import written
 from .sql import HASH
 from .tables import NOW, memories, observations
 
@@ -39,7 +40,7 @@ _SIDES = {
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    b = _hashed(memories(spark, d))
+    b = _hashed_once(memories(spark, d))
     key = ["content_hash", "project"]
     agg = lambda df, sal, acc, upd, kind, *more: df.groupBy(*key).agg(F.min("id").alias("id"), F.min("content").alias("content"), sal.alias("salience"), acc.alias("access_count"), upd.alias("updated_at"), F.max("last_seen_at").alias("last_seen_at"), F.min("created_at").alias("created_at"), kind.alias("kind"), F.max("expires_at").alias("expires_at"), *more)
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
@@ -76,8 +77,8 @@ def import_tag_union(spark, d):
 @query("SELECT i.id, CASE WHEN p.target <> p.id THEN p.target ELSE i.superseded_by END AS superseded_by, CASE WHEN p.id IS NULL THEN NULL ELSE coalesce(p.target <> p.id, false) END AS resolved FROM imported i LEFT JOIN pointed p ON p.id = i.id", **_SIDES)
 def import_superseding(spark, d):
     loc, rec = _sides(spark, d)
-    m = exchange.import_records(loc, rec, _new())
-    refs = exchange.superseding(m, rec)
+    m = written(exchange.import_records(loc, rec, _new()).select(*exchange.KEY, "id", "superseded_by"), "imported")
+    refs = written(exchange.superseding(m, rec), "refs")
     return exchange.superseded(m, refs).select("id", "superseded_by").join(refs.select("id", "resolved"), "id", "left")
 
 
@@ -152,7 +153,7 @@ _REJECT = _PROMOTE | {"ruled": _PROMOTE["ruled"].replace("{done}", "rejected")}
 
 def _promote(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Candidates, requests, the library, evidence items."""
-    b = _hashed(memories(spark, d))
+    b = _hashed_once(memories(spark, d))
     i = F.col("id")
     status = F.when(i % 4 == 2, "accepted").when(i % 4 == 3, "rejected").when(i % 19 == 0, "expired").otherwise("pending")
     c = b.select("id", (i % 50).alias("session_id"), F.when(F.col("kind") == "rule", "fact").otherwise(F.col("kind")).alias("kind"), "content", "content_hash", "project", status.alias("status"), (i % 3).alias("revision"), F.when(i % 7 == 0, 1.5).otherwise(F.col("salience")).alias("salience"), F.when(i % 4 == 2, i).alias("memory_id"), F.when(i % 4 >= 2, F.lit(NOW - 5)).alias("decided_at"), "created_at")
