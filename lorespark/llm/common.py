@@ -165,6 +165,7 @@ def hold(name: str, drop=None) -> None:
         if other != name:
             clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library

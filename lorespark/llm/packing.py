@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import default_vocabulary, encoder
+from .tokens import SLICE, default_vocabulary, encoder
 
 CAPACITY = 2048
 PIECES_PER_PART = 20_000
@@ -113,7 +113,7 @@ def tokenised(docs: DataFrame, keep: list[str], path: str | None = None, end_id:
         for batch in batches:
             text = batch.column("__text")
             _, off = C.utf8(text)
-            for i, j in C.slices(off, 2 << 20):
+            for i, j in C.slices(off, SLICE):
                 row, cols = [], [[], [], [], [], []]
                 for k, e in enumerate(enc.encode([t or "" for t in text[i:j].to_pylist()])):
                     e += end

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import default_vocabulary, encoder
+from .tokens import SLICE, default_vocabulary, encoder
 
 #: Fixed format values: magic, version; ids of one segment (target); distance of select samples.
 MAGIC, VERSION = b"LSEF", 1
@@ -146,7 +146,7 @@ def _write(path: str, end_id: int):
         for batch in batches:
             ids, text = batch.column("doc_id").to_pylist(), batch.column("text")
             _, off = C.utf8(text)
-            for i, j in C.slices(off, 2 << 20):
+            for i, j in C.slices(off, SLICE):
                 for d, e in zip(ids[i:j], enc.encode([t or "" for t in text[i:j].to_pylist()]), strict=True):
                     names.append(d)
                     codes.append(e + end)
