@@ -29,10 +29,11 @@ _CLASS[[ord(c) for c in map(chr, range(0x2100)) if re.match(f"[{_N}]", c)]] = _N
 _CLASS[[9, 10, 13]] = _WHITE
 _CLASS[[0, 32]] = _BETWEEN, _BLANK
 #: Pieces remembered in each of two generations, and pieces that one call of the library encodes.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 PER_CALL = 10_000
-#: Text bytes that are best encoded at once.
+#: Text bytes that are best encoded at once, and characters that are cut at once: cutting takes some 20 bytes for each of them.
 SLICE = 8 << 20
+CUT = 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -131,13 +132,18 @@ class Encoder:
 
     def _joined(self, texts: list[str]) -> list[bytes]:
         """Ids of texts of common characters."""
-        coded = cut(texts).dictionary_encode()
-        code = coded.indices.to_numpy()
-        ids = pa.concat_arrays([pa.array([b""], pa.large_binary()), self._ids(coded.dictionary[1:])])  # the first piece is what stands between texts, and has no ids
-        _, off, data = ids.take(coded.indices).buffers()
-        ends = np.frombuffer(off, np.int64, len(code) + 1)[np.flatnonzero(code == 0)].tolist()
-        raw = memoryview(data if data is not None else b"")
-        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+        if not texts:
+            return []
+        chars = np.cumsum([0, *map(len, texts)])
+        coded = pa.chunked_array([cut(texts[i:j]) for i, j in C.slices(chars, CUT)]).dictionary_encode()  # of one dictionary
+        ids = pa.concat_arrays([pa.array([b""], pa.large_binary()), self._ids(coded.chunk(0).dictionary[1:])])  # the first piece is what stands between texts, and has no ids
+        out = []
+        for code in (c.indices for c in coded.chunks):
+            _, off, data = ids.take(code).buffers()
+            ends = np.frombuffer(off, np.int64, len(code) + 1)[np.flatnonzero(code.to_numpy() == 0)].tolist()
+            raw = memoryview(data if data is not None else b"")
+            out += [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._plain(t) for t in texts]
