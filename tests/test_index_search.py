@@ -11,7 +11,7 @@ def _found(block, docs):
     """What a search sends on of one segment of two shards, documents as lists of terms."""
     rows = []
     for shard in (0, 1):
-        mine = pa.table({"shard": pa.array([shard] * len(docs), pa.int32()), "id": list(range(len(docs))), "terms": pa.array(docs, pa.list_(pa.string()))})
+        mine = pa.table({"shard": pa.array([shard] * len(docs), pa.int32()), "id": list(range(len(docs))), "plain": pa.array(["" if "été" in d else " ".join(d) for d in docs]), "terms": pa.array([d if "été" in d else None for d in docs], pa.list_(pa.string()))})
         t = index._invert(None, mine)
         rows.append(t.filter(pa.compute.is_valid(t.column("term"))))
     t = pa.concat_tables(rows).append_column("seq", pa.array([3] * sum(r.num_rows for r in rows), pa.int32())).combine_chunks()
@@ -73,3 +73,23 @@ def test_a_segment_without_live_documents_is_not_read(spark, tmp_path, monkeypat
     key = lambda df: sorted((r.qid, r.id, round(r.bm25, 9), r.whole) for r in df.collect())
     assert key(out.search(queries)) == key(retrieval.ranked(rows, queries))
     assert read == [[1, 2], [2]]
+
+
+def test_terms_are_cut_as_the_jvm_cuts_them(spark, tmp_path):
+    """Plain texts are cut by bytes, others by the pattern: the index has the terms of ``index_terms``, text by text."""
+    odd = ["", "Plain words, 2nd TRY_again", "x", "Crème brûlée – déjà vu", "“quoted” — dash…", "naïve İstanbul ﬁne ½ ² Ⅷ", "日本語 and 〇 々", "ΑΒΓ abc", "a\u0301b\u0308c", "tab\tnew\nline\u2028sep\u0085x", "٣٤ 12", "x🙂y", "ß ẞ Straße", "end9", "9start", "K\u212A \u017fharp", "ÉCOLE Ǆ Ÿ€5 ™ x\u0345y ª º µ", "\u0301", "end\u0301", "\u0301start ŁÓDŹ", "ÅNGSTRÖM ệ Ệ", "nul\0nul", "٠१", "²³¹ ½"] + ["".join(chr(i) + "a" * (i % 3 == 0) for i in range(k, k + 64) if not 0xD800 <= i < 0xE000) for k in range(0, 0x3100, 64)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id long, content string")
+    out = Index(spark, str(tmp_path / "index"))
+    out.append(rows)
+    terms = {r.id: r.t for r in rows.select("id", index.T.index_terms(F.col("content")).alias("t")).collect()}
+    (segment,) = out.manifest()["segments"]
+    got = {}
+    table = out._segment(segment["name"]).collect()
+    (docs,) = (np.frombuffer(r.places, "<i8") for r in table if r.term is None)
+    for r in table:
+        for place, n in zip(np.frombuffer(r.places, "<u4"), np.frombuffer(r.counts, "<u4"), strict=True) if r.term is not None else ():
+            got.setdefault(int(docs[place]), []).extend([r.term] * int(n))
+    assert {i: sorted(t) for i, t in terms.items() if t} == {i: sorted(t) for i, t in got.items()}
+    assert {r.id: r.len for r in out.live().collect()} == {i: len(t) for i, t in terms.items()}
+    plain = [r.id for r in rows.select("id", index.T.plain(F.col("content")).alias("p")).where("p is not null").collect()]
+    assert {0, 1, 2, 3, 4, 13, 14} <= set(plain) and 7 not in plain and 6 not in plain
